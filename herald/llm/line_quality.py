@@ -6,9 +6,8 @@ labels. Viterbi decoding finds the best labelling; the share of words in
 content lines decides whether the document is kept, after the plain rules.
 
 Lines have no labels of their own, so the field learns from documents: the
-lines of a document of good quality count as content, those of a bad one as
-boilerplate. Lines of either kind in documents of the other are noise that the
-neighbour weights and the regulariser absorb.
+lines of a document of good quality count as content, and those of a bad one
+as boilerplate, unless the same line stands in a good document of the sample.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ SAMPLE = 1500
 def line_statistics(line: str, words: list[str], seen: bool) -> list[float]:
     n = len(words)
     return [
-        1.0, min(1.0, sum(map(line.count, _SYMBOLS)) / n), min(1.0, line.count("!") / n), sum(1 for w in words if len(w) > 1 and w.isupper()) / n,
+        1.0, min(1.0, 2.0 * sum(map(line.count, _SYMBOLS)) / n), min(1.0, 2.0 * line.count("!") / n), sum(1 for w in words if len(w) > 1 and w.isupper()) / n,
         sum(map(eq, words, words[1:])) / n, len(set(words)) / n, sum(1 for w in words if len(w) <= 3) / n,
         min(1.0, 5.0 * line.count(".") / n), float(seen), 1.0 / n,
     ]
@@ -110,8 +110,8 @@ class Chain:
         return out[::-1]
 
 
-def fit_chain(sequences: list[np.ndarray], labels: list[int], steps: int = 150, penalty: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood by Adam; a sequence's lines all have its label.
+def fit_chain(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 150, penalty: float = 1e-5) -> Chain:
+    """Maximum conditional likelihood by Adam, of statistics and labels of the lines of each sequence.
 
     Sequences are padded and run through forward and backward sums together.
     """
@@ -122,11 +122,10 @@ def fit_chain(sequences: list[np.ndarray], labels: list[int], steps: int = 150,
         return Chain(w, links)
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     lengths = np.array([len(sequences[i]) for i in order])
-    y = np.array([labels[i] for i in order])
     longest, total = int(lengths[0]), int(lengths.sum())
-    x = np.zeros((longest, len(order), d))
+    x, y = np.zeros((longest, len(order), d)), np.zeros((longest, len(order)), np.int64)
     for j, i in enumerate(order):
-        x[: lengths[j], j] = sequences[i]
+        x[: lengths[j], j], y[: lengths[j], j] = sequences[i], labels[i]
     here = [int((lengths > t).sum()) for t in range(longest)]
     value = np.concatenate([w, links.ravel()])
     m1, m2 = np.zeros_like(value), np.zeros_like(value)
@@ -150,14 +149,13 @@ def fit_chain(sequences: list[np.ndarray], labels: list[int], steps: int = 150,
                 joint -= np.logaddexp.reduce(joint.reshape(c, 4), axis=1)[:, None, None]
                 p = np.exp(joint)
                 gl -= p.sum(axis=0)
-                gl[0, 0] += (y[:c] == 0).sum()
-                gl[1, 1] += (y[:c] == 1).sum()
+                gl += np.bincount(2 * y[t, :c] + y[t + 1, :c], minlength=4).reshape(2, 2)
             q = fore[t, :b] + back[t, :b]
             p1 = np.exp(q[:, 1] - np.logaddexp(q[:, 0], q[:, 1]))
-            gw += (y[:b] - p1) @ x[t, :b]
+            gw += (y[t, :b] - p1) @ x[t, :b]
         g = np.concatenate([gw, gl.ravel()]) / total - penalty * value
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        value = value + 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+        value = value + 0.3 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return Chain(value[:d], value[d:].reshape(2, 2))
 
 
@@ -172,14 +170,17 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                stats = np.array(measures(text)[3], np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([stats.tobytes()], pa.binary())], names=["label", "x"])
+                _, at, _, stats = measures(text)
+                lines = text.split("\n")
+                names = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in at], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([np.array(stats, np.float32).tobytes()], pa.binary()), pa.array([names.tobytes()], pa.binary())], names=["label", "x", "names"])
 
     # at most 2 * sample rows, of a few words each
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("d"))
-    rows = few.select("text", "label").mapInArrow(run, "label int, x binary").orderBy("label", F.md5("x")).collect()
-    seqs = [(np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(float), r["label"]) for r in rows if r["x"]]
-    return fit_chain([s for s, _ in seqs], [y for _, y in seqs])
+    rows = few.select("text", "label").mapInArrow(run, "label int, x binary, names binary").orderBy("label", F.md5("x")).collect()
+    rows = [(np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(float), r["label"], np.frombuffer(r["names"], np.uint64)) for r in rows if r["x"]]
+    good = np.unique(np.concatenate([n for _, y, n in rows if y] or [np.zeros(0, np.uint64)]))
+    return fit_chain([x for x, _, _ in rows], [np.full(len(n), 1) if y else np.isin(n, good).astype(np.int64) for _, y, n in rows])
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, content_share double, boilerplate array<int>"
