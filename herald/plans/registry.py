@@ -1,7 +1,7 @@
 """All registered queries over the driver's tables, and their SQL."""
 
-from herald.plans import messages, notices
+from herald.plans import feeds, messages, notices, search
 
-_MODULES = (messages, notices)
+_MODULES = (messages, notices, search, feeds)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
