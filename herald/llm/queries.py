@@ -21,7 +21,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token store in the shared folder, reads it back, and digests each document's ids."""
     path = f"{scratch_dir(spark)}/herald-{spark.sparkContext.applicationId}-tokens-{uuid.uuid4().hex}"
     token_store.write_tokens(read(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
-    return token_store.digest(token_store.read_tokens(spark, path))
+    return token_store.read_digests(spark, path)
 
 
 def op3_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

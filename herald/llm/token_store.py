@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from herald.llm._common import text_of
 #: Bytes of ids after which a block is closed; a document is never split.
 BLOCK_BYTES = 1 << 22
 #: Words whose ids each Python worker remembers.
-CACHE = 400_000
+CACHE = 750_000
 SCHEMA = "shard int, block int, first long, n_docs long, n_ids long, width int, ids binary, ends binary, doc_ids binary, has_id binary"
 
 
@@ -96,28 +98,72 @@ class EliasFano:
         return (high << self.l) | (bits << np.arange(self.l)).sum(axis=1)
 
 
-class _Words(dict):
-    """Ids of white-space separated words as bytes; what is new is encoded by the library in batches."""
+#: Runs of Latin-1 letters, and of anything else but white space, of a text in lower case.
+_RUNS = re.compile("[a-z\u00AA\u00B5\u00BA\u00DF-\u00F6\u00F8-\u00FF]+|[^a-z\u00AA\u00B5\u00BA\u00DF-\u00F6\u00F8-\u00FF \n\t\r]+").findall
+_LETTERS = re.compile("[a-z\u00AA\u00B5\u00BA\u00DF-\u00F6\u00F8-\u00FF]").match
+
+
+class _Words:
+    """Ids of parts of texts as bytes, remembered up to a bound; the library encodes what is new.
+
+    Parts are white-space separated words, if white space is dropped. Where
+    the vocabulary also folds case and never joins letters with other
+    characters but in contractions, the parts of Latin-1 texts without
+    apostrophes or special tokens are runs of letters and of other characters,
+    of which fewer are new.
+    """
 
     def __init__(self, spec: str, width: int):
-        super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_str(spec), f"<u{width}"
+        self.tokenizer, self.kind = Tokenizer.from_str(spec), "H" if width == 2 else "I"
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.known: dict[str, bytes] = {}
+        join = lambda *parts: b"".join(self.ids(list(parts)))
+        probes = {"Ab\u00c9.,": ("ab\u00e9", ".,"), "Of###the": ("of", "###", "the"), "A1b": ("a", "1", "b"), "x_Y-": ("x", "_", "y", "-"), "\u00df\u00aa\u00b2!": ("\u00df\u00aa", "\u00b2!")}
+        self.by_runs = all(self.ids([w])[0] == join(*parts) for w, parts in probes.items())
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def learn(self, fresh: list[str]) -> None:
+        self.known.update(zip(fresh, self.ids(fresh)))
+
+    def learn_letters(self, fresh: list[str]) -> None:
+        """Encode runs of letters as one text; each ends with its only token that is marked as an end."""
+        e = np.array(self.encode([" ".join(fresh)], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(self.ends[e]) + 1
+        if len(at) != len(fresh):
+            self.learn(fresh)
+            return
+        width = 2 if self.kind == "H" else 4
+        data, bounds = e.astype(f"<u{width}").tobytes(), (at * width).tolist()
+        self.known.update(zip(fresh, [data[i:j] for i, j in zip([0, *bounds[:-1]], bounds)]))
+
+    def split(self, text: str) -> list[str]:
+        if self.by_runs and "'" not in text and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return _RUNS(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def of(self, texts: list[str], by_word: bool) -> list[bytes]:
         if not by_word:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.encode(texts, add_special_tokens=False)]
-        if len(self) > CACHE:
-            self.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split).difference(self))
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i: i + 10_000]
-            for w, e in zip(part, self.encode(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(self.__getitem__, s)) for s in split]
+            return self.ids(texts)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        split = list(map(self.split, texts))
+        fresh = set().union(*split).difference(self.known)
+        letters = [w for w in fresh if _LETTERS(w) and w.isalpha() and w == w.lower()] if self.by_runs else []
+        for i in range(0, len(letters), 20_000):
+            self.learn_letters(letters[i: i + 20_000])
+        self.learn([w for w in fresh if w not in self.known])
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
 _loaded: dict = {}
@@ -189,36 +235,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
     dealt.withColumn("shard", F.spark_partition_id()).mapInArrow(encode, SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids binary, width) of a store; start counts the ids of all documents before."""
+def _documents(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids, whether each is known, and the offsets in ids of each document's start and end."""
+    ends = EliasFano.from_bytes(block["ends"]).values()
+    known = np.cumsum(np.frombuffer(zlib.decompress(block["doc_ids"]), "<i8"))
+    has = np.unpackbits(np.frombuffer(block["has_id"], np.uint8), count=block["n_docs"]).astype(bool)
+    return known, has, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
+
+
+def _read(spark: SparkSession, path: str, name: str, kind: str, arrow: pa.DataType, value: Callable[[bytes, int], object]) -> DataFrame:
+    """(doc_id, start, n_tokens, name): ``value`` of each document's bytes and their width, block by block."""
     store = spark.read.schema(SCHEMA).parquet(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                width, ends = r["width"], EliasFano.from_bytes(r["ends"]).values()
-                known = np.cumsum(np.frombuffer(zlib.decompress(r["doc_ids"]), "<i8"))
-                has = np.unpackbits(np.frombuffer(r["has_id"], np.uint8), count=r["n_docs"]).astype(bool)
-                starts = np.concatenate([[0], ends[:-1]])
+                known, has, starts, ends = _documents(r)
+                w, ids = r["width"], memoryview(r["ids"])
                 for i in range(0, r["n_docs"], 512):
                     part = slice(i, i + 512)
-                    chunk = pa.array([r["ids"][a * width: b * width] for a, b in zip(starts[part], ends[part])], pa.binary())
-                    n = len(chunk)
-                    yield pa.RecordBatch.from_arrays([pa.array(known[part], mask=~has[part]), pa.array([r["shard"]] * n, pa.int32()), pa.array(starts[part].astype(np.int64) + r["first"]), pa.array((ends[part] - starts[part]).astype(np.int64)), chunk, pa.array([width] * n, pa.int32())], names=["doc_id", "shard", "inner", "n_tokens", "ids", "width"])
+                    made = [value(ids[a * w: b * w], w) for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+                    n = len(made)
+                    yield pa.RecordBatch.from_arrays([pa.array(known[part], mask=~has[part]), pa.array([r["shard"]] * n, pa.int32()), pa.array(starts[part] + r["first"]), pa.array(ends[part] - starts[part]), pa.array(made, arrow)], names=["doc_id", "shard", "inner", "n_tokens", name])
 
-    docs = store.mapInArrow(decode, "doc_id long, shard int, inner long, n_tokens long, ids binary, width int")
+    docs = store.mapInArrow(decode, f"doc_id long, shard int, inner long, n_tokens long, {name} {kind}")
     shards = store.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select(F.col("shard"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     # a row for each task that wrote the store, so of a size to broadcast
-    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids", "width")
+    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", name)
 
 
-def digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): the crc of the ids as little-endian unsigned 32-bit integers."""
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids) of a store; start counts the ids of all documents before."""
+    return _read(spark, path, "ids", "array<int>", pa.list_(pa.int32()), lambda data, w: np.frombuffer(data, f"<u{w}").astype(np.int32))
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = [zlib.crc32(np.frombuffer(i, f"<u{w}").astype("<u4").tobytes()) for i, w in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32) of a store: the crc of the ids as little-endian unsigned 32-bit integers."""
+    return _read(spark, path, "ids_crc32", "long", pa.int64(), lambda data, w: zlib.crc32(np.frombuffer(data, f"<u{w}").astype("<u4")))
