@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def clean_text(c: str | Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
@@ -84,20 +91,25 @@ def parse_deadline(c: str | Column) -> Column:
     of day is not guessed: null and ``unknown``.
     """
     text = col(c)
-    dates = F.regexp_extract_all(text, F.lit(_FULL), F.lit(0))
-    last = F.try_element_at(dates, F.lit(-1))
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(_FULL), F.lit(0)), F.lit(-1))
+    return let(F.struct(text.alias("text"), last.alias("last")), lambda x: _read_date(x["text"], x["last"]))
+
+
+def _read_date(text: Column, last: Column) -> Column:
     before = F.length(text) - F.position(F.reverse(last), F.reverse(text)) + 1 - F.length(last)
     from_ = F.greatest(before - 60, F.lit(0))
     near = F.substring(text, from_ + 1, before + F.length(last) + 40 - from_)
+    time = F.try_element_at(F.regexp_extract_all(near, F.lit(_TIME), F.lit(0)), F.lit(-1))
     day = F.regexp_replace(F.regexp_replace(last, r"(?U)\s+", ""), r"[.-]", "/")
-    hour = F.try_element_at(F.regexp_extract_all(near, F.lit(_TIME), F.lit(1)), F.lit(-1))
-    minute = F.try_element_at(F.regexp_extract_all(near, F.lit(_TIME), F.lit(2)), F.lit(-1))
-    minute = F.when(minute == "", "0").otherwise(minute)
-    date = F.try_to_date(day, "d/M/yyyy")
-    at = F.date_format(F.try_to_timestamp(F.concat_ws(" ", day, F.concat_ws(":", hour, minute)), F.lit("d/M/yyyy H:m")), "yyyy-MM-dd'T'HH:mm:ss'+07:00'")
-    value = F.when(F.size(dates) == 0, None).when(hour.isNotNull(), at).otherwise(F.date_format(date, "yyyy-MM-dd"))
-    precision = F.when(value.isNull(), "unknown").when(hour.isNotNull(), "datetime").otherwise("date")
-    return F.struct(value.alias("normalized"), precision.alias("precision"))
+
+    def value(x: Column) -> Column:
+        minute = F.regexp_extract(x["time"], _TIME, 2)
+        clock = F.concat_ws(":", F.regexp_extract(x["time"], _TIME, 1), F.when(minute == "", "0").otherwise(minute))
+        at = F.date_format(F.try_to_timestamp(F.concat_ws(" ", x["day"], clock), F.lit("d/M/yyyy H:m")), "yyyy-MM-dd'T'HH:mm:ss'+07:00'")
+        return F.when(x["day"].isNull(), None).when(x["time"].isNotNull(), at).otherwise(F.date_format(F.try_to_date(x["day"], "d/M/yyyy"), "yyyy-MM-dd"))
+
+    both = let(F.struct(day.alias("day"), time.alias("time")), lambda x: F.struct(value(x).alias("value"), x["time"].isNotNull().alias("timed")))
+    return let(both, lambda v: F.struct(v["value"].alias("normalized"), F.when(v["value"].isNull(), "unknown").when(v["timed"], "datetime").otherwise("date").alias("precision")))
 
 
 def parse_vnd(c: str | Column) -> Column:
@@ -143,9 +155,11 @@ def span_of(c: Column, pattern: str, group: int = 0) -> Column:
 
     ``pattern`` must not hold other capturing groups than those up to ``group``.
     """
-    head = F.regexp_extract(c, f"(?s){FLAGS}^(.*?)(?:{pattern})", 1)
-    hit = F.regexp_like(c, F.lit(FLAGS + pattern))
-    whole = F.regexp_extract(c, FLAGS + pattern, 0)
-    text = whole if not group else F.regexp_extract(c, FLAGS + pattern, group)
-    inner = F.lit(0) if not group else F.greatest(F.position(text, whole) - 1, F.lit(0))
-    return F.when(hit, F.struct((F.length(head) + inner).cast("int").alias("start"), text.alias("text")))
+    def found(whole: Column) -> Column:
+        head = F.length(F.regexp_extract(c, f"(?s){FLAGS}^(.*?)(?:{pattern})", 1))
+        if not group:
+            return F.when(whole != "", F.struct(head.cast("int").alias("start"), whole.alias("text")))
+        text = F.regexp_extract(c, FLAGS + pattern, group)
+        return F.when(whole != "", let(text, lambda t: F.struct((head + F.greatest(F.position(t, whole) - 1, F.lit(0))).cast("int").alias("start"), t.alias("text"))))
+
+    return let(F.regexp_extract(c, FLAGS + pattern, 0), found)

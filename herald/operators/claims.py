@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from herald.functions.text import clean_text, parse_deadline, parse_vnd, pieces, span_of, trim_space
+from herald.functions.text import clean_text, let, parse_deadline, parse_vnd, pieces, span_of, trim_space
 
 # --- Fixed values: the wording that fields are recognised by -----------------
 BLANK_LINE = r"(?:\r?\n[ \t]*){2,}"
@@ -21,18 +21,18 @@ NEXT_ACTION = (
 )
 #: (type, pattern); the verb is group 1. Earliest verb wins, ties by this order.
 ACTIONS = [
-    ("PAY", r"\b(đóng)\s+(?:học\s*phí|lệ\s*phí|phí|tiền|BHYT|bảo\s+hiểm|khoản\s+phí)\b"),
-    ("PAY", r"\b(đóng)\s+\d[\d.,\s]*(?:đồng|vnđ|vnd|đ)\b"),
-    ("PAY", r"\b(thanh\s+toán)\b"),
-    ("PAY", r"\b(nộp)\s+(?:học\s*phí|lệ\s*phí|phí|tiền)\b"),
-    ("REGISTER", r"\b(đăng\s+k[ýí])\b"),
-    ("APPLY", r"\b(ứng\s+tuyển)\b"),
-    ("SUBMIT", r"\b(nộp)\b"),
-    ("ATTEND", r"\b(tham\s+gia)\b"),
-    ("COLLECT", r"\b(nhận)\s+(?:kết\s+quả|thẻ(?:\s+sinh\s+viên)?|giấy(?:\s+xác\s+nhận)?|chứng\s+nhận|học\s+bổng|biên\s+lai)\b"),
-    ("UPDATE", r"\b(cập\s+nhật|tự\s+đánh\s+giá)\b"),
-    ("CHECK", r"\b(kiểm\s+tra|xem)\b"),
-    ("OTHER", r"\b(hoàn\s+thành|thực\s+hiện)\b"),
+    ("pay", r"\b(đóng)\s+(?:học\s*phí|lệ\s*phí|phí|tiền|BHYT|bảo\s+hiểm|khoản\s+phí)\b"),
+    ("pay", r"\b(đóng)\s+\d[\d.,\s]*(?:đồng|vnđ|vnd|đ)\b"),
+    ("pay", r"\b(thanh\s+toán)\b"),
+    ("pay", r"\b(nộp)\s+(?:học\s*phí|lệ\s*phí|phí|tiền)\b"),
+    ("register", r"\b(đăng\s+k[ýí])\b"),
+    ("apply", r"\b(ứng\s+tuyển)\b"),
+    ("submit", r"\b(nộp)\b"),
+    ("attend", r"\b(tham\s+gia)\b"),
+    ("collect", r"\b(nhận)\s+(?:kết\s+quả|thẻ(?:\s+sinh\s+viên)?|giấy(?:\s+xác\s+nhận)?|chứng\s+nhận|học\s+bổng|biên\s+lai)\b"),
+    ("update", r"\b(cập\s+nhật|tự\s+đánh\s+giá)\b"),
+    ("check", r"\b(kiểm\s+tra|xem)\b"),
+    ("other", r"\b(hoàn\s+thành|thực\s+hiện)\b"),
 ]
 FULL_DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}"
 SHORT_DATE = r"(?:(?:trước|đến)\s+(?:hết\s+)?(?:ngày\s+)?|hạn\s+cuối\s*:?[ \t]*)(\d{1,2}[./-]\d{1,2})(?![./-]\d)"
@@ -77,41 +77,45 @@ def segment_claims(messages: DataFrame) -> DataFrame:
 
 
 def action(text: Column) -> Column:
-    """struct(start, text, type) of the earliest action, null without."""
-    found = F.array(*[
-        F.when(s.isNotNull(), F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["text"].alias("text"), F.lit(kind).alias("type")))
-        for i, (kind, pattern) in enumerate(ACTIONS) for s in [span_of(text, pattern, 1)]])
-    return F.array_min(F.array_compact(found))
+    """struct(start, order, text, type) of the earliest action, null without."""
+
+    def found(i: int, kind: str, pattern: str) -> Column:
+        return let(span_of(text, pattern, 1), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["text"].alias("text"), F.lit(kind).alias("type"))))
+
+    return F.array_min(F.array_compact(F.array(*[found(i, kind, pattern) for i, (kind, pattern) in enumerate(ACTIONS)])))
 
 
 def deadline(text: Column) -> Column:
     """struct(start, text, normalized): the first full date, else a date without year after a cue, which stays unnormalised."""
-    full, short = span_of(text, FULL_DATE), span_of(text, SHORT_DATE, 1)
-    day = F.when(full.isNotNull(), F.struct(full["start"].alias("start"), full["text"].alias("text"), parse_deadline(full["text"])["normalized"].alias("normalized")))
-    return F.coalesce(day, F.when(short.isNotNull(), F.struct(short["start"].alias("start"), short["text"].alias("text"), F.lit(None).cast("string").alias("normalized"))))
+    full = let(span_of(text, FULL_DATE), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), parse_deadline(s["text"])["normalized"].alias("normalized"))))
+    short = let(span_of(text, SHORT_DATE, 1), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), F.lit(None).cast("string").alias("normalized"))))
+    return F.coalesce(full, short)
 
 
 def amount(text: Column) -> Column:
     """struct(start, text, value) of the first sum of money."""
-    s = span_of(text, MONEY)
-    tail = F.substring(text, s["start"] + 1, F.lit(1000))
-    return F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), parse_vnd(F.substring_index(F.regexp_replace(tail, _I + r"((?:đồng|vnđ|vnd|đ|k)\b)", "$1\u0001"), "\u0001", 1)).alias("value")))
+
+    def value(s: Column) -> Column:
+        tail = F.substring(text, s["start"] + 1, F.length(s["text"]) + 20)
+        unit = F.substring_index(F.regexp_replace(tail, _I + r"((?:đồng|vnđ|vnd|đ|k)\b)", "$1\u0001"), "\u0001", 1)
+        return F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), parse_vnd(unit).alias("value")))
+
+    return let(span_of(text, MONEY), value)
 
 
 def audience(text: Column) -> Column:
-    """struct(start, text, cohort) of the earliest cohort, as ``Kyy``."""
-    found = []
-    for i, pattern in enumerate(AUDIENCES):
-        s = span_of(text, pattern)
-        year = F.regexp_extract(s["text"], r"(\d{2})$", 1)
-        found.append(F.when(s.isNotNull(), F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["text"].alias("text"), F.concat(F.lit("K"), year).alias("cohort"))))
-    return F.array_min(F.array_compact(F.array(*found)))
+    """struct(start, order, text, cohort) of the earliest cohort, as ``Kyy``."""
+
+    def found(i: int, pattern: str) -> Column:
+        year = lambda s: F.concat(F.lit("K"), F.regexp_extract(s["text"], r"(\d{2})$", 1))
+        return let(span_of(text, pattern), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["text"].alias("text"), year(s).alias("cohort"))))
+
+    return F.array_min(F.array_compact(F.array(*[found(i, p) for i, p in enumerate(AUDIENCES)])))
 
 
 def location(text: Column) -> Column:
     """struct(start, text, normalized) of a named place after a cue."""
-    s = span_of(text, LOCATION, 1)
-    return F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), clean_text(s["text"]).alias("normalized")))
+    return let(span_of(text, LOCATION, 1), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), clean_text(s["text"]).alias("normalized"))))
 
 
 def documents(text: Column) -> Column:

@@ -28,7 +28,7 @@ def compare_amount(claimed: Column, claimed_value: Column, official: Column) ->
 def compare_action(claimed: Column, claimed_type: Column, official_type: Column) -> Column:
     """MATCH of the types; without a claimed type the wording decides for three of them."""
     text = F.lower(claimed)
-    lexical = ((official_type == "PAY") & F.contains(text, F.lit("đóng"))) | ((official_type == "REGISTER") & F.contains(text, F.lit("đăng ký"))) | ((official_type == "SUBMIT") & F.contains(text, F.lit("nộp")))
+    lexical = ((official_type == "pay") & F.contains(text, F.lit("đóng"))) | ((official_type == "register") & F.contains(text, F.lit("đăng ký"))) | ((official_type == "submit") & F.contains(text, F.lit("nộp")))
     return F.when(F.when(claimed_type.isNotNull(), claimed_type == official_type).otherwise(lexical), MATCH).otherwise(CONFLICT)
 
 
@@ -74,16 +74,19 @@ def field_verdict(states: list[Column]) -> Column:
 
 
 def best_obligation(evaluated: DataFrame, claim: list[str], ordinal: str) -> DataFrame:
-    """The usable pair of most matches per claim; ``ambiguous`` if those tie with different signatures.
+    """For each claim: n_obligations, whether one is usable, the states of the usable one of most matches, and ``ambiguous``.
 
-    Of equal ties the first by ``ordinal``. Partial aggregation keeps a claim
-    with many obligations out of a single task.
+    Of equal matches the first by ``ordinal``; they are ambiguous if their
+    signatures differ, which the least and the greatest tell. One aggregation
+    with partial results, so a claim with many obligations fills no task.
     """
-    usable = evaluated.filter("comparable_count > 0")
-    top = usable.groupBy(*claim).agg(F.max("match_count").alias("top"))
-    ties = usable.join(top, claim).filter("match_count = top")
-    pick = F.min(F.struct(F.col(ordinal).alias("o"), F.struct(*[F.col(c) for c in evaluated.columns if c not in claim]).alias("row")))
-    return ties.groupBy(*claim).agg(pick.alias("p"), (F.min("signature") != F.max("signature")).alias("ambiguous")).select(*claim, "p.row.*", "ambiguous")
+    usable = F.col("comparable_count") > 0
+    states = F.struct(*[f"{f}_state" for f in ("action", "deadline", "amount")])
+    best = F.min(F.when(usable, F.struct((-F.col("match_count")).alias("m"), F.col(ordinal).alias("o"), states.alias("s"))))
+    low = F.min(F.when(usable, F.struct((-F.col("match_count")).alias("m"), "signature")))
+    high = F.max(F.when(usable, F.struct("match_count", "signature")))
+    out = evaluated.groupBy(*claim).agg(F.count(ordinal).alias("n_obligations"), best.alias("best"), low.alias("low"), high.alias("high"))
+    return out.select(*claim, "n_obligations", F.col("best").isNotNull().alias("usable"), "best.s.*", (F.col("low.signature") != F.col("high.signature")).alias("ambiguous"))
 
 
 def abstention(has_field: Column, has_evidence: Column, has_obligation: Column, usable: Column, ambiguous: Column) -> Column:
@@ -99,27 +102,26 @@ def temporal_gate(verdict: Column, validity: Column) -> Column:
     return F.when(old & (verdict == "VERIFIED"), "PARTIALLY_VERIFIED").when(old & (verdict == CONFLICT), INSUFFICIENT).otherwise(verdict)
 
 
-def verify_claims(claims: DataFrame, evidence: DataFrame, obligations: DataFrame, validity: DataFrame) -> DataFrame:
-    """(message_id, claim_ix, verdict, abstention_reason, states) of claims of :func:`herald.operators.claims.extract_claims`.
+def verify_claims(claims: DataFrame, obligations: DataFrame, validity: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(message_id, claim_ix, notice_id, version_id, verdict, abstention_reason, states) of claims of :func:`herald.operators.claims.extract_claims`.
 
     ``evidence`` names the first-ranked (notice_id, version_id) of each claim,
-    and no lower-ranked one takes its place. ``obligations`` are reviewed ones
-    (notice_id, version_id, ordinal, off_*), ``validity`` (notice_id,
-    version_id, validity).
+    and no lower-ranked one takes its place; without it the claims have these
+    columns. ``obligations`` are reviewed ones (notice_id, version_id,
+    ordinal, off_*), ``validity`` (notice_id, version_id, validity). The claims
+    are read once.
     """
-    key = ["message_id", "claim_ix"]
+    key, version = ["message_id", "claim_ix"], ["notice_id", "version_id"]
+    own = [c for c in version if evidence is None]
     flat = claims.select(
-        *key, F.col("action.text").alias("action_text"), F.col("action.type").alias("action_type"), F.col("deadline.text").alias("deadline_text"), F.col("deadline.normalized").alias("deadline_norm"),
+        *key, *own, F.col("action.text").alias("action_text"), F.col("action.type").alias("action_type"), F.col("deadline.text").alias("deadline_text"), F.col("deadline.normalized").alias("deadline_norm"),
         F.col("amount.text").alias("amount_text"), F.col("amount.value").alias("amount_value"))
     flat = flat.withColumn("has_field", F.coalesce("action_type", "deadline_text", "amount_text").isNotNull())
-    seen = flat.join(evidence.select(*key, "notice_id", "version_id"), key, "left")
-    known = obligations.groupBy("notice_id", "version_id").agg(F.count("*").alias("n_obligations"))
-    best = best_obligation(evaluate(seen.join(obligations, ["notice_id", "version_id"])), key, "ordinal")
-    best = best.select(*key, "action_state", "deadline_state", "amount_state", "ambiguous", F.lit(True).alias("usable"))
-    all_ = seen.join(known, ["notice_id", "version_id"], "left").join(best, key, "left").join(validity, ["notice_id", "version_id"], "left")
-    why = abstention(F.col("has_field"), F.col("notice_id").isNotNull(), F.col("n_obligations").isNotNull(), F.col("usable"), F.col("ambiguous"))
+    seen = flat if evidence is None else flat.join(evidence.select(*key, *version), key, "left")
+    best = best_obligation(evaluate(seen.join(obligations, version, "left")), [*key, *version, "has_field"], "ordinal").join(validity, version, "left")
+    why = abstention(F.col("has_field"), F.col("notice_id").isNotNull(), F.col("n_obligations") > 0, F.col("usable"), F.col("ambiguous"))
     judged = temporal_gate(field_verdict([F.col(f"{f}_state") for f in ("action", "deadline", "amount")]), F.coalesce("validity", F.lit("CURRENT")))
-    return all_.select(*key, "notice_id", "version_id", F.when(why.isNotNull(), "ABSTAINED").otherwise(judged).alias("verdict"), why.alias("abstention_reason"), *[F.when(why.isNull(), F.col(f"{f}_state")).alias(f"{f}_state") for f in ("action", "deadline", "amount")])
+    return best.select(*key, *version, F.when(why.isNotNull(), "ABSTAINED").otherwise(judged).alias("verdict"), why.alias("abstention_reason"), *[F.when(why.isNull(), F.col(f"{f}_state")).alias(f"{f}_state") for f in ("action", "deadline", "amount")])
 
 
 def public_verdict(verdict: Column) -> Column:
@@ -152,7 +154,7 @@ def temporal_validity(versions: DataFrame, relations: DataFrame) -> DataFrame:
     state is unknown. ``relations``: relation_id, target_notice_id,
     target_version_id, relation_type, provenance.
     """
-    edges = relations.filter(F.col("relation_type").isin("SUPERSEDES", "AMENDS"))
+    edges = relations.filter(F.col("relation_type").isin("supersedes", "amends"))
     first = lambda *keys: [F.min(F.struct("relation_id", F.lower("provenance").isin("manual", "reviewed", "gold", "human").alias("confirmed")))]
     exact = edges.filter("target_version_id is not null").groupBy(F.col("target_notice_id").alias("notice_id"), F.col("target_version_id").alias("version_id")).agg(first()[0].alias("a"))
     wide = edges.filter("target_version_id is null").groupBy(F.col("target_notice_id").alias("notice_id")).agg(first()[0].alias("b"))

@@ -14,16 +14,15 @@ _BASE = """
 WITH n AS (
   SELECT o_orderkey AS id, o_orderkey % 5 AS way, CAST(o_orderdate AS DATE) + 30 AS due,
          (floor(o_totalprice / 1000)::BIGINT * 1000 + 100000) AS cost,
-         CASE o_orderkey % 3 WHEN 0 THEN 'REGISTER' WHEN 1 THEN 'SUBMIT' ELSE 'PAY' END AS kind FROM orders)
+         CASE o_orderkey % 3 WHEN 0 THEN 'register' WHEN 1 THEN 'submit' ELSE 'pay' END AS kind FROM orders)
 """
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = C.extract_claims(messages_of_orders(spark, sf_dir))
+    claims = C.extract_claims(messages_of_orders(spark, sf_dir)).withColumns({"notice_id": F.col("message_id"), "version_id": F.lit(1).cast("long")})
     official = notices_of_orders(spark, sf_dir)
-    evidence = claims.select("message_id", "claim_ix", F.col("message_id").alias("notice_id"), F.lit(1).cast("long").alias("version_id"))
     validity = official.select("notice_id", "version_id", F.when(F.col("notice_id") % 11 == 0, "SUPERSEDED_OUTDATED").otherwise("CURRENT").alias("validity"))
-    return V.verify_claims(claims, evidence, official.drop("due", "cost", "kind"), validity)
+    return V.verify_claims(claims, official.drop("due", "cost", "kind"), validity)
 
 
 def verify_messages(spark, sf_dir):
@@ -78,7 +77,7 @@ def temporal_validity(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     relation = li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relation_id"), (F.col("l_partkey") % 1000).alias("target_notice_id"), F.lit(None).cast("long").alias("target_version_id"),
-        F.when(F.col("l_returnflag") == "R", "SUPERSEDES").when(F.col("l_returnflag") == "A", "REPEATS").otherwise("AMENDS").alias("relation_type"), F.when(F.col("l_linestatus") == "O", "Reviewed").otherwise("model").alias("provenance")).filter("relation_id % 97 = 0")
+        F.when(F.col("l_returnflag") == "R", "supersedes").when(F.col("l_returnflag") == "A", "related").otherwise("amends").alias("relation_type"), F.when(F.col("l_linestatus") == "O", "Reviewed").otherwise("model").alias("provenance")).filter("relation_id % 97 = 0")
     return V.temporal_validity(versions, relation)
 
 
@@ -88,7 +87,7 @@ _CLAIMS = _BASE + """,
 s AS (
   SELECT *, CASE WHEN way = 4 OR kind = 'X' THEN NULL ELSE 'MATCH' END AS a,
     CASE WHEN way = 4 THEN NULL WHEN way = 3 THEN 'INSUFFICIENT_EVIDENCE' WHEN way = 1 THEN 'CONFLICT' ELSE 'MATCH' END AS d,
-    CASE WHEN way = 4 OR kind <> 'PAY' THEN NULL WHEN way = 2 THEN 'CONFLICT' ELSE 'MATCH' END AS m FROM n),
+    CASE WHEN way = 4 OR kind <> 'pay' THEN NULL WHEN way = 2 THEN 'CONFLICT' ELSE 'MATCH' END AS m FROM n),
 v AS (
   SELECT *, CASE WHEN a IS NULL THEN 'ABSTAINED' WHEN d = 'CONFLICT' OR m = 'CONFLICT' THEN 'CONFLICT'
                  WHEN d = 'INSUFFICIENT_EVIDENCE' THEN 'PARTIALLY_VERIFIED' ELSE 'VERIFIED' END AS raw FROM s),
@@ -100,8 +99,8 @@ _MESSAGE = "CASE verdict WHEN 'CONFLICT' THEN 'CONFLICT' WHEN 'VERIFIED' THEN 'P
 _TEXT = _BASE + """,
 t AS (
   SELECT id, way, kind,
-    CASE WHEN way = 4 THEN 'Kiểm tra kết quả' WHEN kind = 'REGISTER' THEN 'Sinh viên K21 đăng ký học phần' WHEN kind = 'SUBMIT' THEN 'Sinh viên nộp đơn xin xác nhận' ELSE 'Đóng học phí' END
-    || CASE WHEN kind = 'PAY' AND way <> 4 THEN ' ' || (cost + CASE WHEN way = 2 THEN 500000 ELSE 0 END) || ' đồng' ELSE '' END
+    CASE WHEN way = 4 THEN 'Kiểm tra kết quả' WHEN kind = 'register' THEN 'Sinh viên K21 đăng ký học phần' WHEN kind = 'submit' THEN 'Sinh viên nộp đơn xin xác nhận' ELSE 'Đóng học phí' END
+    || CASE WHEN kind = 'pay' AND way <> 4 THEN ' ' || (cost + CASE WHEN way = 2 THEN 500000 ELSE 0 END) || ' đồng' ELSE '' END
     || ' trước ngày ' || CASE WHEN way = 1 THEN strftime(due + 4, '%d/%m/%Y') WHEN way = 3 THEN strftime(due, '%d/%m') ELSE strftime(due, '%d/%m/%Y') END AS a,
     'Thông báo số ' || id AS b, due, cost FROM n)
 """
@@ -121,13 +120,13 @@ SELECT verdict, coalesce(n, 0)::BIGINT AS n FROM d LEFT JOIN k USING (verdict)""
 SELECT id AS message_id, 0::BIGINT AS claim_ix, 0::BIGINT AS start_char, length(a)::BIGINT AS end_char, a AS text FROM t
 UNION ALL SELECT id, 1, length(a) + 2, length(a) + 2 + length(b), b FROM t""",
     "claim_fields": _TEXT + """
-SELECT id AS message_id, CASE WHEN way = 4 THEN 'CHECK' ELSE kind END AS action,
-  CASE WHEN way = 4 THEN 'Kiểm tra' WHEN kind = 'REGISTER' THEN 'đăng ký' WHEN kind = 'SUBMIT' THEN 'nộp' ELSE 'Đóng' END AS verb,
+SELECT id AS message_id, CASE WHEN way = 4 THEN 'check' ELSE kind END AS action,
+  CASE WHEN way = 4 THEN 'Kiểm tra' WHEN kind = 'register' THEN 'đăng ký' WHEN kind = 'submit' THEN 'nộp' ELSE 'Đóng' END AS verb,
   CASE WHEN way = 1 THEN strftime(due + 4, '%d/%m/%Y') WHEN way = 3 THEN strftime(due, '%d/%m') ELSE strftime(due, '%d/%m/%Y') END AS deadline,
   CASE WHEN way = 1 THEN strftime(due + 4, '%Y-%m-%d') WHEN way = 3 THEN NULL ELSE strftime(due, '%Y-%m-%d') END AS deadline_norm,
-  CASE WHEN kind = 'PAY' AND way <> 4 THEN cost + CASE WHEN way = 2 THEN 500000 ELSE 0 END END AS amount,
-  CASE WHEN way <> 4 AND kind = 'REGISTER' THEN 'K21' END AS cohort,
-  CASE WHEN way = 4 THEN 'kết quả' WHEN kind = 'REGISTER' THEN 'học phần' WHEN kind = 'SUBMIT' THEN 'đơn xin xác nhận'
+  CASE WHEN kind = 'pay' AND way <> 4 THEN cost + CASE WHEN way = 2 THEN 500000 ELSE 0 END END AS amount,
+  CASE WHEN way <> 4 AND kind = 'register' THEN 'K21' END AS cohort,
+  CASE WHEN way = 4 THEN 'kết quả' WHEN kind = 'register' THEN 'học phần' WHEN kind = 'submit' THEN 'đơn xin xác nhận'
        ELSE 'học phí ' || (cost + CASE WHEN way = 2 THEN 500000 ELSE 0 END) || ' đồng' END AS object_hint FROM t""",
     "parse_values": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT17:30:00+07:00') END AS normalized,

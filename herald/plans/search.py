@@ -94,13 +94,13 @@ SQL = {
     "chunk_documents": r"""
 WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 f AS (
-  SELECT doc_id, ls, 1 AS i, 0 AS at, -1 AS from_, 0 AS to_, 0 AS size, -1 AS cut_from, 0 AS cut_to, 0 AS n FROM l
+  SELECT doc_id, ls, 1 AS i, 0 AS pos, -1 AS from_, 0 AS to_, 0 AS size, -1 AS cut_from, 0 AS cut_to, 0 AS n FROM l
   UNION ALL
-  SELECT doc_id, ls, i + 1, at + length(ls[i]) + 1,
-    CASE WHEN trim(ls[i]) = '' OR size + length(ls[i]) > 500 THEN -1 WHEN from_ >= 0 THEN from_ ELSE at END,
-    at + length(ls[i]), CASE WHEN trim(ls[i]) = '' OR size + length(ls[i]) > 500 THEN 0 ELSE size + length(ls[i]) END,
-    CASE WHEN trim(ls[i]) = '' THEN from_ WHEN size + length(ls[i]) > 500 THEN (CASE WHEN from_ >= 0 THEN from_ ELSE at END) ELSE -1 END,
-    CASE WHEN trim(ls[i]) = '' THEN to_ ELSE at + length(ls[i]) END, i
+  SELECT doc_id, ls, i + 1, pos + length(ls[i]) + 1,
+    CASE WHEN trim(ls[i]) = '' OR size + length(ls[i]) > 500 THEN -1 WHEN from_ >= 0 THEN from_ ELSE pos END,
+    pos + length(ls[i]), CASE WHEN trim(ls[i]) = '' OR size + length(ls[i]) > 500 THEN 0 ELSE size + length(ls[i]) END,
+    CASE WHEN trim(ls[i]) = '' THEN from_ WHEN size + length(ls[i]) > 500 THEN (CASE WHEN from_ >= 0 THEN from_ ELSE pos END) ELSE -1 END,
+    CASE WHEN trim(ls[i]) = '' THEN to_ ELSE pos + length(ls[i]) END, i
   FROM f WHERE i <= len(ls)),
 c AS (
   SELECT doc_id, n, cut_from AS a, cut_to AS b FROM f WHERE cut_from >= 0

@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def notices_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An official obligation for each order: kind by key modulo 3, deadline 30 days on, amount for payments."""
     o = table(spark, sf_dir, "orders")
-    kind = F.element_at(F.array(F.lit("REGISTER"), F.lit("SUBMIT"), F.lit("PAY")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("register"), F.lit("submit"), F.lit("pay")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     due = F.date_add(F.col("o_orderdate").cast("date"), 30)
     cost = (F.floor(F.col("o_totalprice") / 1000).cast("long") * 1000 + 100000)
     return o.select(
         F.col("o_orderkey").alias("notice_id"), F.lit(1).cast("long").alias("version_id"), F.lit(0).alias("ordinal"), kind.alias("off_action"),
-        F.date_format(due, "dd/MM/yyyy").alias("off_deadline"), F.date_format(due, "yyyy-MM-dd").alias("off_deadline_norm"), F.when(kind == "PAY", cost).alias("off_amount"), due.alias("due"), cost.alias("cost"), kind.alias("kind"))
+        F.date_format(due, "dd/MM/yyyy").alias("off_deadline"), F.date_format(due, "yyyy-MM-dd").alias("off_deadline_norm"), F.when(kind == "pay", cost).alias("off_amount"), due.alias("due"), cost.alias("cost"), kind.alias("kind"))
 
 
 def messages_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def messages_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.col("notice_id") % 5
     day = F.when(way == 1, F.date_format(F.date_add("due", 4), "dd/MM/yyyy")).when(way == 3, F.date_format("due", "dd/MM")).otherwise(F.col("off_deadline"))
     cost = F.col("cost") + F.when(way == 2, 500000).otherwise(0)
-    verb = F.when(way == 4, "Kiểm tra kết quả").when(F.col("kind") == "REGISTER", "Sinh viên K21 đăng ký học phần").when(F.col("kind") == "SUBMIT", "Sinh viên nộp đơn xin xác nhận").otherwise("Đóng học phí")
-    pay = F.when((F.col("kind") == "PAY") & (way != 4), F.concat(F.lit(" "), F.format_string("%d", cost), F.lit(" đồng"))).otherwise("")
+    verb = F.when(way == 4, "Kiểm tra kết quả").when(F.col("kind") == "register", "Sinh viên K21 đăng ký học phần").when(F.col("kind") == "submit", "Sinh viên nộp đơn xin xác nhận").otherwise("Đóng học phí")
+    pay = F.when((F.col("kind") == "pay") & (way != 4), F.concat(F.lit(" "), F.format_string("%d", cost), F.lit(" đồng"))).otherwise("")
     text = F.concat(verb, pay, F.lit(" trước ngày "), day, F.lit("\n\nThông báo số "), F.col("notice_id").cast("string"))
     return n.select(F.col("notice_id").alias("message_id"), text.alias("text"))
 
