@@ -14,12 +14,16 @@ Bands of registers give candidate buckets. In each bucket all members are
 checked against one centre, the member that shares most buckets; what is then
 linked forms classes. Members of different classes that still share a bucket
 are checked in pairs, but for those whose sizes and numbers of shingles found
-nowhere else rule out the similarity. So no pair of a bucket is left open, and
-the members of one class are not paired with each other.
+nowhere else rule out the similarity, and those whose signatures agree at so
+few registers that it is out of reach (3.5 standard errors below the
+similarity: a pair at the very threshold is lost once in 4000 cases, as often
+as it shares no band). So no pair of a bucket is left open, and the members of
+one class are not paired with each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,7 +80,17 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
             off = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             part = batch.slice(i, j - i)
             out = pa.ListArray.from_arrays(off, pa.array(key[has].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), out], names=["doc_id", "t", "bands"])
+            packed = pack(sig)
+            flat = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, packed.shape[1]).astype(np.int32), pa.array(packed.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), out, flat], names=["doc_id", "t", "bands", "sketch"])
+
+
+def pack(sig: np.ndarray) -> np.ndarray:
+    """Four hashed bits of each register, sixteen registers to a 64-bit value."""
+    n, m = sig.shape
+    bits = np.zeros((n, -(-m // 16) * 16), np.uint64)
+    bits[:, :m] = mix(sig + _STEP) & np.uint64(15)
+    return (bits.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -124,9 +138,9 @@ def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int =
     """Rows (doc_id, t, root, class_id); t is the digest of the text, root that of one text of the class."""
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     hashed = rows_in.select("doc_id", F.unhex(F.md5("text")).alias("t"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    signed = materialize(hashed.mapInArrow(lambda it: _sign(it, k, bands, rows), "doc_id long, t binary, bands array<long>"))
+    signed = materialize(hashed.mapInArrow(lambda it: _sign(it, k, bands, rows), "doc_id long, t binary, bands array<long>, sketch array<long>"))
     texts = signed.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
-    member = texts.select("t", F.explode("bands").alias("h"))
+    member = texts.select("t", F.posexplode("bands").alias("band", "h"))
     bucket = materialize(member.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     member = materialize(member.join(bucket, "h"))
 
@@ -141,7 +155,7 @@ def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int =
     sets = materialize(once.mapInArrow(lambda it: _sets(it, k), "t binary, shingles array<long>"))
     linked = materialize(_verified(star, sets, similarity))
     roots = components(linked)
-    rest = _open_pairs(member, roots, sets, star, similarity)
+    rest = _open_pairs(member, signed, roots, sets, star, similarity, bands * rows)
     more = materialize(_verified(rest, sets, similarity))
     if not more.isEmpty():
         roots = components(linked.unionByName(more))
@@ -152,9 +166,9 @@ def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int =
     return signed.select("doc_id", "t").join(label, "t")
 
 
-def _open_pairs(member: DataFrame, roots: DataFrame, sets: DataFrame, star: DataFrame, similarity: float) -> DataFrame:
+def _open_pairs(member: DataFrame, signed: DataFrame, roots: DataFrame, sets: DataFrame, star: DataFrame, similarity: float, registers: int) -> DataFrame:
     """Pairs that share a bucket, lie in different classes, were not checked, and could be similar."""
-    placed = member.filter("n > 2").join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "h", F.coalesce("root", "t").alias("root"))
+    placed = member.filter("n > 2").join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "band", "h", F.coalesce("root", "t").alias("root"))
     by = placed.groupBy("h", "root").agg(F.count("*").alias("c"))
     mixed = by.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("h", "main")
     placed = materialize(placed.join(mixed, "h"))
@@ -164,10 +178,16 @@ def _open_pairs(member: DataFrame, roots: DataFrame, sets: DataFrame, star: Data
     alone = seen.filter("c = 1").groupBy("t").agg(F.count("*").alias("alone"))
     size = own.select("t", F.size("shingles").alias("size")).join(alone, "t", "left").select("t", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
     size = size.filter(F.col("shared") >= similarity * F.col("size"))
-    rows = materialize(placed.join(size, "t"))
+    info = size.join(signed.select("t", "bands", "sketch").join(size.select("t"), "t", "left_semi").groupBy("t").agg(F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "t")
+    rows = materialize(placed.join(info, "t"))
     share = similarity / (1 + similarity) - 1e-9
-    minor = rows.filter("root != main").select("h", *[F.col(c).alias(f"{c}_1") for c in ("t", "root", "size", "shared")])
-    fits = F.expr(f"root != root_1 and (root = main or t > t_1) and least(shared, shared_1) >= {share} * (size + size_1)")
+    error = math.sqrt(similarity * (1 - similarity) / registers + (1 - similarity) / (4 * registers))
+    most_bits = 4 * registers * (1 - similarity + 3.5 * error) / 2
+    words_ = -(-registers // 16)
+    minor = rows.filter("root != main").select("h", *[F.col(c).alias(f"{c}_1") for c in ("t", "root", "size", "shared", "bands", "sketch")])
+    differ = " + ".join(f"bit_count(sketch[{i}] ^ sketch_1[{i}])" for i in range(words_))
+    fits = F.expr(f"""root != root_1 and (root = main or t > t_1) and least(shared, shared_1) >= {share} * (size + size_1)
+        and {differ} <= {most_bits} and array_position(zip_with(bands, bands_1, (x, y) -> x = y), true) = band + 1""")
     pairs = minor.join(rows, "h").filter(fits).select(F.col("t_1").alias("a"), F.col("t").alias("b")).distinct()
     pairs = pairs.join(star, ["a", "b"], "left_anti")
     return pairs.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
