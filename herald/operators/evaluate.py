@@ -175,3 +175,20 @@ def expand_gold(records: DataFrame) -> DataFrame:
     """One row for each gold claim of accepted records (record_id, state, gold_claims, gold_claim): the list, else the one."""
     r = records.filter("state = 'accepted'")
     return r.select("record_id", F.posexplode(F.coalesce("gold_claims", F.array("gold_claim"))).alias("ix", "claim"))
+
+
+def candidate_claims(obligations: DataFrame) -> DataFrame:
+    """Claims to try against each obligation (obligation_id, deadline, amount, audience, location, document): one exact, and one for each field made wrong."""
+    c = F.col
+    later = F.date_format(F.date_add(c("deadline").cast("date"), 4), "yyyy-MM-dd")
+    base = {"deadline": c("deadline"), "amount": c("amount").cast("bigint"), "audience": c("audience"), "location": c("location"), "document": c("document")}
+    wrong = {"deadline": later, "amount": base["amount"] + 500_000, "audience": F.lit("another audience"), "location": F.lit("another place"), "document": F.lit("another document")}
+    kinds = [F.struct(F.lit("exact").alias("mutation"), *[v.alias(k) for k, v in base.items()])]
+    kinds += [F.when(base[f].isNotNull(), F.struct(F.lit(f).alias("mutation"), *[(wrong[k] if k == f else v).alias(k) for k, v in base.items()])) for f in base]
+    return obligations.select("obligation_id", F.explode(F.array_compact(F.array(*kinds))).alias("m")).select("obligation_id", "m.*", F.lit("CANDIDATE").alias("status"))
+
+
+def field_accuracy(rows: DataFrame) -> DataFrame:
+    """(field, n, right, accuracy) of rows (field, expected, state)."""
+    out = rows.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("expected").eqNullSafe(F.col("state"))).alias("right"))
+    return out.withColumn("accuracy", ratio(F.col("right"), F.col("n")))

@@ -223,3 +223,24 @@ def number_spans(quotes: DataFrame) -> DataFrame:
     q = q.select("doc_id", "quote", "start_char", (F.col("start_char") + F.length("quote")).alias("end_char")).distinct()
     w = Window.partitionBy("doc_id").orderBy("start_char", "end_char")
     return q.withColumn("evidence_id", F.concat(F.lit("e"), F.row_number().over(w).cast("string")))
+
+
+def draft_obligations(drafts: DataFrame) -> DataFrame:
+    """Drafts (draft_id, notice_id, version_id, raw_text, action_type, action_quote, deadline_quote, amount_quote, location_quote) as obligations.
+
+    Each quote is grounded in the text and read again from there; an
+    obligation without a grounded action is dropped, and a field that is not
+    grounded is null. ``obligation_id`` counts the obligations of a version.
+    """
+    quotes = ["deadline_quote", "amount_quote", "location_quote"]
+    long = drafts.select("draft_id", "raw_text", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("quote")) for i, c in enumerate(quotes)])).alias("q"))
+    long = long.filter("q.quote is not null").select((F.col("draft_id") * 4 + F.col("q.field")).alias("quote_id"), F.col("q.quote").alias("quote"), "raw_text")
+    found = ground(long).select(F.floor(F.col("quote_id") / 4).alias("draft_id"), F.concat(F.lit("f"), (F.col("quote_id") % 4).cast("string")).alias("f"), "grounded")
+    wide = found.groupBy("draft_id").pivot("f", ["f0", "f1", "f2"]).agg(F.first("grounded"))
+    j = drafts.withColumn("action_text", ground_action(F.col("raw_text"), F.col("action_type"), F.col("action_quote"))).filter("action_text is not null").join(wide, "draft_id", "left")
+    at = F.position("action_text", "raw_text")
+    w = Window.partitionBy("notice_id", "version_id").orderBy("at", "draft_id")
+    read = parse_deadline(F.coalesce("f0", F.lit("")))
+    return j.withColumn("at", at).select(
+        "notice_id", "version_id", F.concat(F.lit("o"), F.row_number().over(w).cast("string")).alias("obligation_id"), "draft_id", "action_type", "action_text", (F.col("at") - 1).alias("start_char"),
+        F.col("f0").alias("deadline_text"), read["normalized"].alias("deadline"), read["precision"].alias("precision"), parse_vnd(F.coalesce("f1", F.lit(""))).alias("amount"), F.col("f2").alias("location"))

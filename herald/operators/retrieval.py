@@ -195,3 +195,9 @@ def lexical_rank(notices: DataFrame, queries: DataFrame, limit: int = 10, least:
     rows = p.select("query_id", "notice_id", "title", score.alias("score"), reasons.alias("reasons")).filter(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "title", "notice_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("title")
+
+
+def search_index(notices: DataFrame, sources: DataFrame, newest: DataFrame, activity: DataFrame) -> DataFrame:
+    """Notices with their source's name as category, the newest text, and their recent activity if there is any."""
+    rows = notices.join(sources.select("source_id", F.col("name").alias("category")), "source_id").join(newest.select("notice_id", F.col("raw_text").alias("text")), "notice_id", "left")
+    return rows.join(activity.select("notice_id", F.col("outcome").alias("recent")), "notice_id", "left")

@@ -119,6 +119,10 @@ SELECT verdict, coalesce(n, 0)::BIGINT AS n FROM d LEFT JOIN k USING (verdict)""
     "segment_claims": _TEXT + """
 SELECT id AS message_id, 0::BIGINT AS claim_ix, 0::BIGINT AS start_char, length(a)::BIGINT AS end_char, a AS text FROM t
 UNION ALL SELECT id, 1, length(a) + 2, length(a) + 2 + length(b), b FROM t""",
+    "segment_conversations": r"""
+WITH m AS (SELECT conv_id || ':' || turn AS message_id, text, CASE WHEN contains(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) THEN [text] ELSE regexp_split_to_array(text, '\.\s+|[!?]+') END AS parts FROM conversations),
+c AS (SELECT message_id, unnest(list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS c FROM m)
+SELECT message_id, count(*) AS claims, sum(length(c))::BIGINT AS chars FROM c GROUP BY 1""",
     "claim_fields": _TEXT + """
 SELECT id AS message_id, CASE WHEN way = 4 THEN 'check' ELSE kind END AS action,
   CASE WHEN way = 4 THEN 'Kiểm tra' WHEN kind = 'register' THEN 'đăng ký' WHEN kind = 'submit' THEN 'nộp' ELSE 'Đóng' END AS verb,

@@ -1,7 +1,7 @@
 """All registered queries over the driver's tables, and their SQL."""
 
-from herald.plans import feeds, messages, notices, quality, search
+from herald.plans import feeds, messages, more, notices, quality, search
 
-_MODULES = (messages, notices, search, feeds, quality)
+_MODULES = (messages, notices, search, feeds, quality, more)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

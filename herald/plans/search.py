@@ -72,7 +72,7 @@ def vector_check(spark, sf_dir):
 
 def lexical_rank(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("notice_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.concat_ws(" ", "p_brand", "p_name").alias("text"))
-    q = table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct().select(F.crc32("text").alias("query_id"), "text")
+    q = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
     return R.lexical_rank(n, q, 10).select("query_id", "notice_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -121,5 +121,12 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
     "rank_fusion": _DENSE + _FUSE.format(lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE rank <= 10"),
     "rank_fusion_current": _DENSE + _FUSE.format(lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE rank <= 50 AND vec_id % 3 <> 0 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE rank <= 50 AND vec_id % 3 <> 0"),
     "collapse_identity": _DENSE + ", c AS (SELECT query_id, label, min(rank) AS first_rank FROM d WHERE rank <= 20 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS rank FROM c",
+    "lexical_rank": r"""
+WITH n AS (SELECT p_partkey AS notice_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS category, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')) AS body FROM part),
+q AS (SELECT min(p_partkey) AS query_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS q FROM part GROUP BY p_name),
+h AS (SELECT *, list_distinct(string_split(q, ' ')) AS qt FROM n, q),
+s AS (SELECT query_id, notice_id, title, (CASE WHEN contains(title, q) THEN 100 ELSE 0 END + CASE WHEN len(list_intersect(qt, string_split(title, ' '))) = len(qt) THEN 50 ELSE 0 END
+  + 15 * len(list_intersect(qt, string_split(category, ' '))) + 20 * len(list_intersect(qt, string_split(title, ' '))) + CASE WHEN contains(body, q) THEN 30 ELSE 5 * len(list_intersect(qt, string_split(body, ' '))) END)::BIGINT AS score FROM h)
+SELECT query_id, notice_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, notice_id) AS rank FROM s WHERE score >= 40 QUALIFY rank <= 10""",
     "vector_check": "SELECT count(*) AS vectors, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_size, 0::BIGINT AS not_finite, count(*) FILTER (WHERE vec_id % 10 = 3) AS orphans FROM embeddings",
 }
