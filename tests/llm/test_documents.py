@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tests_llm_helpers import fill
+
 from herald.llm import chat, fingerprint, license_scan, line_dedup, line_quality, mixing, quality
 
 DOCS = "/root/testdata/sf0.001"
@@ -42,22 +44,6 @@ def test_chat_edges(spark):
 
 
 # --- mixing ---
-def fill(sizes, weights, total, most):
-    target, open_ = {}, set(sizes)
-    left = total
-    while open_:
-        w = sum(weights[s] for s in open_)
-        over = {s for s in open_ if left * weights[s] / w > most * sizes[s] + 1e-9}
-        if not over:
-            target |= {s: left * weights[s] / w for s in open_}
-            break
-        for s in over:
-            target[s] = most * sizes[s]
-            left -= target[s]
-        open_ -= over
-    return target
-
-
 def test_mix_meets_targets(spark):
     random.seed(4)
     rows = [(i, " ".join(["w"] * random.randint(0, 40)) if i % 17 else None, random.choice(["a", "b", "B", "c", None, "hot", "hot", "hot", "hot"]), "x") for i in range(400)]

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from herald.llm import near_dedup as N
+from tests_llm_helpers import classes_of
 
 random.seed(5)
 VOCAB = [f"w{i}" for i in range(4000)]
@@ -16,29 +17,6 @@ def edited(t, share):
     return " ".join(random.choice(VOCAB) if random.random() < share else w for w in t.split())
 
 
-def sets(t, k=5):
-    w = t.split()
-    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-
-
-def brute(rows):
-    """Classes by all pairs; equal texts are linked, so are texts of Jaccard 0.8 or more."""
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    s = {i: sets(t or "") for i, t in rows}
-    for i, a in rows:
-        for j, b in rows:
-            if i < j and ((a or "") == (b or "") or (s[i] and s[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]))):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return {i: find(i) for i, _ in rows}
-
-
 def _corpus():
     rows, base = [], [text(random.randint(3, 300)) for _ in range(40)]
     hub = text(200)
@@ -52,7 +30,7 @@ def test_classes_equal_brute_force(spark):
     rows = _corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()}
-    want = brute(rows)
+    want = classes_of(rows)
     assert len(got) == len(rows)
     # a pair at the very threshold may be missed, but no more than that
     assert sum(got[i] != want[i] for i in got) <= 1
