@@ -40,6 +40,8 @@ TEMPLATES = [
 ]
 #: Names of licence files, in any case.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+#: Words of any prose, which are anchors only where nothing else will do.
+COMMON = {"a", "all", "and", "any", "are", "by", "in", "is", "of", "or", "that", "the", "this", "to", "under", "with", "without"}
 #: Terms are runs of these, lower case.
 _TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -62,10 +64,10 @@ def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list
 
 
 def anchors(rows: list[tuple], threshold: float) -> list[str]:
-    """Terms of which any matching line has one: each template's heaviest, until the rest is below the threshold."""
+    """Terms of which any matching line has one: of each template the heaviest uncommon ones, until the rest is below the threshold."""
     out = set()
     for i in {r[0] for r in rows}:
-        own = sorted((r for r in rows if r[0] == i), key=lambda r: (-r[4], r[2]))
+        own = sorted((r for r in rows if r[0] == i), key=lambda r: (r[2] in COMMON, -r[4], -len(r[2]), r[2]))
         left = 1.0
         for r in own:
             if left < threshold**2 - 1e-9:
