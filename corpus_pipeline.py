@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from herald.llm import line_dedup, mixing, near_dedup, pieces, quality
-from herald.llm._common import read, scratch_dir, tokenizer_file
+from herald.llm._common import read, scratch_dir, temporary, tokenizer_file
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{scratch_dir(spark)}/herald-{spark.sparkContext.applicationId}-stage{i}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,27 +32,48 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+_open: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage, fixes anything that depends on how rows were dealt
-    to partitions, and survives the loss of executors.
+    to partitions, and survives the loss of executors. Within
+    :func:`temporary` the table goes when the block ends; else it stays until
+    :func:`drop_scratch`, as what is returned may still read it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/herald-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables from the shared folder."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/herald-{spark.sparkContext.applicationId}-*")
-    fs = pattern.getFileSystem(conf)
-    for status in fs.globStatus(pattern) or []:
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are materialized inside; for work whose result is written inside."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, pattern: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path) or []:
         fs.delete(status.getPath(), True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all of this application's intermediate tables from the shared folder."""
+    _delete(spark, f"{scratch_dir(spark)}/herald-{spark.sparkContext.applicationId}-*")
+
+
 def text_of(col: str | Column) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

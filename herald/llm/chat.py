@@ -30,7 +30,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), text_of("text").alias("text"))
     keyed = turns.withColumns({"digest": F.xxhash64("role", "text"), "one": F.lit(1).cast("long"), "chars": F.length("text").cast("long")})
-    order = [F.col("turn"), F.col("role"), F.col("digest"), F.col("text")]
+    order = [F.col("turn"), F.col("role"), F.col("digest")]  # no texts: range bounds are sampled to the driver
     placed = prefix_sums(keyed, ["conv_id"], order, {"one": "earlier"}).withColumn("position", F.col("earlier") + 1)
     for i in range(LANES):
         placed = placed.withColumn(f"v{i}", F.shiftrightunsigned(F.xxhash64(F.lit(i), "position", "role", "text"), 64 - LANE_BITS))
@@ -54,7 +54,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """Rendered turns of the maximal conversations: conv_id, n_turns, position, rendered.
 
     The conversation's text is its ``rendered`` values by position. Turns are
-    ordered by turn, ties by role and text; a repeated turn counts as often as
+    ordered by turn, ties by role and a hash of the text; a repeated turn counts as often as
     it occurs. A null role or text is rendered as empty; rows of a null
     conv_id form one conversation. An empty table gives an empty result. Other
     columns are not read.
