@@ -4,26 +4,27 @@ A document is its set of five-word shingles; two texts are linked when the
 Jaccard similarity of these sets is 0.8 or more. A class is a connected
 component of links, copies included.
 
-ProbMinHash (Ertl, 2019) draws, for each shingle of weight ``1 + ln(count)``,
-a Poisson process of that rate; register ``k`` keeps the shingle of the first
-arrival that falls on it. Two signatures agree at a register with the
-probability-Jaccard similarity of the documents. A shingle is left as soon as
-its next arrival comes after the latest first arrival of all registers.
+ProbMinHash (Ertl, 2019) draws, for each shingle, a Poisson process of its
+weight as rate; register ``k`` keeps the shingle of the first arrival that
+falls on it. Two signatures agree at a register with the probability-Jaccard
+similarity of the documents. All weights are one here, as what is verified are
+sets: for these it is the Jaccard similarity, however often a shingle is
+repeated. A shingle is left as soon as its next arrival comes after the latest
+first arrival of all registers.
 
 Bands of registers give candidate buckets. In each bucket all members are
 checked against one centre, the member that shares most buckets; what is then
 linked forms classes. Members of different classes that still share a bucket
-are checked in pairs, but for those whose sizes and numbers of shingles found
-nowhere else rule out the similarity, and those whose signatures agree at so
-few registers that it is out of reach (3.5 standard errors below the
-similarity: a pair at the very threshold is lost once in 4000 cases, as often
-as it shares no band). So no pair of a bucket is left open, and the members of
-one class are not paired with each other.
+are checked in pairs, but for those that exact bounds rule out: their sizes,
+their numbers of shingles found nowhere else, and their distances from the
+bucket's centre (Jaccard distance is a metric, so two texts within 0.2 of each
+other differ by no more than that in their distance from a third). So no pair
+of a bucket is left open, and the members of one class are not paired with
+each other.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,8 +72,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
         values, lengths = lists(batch.column("words"))
         at = np.concatenate([[0], np.cumsum(lengths)])
         for i, j in blocks(batch, lengths):
-            doc, h, count = distinct(*shingles(values[at[i]: at[j]], lengths[i:j], k))
-            sig = signatures(doc, h, 1.0 + np.log(count), j - i, m)
+            doc, h, _ = distinct(*shingles(values[at[i]: at[j]], lengths[i:j], k))
+            sig = signatures(doc, h, np.ones(len(h)), j - i, m)
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (j - i, bands)).copy()
             for r in range(rows):
                 key = mix(key * _STEP + sig[:, r::rows][:, :bands])
@@ -80,17 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> I
             off = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             part = batch.slice(i, j - i)
             out = pa.ListArray.from_arrays(off, pa.array(key[has].ravel().view(np.int64)))
-            packed = pack(sig)
-            flat = pa.ListArray.from_arrays(np.arange(0, packed.size + 1, packed.shape[1]).astype(np.int32), pa.array(packed.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), out, flat], names=["doc_id", "t", "bands", "sketch"])
-
-
-def pack(sig: np.ndarray) -> np.ndarray:
-    """Four hashed bits of each register, sixteen registers to a 64-bit value."""
-    n, m = sig.shape
-    bits = np.zeros((n, -(-m // 16) * 16), np.uint64)
-    bits[:, :m] = mix(sig + _STEP) & np.uint64(15)
-    return (bits.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), out], names=["doc_id", "t", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -114,11 +105,10 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("t").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("t").alias("b"), F.col("shingles").alias("y"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a binary, b binary, similarity double")
-    return found.filter(F.col("similarity") >= similarity).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a binary, b binary, similarity double")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 7) -> DataFrame:
@@ -138,14 +128,14 @@ def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int =
     """Rows (doc_id, t, root, class_id); t is the digest of the text, root that of one text of the class."""
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     hashed = rows_in.select("doc_id", F.unhex(F.md5("text")).alias("t"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    signed = materialize(hashed.mapInArrow(lambda it: _sign(it, k, bands, rows), "doc_id long, t binary, bands array<long>, sketch array<long>"))
+    signed = materialize(hashed.mapInArrow(lambda it: _sign(it, k, bands, rows), "doc_id long, t binary, bands array<long>"))
     texts = signed.groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands"))
     member = texts.select("t", F.posexplode("bands").alias("band", "h"))
     bucket = materialize(member.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
     member = materialize(member.join(bucket, "h"))
 
     weight = member.groupBy("t").agg(F.sum("n").alias("w"))
-    centre = member.join(weight, "t").groupBy("h").agg(F.max(F.struct("w", "t")).alias("c")).select("h", F.col("c.t").alias("a"))
+    centre = materialize(member.join(weight, "t").groupBy("h").agg(F.max(F.struct("w", "t")).alias("c")).select("h", F.col("c.t").alias("a")))
     star = materialize(member.join(centre, "h").filter("a != t").select("a", F.col("t").alias("b")).distinct())
     ends = member.select("t").distinct()
     once = rows_in.select("text", F.unhex(F.md5("text")).alias("t"), "doc_id").join(
@@ -153,10 +143,11 @@ def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int =
         F.expr("t = u and doc_id <=> least"), "left_semi")
     once = once.select("t", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["t"])
     sets = materialize(once.mapInArrow(lambda it: _sets(it, k), "t binary, shingles array<long>"))
-    linked = materialize(_verified(star, sets, similarity))
+    spoke = materialize(_compared(star, sets))
+    linked = spoke.filter(F.col("similarity") >= similarity).select("a", "b")
     roots = components(linked)
-    rest = _open_pairs(member, signed, roots, sets, star, similarity, bands * rows)
-    more = materialize(_verified(rest, sets, similarity))
+    rest = _open_pairs(member, centre, texts, roots, sets, spoke, similarity)
+    more = materialize(_compared(rest, sets).filter(F.col("similarity") >= similarity).select("a", "b"))
     if not more.isEmpty():
         roots = components(linked.unionByName(more))
 
@@ -166,7 +157,7 @@ def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int =
     return signed.select("doc_id", "t").join(label, "t")
 
 
-def _open_pairs(member: DataFrame, signed: DataFrame, roots: DataFrame, sets: DataFrame, star: DataFrame, similarity: float, registers: int) -> DataFrame:
+def _open_pairs(member: DataFrame, centre: DataFrame, texts: DataFrame, roots: DataFrame, sets: DataFrame, spoke: DataFrame, similarity: float) -> DataFrame:
     """Pairs that share a bucket, lie in different classes, were not checked, and could be similar."""
     placed = member.filter("n > 2").join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", "band", "h", F.coalesce("root", "t").alias("root"))
     by = placed.groupBy("h", "root").agg(F.count("*").alias("c"))
@@ -178,17 +169,17 @@ def _open_pairs(member: DataFrame, signed: DataFrame, roots: DataFrame, sets: Da
     alone = seen.filter("c = 1").groupBy("t").agg(F.count("*").alias("alone"))
     size = own.select("t", F.size("shingles").alias("size")).join(alone, "t", "left").select("t", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
     size = size.filter(F.col("shared") >= similarity * F.col("size"))
-    info = size.join(signed.select("t", "bands", "sketch").join(size.select("t"), "t", "left_semi").groupBy("t").agg(F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "t")
-    rows = materialize(placed.join(info, "t"))
+    info = size.join(texts.select("t", "bands"), "t")
+    # of each place in a bucket: the distance from the bucket's centre
+    far = placed.select("h", "t").join(centre, "h").join(spoke.select("a", F.col("b").alias("t"), "similarity"), ["a", "t"], "left")
+    far = far.select("h", "t", F.when(F.col("a") == F.col("t"), 0.0).otherwise(1 - F.col("similarity")).alias("far"))
+    rows = materialize(placed.join(info, "t").join(far, ["h", "t"]))
     share = similarity / (1 + similarity) - 1e-9
-    error = math.sqrt(similarity * (1 - similarity) / registers + (1 - similarity) / (4 * registers))
-    most_bits = 4 * registers * (1 - similarity + 3.5 * error) / 2
-    words_ = -(-registers // 16)
-    minor = rows.filter("root != main").select("h", *[F.col(c).alias(f"{c}_1") for c in ("t", "root", "size", "shared", "bands", "sketch")])
-    differ = " + ".join(f"bit_count(sketch[{i}] ^ sketch_1[{i}])" for i in range(words_))
+    minor = rows.filter("root != main").select("h", *[F.col(c).alias(f"{c}_1") for c in ("t", "root", "size", "shared", "bands", "far")])
     fits = F.expr(f"""root != root_1 and (root = main or t > t_1) and least(shared, shared_1) >= {share} * (size + size_1)
-        and {differ} <= {most_bits} and array_position(zip_with(bands, bands_1, (x, y) -> x = y), true) = band + 1""")
+        and abs(far - far_1) <= {1 - similarity + 1e-9} and array_position(zip_with(bands, bands_1, (x, y) -> x = y), true) = band + 1""")
     pairs = minor.join(rows, "h").filter(fits).select(F.col("t_1").alias("a"), F.col("t").alias("b")).distinct()
+    star = spoke.select("a", "b")
     pairs = pairs.join(star, ["a", "b"], "left_anti")
     return pairs.join(star.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
 

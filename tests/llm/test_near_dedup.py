@@ -72,3 +72,14 @@ def test_components(spark):
     got = {r.node: r.root for r in components(e).collect()}
     assert got == {**{i: 0 for i in range(1, 21)}, 60: 50}
     assert components(e.filter(F.lit(False))).count() == 0
+
+
+def test_repeated_shingles_do_not_hide_equal_sets(spark):
+    rows = []
+    for p in range(60):
+        turn, rest = [f"p{p}t{i}" for i in range(30)], [f"p{p}r{i}" for i in range(70)]
+        # the same hundred shingles, thirty of them once in the first text and twenty times in the second
+        rows += [(2 * p, " ".join(turn + turn[:4] + rest)), (2 * p + 1, " ".join(turn * 20 + turn[:4] + rest))]
+    assert all(classes_of(rows[2 * p: 2 * p + 2]) == {2 * p: 2 * p, 2 * p + 1: 2 * p} for p in range(60))
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
