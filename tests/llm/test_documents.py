@@ -223,3 +223,16 @@ def test_pipeline_stages_keep_columns(spark):
             assert 0.5 * n < out.count() <= (2 * n if i == 3 else n)
             docs = out
     assert out.count() == docs.count() and "ids" in out.columns
+
+
+def test_wrapped_headers_and_full_texts(spark):
+    full = dict(license_scan.full_texts())
+    gnu = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    bsd = full["BSD-3-Clause"].split("\n")[:2]
+    gnu += ["This program is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", "GNU General Public License for more details."]
+    files = {
+        "a/b/head.c": ("import x\n" + "\n".join(f" * {x}" for x in gnu) + "\nint main", "GPL-3.0"), "a/bsd.c": ("start\n" + "\n".join(bsd) + "\nend", "BSD-3-Clause"), "a/spdx.c": ("// SPDX-License-Identifier: MIT\nint main", "MIT"),
+        "m/x": ("MIT License", "MIT"), "n/x": ("Licensed under the MIT license", "MIT"), "o/x": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0"), "p/x": ("the cat sat under the tree with the dog", None),
+        "q/LICENSE": ("Copyright (c) 2020 A B\n\n" + full["MIT"], "MIT"), "r/s/COPYING": (full["GPL-2.0"], "GPL-2.0"), "r/s/t/u/v.c": ("int", "GPL-2.0")}
+    df = spark.createDataFrame([(p, p, t) for p, (t, _) in files.items()], "file_id string, path string, text string")
+    assert {r.file_id: r.licence for r in license_scan.scan(df).collect()} == {p: w for p, (_, w) in files.items()}
