@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,13 +23,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one if unset."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    A session of local threads, as in tests, gets a folder of its own if that
+    is unset; on a cluster executors would write to disks of their own, so
+    there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(scratch_dir, "own", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        scratch_dir.own = base
-        base = f"file://{base}"
-    return base
+    if base:
+        return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    scratch_dir.own = getattr(scratch_dir, "own", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"file://{scratch_dir.own}"
 
 
 _open: list[list[str]] = []
@@ -100,6 +106,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def tokenizer_file(name: str) -> str:
-    """Path of a public vocabulary file; ``HERALD_TOKENIZERS`` names the folder."""
-    folder = os.environ.get("HERALD_TOKENIZERS", "/opt/tokenizers")
-    return os.path.join(folder, name)
+    """Path of a public vocabulary file, as the package of these files gives it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -36,14 +36,14 @@ def lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, np.diff(off)
 
 
-def blocks(batch: pa.RecordBatch, lengths: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` list values."""
+def blocks(lengths: np.ndarray, row: int = 0, most: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` list values, where a row counts as ``row`` values besides its own."""
     start, held = 0, 0
     for i, n in enumerate(lengths):
-        if held and held + n > most:
+        if held and held + n + row > most:
             yield start, i
             start, held = i, 0
-        held += int(n)
+        held += int(n) + row
     if start < len(lengths):
         yield start, len(lengths)
 
@@ -78,18 +78,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each
     is a minimum by key and a join. Edges of each round are written to the
-    shared folder. Loops, repeated edges and an empty table are allowed.
+    shared folder; it ends when each component is a star. Loops, repeated edges and an empty table are allowed.
     """
     e = edges.filter("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         e = materialize(joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-        if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each component of the edges a > b is a star round its least node: no node has two lower ones, or one and a higher one."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1 and up > 0").isEmpty()

@@ -86,34 +86,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def within_radius(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
+def within_radius(prints: DataFrame, radius: int = 3, hot: int = 64) -> DataFrame:
     """Links (a, b, distance) between different fingerprints within ``radius`` bits, and none else.
 
-    Permuted block tables: the bits are cut into ``blocks`` (radius + 3 by
-    default) pieces, and a table for each choice of ``blocks - radius`` pieces
-    is keyed by them: fingerprints that differ in at most ``radius`` bits agree
-    on at least that many pieces, and so meet in some table. Documents of one
-    fingerprint are one row: ``prints`` gives (doc_id, fingerprint), and a and
-    b are fingerprints, a < b. Null fingerprints are left out.
+    Permuted block tables: the hex digits are cut into ``radius + 1`` blocks,
+    with a table keyed by each: fingerprints that differ in at most ``radius``
+    bits agree in some block. Where more than ``hot`` fingerprints share a
+    block, their other digits are cut into ``2 * radius`` parts and keyed by
+    each choice of ``radius`` of these, of which two such fingerprints agree in
+    one too; so only fingerprints that agree in most digits meet. Documents of
+    one fingerprint are one row: a and b are fingerprints, a < b. Rows of
+    ``prints`` (fingerprint, others) without one are left out; an empty table
+    has no links.
     """
-    blocks = blocks or radius + 3
+    digits = BITS // 4
+    edge = [round(i * digits / (radius + 1)) for i in range(radius + 2)]
     one = prints.select("fingerprint").filter("fingerprint is not null").distinct()
-    edge = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    bits = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", i + 1, 8), 16, 2), 32, "0") for i in range(0, BITS // 4, 8)])
-    pieces = [F.substring(F.col("bits"), edge[i] + 1, edge[i + 1] - edge[i]) for i in range(blocks)]
-    keys = F.array(*[F.xxhash64(F.lit(n), *[pieces[i] for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), blocks - radius))])
-    table = materialize(one.withColumn("bits", bits).select("fingerprint", F.explode(keys).alias("key")))
-    far = _distance(F.col("a"), F.col("b"))
-    pairs = table.select("key", F.col("fingerprint").alias("a")).join(table.select("key", F.col("fingerprint").alias("b")), "key").filter("a < b")
-    return pairs.withColumn("distance", far).filter(F.col("distance") <= radius).select("a", "b", "distance").distinct()
-
-
-def _distance(a: Column, b: Column) -> Column:
-    halves = [F.bit_count(F.conv(F.substring(a, i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, i + 1, 8), 16, 10).cast("long"))) for i in range(0, BITS // 4, 8)]
-    total = halves[0]
-    for h in halves[1:]:
-        total = total + h
-    return total
+    block = [F.substring("fingerprint", i + 1, j - i) for i, j in zip(edge, edge[1:])]
+    table = one.select("fingerprint", F.posexplode(F.array(*[F.xxhash64(F.lit(n), b) for n, b in enumerate(block)])).alias("block", "key"))
+    shared = table.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    table = materialize(table.join(shared, "key"))
+    fine = table.filter(F.col("n") > hot).withColumn("part", F.explode(_fine_keys(edge, digits, radius)))
+    fine = fine.select("fingerprint", F.xxhash64("key", "part").alias("key"))
+    again = materialize(fine.join(fine.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi"))
+    return _met(table.filter(F.col("n") <= hot), radius).unionByName(_met(again, radius)).distinct()
+
+
+def _fine_keys(edge: list[int], digits: int, radius: int) -> Column:
+    """For the block a row met in: a key for each choice of ``radius`` parts of its other digits."""
+    by_block = []
+    for i, j in zip(edge, edge[1:]):
+        left = F.concat(F.substring("fingerprint", 1, i), F.substring("fingerprint", j + 1, digits - j))
+        cut = [round(k * (digits - j + i) / (2 * radius)) for k in range(2 * radius + 1)]
+        parts = [F.substring(left, x + 1, y - x) for x, y in zip(cut, cut[1:])]
+        by_block.append(F.array(*[F.xxhash64(F.lit(n), *[parts[k] for k in chosen]) for n, chosen in enumerate(combinations(range(2 * radius), radius))]))
+    out = by_block[-1]
+    for n, keys in reversed(list(enumerate(by_block[:-1]))):
+        out = F.when(F.col("block") == n, keys).otherwise(out)
+    return out
+
+
+def _met(table: DataFrame, radius: int) -> DataFrame:
+    """Pairs of rows (key, fingerprint) of one key that lie within the radius."""
+    lanes = F.array(*[F.conv(F.substring("fingerprint", i + 1, 8), 16, 10).cast("long") for i in range(0, BITS // 4, 8)])
+    rows = table.select("key", "fingerprint", lanes.alias("lanes"))
+    a, b = (rows.select("key", F.col("fingerprint").alias(x), F.col("lanes").alias(f"{x}_lanes")) for x in "ab")
+    distance = F.expr("aggregate(zip_with(a_lanes, b_lanes, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance"))
 
 
 _OUT = "kind int, part int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string"
@@ -182,6 +201,17 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
     return found.filter("kind = 0").select(*columns).unionByName(ends.mapInArrow(finish, _OUT).select(*columns))
 
 
+def with_neighbours(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """``prints`` (fingerprint, others) with ``n_close``: the number of other fingerprints in the table within ``radius`` bits.
+
+    Fingerprints count once, however many rows have them; null ones have null.
+    """
+    links = materialize(within_radius(prints, radius))
+    count = links.select(F.col("a").alias("__f")).unionByName(links.select(F.col("b").alias("__f"))).groupBy("__f").agg(F.count("*").alias("__n"))
+    joined = prints.join(count, F.col("fingerprint") == F.col("__f"), "left")
+    return joined.select(*[prints[c] for c in prints.columns], F.when(F.col("fingerprint").isNotNull(), F.coalesce("__n", F.lit(0)).cast("long")).alias("n_close"))
+
+
 def _batch(rows: list[list]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
     cols = list(zip(*rows)) if rows else [[]] * len(kinds)

@@ -1,13 +1,17 @@
 """Line dedup: lines spread over many sites are boilerplate, by HyperLogLog sketches of the sites of each line.
 
-A line is a ``\\n``-separated piece of a text, trimmed. Its spread is the
-number of distinct sites that have it. Sketches of sites per line hash merge
-in the aggregation; where the estimate lies near the threshold, an exact
-distinct count decides. Lines below so few occurrences that they cannot reach
-the threshold get no sketch.
-
-A document that consists mostly of such lines is most likely a copy of
-another, which document dedup has to treat: it keeps its lines.
+A line is a ``\\n``-separated piece of a text, trimmed of spaces. Its spread is
+the number of distinct sites that have it. Sketches of sites per line hash
+merge in one aggregation, which leaves a task one row for each line it has
+seen, however common; where the estimate lies near the threshold, an exact
+distinct count decides. Lines of few words are found on many sites by chance,
+so they need more of them.
+
+A copy on many sites consists of spread lines without being boilerplate, and
+document dedup has to treat it. A document keeps its lines if they hold more
+than half of its words and it is shown to be a copy: another row has the same
+text, or at least half of its pairs of successive spread lines are found,
+adjacent in that order, in another such text.
 """
 
 from __future__ import annotations
@@ -25,62 +29,82 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def spread_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, lg_k: int = 12) -> DataFrame:
-    """Keys (k1, k2) of the lines of at least ``min_words`` words on at least ``sites`` distinct sites.
+def _trimmed(text: Column) -> Column:
+    return F.transform(_lines(text), F.trim)
 
-    A null site is not counted. Blank and null texts have no lines.
+
+def spread_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, lg_k: int = 12) -> DataFrame:
+    """Keys (k1, k2) of the lines on at least ``sites`` distinct sites; of fewer than ``min_words`` words, ``short_sites``.
+
+    A null site is not counted. Blank and null texts have no lines, and an
+    empty table gives none.
     """
-    trimmed = docs.select(F.col(site).cast("string").alias("site"), F.explode(F.filter(F.transform(_lines(text_of("text")), F.trim), lambda x: x != F.lit(""))).alias("line"))
-    rows = trimmed.filter(F.col("site").isNotNull()).select(*text_key(F.col("line")), F.xxhash64("site").alias("site"), (F.regexp_count("line", F.lit(r"\s+")) >= min_words - 1).alias("long")).filter("long").drop("long")
-    rows = materialize(rows)
-    enough = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter(F.col("n") >= sites)
-    rows = rows.join(enough, ["k1", "k2"], "left_semi")
-    return _decide(rows, materialize(rows.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))), sites)
+    line = docs.select(F.col(site).cast("string").alias("site"), F.explode(_trimmed(text_of("text"))).alias("line")).filter("site is not null and line != ''")
+    need = F.when(F.regexp_count("line", F.lit(r"\s+")) >= min_words - 1, F.lit(sites)).otherwise(F.lit(short_sites)).alias("need")
+    rows = line.select(*text_key(F.col("line")), F.xxhash64("site").alias("site"), need)
+    sketched = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    return _decide(rows, materialize(sketched.filter("n >= need").select("k1", "k2", "need", F.hll_sketch_estimate("sketch").alias("estimate"))))
 
 
-def _decide(rows: DataFrame, sketched: DataFrame, sites: int) -> DataFrame:
-    sure = sketched.filter(F.col("estimate") > sites * (1 + NEAR)).select("k1", "k2")
-    open_ = sketched.filter(F.col("estimate").between(sites * (1 - NEAR) - 1, sites * (1 + NEAR))).select("k1", "k2")
-    exact = rows.join(open_, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("site").alias("s")).filter(F.col("s") >= sites)
-    return sure.unionByName(exact.select("k1", "k2"))
+def _decide(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    sure = sketched.filter(F.col("estimate") > F.col("need") * (1 + NEAR)).select("k1", "k2")
+    open_ = sketched.filter(F.col("estimate").between(F.col("need") * (1 - NEAR) - 1, F.col("need") * (1 + NEAR))).select("k1", "k2")
+    exact = rows.join(open_, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("site").alias("s"), F.max("need").alias("need"))
+    return sure.unionByName(exact.filter("s >= need").select("k1", "k2"))
 
 
-def mark_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, most: float = 0.5) -> DataFrame:
-    """For each distinct text with spread lines: its key (t1, t2), the positions ``drop`` of these from 0, and ``words`` in them.
+def mark_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, most: float = 0.5) -> DataFrame:
+    """For each distinct text with boilerplate lines: its key (t1, t2), the positions ``drop`` of these from 0, and ``words`` in them.
 
-    Texts of whose words these lines hold more than ``most`` are left out.
+    Texts that are shown to be copies are left out: of their words spread
+    lines hold more than ``most``, and they have a twin or share that order.
     """
-    spread = materialize(spread_lines(docs, site, sites, min_words))
+    spread = materialize(spread_lines(docs, site, sites, min_words, short_sites))
     texts = docs.select(text_of("text").alias("text"))
-    rows = texts.select(*[c.alias(a) for c, a in zip(text_key(F.col("text")), ("t1", "t2"))], n_words(F.col("text")).alias("all_words"), F.posexplode(F.transform(_lines(F.col("text")), F.trim)).alias("at", "line"))
+    rows = texts.select(*[c.alias(a) for c, a in zip(text_key(F.col("text")), ("t1", "t2"))], n_words(F.col("text")).alias("all_words"), F.posexplode(_trimmed(F.col("text"))).alias("at", "line"))
     rows = rows.filter("line != ''").select("t1", "t2", "all_words", "at", *text_key(F.col("line")), n_words(F.col("line")).alias("words"))
-    hit = rows.join(spread, ["k1", "k2"], "left_semi").groupBy("t1", "t2", "at").agg(F.max("words").alias("words"), F.max("all_words").alias("all_words"))
-    of = hit.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("at")).alias("drop"), F.sum("words").alias("words"), F.max("all_words").alias("all_words"))
-    return of.filter(F.col("words") <= most * F.col("all_words")).select("t1", "t2", "drop", "words")
+    hit = rows.join(spread, ["k1", "k2"], "left_semi").groupBy("t1", "t2", "at").agg(*[F.max(c).alias(c) for c in ("k1", "words", "all_words")], F.count("*").alias("twins"))
+    of = hit.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("at", "k1"))).alias("found"), F.sum("words").alias("words"), *[F.max(c).alias(c) for c in ("all_words", "twins")])
+    of = materialize(of)
+    return of.join(_copies(of.filter(F.col("words") > most * F.col("all_words"))), ["t1", "t2"], "left_anti").select("t1", "t2", F.col("found.at").alias("drop"), "words")
+
 
+def _copies(mostly: DataFrame) -> DataFrame:
+    """Keys of those texts that have a twin, or of whose pairs of successive spread lines half stand in others of these texts too."""
+    after = F.zip_with("found", F.slice("found", F.lit(2), F.size("found")), lambda a, b: F.struct(a["k1"].alias("first"), b["k1"].alias("then")))
+    pair = mostly.select("t1", "t2", F.explode(F.array_distinct(F.filter(after, lambda p: p["then"].isNotNull()))).alias("pair"))
+    shared = pair.groupBy("pair").agg((F.count("*") > 1).cast("long").alias("shared"))
+    known = pair.join(shared, "pair").groupBy("t1", "t2").agg(F.avg("shared").alias("share")).filter("share >= 0.5")
+    return mostly.filter("twins > 1").select("t1", "t2").unionByName(known.select("t1", "t2"))
 
-def dedup_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, most: float = 0.5) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` (doc_id, text, site, others) with boilerplate lines taken out of ``text``; ``n_chars`` follows if there is one.
 
-    All rows stay. Texts without such lines are untouched, null ones too;
-    what is left of others are their lines with the breaks between them.
-    Equal texts are treated alike, and repeated rows stay repeated.
+    ``options`` are those of :func:`mark_lines`. All rows stay. Texts without
+    such lines are untouched, null ones too; what is left of others are their
+    lines with the breaks between them. Equal texts are treated alike, and
+    repeated rows stay repeated. Columns of any other name are kept as they
+    are. An empty table gives an empty result.
     """
-    marked = mark_lines(docs, site, sites, min_words, most).withColumnsRenamed({"drop": "__drop", "words": "__words"})
+    marked = mark_lines(docs, **options).select(F.col("t1").alias("__k1"), F.col("t2").alias("__k2"), F.col("drop").alias("__drop"))
     t1, t2 = text_key(text_of(docs["text"]))
-    joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(marked, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
+    joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(marked, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left")
     left = F.array_join(F.filter(_lines(docs["text"]), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
     text = F.when(F.col("__drop").isNull(), docs["text"]).otherwise(left)
     out = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
 
 
-def report(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, most: float = 0.5) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, n_chars, text_md5) of :func:`dedup_lines`."""
-    before = docs.select("doc_id", site, F.col("text"), F.size(F.filter(F.transform(_lines(text_of("text")), F.trim), lambda x: x != F.lit(""))).cast("long").alias("n_lines"))
-    after = dedup_lines(before, site, sites, min_words, most)
-    kept = F.size(F.filter(F.transform(_lines(text_of("text")), F.trim), lambda x: x != F.lit(""))).cast("long")
-    return after.select("doc_id", "n_lines", (F.col("n_lines") - kept).alias("n_dropped"), F.length(text_of("text")).cast("long").alias("n_chars"), F.md5(text_of("text")).alias("text_md5"))
+def report(docs: DataFrame, site: str = "source", **options) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, n_chars, text_md5) of :func:`dedup_lines`, a row for each row of ``docs``.
+
+    Null texts count as empty; lines are those that are not blank. An empty
+    table gives an empty result.
+    """
+    count = F.size(F.filter(_trimmed(text_of("text")), lambda x: x != F.lit(""))).cast("long")
+    after = dedup_lines(docs.select("doc_id", site, "text", count.alias("n_lines")), site=site, **options)
+    return after.select("doc_id", "n_lines", (F.col("n_lines") - count).alias("n_dropped"), F.length(text_of("text")).cast("long").alias("n_chars"), F.md5(text_of("text")).alias("text_md5"))
 
 
 SQL = r"""
@@ -88,19 +112,28 @@ WITH x AS (SELECT doc_id, source, coalesce(text, '') AS text, string_split(coale
 l AS (SELECT doc_id, source, text, unnest(ls) AS raw, generate_subscripts(ls, 1) AS at FROM x),
 t AS (SELECT *, trim(raw, ' ') AS line FROM l),
 s AS (
-  SELECT line FROM t WHERE line != '' AND len(regexp_extract_all(line, '\s+')) >= 2
-  GROUP BY line HAVING count(DISTINCT source) >= 5),
+  SELECT line FROM t WHERE line != '' GROUP BY line
+  HAVING count(DISTINCT source) >= CASE WHEN len(regexp_extract_all(line, '\s+')) >= 2 THEN 5 ELSE 25 END),
 m AS (
-  SELECT t.doc_id, t.at, t.raw, t.line, s.line IS NOT NULL AS hit,
+  SELECT t.doc_id, t.text, t.at, t.raw, t.line, s.line IS NOT NULL AS hit,
          len(regexp_extract_all(t.line, '[^\x20\x09-\x0D]+')) AS words
   FROM t LEFT JOIN s ON t.line = s.line),
 d AS (
-  SELECT doc_id, sum(CASE WHEN hit THEN words ELSE 0 END) AS w, sum(words) AS all_words,
-         count(*) FILTER (WHERE line != '') AS n_lines, bool_or(hit) AS any_hit FROM m GROUP BY 1),
+  SELECT doc_id, any_value(text) AS text, sum(CASE WHEN hit THEN words ELSE 0 END) AS w, sum(words) AS all_words,
+         count(*) FILTER (WHERE line != '') AS n_lines FROM m GROUP BY 1),
+twin AS (SELECT text FROM documents GROUP BY text HAVING count(*) > 1),
+o AS (SELECT text, min(doc_id) AS doc_id FROM d WHERE w > 0.5 * all_words GROUP BY text),
+f AS (SELECT m.text, m.line, lead(m.line) OVER (PARTITION BY m.text ORDER BY m.at) AS following FROM m JOIN o USING (doc_id) WHERE m.hit),
+g AS (SELECT DISTINCT text, line, following FROM f WHERE following IS NOT NULL),
+h AS (SELECT line, following, count(*) > 1 AS shared FROM g GROUP BY 1, 2),
+c AS (
+  SELECT text FROM g JOIN h USING (line, following) GROUP BY text HAVING avg(CASE WHEN shared THEN 1 ELSE 0 END) >= 0.5
+  UNION SELECT text FROM o WHERE text IN (SELECT text FROM twin)),
+e AS (SELECT d.*, NOT (w > 0.5 * all_words AND text IN (SELECT text FROM c)) AS cut FROM d),
 k AS (
-  SELECT m.doc_id, string_agg(m.raw, chr(10) ORDER BY m.at) FILTER (WHERE NOT (m.hit AND d.w <= 0.5 * d.all_words)) AS text,
-         count(*) FILTER (WHERE m.line != '' AND m.hit AND d.w <= 0.5 * d.all_words) AS n_dropped
-  FROM m JOIN d USING (doc_id) GROUP BY 1)
+  SELECT m.doc_id, string_agg(m.raw, chr(10) ORDER BY m.at) FILTER (WHERE NOT (m.hit AND e.cut)) AS text,
+         count(*) FILTER (WHERE m.line != '' AND m.hit AND e.cut) AS n_dropped
+  FROM m JOIN e USING (doc_id) GROUP BY 1)
 SELECT d.doc_id, d.n_lines::BIGINT AS n_lines, k.n_dropped::BIGINT AS n_dropped,
        length(coalesce(k.text, ''))::BIGINT AS n_chars, md5(coalesce(k.text, '')) AS text_md5
 FROM d JOIN k USING (doc_id)

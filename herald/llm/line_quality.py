@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from herald.llm._common import WORD, text_of
+from herald.llm._common import WORD, materialize, text_of
 from herald.llm.quality import held_out
 
 _SYMBOLS = "#*$%&|<>"
 _find = re.compile(WORD).findall
 #: Statistics of a line, in order.
 NAMES = ("one", "symbols", "marks", "upper", "repeats", "variety", "short", "stops", "same line", "few words")
-#: Documents of each class that the field is fitted on, at most.
+#: Documents of each class that the field is fitted on, at most, and of their sequences of lines.
 SAMPLE = 1500
+#: Lines of a sequence; a text of more counts as several.
+SEQUENCE = 256
 
 
 def line_statistics(line: str, words: list[str], seen: bool) -> list[float]:
@@ -113,7 +115,9 @@ class Chain:
 def fit_chain(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 150, penalty: float = 1e-5) -> Chain:
     """Maximum conditional likelihood by Adam, of statistics and labels of the lines of each sequence.
 
-    Sequences are padded and run through forward and backward sums together.
+    Sequences are padded to the longest, at most ``SEQUENCE`` as
+    :func:`learn` makes them, and run through forward and backward sums
+    together.
     """
     d = len(NAMES)
     w, links = np.zeros(d), np.zeros((2, 2))
@@ -160,7 +164,14 @@ def fit_chain(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` documents of each class, those of least md5 of their id; held-out ids are not learnt from."""
+    """Fit on at most ``sample`` documents of each class, those of least md5 of their id; held-out ids are not learnt from.
+
+    A text of more than ``SEQUENCE`` lines makes several sequences, and of the
+    sequences of each class again ``sample`` are used, those of least md5, so
+    that what comes to the driver is bounded. Null ids, labels other than 0
+    and 1, and labels without a document are left out; without any, all lines
+    are content. Repeated ids are learnt from with each of their texts.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("d"), F.col(column).cast("int").alias("label")).filter(F.col("d").isNotNull() & ~held_out(F.col("d")) & F.col("label").isin(0, 1)).dropDuplicates(["d"])
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     order = F.md5(F.col("d").cast("string"))
@@ -173,11 +184,15 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
                 _, at, _, stats = measures(text)
                 lines = text.split("\n")
                 names = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in at], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([np.array(stats, np.float32).tobytes()], pa.binary()), pa.array([names.tobytes()], pa.binary())], names=["label", "x", "names"])
+                x = np.array(stats, np.float32)
+                for i in range(0, len(at), SEQUENCE):
+                    yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([x[i: i + SEQUENCE].tobytes()], pa.binary()), pa.array([names[i: i + SEQUENCE].tobytes()], pa.binary())], names=["label", "x", "names"])
 
-    # at most 2 * sample rows, of a few words each
+    # at most 2 * sample ids; what comes back is as many sequences of bounded length
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("d"))
-    rows = few.select("text", "label").mapInArrow(run, "label int, x binary, names binary").orderBy("label", F.md5("x")).collect()
+    sequences = materialize(few.select("text", "label").mapInArrow(run, "label int, x binary, names binary"))
+    order = [F.md5("x"), F.md5("names")]
+    rows = [r for y in (0, 1) for r in sequences.filter(F.col("label") == y).orderBy(*order).limit(sample).collect()]
     rows = [(np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(float), r["label"], np.frombuffer(r["names"], np.uint64)) for r in rows if r["x"]]
     good = np.unique(np.concatenate([n for _, y, n in rows if y] or [np.zeros(0, np.uint64)]))
     return fit_chain([x for x, _, _ in rows], [np.full(len(n), 1) if y else np.isin(n, good).astype(np.int64) for _, y, n in rows])
@@ -212,7 +227,11 @@ _ARROW = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """:func:`assess` with ``base_failed`` (under 50 words, or over half of them in repeated windows) and ``kept``."""
+    """:func:`assess` with ``base_failed`` (under 50 words, or over half of them in repeated windows) and ``kept``.
+
+    Nulls, repeated rows and extra columns are treated as there and in
+    :func:`learn`; an empty table gives an empty result.
+    """
     found = assess(docs, learn(docs, labels))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return found.withColumns({"base_failed": failed, "kept": ~failed & (F.col("content_share") >= least_share)})

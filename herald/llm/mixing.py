@@ -9,11 +9,13 @@ nearest to the rest of the budget: documents are taken whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herald.llm._common import n_words
+from herald.llm._common import materialize, n_words
 from herald.llm._scan import prefix_sums
 
 
@@ -27,23 +29,47 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     order of ``most * size / weight`` the sources below L are a prefix, so
     prefix sums find it.
     """
-    ranked = prefix_sums(sizes.withColumns({"one": F.lit(1).cast("long"), "last": F.isnull("source")}), [], [F.col("last"), F.col("source")], {"one": "rank"})
+    ranked = prefix_sums(materialize(sizes.withColumns({"one": F.lit(1).cast("long"), "last": F.isnull("source")})), [], [F.col("last"), F.col("source")], {"one": "rank"})
     table = F.array(*[F.lit(float(w)) for w in weights])
-    w = ranked.select("source", "source_size", F.element_at(table, (F.col("rank") % len(weights) + 1).cast("int")).alias("weight"))
+    turn = (F.col("rank") % len(weights)).cast("int")
+    w = ranked.select("source", "source_size", F.element_at(table, turn + 1).alias("weight"), *[(turn == i).cast("long").alias(f"is_{i}") for i in range(len(weights))])
     w = w.withColumn("fill", most * F.col("source_size") / F.col("weight"))
     total = w.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w"), F.count("*").alias("n")).first()
     if not total["s"]:
         return w.select("source", "source_size", F.lit(0.0).alias("target"))
     budget = min(share, most) * float(total["s"])
     # sums over the sources that fill up before each one, smallest ratio first
-    order = Window.orderBy("fill", F.isnull("source"), "source").rowsBetween(Window.unboundedPreceding, -1)
-    below = w.withColumns({"full": F.coalesce(F.sum(most * F.col("source_size")).over(order), F.lit(0.0)), "used": F.coalesce(F.sum("weight").over(order), F.lit(0.0))})
+    order = [F.col("fill"), F.isnull("source"), F.col("source")]
+    below = prefix_sums(w, [], order, {"source_size": "before", **{f"is_{i}": f"n_{i}" for i in range(len(weights))}})
+    used = reduce(add, [F.lit(float(x)) * F.col(f"n_{i}") for i, x in enumerate(weights)])
+    below = below.withColumns({"full": F.lit(most) * F.col("before"), "used": used})
     level = (F.lit(budget) - F.col("full")) / (F.lit(float(total["w"])) - F.col("used"))
     open_ = below.withColumn("level", level).filter(F.col("fill") > F.col("level")).agg(F.min(F.struct("fill", "level")).alias("x")).first()["x"]
     reached = open_["level"] if open_ else float("inf")
     return w.select("source", "source_size", F.least(F.lit(most) * F.col("source_size"), F.lit(reached) * F.col("weight")).alias("target"))
 
 
+def _planned(rows: DataFrame, weights: Sequence[float], share: float, most: float, late: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` (__source, __draw, __key, __size, others) with __total, __target and __copies."""
+    placed = prefix_sums(rows, ["__source"], [F.col("__draw"), F.col("__key")], {"__size": "__before"}, late)
+    sizes = placed.groupBy("__source").agg(F.sum("__size").alias("source_size")).withColumnRenamed("__source", "source")
+    goal = targets(sizes, weights, share, most).select(F.col("source").alias("__s"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
+    joined = placed.join(goal, F.col("__source").eqNullSafe(F.col("__s")))
+    rounds = F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(F.lit(0))
+    rest = F.col("__target") - rounds * F.col("__total")
+    fits = (F.col("__before") + F.col("__size") / 2 <= rest) & (rest > 0)
+    return joined.withColumn("__copies", F.least((rounds + F.when(fits, 1).otherwise(0)).cast("long"), F.lit(int(most))))
+
+
+def _size(size: Column | None) -> Column:
+    return (n_words(F.col("text")) if size is None else size).cast("long")
+
+
+def _keys(seed: int) -> list[Column]:
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))))
+    return [F.col("source").cast("string").alias("__source"), F.xxhash64("text").alias("__key"), draw.alias("__draw")]
+
+
 def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """One row (doc_id, source, text_key, size, source_size, target, copies, taken) for each row of ``docs``.
 
@@ -52,31 +78,24 @@ def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] =
     with the documents beside it, which costs nothing. A null source is a
     source of its own, last. Rows that tie in doc_id are ordered by a hash of
     their text; equal rows are each counted. An empty table gives an empty
-    result. Other columns are not read.
+    result. Other columns are not read, and texts only once.
+    """
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(seed), _size(size).alias("__size")))
+    out = {"__source": "source", "__key": "text_key", "__size": "size", "__total": "source_size", "__target": "target", "__copies": "copies"}
+    return _planned(rows, weights, share, most).select("doc_id", *[F.col(c).alias(n) for c, n in out.items()], (F.col("__size") * F.col("__copies")).alias("taken"))
+
+
+def take(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix` says, all columns kept.
+
+    Nulls, ties and empty tables are treated as there. Each of equal rows is
+    planned by its own place in the order, so together they are taken as
+    often as planned, and no source passes its target by more than half a
+    document. Whole rows go through the range sort, once.
     """
-    size = n_words(F.col("text")) if size is None else size
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.cast("long").alias("size"), F.xxhash64("text").alias("text_key"))
-    rows = rows.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    placed = prefix_sums(rows, ["source"], [F.col("draw"), F.col("text_key"), F.col("size")], {"size": "before"})
-    sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, most).withColumnRenamed("source", "s")
-    joined = placed.join(goal, F.col("source").eqNullSafe(F.col("s")))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - rounds * F.col("source_size")
-    fits = (F.col("before") + F.col("size") / 2 <= rest) & (rest > 0)
-    copies = (rounds + F.when(fits, 1).otherwise(0)).cast("long")
-    return joined.withColumn("copies", F.least(copies, F.lit(int(most)))).select("doc_id", "source", "text_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as :func:`mix` says, all columns kept."""
-    plan = mix(docs, **options).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("__n"), F.count("*").alias("__of"))
-    plan = plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("text_key").alias("__t"), "__n", "__of").filter("__n > 0")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & docs["source"].cast("string").eqNullSafe(F.col("__s")) & (F.xxhash64(docs["text"]) == F.col("__t"))
-    # of equal rows each is taken as often, and the first ones once more
-    joined = docs.join(plan, same)
-    copies = F.ceil(F.col("__n") / F.col("__of")).cast("int")
-    return joined.withColumn("__c", F.explode(F.sequence(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(*[docs[c] for c in docs.columns], *_keys(seed))
+    planned = _planned(rows, weights, share, most, {"__size": _size(size)}).filter("__copies > 0")
+    return planned.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 SQL = r"""

@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from herald.llm._common import text_of
 
 MARK = "▁"
-#: Parts of texts whose ids each Python worker remembers.
-CACHE = 600_000
+#: Bytes of parts of texts and their ids that each Python worker remembers, with what Python adds to each.
+CACHE, ENTRY = 64 << 20, 250
+#: A part of more characters is not remembered.
+LONG = 100
 PENALTY = 10.0
 
 
@@ -104,6 +106,7 @@ class Pieces:
         self.id_at, self.score_at = ids, [scores[i] if i >= 0 else 0.0 for i in ids]
         self.unknown = min((scores[i] for i in piece_ids), default=0.0) - PENALTY
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.key = hashlib.sha1("\0".join(pieces).encode() + np.array(scores, "<f8").tobytes()).hexdigest()
 
@@ -153,12 +156,19 @@ class Pieces:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) > CACHE:
+            if self.held > CACHE:
                 known.clear()
+                self.held = 0
+            out = []
             for p in parts:
-                if p not in known:
-                    known[p] = np.array(self.part(p), "<u4").tobytes()
-            return b"".join(map(known.__getitem__, parts))
+                ids = known.get(p)
+                if ids is None:
+                    ids = np.array(self.part(p), "<u4").tobytes()
+                    if len(p) <= LONG:
+                        known[p] = ids
+                        self.held += ENTRY + len(p) + len(ids)
+                out.append(ids)
+            return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()

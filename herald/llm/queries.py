@@ -40,8 +40,8 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of each document and its edited text, and the likenesses."""
-    return fingerprint.neighbour_likeness(read(spark, sf_dir, "documents"))
+    """Fingerprints of each document and its edited text, the likenesses, and how many fingerprints lie within three bits."""
+    return fingerprint.with_neighbours(fingerprint.neighbour_likeness(read(spark, sf_dir, "documents")))
 
 
 def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tests_llm_helpers import fill
+from tests_llm_helpers import fill, without_spread_lines
 
 from herald.llm import chat, fingerprint, license_scan, line_dedup, line_quality, mixing, quality
 
@@ -75,6 +75,16 @@ def test_mix_edges(spark):
     assert mixing.mix(frame(spark, [(1, "", "s", None)])).first().target == 0
 
 
+def test_take_of_equal_rows_keeps_the_budget(spark):
+    rows = [(1, "a b c d", "s", None)] * 5 + [(2, "e f", "s", "x"), (3, "g h i", None, None)] + [(4, "w " * 50, "u", None)] * 9
+    df = frame(spark, rows, "doc_id long, text string, source string, size string")
+    planned = Counter()
+    for r in mixing.mix(df, share=0.7).collect():
+        planned[r.doc_id] += r.copies
+    taken = mixing.take(df, share=0.7)
+    assert taken.columns == df.columns and Counter(r.doc_id for r in taken.collect()) == planned and 0 < planned[4] < 9
+
+
 # --- fingerprints ---
 def test_neighbours(spark):
     random.seed(6)
@@ -102,12 +112,53 @@ def test_radius_search_finds_all(spark):
     random.seed(7)
     base = [random.getrandbits(128) for _ in range(60)]
     prints = base + [b ^ sum(1 << k for k in random.sample(range(128), random.randint(1, 7))) for b in base for _ in range(2)]
-    rows = [(i, f"{p:032x}") for i, p in enumerate(prints)] + [(999, rows0 := f"{prints[0]:032x}"), (1000, None)]
-    assert rows0
-    got = {(r.a, r.b): r.distance for r in fingerprint.within_radius(spark.createDataFrame(rows, "doc_id long, fingerprint string"), 4).collect()}
+    hot = random.getrandbits(128)  # many that share blocks: some are near, most are not
+    prints += [hot ^ sum(1 << k for k in random.sample(range(64), random.randint(0, 12))) for _ in range(300)]
+    rows = [(i, f"{p:032x}") for i, p in enumerate(prints)] + [(999, f"{prints[0]:032x}"), (1000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
     hexes = sorted({f"{p:032x}" for p in prints})
-    want = {(a, b): d for n, a in enumerate(hexes) for b in hexes[n + 1:] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 4}
-    assert got == want and want
+    far = {(a, b): (int(a, 16) ^ int(b, 16)).bit_count() for n, a in enumerate(hexes) for b in hexes[n + 1:]}
+    for radius in (3, 4):
+        got = {(r.a, r.b): r.distance for r in fingerprint.within_radius(df, radius, hot=20).collect()}
+        assert got == {p: d for p, d in far.items() if d <= radius} and got
+    count = Counter(x for p, d in far.items() if d <= 3 for x in p)
+    assert all(r.n_close == (None if r.fingerprint is None else count[r.fingerprint]) for r in fingerprint.with_neighbours(df).collect())
+    assert fingerprint.with_neighbours(df.limit(0)).count() == 0
+
+
+def plain_simhash(text):
+    """The votes one by one."""
+    import xxhash
+
+    wide = (1 << 64) - 1
+
+    def scramble(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & wide
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & wide
+        return x ^ (x >> 31)
+
+    words = text.split()
+    h = [xxhash.xxh3_64_intdigest(w) for w in words]
+    terms = [(x, 0.5) for x in h] + [(scramble((a * 3 + scramble(b)) & wide), 1.0) for a, b in zip(h, h[1:])]
+    if len(words) < 64:
+        run = f" {' '.join(words)} "
+        terms += [(xxhash.xxh3_64_intdigest(run[i: i + 4]), 1 - len(words) / 64) for i in range(max(1, len(run) - 3))]
+    votes = [0.0] * 128
+    for term, weight in terms:
+        data = b"".join(scramble((term + n * 0x9E3779B97F4A7C15) & wide).to_bytes(8, "little") for n in (1, 2))
+        for i in range(128):
+            votes[i] += weight if data[i // 8] >> (7 - i % 8) & 1 else -weight
+    return votes
+
+
+def test_simhash_equals_counted_votes():
+    random.seed(16)
+    for _ in range(40):
+        text = " ".join(random.choice(["a", "bc", "déf", f"w{random.randint(0, 60)}"]) for _ in range(random.randint(1, 120)))
+        votes, made = plain_simhash(text), fingerprint.simhash(text)
+        for i, v in enumerate(votes):
+            assert abs(v) < 1e-4 or (made[i // 8] >> (7 - i % 8) & 1) == (v > 0)
+    assert fingerprint.simhash(" \n") == bytes(16)
 
 
 # --- line dedup ---
@@ -120,6 +171,7 @@ def test_line_dedup_equals_counting(spark):
         random.shuffle(lines)
         rows.append((i, "\n".join(lines), f"s{random.randint(0, 6)}" if i % 13 else None, 1))
     rows += [(900, None, "s1", 1), (901, "", "s1", 1), (902, "\n".join(common), "s2", 1), (902, "\n".join(common), "s2", 1)]
+    rows += [(903, "\n".join([common[5], "own words of this page", common[0], common[3]]), "s3", 1), (904, "\n".join([*common[:5], "edited line of a copy"]), "s4", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, drop int")
     sites = defaultdict(set)
     for _, t, s, _ in rows:
@@ -129,20 +181,29 @@ def test_line_dedup_equals_counting(spark):
     spread = {x for x, s in sites.items() if len(s) >= 4}
     want = Counter()
     for i, t, s, d in rows:
-        lines = (t or "").split("\n")
-        hit = sum(len(x.split()) for x in lines if x.strip(" ") in spread)
-        cut = t if t is None or not hit or hit > 0.5 * len(t.split()) else "\n".join(x for x in lines if x.strip(" ") not in spread)
-        want[i, cut, s, d] += 1
+        want[i, without_spread_lines(t, spread, [r[1] for r in rows]), s, d] += 1
     out = line_dedup.dedup_lines(df, sites=4)
     assert out.columns == df.columns and spread
     assert Counter(tuple(r) for r in out.collect()) == want
-    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    assert next(t for i, t, _, _ in want if i == 903) == "own words of this page"  # mostly boilerplate, but no copy
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0 and line_dedup.report(df.limit(0)).count() == 0
+
+
+def test_line_dedup_edges(spark):
+    rows = [(None, "a b c\nx", f"s{i}", i, 0, 0, 0) for i in range(6)] + [(7, f"a b c\n{'y ' * 30000}", "s1", 1, 1, 1, 1), (8, None, None, None, None, None, None), (8, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, t1 int, t2 int, k1 int, found int")
+    got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {(None, "a b c\nx"), (7, "y " * 30000), (8, None)}  # six rows are copies of each other
+    assert line_dedup.report(df).count() == 9
+    short = [(i, f"Home\nown words of page {i}", f"s{i}") for i in range(30)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(short, "doc_id long, text string, source string"))
+    assert all(r.text == f"own words of page {r.doc_id}" for r in out.collect())
 
 
 # --- quality ---
 def test_base_counts():
     m, *_ = line_quality.measures("a b c x\na b c x\n\na b c\x0by #%  ")
-    assert m == {"n_words": 13, "word_chars": 14, "n_symbols": 2, "n_dup_lines": 1, "n_repeat_words": 11} or m["n_dup_lines"] == 1
+    assert m == {"n_words": 14, "word_chars": 15, "n_symbols": 2, "n_dup_lines": 1, "n_repeat_words": 11}  # a no-break space is a word
     assert line_quality.repeated_words("a b c d a b c".split()) == 6 and line_quality.repeated_words(["x"] * 5) == 5 and line_quality.repeated_words([]) == 0
 
 
@@ -170,6 +231,69 @@ def test_viterbi_is_the_best_labelling():
         assert value(chain.decode(stats.tolist())) >= max(map(value, product((0, 1), repeat=int(n)))) - 1e-9
 
 
+def test_fit_is_the_most_likely_chain():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    d = len(line_quality.NAMES)
+    true = line_quality.Chain(np.array([-0.5, 2, -1, 1, 0, 0, 0.5, 0, -2, 1]), np.array([[1.0, -1.0], [-0.5, 0.5]]))
+    xs = [np.hstack([np.ones((n, 1)), rng.random((n, d - 1))]) for n in rng.integers(1, 6, 60)]
+    every = {n: list(product((0, 1), repeat=n)) for n in range(1, 6)}
+
+    def scores(x, w, links):
+        return np.array([sum((x[i] @ w) * y[i] for i in range(len(x))) + sum(links[a, b] for a, b in zip(y, y[1:])) for y in every[len(x)]])
+
+    ys = []
+    for x in xs:
+        p = np.exp(scores(x, true.weights, true.links))
+        ys.append(np.array(every[len(x)][rng.choice(len(p), p=p / p.sum())]))
+    total = sum(map(len, xs))
+
+    def goal(value):
+        w, links = value[:d], value[d:].reshape(2, 2)
+        out = -0.5 * 1e-2 * value @ value
+        for x, y in zip(xs, ys):
+            s = scores(x, w, links)
+            out += (s[every[len(x)].index(tuple(y))] - np.logaddexp.reduce(s)) / total
+        return out
+
+    chain = line_quality.fit_chain(xs, ys, steps=800, penalty=1e-2)
+    at = np.concatenate([chain.weights, chain.links.ravel()])
+    slope = [(goal(at + e) - goal(at - e)) / 2e-4 for e in np.eye(d + 4) * 1e-4]
+    assert max(map(abs, slope)) < 2e-3 and goal(at) > goal(np.zeros(d + 4))
+
+
+def test_query_equals_plain_python(spark):
+    """op4 against its definition: counts, base rule, best labels by a plain recursion over the learnt weights."""
+    import re
+
+    from herald.llm import queries
+
+    docs = spark.read.parquet(f"{DOCS}/documents.parquet")
+    chain = line_quality.learn(docs, spark.read.parquet(f"{DOCS}/labels.parquet"))
+    links = chain.links
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = queries.QUERIES["op4_line_quality"](spark, DOCS).collect()
+    assert len(got) == len(text) and {r.kept for r in got} == {True, False}
+    for r in got:
+        t = text[r.doc_id]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines, again, seen = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], [], set()
+        for x in lines:
+            again.append(x in seen)
+            seen.add(x)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", "".join(w))), sum(again), brute_repeats(w))
+        assert r.base_failed == (len(w) < 50 or 100 * brute_repeats(w) > 50 * len(w))
+        words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
+        stats = [np.array(line_quality.line_statistics(x, own, s)) for x, own, s in zip(lines, words, again)]
+        best = [(0.0, (0,)), (float(stats[0] @ chain.weights), (1,))] if lines else []
+        for x in stats[1:]:
+            best = [max((best[a][0] + links[a, b] + b * float(x @ chain.weights), best[a][1] + (b,)) for a in (0, 1)) for b in (0, 1)]
+        labels = max(best)[1] if lines else ()
+        content = sum(len(own) for own, y in zip(words, labels) if y)
+        assert r.kept == (not r.base_failed and content >= 0.5 * len(w)) or abs(best[0][0] - best[1][0]) < 1e-9
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_quality_on_held_out_documents(spark, sf):
     d = f"/root/testdata/{sf}"

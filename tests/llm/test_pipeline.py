@@ -7,7 +7,7 @@ import numpy as np
 
 from herald.llm import pieces, quality
 from herald.llm._common import tokenizer_file
-from tests_llm_helpers import classes_of, fill
+from tests_llm_helpers import classes_of, fill, without_spread_lines
 
 DIR = "/root/testdata/sf0.001"
 
@@ -31,16 +31,10 @@ def without_lines(rows):
     sites = defaultdict(set)
     for _, t, s in rows:
         for x in (t or "").split("\n"):
-            if len(x.split()) >= 3:
-                sites[x.strip(" ")].add(s)
-    spread = {x for x, s in sites.items() if len(s) >= 5}
-    out = []
-    for i, t, s in rows:
-        lines = (t or "").split("\n")
-        hit = sum(len(x.split()) for x in lines if x.strip(" ") in spread)
-        cut = hit and hit <= 0.5 * len(t.split())
-        out.append((i, "\n".join(x for x in lines if x.strip(" ") not in spread) if cut else t, s))
-    return out
+            sites[x.strip(" ")].add(s)
+    spread = {x for x, s in sites.items() if x and len(s) >= (5 if len(x.split()) >= 3 else 25)}
+    texts = [t for _, t, _ in rows]
+    return [(i, without_spread_lines(t, spread, texts), s) for i, t, s in rows]
 
 
 def mixed(rows):

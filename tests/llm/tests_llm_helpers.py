@@ -24,6 +24,27 @@ def classes_of(rows):
     return {i: find(i) for i, _ in rows}
 
 
+def without_spread_lines(text, spread, texts, most=0.5):
+    """The text that line dedup leaves: copies among ``texts`` keep their lines."""
+
+    def found(t):
+        return [x.strip(" ") for x in (t or "").split("\n") if x.strip(" ") in spread]
+
+    def mostly(t):
+        return sum(len(x.split()) for x in found(t)) > most * len((t or "").split())
+
+    def pairs(t):
+        return set(zip(found(t), found(t)[1:]))
+
+    if text is None or not found(text):
+        return text
+    if mostly(text):
+        others = set().union(*[pairs(t) for t in {t for t in texts if t} if t != text and mostly(t)])
+        if texts.count(text) > 1 or (pairs(text) and len(pairs(text) & others) >= 0.5 * len(pairs(text))):
+            return text
+    return "\n".join(x for x in text.split("\n") if x.strip(" ") not in spread)
+
+
 def fill(sizes, weights, total, most):
     """Targets by sharing what is over again and again."""
     target, open_, left = {}, set(sizes), total
