@@ -137,17 +137,30 @@ def segments(c: str | Column) -> Column:
     return F.filter(F.array_distinct(F.transform(parts, trim_space)), lambda x: x != F.lit(""))
 
 
+def running(lengths: Column, block: int = 256) -> Column:
+    """The sums of the numbers before each one. Blocks are summed first, so that no long array is copied for each step."""
+    def plain(xs: Column, base: Column) -> Column:
+        zero = F.struct(base.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(xs, zero, lambda a, x: F.struct((a["at"] + x).cast("int").alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+
+    def blocked(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, block))
+        sums = lambda ps: F.transform(ps, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return let(parts, lambda ps: F.flatten(F.zip_with(ps, plain(sums(ps), F.lit(0)), plain)))
+
+    return let(lengths, lambda xs: F.when(F.size(xs) <= block, plain(xs, F.lit(0))).otherwise(blocked(xs)))
+
+
 def pieces(c: str | Column, separator: str) -> Column:
-    """array<struct<start, text>>: what lies between matches of ``separator``, with offsets from 0."""
-    marked = F.regexp_replace(F.regexp_replace(col(c), "[\u0001\u0002]", " "), f"{FLAGS}({separator})", "\u0001$1\u0002")
-    parts = F.split(marked, "\u0002", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("out"))
+    """array<struct<start, text>>: what lies between matches of ``separator``, which are not empty; offsets from 0."""
+    text, pattern = col(c), FLAGS + separator
 
-    def step(acc: Column, x: Column) -> Column:
-        here = F.struct(acc["at"].alias("start"), F.substring_index(x, "\u0001", 1).alias("text"))
-        return F.struct((acc["at"] + F.length(F.replace(x, F.lit("\u0001"), F.lit("")))).cast("int").alias("at"), F.array_append(acc["out"], here).alias("out"))
+    def place(parts: Column) -> Column:
+        between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        at = running(F.zip_with(parts, between, lambda x, s: F.length(x) + F.coalesce(F.length(s), F.lit(0))))
+        return F.zip_with(at, parts, lambda i, x: F.struct(i.alias("start"), x.alias("text")))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    return let(F.split(text, pattern, -1), place)
 
 
 def span_of(c: Column, pattern: str, group: int = 0) -> Column:
@@ -156,7 +169,7 @@ def span_of(c: Column, pattern: str, group: int = 0) -> Column:
     ``pattern`` must not hold other capturing groups than those up to ``group``.
     """
     def found(whole: Column) -> Column:
-        head = F.length(F.regexp_extract(c, f"(?s){FLAGS}^(.*?)(?:{pattern})", 1))
+        head = F.length(F.get(F.split(c, FLAGS + pattern, 2), F.lit(0)))
         if not group:
             return F.when(whole != "", F.struct(head.cast("int").alias("start"), whole.alias("text")))
         text = F.regexp_extract(c, FLAGS + pattern, group)

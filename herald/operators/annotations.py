@@ -19,8 +19,9 @@ def annotation_violations(spans: DataFrame, obligations: DataFrame, uses: DataFr
 
     ``spans``: notice_id, evidence_id, text, start_char, end_char, raw_text.
     ``obligations``: notice_id, obligation_id, deadline, precision, timezone,
-    amount. ``uses``: notice_id, obligation_id, evidence_id. ``relations``:
-    notice_id, target_notice_id.
+    amount, and event_start and event_end if there are occurrences. ``uses``:
+    notice_id, obligation_id, evidence_id. ``relations``: notice_id,
+    target_notice_id.
     """
     twice = lambda df, c, rule: df.groupBy("notice_id", c).agg(F.count("*").alias("n")).filter("n > 1").select("notice_id", F.lit(rule).alias("rule"), F.col(c).cast("string").alias("item"))
     bad = lambda df, c, rule, test: df.filter(test).select("notice_id", F.lit(rule).alias("rule"), F.col(c).cast("string").alias("item"))
@@ -36,6 +37,8 @@ def annotation_violations(spans: DataFrame, obligations: DataFrame, uses: DataFr
         bad(obligations, "obligation_id", "deadline is no time", F.col("deadline").isNotNull() & (F.col("precision") == "datetime") & (moment.isNull() | ~zone)),
         bad(obligations, "obligation_id", "amount is negative", F.col("amount") < 0), bad(relations, "target_notice_id", "relation to itself", F.col("notice_id") == F.col("target_notice_id")),
     ]
+    if {"event_start", "event_end"} <= set(obligations.columns):
+        found.append(bad(obligations, "obligation_id", "event ends before it starts", F.col("event_end") < F.col("event_start")))
     return reduce(DataFrame.unionByName, found)
 
 

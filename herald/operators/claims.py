@@ -7,7 +7,9 @@ end - start)`` is always the claim's or field's text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herald.functions.text import clean_text, let, parse_deadline, parse_vnd, pieces, span_of, trim_space
@@ -53,36 +55,64 @@ def _lead(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, r"(?U)^\s+", ""))
 
 
+def _moved(base: Column, parts: Column) -> Column:
+    """Parts (start, text) trimmed, their starts counted from ``base``; blank ones go."""
+    out = F.transform(parts, lambda p: F.struct((base + p["start"] + _lead(p["text"])).cast("int").alias("start"), trim_space(p["text"]).alias("text")))
+    return F.filter(out, lambda p: p["text"] != "")
+
+
+def _sentences(block: Column) -> Column:
+    """array<struct<start, text, open>> of a block: itself if it has several lines; ``open`` is the last one if nothing ends it."""
+    one = F.array(F.struct(block["start"].alias("start"), block["text"].alias("text"), F.lit(False).alias("open")))
+
+    def cut(parts: Column) -> Column:
+        marked = F.transform(parts, lambda x, i: F.struct((block["start"] + x["start"] + _lead(x["text"])).cast("int").alias("start"), trim_space(x["text"]).alias("text"), (i == F.size(parts) - 1).alias("open")))
+        return F.filter(marked, lambda x: x["text"] != "")
+
+    return F.when(F.regexp_like(block["text"], F.lit(r"[\r\n]")), one).otherwise(let(pieces(block["text"], SENTENCE_END), cut))
+
+
+def _clauses(sentence: Column) -> Column:
+    whole = F.array(F.struct(sentence["start"].alias("start"), sentence["text"].alias("text")))
+    return F.when(sentence["open"], _moved(sentence["start"], pieces(sentence["text"], NEXT_ACTION))).otherwise(whole)
+
+
 def segment_claims(messages: DataFrame) -> DataFrame:
     """(message_id, claim_ix, start_char, end_char, text) of rows (message_id, text).
 
     Blank lines part a message into blocks. A block of several lines is one
     claim; else its sentences are, and the last of them, if nothing ends it,
     falls apart before further known actions. Messages without text give no
-    claim; repeated message_ids are not told apart in ``claim_ix``.
+    claim. Each row is cut where it lies, so equal message_ids do no harm.
     """
-    block = F.explode(pieces("text", BLANK_LINE)).alias("b")
-    blocks = messages.select("message_id", block).select("message_id", (F.col("b.start") + _lead(F.col("b.text"))).alias("at"), trim_space("b.text").alias("body")).filter("body != ''")
-    one = F.array(F.struct(F.lit(0).alias("start"), F.col("body").alias("text"), F.lit(False).alias("open")))
-    cut = pieces("body", SENTENCE_END)
-    many = F.transform(cut, lambda x, i: F.struct(x["start"].alias("start"), x["text"].alias("text"), (i == F.size(cut) - 1).alias("open")))
-    sentence = F.explode(F.when(F.regexp_like("body", F.lit(r"[\r\n]")), one).otherwise(many)).alias("s")
-    rows = blocks.select("message_id", "at", sentence).select("message_id", (F.col("at") + F.col("s.start") + _lead(F.col("s.text"))).alias("at"), trim_space("s.text").alias("body"), F.col("s.open").alias("open")).filter("body != ''")
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("body").alias("text")))
-    clause = F.explode(F.when(F.col("open"), pieces("body", NEXT_ACTION)).otherwise(whole)).alias("c")
-    claims = rows.select("message_id", "at", clause).select("message_id", (F.col("at") + F.col("c.start") + _lead(F.col("c.text"))).cast("int").alias("start_char"), trim_space("c.text").alias("text")).filter("text != ''")
-    return claims.select(
-        "message_id", (F.row_number().over(Window.partitionBy("message_id").orderBy("start_char")) - 1).alias("claim_ix"),
-        "start_char", (F.col("start_char") + F.length("text")).cast("int").alias("end_char"), "text")
+    blocks = _moved(F.lit(0), pieces("text", BLANK_LINE))
+    claims = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(_sentences(b), _clauses))))
+    # outer: before an inner one Spark would filter empty arrays, and so cut every message twice
+    c = messages.select("message_id", F.posexplode_outer(claims).alias("claim_ix", "c")).filter("c is not null")
+    return c.select("message_id", "claim_ix", F.col("c.start").alias("start_char"), (F.col("c.start") + F.length("c.text")).cast("int").alias("end_char"), F.col("c.text").alias("text"))
+
+
+def _plain(pattern: str) -> str:
+    """The pattern without capturing groups."""
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
 
 
 def action(text: Column) -> Column:
-    """struct(start, order, text, type) of the earliest action, null without."""
+    """struct(start, order, text, type) of the earliest action, null without.
 
-    def found(i: int, kind: str, pattern: str) -> Column:
-        return let(span_of(text, pattern, 1), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["text"].alias("text"), F.lit(kind).alias("type"))))
+    One search for all patterns finds the earliest, of those at one place the
+    first in the list; the short text found tells which it was.
+    """
+    any_ = "|".join(f"(?:{_plain(p)})" for _, p in ACTIONS)
+
+    def found(s: Column) -> Column:
+        out = F.when(s.isNull(), None)
+        for i, (kind, pattern) in enumerate(ACTIONS):
+            verb = F.regexp_extract(s["text"], f"{_I}^(?:{pattern})$", 1)
+            out = out.when(verb != "", F.struct(s["start"].alias("start"), F.lit(i).alias("order"), verb.alias("text"), F.lit(kind).alias("type")))
+        return out
 
-    return F.array_min(F.array_compact(F.array(*[found(i, kind, pattern) for i, (kind, pattern) in enumerate(ACTIONS)])))
+    return let(span_of(text, any_), found)
 
 
 def deadline(text: Column) -> Column:
@@ -104,13 +134,11 @@ def amount(text: Column) -> Column:
 
 
 def audience(text: Column) -> Column:
-    """struct(start, order, text, cohort) of the earliest cohort, as ``Kyy``."""
-
-    def found(i: int, pattern: str) -> Column:
-        year = lambda s: F.concat(F.lit("K"), F.regexp_extract(s["text"], r"(\d{2})$", 1))
-        return let(span_of(text, pattern), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["text"].alias("text"), year(s).alias("cohort"))))
+    """struct(start, text, cohort) of the earliest cohort, as ``Kyy``; of those at one place the first in the list."""
 
-    return F.array_min(F.array_compact(F.array(*[found(i, p) for i, p in enumerate(AUDIENCES)])))
+    year = lambda s: F.concat(F.lit("K"), F.regexp_extract(s["text"], r"(\d{2})$", 1))
+    any_ = "|".join(f"(?:{_plain(p)})" for p in AUDIENCES)
+    return let(span_of(text, any_), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), year(s).alias("cohort"))))
 
 
 def location(text: Column) -> Column:

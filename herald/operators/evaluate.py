@@ -65,6 +65,40 @@ def confusion_prf(rows: DataFrame, labels: list) -> DataFrame:
     return domain.join(per, "label", "left").select("label", (z("tp") + z("fn")).alias("support"), *[F.when(some, s[m]).alias(m) for m in ("precision", "recall", "f1")])
 
 
+def macro_average(per_label: DataFrame) -> DataFrame:
+    """One row: labels with support, and the means of their precision, recall and f1 of :func:`confusion_prf`."""
+    some = per_label.filter("support > 0")
+    return some.agg(F.count("*").alias("labels"), *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")])
+
+
+def stale_hits(ranked: DataFrame, current: DataFrame, item: str) -> DataFrame:
+    """One row: listed hits, and how many of them are not in ``current``."""
+    known = current.select(item).distinct().withColumn("__c", F.lit(True))
+    j = ranked.join(known, item, "left")
+    return j.agg(F.count("*").alias("hits"), F.count_if(F.col("__c").isNull()).alias("stale"))
+
+
+def exact_match(gold: DataFrame, predicted: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """(field, notices, present, exact_all, exact_present, errors) of sets of values (notice_id, field, value): deadline and money.
+
+    Each notice of ``gold`` counts for every field it lists, a null value for
+    none; ``predicted`` has ``error`` set where the extraction failed, which
+    counts as wrong. Notices of ``exclude`` (notice_id), such as the examples
+    shown to a model, are left out. The shares are over all notices and over
+    those with a value.
+    """
+    key = ["notice_id", "field"]
+    side = lambda df, name: df.groupBy(*key).agg(F.array_sort(F.collect_set("value")).alias(name))
+    g = gold if exclude is None else gold.join(exclude.select("notice_id").distinct(), "notice_id", "left_anti")
+    failed = predicted.groupBy("notice_id").agg(F.max(F.col("error").isNotNull()).alias("failed"))
+    j = side(g, "g").join(side(predicted, "p"), key, "left").join(failed, "notice_id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    failed_ = F.coalesce("failed", F.lit(False))
+    same, some = ~failed_ & (F.coalesce("p", none) == F.col("g")), F.size("g") > 0
+    out = j.groupBy("field").agg(F.count("*").alias("notices"), F.count_if(some).alias("present"), F.count_if(same).alias("a"), F.count_if(same & some).alias("b"), F.count_if(failed_).alias("errors"))
+    return out.select("field", "notices", "present", ratio(F.col("a"), F.col("notices"), 0.0).alias("exact_all"), ratio(F.col("b"), F.col("present"), 0.0).alias("exact_present"), "errors")
+
+
 def accuracy(rows: DataFrame) -> DataFrame:
     """One row: rows, those right, and their share."""
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("predicted")).alias("right")).withColumn("accuracy", ratio(F.col("right"), F.col("n")))
@@ -130,19 +164,23 @@ def leakage(cases: DataFrame, frozen: DataFrame) -> DataFrame:
 def contained(passages: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """(item_id, doc_id) of passages that a document holds word for word, folded.
 
-    Candidates share the passage's rarest window of ``k`` words; passages of
-    fewer words are looked for as a whole window.
+    Candidates hold all windows of ``k`` words of the passage; passages of
+    fewer words are one window of their own length. Documents are cut into
+    windows in one pass, of which only those of passages are kept, and only
+    candidates' texts are looked through. A passage without words is in no
+    document; null texts have no words.
     """
     words = lambda c: F.filter(F.split(fold_key(c), " "), lambda x: x != F.lit(""))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-    p = passages.select("item_id", fold_key("text").alias("p"), words("text").alias("w")).filter(F.size("w") >= k)
-    g = p.select("item_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("h"))
-    d = documents.select("doc_id", words("text").alias("w")).filter(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("h"))
-    near = d.join(g.select("h").distinct(), "h", "left_semi")
-    rare = g.join(near.groupBy("h").agg(F.count("*").alias("c")), "h").groupBy("item_id").agg(F.min_by("h", F.struct("c", "h")).alias("h"))
-    whole = g.groupBy("item_id").agg(F.count("*").alias("n")).join(g.join(near.select("h").distinct(), "h", "left_semi").groupBy("item_id").agg(F.count("*").alias("m")), "item_id").filter("n = m").select("item_id")
-    pairs = near.join(rare.join(whole, "item_id", "left_semi"), "h").select("item_id", "doc_id").distinct()
-    held = pairs.join(p.select("item_id", "p"), "item_id").join(documents.select("doc_id", fold_key("text").alias("t")), "doc_id")
+    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(n, F.array_join(F.slice(w, i, n), " ")))
+    p = passages.select("item_id", fold_key("text").alias("p"), words("text").alias("w")).filter(F.size("w") > 0)
+    p = p.withColumn("n", F.least(F.size("w"), F.lit(k)))
+    g = p.select("item_id", F.explode(F.array_distinct(grams(F.col("w"), F.col("n")))).alias("h"))
+    sizes = p.select("n").distinct()  # at most k rows
+    d = documents.select("doc_id", words("text").alias("w")).join(F.broadcast(sizes), F.size("w") >= F.col("n"))
+    near = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), F.col("n")))).alias("h"))
+    all_ = g.groupBy("item_id").agg(F.count("*").alias("all"))
+    pairs = near.join(g, "h").groupBy("item_id", "doc_id").agg(F.count_distinct("h").alias("m")).join(all_, "item_id").filter("m = all").select("item_id", "doc_id")
+    held = documents.select("doc_id", "text").join(pairs, "doc_id").select("item_id", "doc_id", fold_key("text").alias("t")).join(p.select("item_id", "p"), "item_id")
     return held.filter(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "p", F.lit(" ")))).select("item_id", "doc_id").distinct()
 
 
@@ -158,17 +196,42 @@ def distribution(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame([(d,) for d in domain], "value string").join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def order_statistics(rows: DataFrame, column: str, share: float, linear: bool, accuracy: int = 10_000) -> DataFrame:
+    """One row (n, value): the value at ``share`` of the ascending values, exactly.
+
+    By linear interpolation between ranks, else the value at index ``int(share
+    * n)``. Approximate quantiles bracket the ranks, so that only what lies
+    between two of them, some ten-thousandths of all, is put in order. Null
+    values are left out; without values it is null.
+    """
+    v = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    slack = 3.0 / accuracy
+    low, high = max(0.0, share - slack), min(1.0, share + slack)
+    ends = F.percentile_approx("v", F.array(F.lit(low), F.lit(high)), F.lit(accuracy))
+    frame = v.agg(F.count("*").alias("n"), ends.alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
+    # one row, joined to all
+    lower, upper = (F.col("least") if low == 0 else F.col("e")[0]), (F.col("most") if high == 1 else F.col("e")[1])
+    frame = frame.select("n", lower.alias("a"), upper.alias("b"))
+    marked = v.join(F.broadcast(frame), F.lit(True))
+    below = marked.filter("v < a").agg(F.count("*").alias("below"))
+    inner = marked.filter("v between a and b").groupBy("v", "n").agg(F.count("*").alias("c"))
+    upto = Window.orderBy("v")
+    inner = inner.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(below), F.lit(True)).withColumn("upto", F.col("upto") + F.col("below"))
+    at = (F.col("n") - 1) * F.lit(share) if linear else F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
+    pick = inner.withColumn("at", at)
+    found = pick.agg(F.max("at").alias("at"), F.max("n").alias("n"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("y"))
+    return found.select(F.coalesce("n", F.lit(0)).alias("n"), (F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.floor("at"))).alias("value"))
+
+
 def percentiles(rows: DataFrame, column: str) -> DataFrame:
     """One row: n, mean, p50 and p95 by linear interpolation."""
-    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("p50"), F.percentile(column, F.lit(0.95)).alias("p95"))
+    p50, p95 = (order_statistics(rows, column, s, True).select(F.col("value").alias(n)) for s, n in ((0.5, "p50"), (0.95, "p95")))
+    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean")).crossJoin(p50).crossJoin(p95)  # one row each
 
 
 def percentile_at(rows: DataFrame, column: str, share: float) -> DataFrame:
-    """One row: the value at index ``int(share * n)`` of the ascending values, by counts of equal values and their running sum."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    # a row for each distinct value
-    run = counts.withColumns({"upto": F.sum("c").over(Window.orderBy(column)), "n": F.sum("c").over(Window.partitionBy(F.lit(1)))})
-    return run.filter(F.col("upto") > F.floor(F.col("n") * share)).agg(F.min(column).alias("value"))
+    """One row: the value at index ``int(share * n)`` of the ascending values."""
+    return order_statistics(rows, column, share, False).select("value")
 
 
 def expand_gold(records: DataFrame) -> DataFrame:

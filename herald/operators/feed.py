@@ -56,35 +56,51 @@ def missing_information(obligation: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c.isNull(), n) for n, c in obligation.items()]))
 
 
-def feed(profiles: DataFrame, obligations: DataFrame, now: Column) -> DataFrame:
-    """(profile_id, obligation_id, applicability, actionability, missing, position) of every profile and current obligation.
-
-    ``profiles``: profile_id and the four dimensions. ``obligations``:
-    obligation_id, audience struct, deadline, deadline_precision, start,
-    start_precision, end, end_precision, amount, location, validity. Items
-    that apply come first, then those with a deadline, else by obligation_id.
-    Profiles of equal dimensions see the same, so the product is made once for
-    each distinct profile; the reviewed obligations are the smaller side and
-    are broadcast while Spark's threshold holds them.
+def feed_by_class(profiles: DataFrame, obligations: DataFrame, now: Column) -> DataFrame:
+    """The four dimensions, obligation_id, applicability, actionability, missing, position: the feed of each distinct profile.
+
+    Profiles of equal dimensions see the same feed, so the result has a row for
+    each of these classes and current obligation, however many profiles there
+    are. ``obligations``: obligation_id, audience struct, deadline,
+    deadline_precision, start, start_precision, end, end_precision, amount,
+    location, validity. Items that apply come first, then those with a
+    deadline, else by obligation_id.
     """
     keys = [p for p, _ in DIMENSIONS]
     kinds = profiles.select(*keys).distinct()
     live = obligations.filter(F.coalesce("validity", F.lit("CURRENT")) != "SUPERSEDED_OUTDATED")
-    pairs = kinds.join(live, F.lit(True), "inner")
     c = F.col
-    item = pairs.select(
-        *keys, "obligation_id", applicability(c("audience"), {k: c(k) for k in keys}).alias("applicability"),
-        actionability(c("deadline"), c("deadline_precision"), c("start"), c("start_precision"), c("end"), c("end_precision"), now).alias("actionability"),
+    # what does not depend on the profile is worked out once for each obligation
+    live = live.select(
+        "obligation_id", "audience", actionability(c("deadline"), c("deadline_precision"), c("start"), c("start_precision"), c("end"), c("end_precision"), now).alias("actionability"),
         missing_information({"deadline": c("deadline"), "amount": c("amount"), "location": c("location")}).alias("missing"), c("deadline").isNotNull().alias("dated"))
+    item = live.join(kinds, F.lit(True), "inner").withColumn("applicability", applicability(c("audience"), {k: c(k) for k in keys}))
     w = Window.partitionBy(*keys).orderBy((c("applicability") != "APPLIES").cast("int"), (~c("dated")).cast("int"), "obligation_id")
-    item = item.withColumn("position", F.row_number().over(w)).drop("dated")
-    named = item.select(*[c(k).alias(f"__{k}") for k in keys], "obligation_id", "applicability", "actionability", "missing", "position")
+    return item.select(*keys, "obligation_id", "applicability", "actionability", "missing", F.row_number().over(w).alias("position"))
+
+
+def for_profiles(profiles: DataFrame, by_class: DataFrame) -> DataFrame:
+    """``profile_id`` and what ``by_class`` (the four dimensions, others) has for the profile's class."""
+    keys = [p for p, _ in DIMENSIONS]
+    named = by_class.withColumnsRenamed({k: f"__{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & profiles[k].eqNullSafe(named[f"__{k}"])
-    return profiles.select("profile_id", *keys).join(named, same).select("profile_id", "obligation_id", "applicability", "actionability", "missing", "position")
+    rest = [c for c in by_class.columns if c not in keys]
+    return profiles.select("profile_id", *keys).join(named, same).select("profile_id", *rest)
+
+
+def feed(profiles: DataFrame, obligations: DataFrame, now: Column) -> DataFrame:
+    """(profile_id, obligation_id, applicability, actionability, missing, position) of every profile: :func:`feed_by_class` spread out."""
+    return for_profiles(profiles, feed_by_class(profiles, obligations, now))
+
+
+def action_brief(items: DataFrame, obligations: DataFrame) -> DataFrame:
+    """Items with what a brief shows of their obligation: action, deadline, amount, location, documents, and what is missing."""
+    shown = [c for c in ("action_type", "action_text", "deadline", "amount", "location", "documents") if c in obligations.columns]
+    return items.join(obligations.select("obligation_id", *shown), "obligation_id")
 
 
-def visible_groups(items: DataFrame) -> DataFrame:
-    """Items of each profile by applicability, without expired ones."""
-    return items.filter("actionability != 'EXPIRED'").groupBy("profile_id", "applicability").agg(F.count("*").alias("items"))
+def visible_groups(items: DataFrame, by: tuple[str, ...] = ("profile_id",)) -> DataFrame:
+    """Items of each profile, or class of profiles, by applicability, without expired ones."""
+    return items.filter("actionability != 'EXPIRED'").groupBy(*by, "applicability").agg(F.count("*").alias("items"))

@@ -59,14 +59,16 @@ def spans(text: str | Column, pattern: str) -> Column:
 
 def detect_audience(text: Column) -> Column:
     """struct(raw_text, applies_to_all_students, faculties, majors, cohorts, programs) of the first audience; null without."""
-    raw = trim_space(F.regexp_extract(text, _I + AUDIENCE, 0))
-    has = lambda p: F.regexp_like(raw, F.lit(_I + p))
-    years = F.regexp_extract_all(raw, F.lit(_I + r"kh[oó]a(?:\s+tuyển\s+sinh)?\s*(20\d{2})"), F.lit(1))
-    return F.when(raw != "", F.struct(
-        raw.alias("raw_text"), has(r"tất\s+cả.*sinh\s+viên").alias("applies_to_all_students"), F.expr("cast(array() as array<string>)").alias("faculties"),
-        F.array_compact(F.array(F.when(has(r"\bCNTT\b|Công\s+nghệ\s+Thông\s+tin"), "CNTT"))).alias("majors"),
-        F.array_sort(F.array_distinct(F.transform(years, lambda y: F.concat(F.lit("K"), F.right(y, F.lit(2)))))).alias("cohorts"),
-        F.array_compact(F.array(F.when(has(r"chính\s+quy"), "chính quy"), F.when(has(r"chương\s+trình\s+tiên\s+tiến"), "Chương trình tiên tiến"))).alias("programs")))
+    def named(raw: Column) -> Column:
+        has = lambda p: F.regexp_like(raw, F.lit(_I + p))
+        years = F.regexp_extract_all(raw, F.lit(_I + r"kh[oó]a(?:\s+tuyển\s+sinh)?\s*(20\d{2})"), F.lit(1))
+        return F.when(raw != "", F.struct(
+            raw.alias("raw_text"), has(r"tất\s+cả.*sinh\s+viên").alias("applies_to_all_students"), F.expr("cast(array() as array<string>)").alias("faculties"),
+            F.array_compact(F.array(F.when(has(r"\bCNTT\b|Công\s+nghệ\s+Thông\s+tin"), "CNTT"))).alias("majors"),
+            F.array_sort(F.array_distinct(F.transform(years, lambda y: F.concat(F.lit("K"), F.right(y, F.lit(2)))))).alias("cohorts"),
+            F.array_compact(F.array(F.when(has(r"chính\s+quy"), "chính quy"), F.when(has(r"chương\s+trình\s+tiên\s+tiến"), "Chương trình tiên tiến"))).alias("programs")))
+
+    return let(trim_space(F.regexp_extract(text, _I + AUDIENCE, 0)), named)
 
 
 def detect_documents(text: Column) -> Column:
@@ -100,21 +102,22 @@ def rule_extract(notices: DataFrame) -> DataFrame:
     t = F.col("raw_text")
 
     def found(i: int, kind: str, pattern: str) -> Column:
-        return F.transform(spans(t, pattern), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-    key = ["notice_id", "version_id"]
-    some = notices.filter("raw_text is not null")
-    hits = some.select(*key, F.explode(F.flatten(F.array(*[found(i, kind, p) for i, (kind, p) in enumerate(ACTIONS)]))).alias("a"))
-    once = hits.groupBy(*key, "a.start", "a.end").agg(F.min("a").alias("a"))
-    first = once.withColumn("ordinal", F.row_number().over(Window.partitionBy(*key).orderBy("a")) - 1).filter(F.col("ordinal") < MOST_OBLIGATIONS)
-    rows = some.select(*key, "raw_text").join(first.select(*key, "a", "ordinal"), key)
+        return F.transform(spans(t, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("order"), F.lit(kind).alias("kind")))
+
+    hits = F.array_sort(F.flatten(F.array(*[found(i, kind, p) for i, (kind, p) in enumerate(ACTIONS)])))
+    same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
+    once = let(hits, lambda h: F.filter(h, lambda x, i: (i == 0) | ~same(x, F.get(h, F.greatest(i - 1, F.lit(0))))))
+    placed = F.array_sort(F.transform(once, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    # all of it stays in the notice's row; what holds for the whole notice is worked out once
+    rows = notices.filter("raw_text is not null").select("notice_id", "version_id", "raw_text", detect_audience(t).alias("audience"), detect_documents(t).alias("papers"), F.slice(placed, 1, MOST_OBLIGATIONS).alias("placed"))
+    rows = rows.select("notice_id", "version_id", "raw_text", "audience", "papers", F.posexplode_outer("placed").alias("ordinal", "a")).filter("a is not null")  # an inner one would be preceded by a filter that finds all spans a second time
     after = F.substring("raw_text", F.col("a.end") + 1, F.lit(LOCATION_WINDOW))
     money = F.when(F.col("a.kind") == "pay", span_of(F.substring(after, 1, AMOUNT_WINDOW), MONEY)["text"])
     place = span_of(after, LOCATION, 1)["text"]
-    papers = F.when(F.col("a.kind").isin("submit", "apply", "register"), detect_documents(t)).otherwise(F.expr("cast(array() as array<string>)"))
+    papers = F.when(F.col("a.kind").isin("submit", "apply", "register"), F.col("papers")).otherwise(F.expr("cast(array() as array<string>)"))
     return rows.select(
         "notice_id", "version_id", "ordinal", F.col("a.kind").alias("action_type"), F.substring("raw_text", F.col("a.start") + 1, F.col("a.end") - F.col("a.start")).alias("action_text"), F.col("a.start").alias("start_char"),
-        detect_audience(t).alias("audience"), _deadline(after).alias("deadline"), money.alias("amount_text"), parse_vnd(money).alias("amount_vnd"), trim_space(place).alias("location"), papers.alias("documents"))
+        "audience", _deadline(after).alias("deadline"), money.alias("amount_text"), parse_vnd(money).alias("amount_vnd"), trim_space(place).alias("location"), papers.alias("documents"))
 
 
 def fold_quote(c: Column) -> Column:
@@ -147,14 +150,20 @@ def ground(quotes: DataFrame) -> DataFrame:
 
 def _nearest(wanted: str, parts: list) -> str | None:
     best, score = None, 0.0
+    match = SequenceMatcher(None, "", "")
+    match.set_seq1(wanted)
     for p in parts:
         folded = p["folded"]
         longest = max(len(wanted), len(folded), 1)
         inside = min(len(wanted), len(folded)) / longest if wanted in folded or folded in wanted else 0.0
-        s = max(inside, SequenceMatcher(None, wanted, folded).ratio())
-        if s > score:
+        match.set_seq2(folded)
+        # upper bounds of the ratio first: what cannot be accepted, or not beat the best, is not matched
+        least = max(score, GROUNDED)
+        s = match.ratio() if match.real_quick_ratio() >= least and match.quick_ratio() >= least else 0.0
+        s = max(inside, s)
+        if s > score and s >= GROUNDED:
             best, score = p["text"], s
-    return best if score >= GROUNDED else None
+    return best
 
 
 def ground_action(text: Column, action_type: Column, quote: Column) -> Column:

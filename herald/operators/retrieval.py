@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,34 +57,40 @@ def postings(corpus: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     return split.select(doc, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25plus(corpus: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
-    """(query_id, doc, score, rank) of the ``k`` best documents for each query.
+def bm25plus(corpus: DataFrame, queries: DataFrame, k: int | None, doc: str = "doc_id", every: bool = False) -> DataFrame:
+    """(query_id, doc, score, rank) of the ``k`` best documents for each query, of all without ``k``.
 
     ``score = sum over query terms, with repeats, of ln((N + 1) / df) * (delta
     + tf * (k1 + 1) / (k1 * (1 - b + b * dl / avgdl) + tf))``. The delta part
     is the same for all documents of a query, so only documents that share a
     term are scored by the join of terms, and it is added after. Documents
-    without any term of the query rank below all others and are not listed.
+    without any term of the query rank below all others; they are listed with
+    ``every`` only, which pairs a stated set of queries with all documents.
     """
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens("text"))).alias("avgdl"))
+    size = corpus.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"))).alias("avgdl"))
     terms = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     # only terms that some query has are kept of the documents, before any shuffle of postings
     wanted = terms.select("term").distinct()
     found = corpus.select(doc, tokens("text").alias("t")).select(doc, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weight = terms.join(df, "term").crossJoin(F.broadcast(size)).withColumn("w", F.col("qf") * F.log((F.col("n") + 1) / F.col("df")))
-    every = weight.groupBy("query_id").agg((DELTA * F.sum("w")).alias("every"))
+    weight = terms.join(df, "term").crossJoin(F.broadcast(size)).withColumn("w", F.col("qf") * F.log((F.col("n") + 1) / F.col("df")))  # size is one row
+    whole = weight.groupBy("query_id").agg((DELTA * F.sum("w")).alias("every"))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (norm + F.col("tf"))
     scored = found.join(weight.select("query_id", "term", "w", "avgdl"), "term").groupBy("query_id", doc).agg(F.sum(part).alias("s"))
-    scored = scored.join(every, "query_id").withColumn("score", F.round(F.col("s") + F.col("every"), 6)).filter("score > 0")
+    if every:
+        scored = corpus.select(doc).crossJoin(whole).join(scored, ["query_id", doc], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    else:
+        scored = scored.join(whole, "query_id")
+    scored = scored.withColumn("score", F.round(F.col("s") + F.col("every"), 6)).filter("score > 0")
     return top_k(scored.select("query_id", doc, "score"), k, doc)
 
 
-def top_k(scored: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
-    """The ``k`` best rows of each query with ``rank`` from 1; equal scores by ``doc``."""
+def top_k(scored: DataFrame, k: int | None, doc: str = "doc_id") -> DataFrame:
+    """The ``k`` best rows of each query with ``rank`` from 1, all without ``k``; equal scores by ``doc``."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(doc))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def normalise(vector: str | Column) -> Column:
@@ -93,41 +100,38 @@ def normalise(vector: str | Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, vector_id: str = "vec_id", block: int = 1024) -> DataFrame:
-    """(query_id, vector_id, score, rank): the ``k`` nearest by dot product for each query, no floor.
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int | None, vector_id: str = "vec_id", block: int = 1024) -> DataFrame:
+    """(query_id, vector_id, score, rank): the ``k`` nearest by dot product for each query, all without ``k``; no floor.
 
     ``queries`` (query_id, vector) are a stated set of vectors; they go in
-    blocks to each partition of ``vectors`` (vector_id, embedding), which keeps
-    its own best ``k``, and those are ranked again.
+    blocks to each batch of ``vectors`` (vector_id, embedding), which keeps its
+    own best ``k``, and those are ranked again. Null vectors are left out.
     """
     spark = vectors.sparkSession
-    n = queries.count()
-    frames = [queries] if n <= block else queries.randomSplit([1.0] * -(-n // block), seed=1)
-    parts = []
-    for frame in frames:
-        rows = frame.collect()  # at most about ``block`` query vectors
-        ids = [r["query_id"] for r in rows]
-        if not ids:
-            continue
-        sent = spark.sparkContext.broadcast(np.array([r["vector"] for r in rows], dtype=np.float64))
-
-        def near(batches: Iterator[pd.DataFrame], ids=ids, sent=sent) -> Iterator[pd.DataFrame]:
-            q = sent.value
-            for pdf in batches:
-                if len(pdf):
-                    s = np.round(np.stack(pdf["embedding"].to_numpy()).astype(np.float64) @ q.T, 9)
-                    own = pdf[vector_id].to_numpy()
-                    for j, qid in enumerate(ids):
-                        best = np.lexsort((own, -s[:, j]))[:k]
-                        yield pd.DataFrame({"query_id": qid, vector_id: own[best], "score": s[best, j]})
-
-        parts.append(vectors.select(vector_id, "embedding").mapInPandas(near, f"query_id long, {vector_id} long, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, {vector_id} long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, k, vector_id)
+    queries = queries.filter("vector is not null")
+    rows = queries.orderBy("query_id").toLocalIterator()
+    blocks: list = []
+    while some := list(islice(rows, block)):  # a block of query vectors at a time
+        ids = np.array([r["query_id"] for r in some], np.int64)
+        blocks.append(spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in some], dtype=np.float64))))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(batch.column("embedding").to_pylist(), np.float64)
+            own = batch.column(vector_id).to_numpy()
+            for sent in blocks:
+                ids, q = sent.value
+                s = np.round(q @ x.T, 9)
+                n = len(own) if k is None else min(k, len(own))
+                # of equal scores the least id: a stable sort of columns that are ordered by id
+                by_id = np.argsort(own, kind="stable")
+                best = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :n]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(s, best, axis=1).ravel())], names=["query_id", vector_id, "score"])
+
+    found = vectors.select(F.col(vector_id).cast("long").alias(vector_id), "embedding").filter("embedding is not null")
+    return top_k(found.mapInArrow(near, f"query_id long, {vector_id} long, score double"), k, vector_id)
 
 
 def rrf(lists: list[DataFrame], k: int, doc: str = "doc_id") -> DataFrame:
@@ -170,6 +174,38 @@ def vector_check(vectors: DataFrame, known: DataFrame, vector_id: str, size: int
     return vectors.agg(F.count("*").alias("vectors"), F.count_if(wrong).alias("wrong_size"), F.count_if(bad).alias("not_finite"), F.bit_xor(F.xxhash64(vector_id, "embedding")).alias("digest")).crossJoin(orphan)
 
 
+def current_evidence(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, notice_id, version_id, rank): the identities that a search of current versions lists, best first.
+
+    ``lexical`` and ``dense`` are full ranked lists of (query_id, chunk_id,
+    rank); they are fused over the chunks of latest versions by their ranks
+    among all chunks, the ``k`` best are kept, and the first of each identity
+    counts. ``chunks``: chunk_id, notice_id, version_id, is_latest.
+    """
+    fused = rrf_current([lexical, dense], chunks.filter("is_latest"), k, "chunk_id")
+    named = fused.join(chunks.select("chunk_id", "notice_id", "version_id"), "chunk_id")
+    return collapse_identity(named, ["notice_id", "version_id"]).select("query_id", "notice_id", "version_id", "rank")
+
+
+def _candidates(n: DataFrame, q: DataFrame) -> DataFrame:
+    """(query_id, notice_id) of notices that share a word with the query or could hold one of its phrases, by joins on words.
+
+    A phrase may begin within a word: its first word is then the end of that
+    word, or, if it has no other, any part of it. So it is looked up among the
+    parts of the distinct words.
+    """
+    word = n.select("notice_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "category", "body"), " "))).alias("word")).filter("word != ''")
+    known = word.select("word").distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word")))
+    parts = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.left(e, i)))))
+    phrase = q.select("query_id", F.explode(F.array_union(F.array("q"), "syn")).alias("p")).filter("p != ''")
+    phrase = phrase.select("query_id", F.substring_index("p", " ", 1).alias("part"), F.contains("p", F.lit(" ")).alias("more"))
+    inside = known.select("word", F.explode(parts).alias("part")).withColumn("last", F.endswith("word", F.col("part")))
+    by_part = inside.join(phrase, "part").filter("last or not more").select("query_id", "word")
+    by_word = q.select("query_id", F.explode("qt").alias("word"))
+    return word.join(by_word.unionByName(by_part).distinct(), "word").select("query_id", "notice_id").distinct()
+
+
 def lexical_rank(notices: DataFrame, queries: DataFrame, limit: int = 10, least: int = 40, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(query_id, notice_id, score, reasons, rank) of notices (notice_id, title, category, text) by folded wording.
 
@@ -177,21 +213,23 @@ def lexical_rank(notices: DataFrame, queries: DataFrame, limit: int = 10, least:
     words are title words; 15 for each category word, 20 for each title word;
     30 for the phrase or a synonym in the text, else 5 for each word there.
     Rows below ``least`` are dropped; ties by title, then id. Only notices that
-    share a word with the query's folded text, or hold a phrase, can reach it;
-    queries are few against many notices and are broadcast if small.
+    share a word with the query, or hold a phrase, can reach it: they are found
+    by joins on words, and scored.
     """
     q = queries.select("query_id", fold_vietnamese("text").alias("q")).filter("q != ''").withColumn("qt", F.array_distinct(F.split("q", " ")))
     table = F.create_map(*[x for k, v in (synonyms or {"": ()}).items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     q = q.withColumn("syn", F.coalesce(F.try_element_at(table, F.col("q")), F.expr("cast(array() as array<string>)")))
     n = notices.select("notice_id", fold_vietnamese("title").alias("title"), fold_vietnamese("category").alias("category"), fold_vietnamese("text").alias("body"))
-    p = n.join(q, F.contains("title", F.col("q")) | F.contains("body", F.col("q")) | F.arrays_overlap(F.split("title", " "), F.col("qt")) | F.arrays_overlap(F.split("category", " "), F.col("qt")) | F.arrays_overlap(F.split("body", " "), F.col("qt")) | F.exists("syn", lambda s: F.contains(F.col("title"), s) | F.contains(F.col("body"), s)))
+    p = _candidates(n, q).join(n, "notice_id").join(q, "query_id")
     hits = lambda c: F.size(F.array_intersect("qt", F.split(c, " ")))
-    phrase, syn_title = F.contains("title", F.col("q")), F.exists("syn", lambda s: F.contains(F.col("title"), s))
-    in_body = F.contains("body", F.col("q")) | F.exists("syn", lambda s: F.contains(F.col("body"), s))
-    all_title = hits("title") == F.size("qt")
-    score = F.when(phrase, 100).when(syn_title, 80).otherwise(0) + F.when(all_title, 50).otherwise(0) + 15 * hits("category") + 20 * hits("title") + F.when(in_body, 30).otherwise(5 * hits("body"))
-    some_title = F.when((hits("title") > 0) & ~(phrase | syn_title | all_title), "title words")
-    reasons = F.array_compact(F.array(F.when(phrase, "title phrase").when(syn_title, "title synonym"), F.when(all_title, "all title words"), F.when(hits("category") > 0, "category"), some_title, F.when(in_body, "text phrase").when(hits("body") > 0, "text words")))
+    p = p.withColumns({
+        "phrase": F.contains("title", F.col("q")), "syn_title": F.exists("syn", lambda s: F.contains(F.col("title"), s)), "in_title": hits("title"), "in_category": hits("category"),
+        "phrase_body": F.contains("body", F.col("q")) | F.exists("syn", lambda s: F.contains(F.col("body"), s)), "in_body": hits("body")})
+    c = F.col
+    all_title = c("in_title") == F.size("qt")
+    score = F.when(c("phrase"), 100).when(c("syn_title"), 80).otherwise(0) + F.when(all_title, 50).otherwise(0) + 15 * c("in_category") + 20 * c("in_title") + F.when(c("phrase_body"), 30).otherwise(5 * c("in_body"))
+    some_title = F.when((c("in_title") > 0) & ~(c("phrase") | c("syn_title") | all_title), "title words")
+    reasons = F.array_compact(F.array(F.when(c("phrase"), "title phrase").when(c("syn_title"), "title synonym"), F.when(all_title, "all title words"), F.when(c("in_category") > 0, "category"), some_title, F.when(c("phrase_body"), "text phrase").when(c("in_body") > 0, "text words")))
     rows = p.select("query_id", "notice_id", "title", score.alias("score"), reasons.alias("reasons")).filter(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "title", "notice_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("title")

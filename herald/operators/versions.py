@@ -21,10 +21,23 @@ def content_hash(title: Column, published: Column, text: Column, attachments: Co
     return F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256)
 
 
-def resolve_identity(obs: DataFrame, domain: str = "", id_pattern: str = r"(?i)/id/(\d+)(?:/|$)", namespace: str = "notice") -> DataFrame:
-    """``obs`` with ``normalized_url``, ``official_id`` and ``notice_key``: the official id if there is one, else the normalized URL."""
-    out = obs.withColumns({"normalized_url": normalize_url("canonical_url", domain), "official_id": notice_id("canonical_url", domain, id_pattern, namespace) if domain else F.lit(None).cast("string")})
-    return out.withColumn("notice_key", F.coalesce("official_id", "normalized_url"))
+def resolve_identity(obs: DataFrame, domain: str, id_pattern: str = r"(?i)/id/(\d+)(?:/|$)", namespace: str = "notice", order: tuple[str, ...] = ("observed_at",), shared: Column | None = None) -> DataFrame:
+    """``obs`` with ``normalized_url`` and ``notice_key``, the normalized URL that the notice was first seen by.
+
+    A URL that was seen before names its notice. A new one belongs to the
+    notice whose own URL has the same official id, the first of these, if there
+    is one; else it is a new notice. ``shared`` is the official id that an
+    observation by a URL without one claims. URLs are summed up once each, so
+    the observations are shuffled by URL only.
+    """
+    own = notice_id("canonical_url", domain, id_pattern, namespace)
+    seen = obs.withColumn("normalized_url", normalize_url("canonical_url", domain))
+    first = F.struct(*order, own.alias("own"), F.coalesce(own, shared if shared is not None else F.lit(None).cast("string")).alias("id"))
+    urls = seen.groupBy("normalized_url").agg(F.min(first).alias("f")).select("normalized_url", F.struct(*[F.col(f"f.{c}") for c in order], "normalized_url").alias("at"), "f.own", "f.id")
+    anchor = urls.filter("own is not null").groupBy("own").agg(F.min("at").alias("anchor")).withColumnRenamed("own", "__own")
+    placed = urls.join(anchor, F.col("id") == F.col("__own"), "left")
+    key = F.when(F.col("anchor") < F.col("at"), F.col("anchor.normalized_url")).otherwise(F.col("normalized_url"))
+    return seen.join(placed.select("normalized_url", key.alias("notice_key")), "normalized_url").select(*obs.columns, "normalized_url", "notice_key")
 
 
 def classify_changes(obs: DataFrame, key: str = "notice_key", url: str = "normalized_url", order: tuple[str, ...] = ("observed_at",)) -> DataFrame:
@@ -32,19 +45,31 @@ def classify_changes(obs: DataFrame, key: str = "notice_key", url: str = "normal
 
     The first URL seen of a notice is its own. What comes by another URL of
     the same notice is a DUPLICATE whatever it holds. Others are compared with
-    the one before: the same content, or one that differs by badges in the
-    earlier title only, is UNCHANGED.
+    the notice's head: the same content is UNCHANGED, and so is one that only
+    lacks the badges of the head's title; the head then keeps its title.
+
+    As long as nothing but badges changes, the head is the last observation
+    with badges, or the first one if none has any. So windows within such runs
+    tell what a fold over the observations would.
     """
     by = Window.partitionBy(key).orderBy(*order)
     own = F.first(url).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = obs.withColumn("__dup", ~F.col(url).eqNullSafe(own))
+    badged, plain = F.lit(False), F.col("content_hash")
+    if "title" in obs.columns:
+        badged = ~clean_title("title").eqNullSafe(clean_text("title"))
+        have = lambda c, kind: F.col(c) if c in obs.columns else F.lit(None).cast(kind)
+        rest = content_hash(clean_title("title"), have("publication_date", "string"), have("raw_text", "string"), have("attachments", "array<string>"))
+        plain = rest if "raw_text" in obs.columns else plain
+    marked = marked.withColumns({"__badged": badged, "__plain": plain})
     line = Window.partitionBy(key, "__dup").orderBy(*order)
-    before = F.lag("content_hash").over(line)
-    badge = F.lit(False)
-    if {"title", "raw_text"} <= set(obs.columns):
-        badge = (clean_title(F.lag("title").over(line)) == clean_text("title")) & F.lag("raw_text").over(line).eqNullSafe(F.col("raw_text"))
-    outcome = F.when(F.col("__dup"), "DUPLICATE").when(F.row_number().over(line) == 1, "CREATED").when(before.eqNullSafe(F.col("content_hash")) | F.coalesce(badge, F.lit(False)), "UNCHANGED").otherwise("UPDATED")
-    return marked.withColumn("outcome", outcome).drop("__dup")
+    marked = marked.withColumns({"__n": F.row_number().over(line), "__same": F.col("__plain").eqNullSafe(F.lag("__plain").over(line)) & (F.row_number().over(line) > 1)})
+    marked = marked.withColumn("__run", F.sum(F.when(F.col("__same"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    earlier = Window.partitionBy(key, "__dup", "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    head = F.last(F.when(F.col("__badged"), F.col("content_hash")), ignorenulls=True).over(earlier)
+    kept = F.col("__same") & (~F.col("__badged") | head.eqNullSafe(F.col("content_hash")))
+    outcome = F.when(F.col("__dup"), "DUPLICATE").when(F.col("__n") == 1, "CREATED").when(kept, "UNCHANGED").otherwise("UPDATED")
+    return marked.withColumn("outcome", outcome).select(*obs.columns, "outcome")
 
 
 def versions(classified: DataFrame, key: str = "notice_key") -> DataFrame:
@@ -53,11 +78,11 @@ def versions(classified: DataFrame, key: str = "notice_key") -> DataFrame:
 
 
 def heads(classified: DataFrame, key: str = "notice_key", order: tuple[str, ...] = ("observed_at",)) -> DataFrame:
-    """(key, first_observed_at, last_observed_at, current_content_hash): the state after all observations but duplicates."""
+    """(key, first_observed_at, last_observed_at, current_content_hash) after all observations but duplicates; with title and date where observations have them."""
     live = classified.filter("outcome != 'DUPLICATE'")
-    rank = F.struct(*order)
-    changed = F.when(F.col("outcome") != "UNCHANGED", rank)
-    return live.groupBy(key).agg(F.min("observed_at").alias("first_observed_at"), F.max("observed_at").alias("last_observed_at"), F.max_by("content_hash", changed).alias("current_content_hash"))
+    changed = F.when(F.col("outcome") != "UNCHANGED", F.struct(*order))
+    more = [F.max_by(F.struct(c), changed)[c].alias(c) for c in ("title", "publication_date") if c in classified.columns]
+    return live.groupBy(key).agg(F.min("observed_at").alias("first_observed_at"), F.max("observed_at").alias("last_observed_at"), F.max_by("content_hash", changed).alias("current_content_hash"), *more)
 
 
 def discoveries(obs: DataFrame, key: str = "notice_key") -> DataFrame:
@@ -99,6 +124,12 @@ def notice_catalog(notices: DataFrame, sources: DataFrame, reviewed: DataFrame)
     return notices.join(sources, "source_id").join(has, "notice_id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
+def notice_detail(head: DataFrame, version: DataFrame, notice: Column, key: str = "notice_key", version_id: str = "version_id") -> DataFrame:
+    """The head of one notice with its newest version; no row for an unknown notice. The filter reaches both scans."""
+    one = F.col(key) == notice
+    return head.filter(one).join(newest_versions(version.filter(one), key, version_id), key, "left")
+
+
 def append_only(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``table`` and the rows of ``new`` whose key it lacks, one for each key."""
     return table.unionByName(new.dropDuplicates(key).join(table.select(*key), key, "left_anti"))

@@ -70,14 +70,14 @@ def parse_values(spark, sf_dir):
 
 
 def temporal_validity(spark, sf_dir):
-    """Versions by user and event type; lineitems as relations between notices."""
+    """Versions by user and event type; all lineitems as relations, to a version or to all of a notice."""
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("notice_id"), "event_type").agg(F.min("event_id").alias("version_id"), F.max("event_id").alias("last"))
     top = e.groupBy("notice_id").agg(F.max("last").alias("m"))
     versions = e.join(top, "notice_id").select("notice_id", "version_id", (F.col("last") == F.col("m")).alias("is_latest"))
     li = table(spark, sf_dir, "lineitem")
     relation = li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relation_id"), (F.col("l_partkey") % 1000).alias("target_notice_id"), F.lit(None).cast("long").alias("target_version_id"),
-        F.when(F.col("l_returnflag") == "R", "supersedes").when(F.col("l_returnflag") == "A", "related").otherwise("amends").alias("relation_type"), F.when(F.col("l_linestatus") == "O", "Reviewed").otherwise("model").alias("provenance")).filter("relation_id % 97 = 0")
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relation_id"), (F.col("l_partkey") % 1000).alias("target_notice_id"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_orderkey")).alias("target_version_id"),
+        F.when(F.col("l_returnflag") == "R", "supersedes").when(F.col("l_returnflag") == "A", "related").otherwise("amends").alias("relation_type"), F.when(F.col("l_linestatus") == "O", "Reviewed").otherwise("model").alias("provenance"))
     return V.temporal_validity(versions, relation)
 
 
@@ -94,8 +94,8 @@ v AS (
 g AS (
   SELECT *, CASE WHEN id % 11 = 0 AND raw = 'VERIFIED' THEN 'PARTIALLY_VERIFIED' WHEN id % 11 = 0 AND raw = 'CONFLICT' THEN 'INSUFFICIENT_EVIDENCE' ELSE raw END AS verdict FROM v)
 """
-#: The second block of each message is a claim without any supported field.
-_MESSAGE = "CASE verdict WHEN 'CONFLICT' THEN 'CONFLICT' WHEN 'VERIFIED' THEN 'PARTIALLY_VERIFIED' WHEN 'PARTIALLY_VERIFIED' THEN 'PARTIALLY_VERIFIED' ELSE 'INSUFFICIENT_EVIDENCE' END"
+#: The second block of messages of even keys is a claim without any supported field.
+_MESSAGE = "CASE verdict WHEN 'CONFLICT' THEN 'CONFLICT' WHEN 'VERIFIED' THEN CASE WHEN id % 2 = 0 THEN 'PARTIALLY_VERIFIED' ELSE 'VERIFIED' END WHEN 'PARTIALLY_VERIFIED' THEN 'PARTIALLY_VERIFIED' ELSE 'INSUFFICIENT_EVIDENCE' END"
 _TEXT = _BASE + """,
 t AS (
   SELECT id, way, kind,
@@ -105,20 +105,20 @@ t AS (
     'Thông báo số ' || id AS b, due, cost FROM n)
 """
 SQL = {
-    "verify_messages": _CLAIMS + f"SELECT id AS message_id, 2::BIGINT AS n_claims, {_MESSAGE} AS verdict FROM g",
+    "verify_messages": _CLAIMS + f"SELECT id AS message_id, (2 - id % 2)::BIGINT AS n_claims, {_MESSAGE} AS verdict FROM g",
     "claim_verdicts": _CLAIMS + """
 SELECT id AS message_id, 0::BIGINT AS claim_ix, verdict, CASE WHEN a IS NULL THEN 'NO_OFFICIAL_FIELD' END AS abstention_reason, a AS action_state, d AS deadline_state, m AS amount_state FROM g
-UNION ALL SELECT id, 1, 'ABSTAINED', 'UNSUPPORTED_CLAIM_FIELD', NULL, NULL, NULL FROM g""",
+UNION ALL SELECT id, 1, 'ABSTAINED', 'UNSUPPORTED_CLAIM_FIELD', NULL, NULL, NULL FROM g WHERE id % 2 = 0""",
     "evidence_shown": _CLAIMS + """
-SELECT id AS message_id, 0::BIGINT AS claim_ix, CASE verdict WHEN 'ABSTAINED' THEN 'INSUFFICIENT_EVIDENCE' ELSE verdict END AS public_verdict, verdict <> 'ABSTAINED' AS evidence_visible, false AS verified_primary FROM g
-UNION ALL SELECT id, 1, 'INSUFFICIENT_EVIDENCE', false, false FROM g""",
+SELECT id AS message_id, 0::BIGINT AS claim_ix, CASE verdict WHEN 'ABSTAINED' THEN 'INSUFFICIENT_EVIDENCE' ELSE verdict END AS public_verdict, verdict <> 'ABSTAINED' AS evidence_visible, verdict = 'VERIFIED' AND id % 2 = 1 AS verified_primary FROM g
+UNION ALL SELECT id, 1, 'INSUFFICIENT_EVIDENCE', false, false FROM g WHERE id % 2 = 0""",
     "verdict_distribution": _CLAIMS + f"""
 , d(verdict) AS (VALUES ('VERIFIED'), ('PARTIALLY_VERIFIED'), ('CONFLICT'), ('INSUFFICIENT_EVIDENCE')),
 k AS (SELECT {_MESSAGE} AS verdict, count(*) AS n FROM g GROUP BY 1)
 SELECT verdict, coalesce(n, 0)::BIGINT AS n FROM d LEFT JOIN k USING (verdict)""",
     "segment_claims": _TEXT + """
 SELECT id AS message_id, 0::BIGINT AS claim_ix, 0::BIGINT AS start_char, length(a)::BIGINT AS end_char, a AS text FROM t
-UNION ALL SELECT id, 1, length(a) + 2, length(a) + 2 + length(b), b FROM t""",
+UNION ALL SELECT id, 1, length(a) + 2, length(a) + 2 + length(b), b FROM t WHERE id % 2 = 0""",
     "segment_conversations": r"""
 WITH m AS (SELECT conv_id || ':' || turn AS message_id, text, CASE WHEN contains(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) THEN [text] ELSE regexp_split_to_array(text, '\.\s+|[!?]+') END AS parts FROM conversations),
 c AS (SELECT message_id, unnest(list_filter(list_transform(parts, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS c FROM m)
@@ -139,9 +139,8 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE strftime(o_orderd
     "temporal_validity": """
 WITH e AS (SELECT user_id AS notice_id, event_type, min(event_id) AS version_id, max(event_id) AS last FROM events GROUP BY 1, 2),
 v AS (SELECT notice_id, version_id, last = max(last) OVER (PARTITION BY notice_id) AS is_latest FROM e),
-r AS (SELECT l_partkey % 1000 AS notice_id, l_orderkey * 10 + l_linenumber AS relation_id, l_linestatus = 'O' AS confirmed FROM lineitem
-      WHERE (l_orderkey * 10 + l_linenumber) % 97 = 0 AND l_returnflag <> 'A'),
-f AS (SELECT notice_id, arg_min(confirmed, relation_id) AS confirmed FROM (SELECT notice_id, relation_id, bool_or(confirmed) AS confirmed FROM r GROUP BY 1, 2) GROUP BY 1)
-SELECT v.notice_id, version_id, CASE WHEN NOT is_latest OR confirmed THEN 'SUPERSEDED_OUTDATED' WHEN f.notice_id IS NOT NULL THEN 'UNKNOWN' ELSE 'CURRENT' END AS validity
-FROM v LEFT JOIN f ON v.notice_id = f.notice_id""",
+r AS (SELECT l_partkey % 1000 AS notice_id, CASE WHEN l_linenumber % 2 = 1 THEN l_orderkey END AS target, l_orderkey * 10 + l_linenumber AS relation_id, l_linestatus = 'O' AS confirmed FROM lineitem WHERE l_returnflag <> 'A'),
+f AS (SELECT v.notice_id, v.version_id, arg_min(confirmed, (relation_id, confirmed)) AS confirmed FROM v JOIN r ON v.notice_id = r.notice_id AND (target IS NULL OR target = v.version_id) GROUP BY 1, 2)
+SELECT v.notice_id, v.version_id, CASE WHEN NOT is_latest OR confirmed THEN 'SUPERSEDED_OUTDATED' WHEN f.notice_id IS NOT NULL THEN 'UNKNOWN' ELSE 'CURRENT' END AS validity
+FROM v LEFT JOIN f ON v.notice_id = f.notice_id AND v.version_id = f.version_id""",
 }

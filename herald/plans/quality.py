@@ -12,22 +12,49 @@ from herald.sources import files, pages, registry
 
 
 # --- pages and sources ---
+def _dated_pages(spark, sf_dir):
+    """All pages; two of three get a dated notice with attachments, in some the text too short, before their own content."""
+    i = F.col("page_id")
+    at = F.date_format(F.make_timestamp(F.lit(2026), (i % 12 + 1).cast("int"), (i % 28 + 1).cast("int"), (i % 24).cast("int"), (i % 60).cast("int"), F.lit(0)), "dd/MM/yyyy HH:mm")
+    body = F.when(i % 3 == 1, F.concat(F.lit("<p>Thông báo  số "), i.cast("string"), F.lit(" gửi sinh viên.</p><p>Sinh viên xem tệp.</p><p>Sinh viên xem tệp.</p>"))).otherwise(F.lit("<p>Ngắn</p>"))
+    head = F.concat(F.lit("<h1>Trang</h1><h2>Tin "), i.cast("string"), F.when(i % 2 == 0, " <b>Hot</b>").otherwise(""), F.lit("</h2><span>"), at, F.lit("</span>"))
+    files = F.concat(F.lit('<a href="/f/'), i.cast("string"), F.lit('.PDF?x=1"></a><a href="/f/a.html"></a><iframe src="https://drive.google.com/f'), i.cast("string"), F.lit('"></iframe><script>no()</script><div>Các thông tin khác</div><p>Nicht mehr.</p>'))
+    return table(spark, sf_dir, "pages").withColumn("html", F.when(i % 3 == 0, F.col("html")).otherwise(F.concat(head, body, files, F.coalesce("html", F.lit("")))))
+
+
 def page_notices(spark, sf_dir):
-    """Titles and links of all pages; none has a dated text, so all are title-only."""
-    n = pages.parse_notices(table(spark, sf_dir, "pages"))
-    return n.select("page_id", "parse_mode", F.size("links").cast("long").alias("links"), F.size("attachments").cast("long").alias("attachments"))
+    """Notices of all pages: title, date, text, attachments, and the number of links."""
+    n = pages.parse_notices(_dated_pages(spark, sf_dir))
+    return n.filter("page_id % 3 != 0").select("page_id", "title", F.date_format("publication_date", "yyyy-MM-dd HH:mm").alias("published_utc"), "raw_text", "parse_mode", F.size("links").cast("long").alias("links"), F.array_join(F.transform("attachments", lambda a: F.regexp_replace(a, "^https?://[^/]*", "")), " ").alias("attachments")).unionByName(
+        n.filter("page_id % 3 = 0").select("page_id", F.md5("title").alias("title"), F.date_format("publication_date", "yyyy-MM-dd HH:mm").alias("published_utc"), (F.col("title") == F.col("raw_text")).cast("string").alias("raw_text"), "parse_mode", F.size("links").cast("long").alias("links"), F.array_join("attachments", " ").alias("attachments")))
 
 
 def page_links(spark, sf_dir):
-    """Distinct links of each page to its own host's root words."""
+    """Distinct links of each page, all of them on its own host."""
     n = pages.parse_notices(table(spark, sf_dir, "pages"))
     return n.select("page_id", F.explode(F.array_distinct("links")).alias("link")).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
+def discovered_links(spark, sf_dir):
+    """Official notice links of pages that list one of every kind: double, relative, foreign and no notice; at most two a page."""
+    i = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<a href="/Thongbao/id/'), i, F.lit('">a</a><a href="https://notices.example/thongbao/ID/7'), i, F.lit('">b</a><a href="/Thongbao/id/'), i, F.lit('">c</a><a href="https://other.example/Thongbao/id/1">d</a><a href="/x">e</a><a href="https://sub.notices.example/Thongbao/id/3">f</a>'))
+    n = pages.parse_notices(table(spark, sf_dir, "pages").select("page_id", F.lit("https://notices.example/list").alias("url"), html.alias("html")))
+    return pages.discover_links(n, "notices.example", limit=2).select("page_id", "link", "external_id", F.col("position").cast("long").alias("position"))
+
+
 def page_text(spark, sf_dir):
+    """Title and visible text of pages; every ninth is of a media type that is not read."""
     p = table(spark, sf_dir, "pages").withColumn("media_type", F.when(F.col("page_id") % 9 == 0, "application/pdf").otherwise("text/html; charset=utf-8"))
-    v = pages.visible_text(p)
-    return v.select("page_id", "title", "status")
+    return pages.visible_text(p).select("page_id", "title", F.md5("text").alias("text_md5"), "status")
+
+
+def listing_gate(spark, sf_dir):
+    """Listings without their expected marker as dead letters."""
+    p = table(spark, sf_dir, "pages").withColumn("source_id", F.col("page_id") % 5)
+    good, bad = pages.marker_gate(p, F.when(F.col("page_id") % 2 == 0, F.lit("<ARTICLE>")).otherwise(F.lit("<nav>")))
+    letters = pages.dead_letters(bad, "listing", "MARKER_MISSING", F.lit("expected marker absent"), F.lit("2026-01-01"))
+    return letters.select("source_id", "url", "stage", "error_type", "message", "failed_at").unionByName(good.select("source_id", "url", F.lit("parsed").alias("stage"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("failed_at")))
 
 
 def source_upsert(spark, sf_dir):
@@ -50,25 +77,30 @@ def source_health(spark, sf_dir):
 
 
 def dataset_fingerprint(spark, sf_dir):
-    d = files.fingerprint(table(spark, sf_dir, "documents"))
-    return d.select(F.col("rows"), (F.length("digest") > 0).alias("has_digest"))
+    return files.fingerprint(table(spark, sf_dir, "documents"))
 
 
 # --- annotations ---
 def _spans(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     raw = F.concat(F.lit("hạn "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority"))
-    return o.select(F.col("o_orderkey").alias("notice_id"), F.concat(F.lit("e"), (F.col("o_orderkey") % 2).cast("string")).alias("evidence_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"), F.lit(4).alias("start_char"), F.when(F.col("o_orderkey") % 17 == 0, 13).otherwise(14).alias("end_char"), raw.alias("raw_text"))
+    return o.select(F.col("o_orderkey").alias("notice_id"), F.concat(F.lit("e"), (F.col("o_orderkey") % 2).cast("string")).alias("evidence_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"), F.lit(4).alias("start_char"), F.when(F.col("o_orderkey") % 29 == 0, None).when(F.col("o_orderkey") % 17 == 0, 13).otherwise(14).alias("end_char"), raw.alias("raw_text"))
 
 
 def annotation_violations(spark, sf_dir):
+    """Every broken rule of annotations of all orders, each rule broken by some."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    deadline = F.when(F.col("o_orderkey") % 19 == 0, "2026-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    obligations = o.select(F.col("o_orderkey").alias("notice_id"), (F.col("o_custkey") % 3).alias("obligation_id"), deadline.alias("deadline"), F.lit("date").alias("precision"), F.lit(None).cast("string").alias("timezone"), F.when(F.col("o_orderkey") % 23 == 0, -1).otherwise(F.floor("o_totalprice")).alias("amount"))
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    deadline = F.when(k % 2 == 1, F.concat(day, F.when(k % 3 == 0, "T10:00:00").otherwise("T10:00:00+07:00"))).when(k % 19 == 0, "2026-02-30").otherwise(day)
+    again = lambda df, n: df.unionByName(df.filter(F.col("notice_id") % n == 0))
+    obligations = o.select(
+        k.alias("notice_id"), (F.col("o_custkey") % 3).alias("obligation_id"), deadline.alias("deadline"), F.when(k % 2 == 1, "datetime").otherwise("date").alias("precision"), F.lit(None).cast("string").alias("timezone"),
+        F.when(k % 23 == 0, -1).otherwise(F.floor("o_totalprice")).alias("amount"), F.lit("2026-01-02").alias("event_start"), F.when(k % 41 == 0, "2026-01-01").otherwise("2026-01-03").alias("event_end"))
     uses = li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").alias("obligation_id"), F.concat(F.lit("e"), (F.col("l_linenumber") % 2).cast("string")).alias("evidence_id"))
     relations = li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_suppkey").alias("target_notice_id"))
-    v = G.annotation_violations(_spans(spark, sf_dir), obligations, uses, relations)
-    return v.groupBy("rule").agg(F.count("*").alias("n"))
+    v = G.annotation_violations(again(_spans(spark, sf_dir), 31), again(obligations, 37), uses, relations)
+    return v.select("notice_id", "rule", "item").distinct()
 
 
 def review_batch(spark, sf_dir):
@@ -88,7 +120,7 @@ def promote_drafts(spark, sf_dir):
 def gold_pack(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     obligations = li.select(F.col("l_orderkey").alias("notice_id"), F.lit(1).alias("version_id"), F.col("l_linenumber").cast("long").alias("obligation_id"), F.when(F.col("l_returnflag") == "R", "REVIEWED").otherwise("DRAFT").alias("annotation_status"))
-    return G.gold_pack(o.select(F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id")), obligations).groupBy("state").agg(F.count("*").alias("n"))
+    return G.gold_pack(o.select(F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id")), obligations).select("notice_id", "obligation_id", "state")
 
 
 def field_support(spark, sf_dir):
@@ -98,33 +130,42 @@ def field_support(spark, sf_dir):
 
 # --- obligations ---
 def _notices(spark, sf_dir):
-    """A notice for each order: one payment or submission with deadline, amount and place."""
+    """A notice for each order: a payment or a registration with deadline, amount and place, and then something to look up."""
     o = table(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Tất cả sinh viên nộp học phí "), (F.col("o_orderkey") % 900 + 100).cast("string"), F.lit(".000 đồng trước 17h30 "), day, F.lit(". Địa điểm: Phòng A"), (F.col("o_orderkey") % 9).cast("string"))).otherwise(
-        F.concat(F.lit("Sinh viên khóa 2021 đăng ký học phần từ 01/01/2020 đến "), day, F.lit(", hồ sơ: CCCD; bảng điểm")))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Tất cả sinh viên nộp học phí "), (F.col("o_orderkey") % 900 + 100).cast("string"), F.lit(".000 đồng trước 17h30 "), day, F.lit(". Địa điểm: Phòng A"), (F.col("o_orderkey") % 9).cast("string"), F.lit(".\nKiểm tra thông tin."))).otherwise(
+        F.concat(F.lit("Sinh viên chính quy khóa 2021 đăng ký học phần từ 01/01/2020 đến "), day, F.lit(", hồ sơ: CCCD; bảng điểm")))
     return o.select(F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id"), text.alias("raw_text"))
 
 
 def rule_obligations(spark, sf_dir):
-    r = O.rule_extract(_notices(spark, sf_dir)).filter("ordinal = 0")
-    return r.select("notice_id", "action_type", "action_text", F.col("deadline.normalized").alias("deadline"), "amount_vnd", "location", F.array_join("documents", "|").alias("documents"), F.array_join("audience.cohorts", ",").alias("cohorts"), F.col("audience.applies_to_all_students").alias("for_all"))
+    """Every obligation that the rules find, with the audience's names."""
+    r = O.rule_extract(_notices(spark, sf_dir))
+    return r.select("notice_id", F.col("ordinal").cast("long").alias("ordinal"), F.array_join("audience.programs", "|").alias("programs"), "action_type", "action_text", F.col("deadline.normalized").alias("deadline"), "amount_vnd", "location", F.array_join("documents", "|").alias("documents"), F.array_join("audience.cohorts", ",").alias("cohorts"), F.col("audience.applies_to_all_students").alias("for_all"))
 
 
 def ground_quotes(spark, sf_dir):
-    """Quotes with other spacing and case, exact ones and foreign ones, against their document's text."""
+    """First lines as they are, with other spacing, with another last letter, and foreign quotes, against the whole text of their document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     first = F.split("text", "\n")[0]
-    quote = F.when(F.col("doc_id") % 3 == 0, first).when(F.col("doc_id") % 3 == 1, F.replace(first, F.lit(" "), F.lit("  "))).otherwise("zzz 9999")
-    rows = d.select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), F.concat(first, F.lit("\nzwei Zeilen")).alias("raw_text"))
-    return O.ground(rows).select("quote_id", F.col("grounded").isNotNull().alias("found"))
+    k = F.col("doc_id") % 4
+    quote = F.when(k == 0, first).when(k == 1, F.replace(first, F.lit(" "), F.lit("  "))).when((k == 2) & F.length(first).between(20, 150), F.concat(F.left(first, F.length(first) - 1), F.lit("\u00a4"))).when(k == 2, first).otherwise("zzz 9999")
+    return O.ground(d.select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), F.col("text").alias("raw_text"))).select("quote_id", F.md5("grounded").alias("grounded_md5"))
 
 
 def payload_errors(spark, sf_dir):
+    """Model outputs about each order, right ones and each kind of wrong one."""
     o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey") % 6
-    claim = F.when(k == 0, '{"claims":[{"claim_text":"nộp đơn","action":"nộp","action_normalized":"submit"}]}').when(k == 1, '{"claims":[{"claim_text":"nộp đơn","verdict":"VERIFIED"}]}').when(k == 2, '{"claims":[{"claim_text":"khác"}]}').when(k == 3, '{"claims":[{"claim_text":"nộp đơn","action_normalized":"fly"}]}').when(k == 4, '{"claims":[{"claim_text":"nộp đơn","deadline_raw":"30/9","deadline_normalized":"2026-09-30"}]}').otherwise('{"other":1}')
-    return O.payload_errors(o.select(F.col("o_orderkey").alias("output_id"), F.lit("Sinh viên nộp đơn trước 30/9").alias("message"), claim.alias("payload")))
+    k, n = F.col("o_orderkey") % 9, F.col("o_orderkey").cast("string")
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    message = F.concat(F.lit("Sinh viên "), n, F.lit(" nộp đơn "), F.col("o_orderpriority"), F.lit(" trước "), day)
+    base = {"claim_text": F.concat(n, F.lit(" nộp đơn")), "action": F.lit("nộp"), "action_normalized": F.lit("submit"), "deadline_raw": day, "deadline_normalized": F.date_format("o_orderdate", "yyyy-MM-dd"), "amount_value": F.lit(None).cast("string"), "audience": F.lit(None).cast("string")}
+    wrong = {1: {"claim_text": F.concat(n, F.lit(" khác"))}, 2: {"action_normalized": F.lit("fly")}, 3: {"deadline_raw": F.lit("30/9")}, 4: {"amount_value": F.lit("1.5")}, 5: {"audience": F.lit("ai đó")}, 6: {"verdict": F.lit("VERIFIED")}}
+    claim = lambda more: F.to_json(F.struct(F.array(F.struct(*[v.alias(c) for c, v in {**base, **more}.items()])).alias("claims")))
+    payload = F.when(k == 7, '{"other":1}').when(k == 8, "[")
+    for i, more in wrong.items():
+        payload = payload.when(k == i, claim(more))
+    return O.payload_errors(o.select(F.col("o_orderkey").alias("output_id"), message.alias("message"), payload.otherwise(claim({})).alias("payload")))
 
 
 # --- evaluation ---
@@ -199,15 +240,32 @@ def aligned_claims(spark, sf_dir):
 
 
 _ALL = (
-    page_notices, page_links, page_text, source_upsert, source_missing, source_health, dataset_fingerprint, annotation_violations, review_batch, promote_drafts, gold_pack, field_support, rule_obligations, ground_quotes,
+    page_notices, page_links, discovered_links, page_text, listing_gate, source_upsert, source_missing, source_health, dataset_fingerprint, annotation_violations, review_batch, promote_drafts, gold_pack, field_support, rule_obligations, ground_quotes,
     payload_errors, confusion, accuracy, atom_prf, retrieval_metrics, mutations, leakage, contained_passages, price_percentiles, change_classes, field_outcomes, aligned_claims,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _FOLD = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 SQL = {
-    "page_notices": r"SELECT page_id, 'title_only' AS parse_mode, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS links, 0::BIGINT AS attachments FROM pages",
+    "page_notices": r"""
+WITH p AS (SELECT page_id, html, make_timestamp(2026, page_id % 12 + 1, page_id % 28 + 1, page_id % 24, page_id % 60, 0) - INTERVAL 7 HOUR AS utc, len(regexp_extract_all(html, '<a [^>]*href=')) AS own,
+  replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS name FROM pages)
+SELECT page_id, 'Tin ' || page_id AS title, strftime(utc, '%Y-%m-%d %H:%M') AS published_utc,
+  CASE WHEN page_id % 3 = 1 THEN 'Thông báo số ' || page_id || ' gửi sinh viên.' || chr(10) || 'Sinh viên xem tệp.' ELSE 'Tin ' || page_id || CASE WHEN page_id % 2 = 0 THEN ' Hot' ELSE '' END END AS raw_text,
+  CASE WHEN page_id % 3 = 1 THEN 'body' ELSE 'title_only' END AS parse_mode, (own + 2)::BIGINT AS links, '/f/' || page_id || '.PDF?x=1 /f' || page_id AS attachments FROM p WHERE page_id % 3 <> 0
+UNION ALL SELECT page_id, md5(name), NULL, 'true', 'title_only', own, '' FROM p WHERE page_id % 3 = 0""",
+    "discovered_links": """
+SELECT page_id, 'https://notices.example/Thongbao/id/' || page_id AS link, page_id::VARCHAR AS external_id, 1::BIGINT AS position FROM pages
+UNION ALL SELECT page_id, 'https://notices.example/thongbao/ID/7' || page_id, '7' || page_id, 2 FROM pages""",
+    "listing_gate": """
+WITH p AS (SELECT *, contains(lower(html), CASE WHEN page_id % 2 = 0 THEN '<article>' ELSE '<nav>' END) AS ok FROM pages)
+SELECT page_id % 5 AS source_id, url, CASE WHEN ok THEN 'parsed' ELSE 'listing' END AS stage, CASE WHEN NOT ok THEN 'MARKER_MISSING' END AS error_type, CASE WHEN NOT ok THEN 'expected marker absent' END AS message, CASE WHEN NOT ok THEN '2026-01-01' END AS failed_at FROM p""",
     "page_links": r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)))::BIGINT AS links FROM pages WHERE html LIKE '%<a %'""",
-    "page_text": r"SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') END AS title, CASE WHEN page_id % 9 = 0 THEN 'UNSUPPORTED_CONTENT_TYPE' ELSE 'OK' END AS status FROM pages",
+    "page_text": r"""
+WITH p AS (SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title,
+  regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<(script|style|noscript|template)[^>]*>.*?</(script|style|noscript|template)>', ' ', 'gs') AS h FROM pages),
+t AS (SELECT page_id, title, replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM p),
+v AS (SELECT page_id, title, trim(title || ' ' || trim(regexp_replace(t, '\s+', ' ', 'g'))) AS t FROM t)
+SELECT page_id, CASE WHEN page_id % 9 <> 0 THEN title END AS title, md5(CASE WHEN page_id % 9 <> 0 THEN t[1:24000] ELSE '' END) AS text_md5, CASE WHEN page_id % 9 = 0 THEN 'UNSUPPORTED_CONTENT_TYPE' WHEN length(t) > 24000 THEN 'CONTENT_TRUNCATED' ELSE 'OK' END AS status FROM v""",
     "source_upsert": """
 WITH d AS (SELECT s_suppkey + CASE WHEN s_suppkey % 4 = 0 THEN 1000000 ELSE 0 END AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'renamed' ELSE s_name END AS name FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT coalesce(s_suppkey, d.id) AS source_id, coalesce(d.name, s_name) AS name, CASE WHEN s_suppkey IS NULL OR d.name <> s_name THEN '2026' ELSE '2020' END AS updated_at FROM supplier FULL JOIN d ON s_suppkey = d.id""",
@@ -216,29 +274,43 @@ SELECT coalesce(s_suppkey, d.id) AS source_id, coalesce(d.name, s_name) AS name,
 WITH h AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'click' THEN 'FAILED' WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'DEGRADED' WHEN 1 THEN 'DEGRADED' ELSE 'FAILED' END
   WHEN event_id % 11 = 0 OR value * 10 < 500 OR event_id % 13 = 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS health FROM events)
 SELECT user_id AS source_id, arg_max(health, (ts, event_id)) AS health_status, max(ts) AS last_checked_at, max(ts) FILTER (WHERE health = 'HEALTHY') AS last_success_at FROM h GROUP BY 1""",
-    "dataset_fingerprint": "SELECT count(*) AS rows, true AS has_digest FROM documents",
+    "dataset_fingerprint": """
+WITH r AS (SELECT md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, '\\N'), coalesce(text, '\\N'), coalesce(lang, '\\N'), coalesce(source, '\\N'), coalesce(n_chars::VARCHAR, '\\N'))) AS h FROM documents)
+SELECT count(*) AS rows, sum(('0x' || h[1:15])::BIGINT::HUGEINT)::VARCHAR AS digest FROM r""",
     "annotation_violations": """
 WITH o AS (SELECT *, 'e' || (o_orderkey % 2) AS e FROM orders), v AS (
-  SELECT 'unknown evidence_id' AS rule FROM lineitem LEFT JOIN o ON o_orderkey = l_orderkey WHERE e IS NULL OR e <> 'e' || (l_linenumber % 2)
-  UNION ALL SELECT 'text does not match offsets' FROM orders WHERE o_orderkey % 17 = 0
-  UNION ALL SELECT 'deadline is no date' FROM orders WHERE o_orderkey % 19 = 0
-  UNION ALL SELECT 'amount is negative' FROM orders WHERE o_orderkey % 23 = 0
-  UNION ALL SELECT 'relation to itself' FROM lineitem WHERE l_orderkey = l_suppkey)
-SELECT rule, count(*) AS n FROM v GROUP BY 1""",
+  SELECT l_orderkey AS notice_id, 'unknown evidence_id' AS rule, 'e' || (l_linenumber % 2) AS item FROM lineitem LEFT JOIN o ON o_orderkey = l_orderkey WHERE e IS NULL OR e <> 'e' || (l_linenumber % 2)
+  UNION ALL SELECT o_orderkey, 'text does not match offsets', e FROM o WHERE o_orderkey % 17 = 0 AND o_orderkey % 29 <> 0
+  UNION ALL SELECT o_orderkey, 'one offset only', e FROM o WHERE o_orderkey % 29 = 0
+  UNION ALL SELECT o_orderkey, 'evidence_id is not unique', e FROM o WHERE o_orderkey % 31 = 0
+  UNION ALL SELECT o_orderkey, 'obligation_id is not unique', (o_custkey % 3)::VARCHAR FROM o WHERE o_orderkey % 37 = 0
+  UNION ALL SELECT o_orderkey, 'deadline is no date', (o_custkey % 3)::VARCHAR FROM orders WHERE o_orderkey % 19 = 0 AND o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderkey, 'deadline is no time', (o_custkey % 3)::VARCHAR FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey, 'amount is negative', (o_custkey % 3)::VARCHAR FROM orders WHERE o_orderkey % 23 = 0
+  UNION ALL SELECT o_orderkey, 'event ends before it starts', (o_custkey % 3)::VARCHAR FROM orders WHERE o_orderkey % 41 = 0
+  UNION ALL SELECT l_orderkey, 'relation to itself', l_suppkey::VARCHAR FROM lineitem WHERE l_orderkey = l_suppkey)
+SELECT DISTINCT notice_id, rule, item FROM v""",
     "review_batch": """
 WITH s AS (SELECT doc_id, source, (contains(lower(text), 'the ')::INT + contains(lower(text), 'licen')::INT + contains(lower(text), 'rights')::INT + contains(lower(text), 'of ')::INT + contains(lower(text), 'und ')::INT)::BIGINT AS score FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id DESC) <= CASE source WHEN 'src1' THEN 4 WHEN 'src2' THEN 3 WHEN 'src3' THEN 3 ELSE 0 END AS q FROM s)
 SELECT doc_id AS notice_id, source AS source_id, score FROM r ORDER BY q DESC, score DESC, doc_id DESC LIMIT 10""",
     "promote_drafts": "SELECT o_orderkey AS notice_id, CASE WHEN o_orderkey % 3 = 0 THEN 'GOLD' ELSE 'REVIEWED' END AS annotation_status FROM orders WHERE o_orderkey % 3 = 0 OR (o_orderkey % 2 = 0 AND o_orderstatus = 'F' AND o_custkey % 2 = 0)",
-    "gold_pack": "SELECT CASE WHEN l_orderkey IS NULL THEN 'candidate' ELSE 'accepted' END AS state, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey GROUP BY 1",
+    "gold_pack": "SELECT o_orderkey AS notice_id, l_linenumber::BIGINT AS obligation_id, CASE WHEN l_orderkey IS NULL THEN 'candidate' ELSE 'accepted' END AS state FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey",
     "field_support": "SELECT o_orderpriority, count(*) AS obligations, count(*) FILTER (WHERE o_orderstatus = 'F') AS with_deadline, count(*) FILTER (WHERE o_totalprice > 100000) AS with_amount FROM orders GROUP BY 1",
     "rule_obligations": """
-SELECT o_orderkey AS notice_id, CASE WHEN o_orderkey % 2 = 0 THEN 'pay' ELSE 'register' END AS action_type, CASE WHEN o_orderkey % 2 = 0 THEN 'nộp học phí' ELSE 'đăng ký' END AS action_text,
+SELECT o_orderkey AS notice_id, 0::BIGINT AS ordinal, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'chính quy' END AS programs, CASE WHEN o_orderkey % 2 = 0 THEN 'pay' ELSE 'register' END AS action_type, CASE WHEN o_orderkey % 2 = 0 THEN 'nộp học phí' ELSE 'đăng ký' END AS action_text,
   CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT17:30:00+07:00') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS deadline,
   CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 900 + 100) * 1000 END AS amount_vnd, CASE WHEN o_orderkey % 2 = 0 THEN 'Phòng A' || (o_orderkey % 9) END AS location,
-  CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'CCCD|bảng điểm' END AS documents, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'K21' END AS cohorts, o_orderkey % 2 = 0 AS for_all FROM orders""",
-    "ground_quotes": "SELECT doc_id AS quote_id, doc_id % 3 <> 2 AS found FROM documents",
-    "payload_errors": "SELECT o_orderkey AS output_id, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'TRUST_VERDICT_OR_INVALID_CLAIM' WHEN 2 THEN 'UNGROUNDED_CLAIM' WHEN 3 THEN 'INVALID_ACTION' WHEN 4 THEN 'INVENTED_YEAR' ELSE 'INVALID_TOP_LEVEL_SCHEMA' END AS error FROM orders",
+  CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'CCCD|bảng điểm' END AS documents, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'K21' END AS cohorts, o_orderkey % 2 = 0 AS for_all FROM orders
+UNION ALL SELECT o_orderkey, n, '', kind, verb, CASE WHEN n = 1 THEN strftime(o_orderdate, '%Y-%m-%dT17:30:00+07:00') END, NULL, CASE WHEN n = 1 THEN 'Phòng A' || (o_orderkey % 9) END, '', '', true
+FROM orders, (VALUES (1, 'submit', 'nộp'), (2, 'check', 'Kiểm tra')) t(n, kind, verb) WHERE o_orderkey % 2 = 0""",
+    "ground_quotes": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), f AS (SELECT doc_id, ls[1] AS first FROM d)
+SELECT doc_id AS quote_id, CASE WHEN doc_id % 4 = 0 THEN md5(first) WHEN doc_id % 4 = 1 THEN md5(trim(first)) END AS grounded_md5 FROM f WHERE doc_id % 4 <> 2
+UNION ALL SELECT doc_id, md5(CASE WHEN length(first) BETWEEN 20 AND 150 THEN trim(first) ELSE first END) FROM f WHERE doc_id % 4 = 2""",
+    "payload_errors": """
+SELECT o_orderkey AS output_id, CASE o_orderkey % 9 WHEN 1 THEN 'UNGROUNDED_CLAIM' WHEN 2 THEN 'INVALID_ACTION' WHEN 3 THEN 'INVENTED_YEAR' WHEN 4 THEN 'INVALID_AMOUNT' WHEN 5 THEN 'UNGROUNDED_FIELD'
+  WHEN 6 THEN 'TRUST_VERDICT_OR_INVALID_CLAIM' WHEN 7 THEN 'INVALID_TOP_LEVEL_SCHEMA' WHEN 8 THEN 'INVALID_TOP_LEVEL_SCHEMA' END AS error FROM orders""",
     "confusion": """
 WITH d(label) AS (VALUES (0), (1), (2)), c AS (SELECT label, count(*) FILTER (WHERE quality = label AND toxic = label) AS tp, count(*) FILTER (WHERE quality <> label AND toxic = label) AS fp, count(*) FILTER (WHERE quality = label AND toxic <> label) AS fn FROM d, labels GROUP BY 1),
 s AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c)

@@ -9,6 +9,8 @@ from herald.operators import retrieval as R
 from herald.plans.tables import table
 
 _K = 5
+#: Other wordings of part names, for the lexical ranking.
+_SYNONYMS = {"red widget": ("gizmo", "plate"), "hot gear": ("old gear", "ot bolt")}
 
 
 def chunk_documents(spark, sf_dir):
@@ -43,7 +45,7 @@ def dense_topk(spark, sf_dir):
 
 
 def _by_label(spark, sf_dir, k):
-    """Another ranking of the same vectors: those of the query's label first, then by id."""
+    """Another ranking of the same vectors: those of the query's label, by id."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
     return R.top_k(e.join(F.broadcast(q), F.col("label") == F.col("own")).select("query_id", "vec_id", (-F.col("vec_id")).cast("double").alias("score")), k, "vec_id")
@@ -55,7 +57,7 @@ def rank_fusion(spark, sf_dir):
 
 def rank_fusion_current(spark, sf_dir):
     current = table(spark, sf_dir, "embeddings").filter("vec_id % 3 != 0").select("vec_id")
-    lists = [_dense(spark, sf_dir, 50), _by_label(spark, sf_dir, 50)]
+    lists = [_dense(spark, sf_dir, None), _by_label(spark, sf_dir, None)]
     return R.rrf_current(lists, current, _K, "vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -66,14 +68,18 @@ def collapse_identity(spark, sf_dir):
 
 
 def vector_check(spark, sf_dir):
+    """Vectors of which some are cut short and some hold a value that is no number."""
     e = table(spark, sf_dir, "embeddings")
-    return R.vector_check(e, e.filter("vec_id % 10 != 3").select("vec_id"), "vec_id", 64).drop("digest")
+    broken = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 17 == 0) & (i == 3), F.lit(float("nan")).cast("float")).otherwise(x))
+    v = e.select("vec_id", F.when(F.col("vec_id") % 19 == 0, F.slice("embedding", 1, 63)).otherwise(broken).alias("embedding"))
+    return R.vector_check(v, e.filter("vec_id % 10 != 3").select("vec_id"), "vec_id", 64).drop("digest")
 
 
 def lexical_rank(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("notice_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.concat_ws(" ", "p_brand", "p_name").alias("text"))
     q = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
-    return R.lexical_rank(n, q, 10).select("query_id", "notice_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    found = R.lexical_rank(n, q, 10, synonyms=_SYNONYMS)
+    return found.select("query_id", "notice_id", F.col("score").cast("long").alias("score"), F.array_join("reasons", ",").alias("reasons"), F.col("rank").cast("long").alias("rank"))
 
 
 QUERIES = {f.__name__: f for f in (chunk_documents, tokenize, bm25plus, dense_topk, rank_fusion, rank_fusion_current, collapse_identity, vector_check, lexical_rank)}
@@ -119,14 +125,19 @@ s AS (SELECT query_id, doc_id, round(sum(w * tf * 2.5::DOUBLE / (1.5::DOUBLE * (
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""",
     "dense_topk": _DENSE + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM d WHERE rank <= 5",
     "rank_fusion": _DENSE + _FUSE.format(lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE rank <= 10"),
-    "rank_fusion_current": _DENSE + _FUSE.format(lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE rank <= 50 AND vec_id % 3 <> 0 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE rank <= 50 AND vec_id % 3 <> 0"),
+    "rank_fusion_current": _DENSE + _FUSE.format(lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE vec_id % 3 <> 0 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE vec_id % 3 <> 0"),
     "collapse_identity": _DENSE + ", c AS (SELECT query_id, label, min(rank) AS first_rank FROM d WHERE rank <= 20 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS rank FROM c",
     "lexical_rank": r"""
 WITH n AS (SELECT p_partkey AS notice_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS category, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')) AS body FROM part),
 q AS (SELECT min(p_partkey) AS query_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS q FROM part GROUP BY p_name),
-h AS (SELECT *, list_distinct(string_split(q, ' ')) AS qt FROM n, q),
-s AS (SELECT query_id, notice_id, title, (CASE WHEN contains(title, q) THEN 100 ELSE 0 END + CASE WHEN len(list_intersect(qt, string_split(title, ' '))) = len(qt) THEN 50 ELSE 0 END
-  + 15 * len(list_intersect(qt, string_split(category, ' '))) + 20 * len(list_intersect(qt, string_split(title, ' '))) + CASE WHEN contains(body, q) THEN 30 ELSE 5 * len(list_intersect(qt, string_split(body, ' '))) END)::BIGINT AS score FROM h)
-SELECT query_id, notice_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, notice_id) AS rank FROM s WHERE score >= 40 QUALIFY rank <= 10""",
-    "vector_check": "SELECT count(*) AS vectors, count(*) FILTER (WHERE len(embedding) <> 64) AS wrong_size, 0::BIGINT AS not_finite, count(*) FILTER (WHERE vec_id % 10 = 3) AS orphans FROM embeddings",
+h AS (SELECT *, list_distinct(string_split(q, ' ')) AS qt, CASE q WHEN 'red widget' THEN ['gizmo', 'plate'] WHEN 'hot gear' THEN ['old gear', 'ot bolt'] ELSE [] END AS syn FROM n, q),
+m AS (
+  SELECT query_id, notice_id, title, contains(title, q) AS phrase, len(list_filter(syn, lambda x: contains(title, x))) > 0 AS syn_title, len(list_intersect(qt, string_split(title, ' '))) AS t, len(list_intersect(qt, string_split(category, ' '))) AS c,
+         contains(body, q) OR len(list_filter(syn, lambda x: contains(body, x))) > 0 AS phrase_body, len(list_intersect(qt, string_split(body, ' '))) AS b, len(list_intersect(qt, string_split(title, ' '))) = len(qt) AS every FROM h),
+s AS (
+  SELECT query_id, notice_id, title, (CASE WHEN phrase THEN 100 WHEN syn_title THEN 80 ELSE 0 END + CASE WHEN every THEN 50 ELSE 0 END + 15 * c + 20 * t + CASE WHEN phrase_body THEN 30 ELSE 5 * b END)::BIGINT AS score,
+         concat_ws(',', CASE WHEN phrase THEN 'title phrase' WHEN syn_title THEN 'title synonym' END, CASE WHEN every THEN 'all title words' END, CASE WHEN c > 0 THEN 'category' END,
+           CASE WHEN t > 0 AND NOT phrase AND NOT syn_title AND NOT every THEN 'title words' END, CASE WHEN phrase_body THEN 'text phrase' WHEN b > 0 THEN 'text words' END) AS reasons FROM m)
+SELECT query_id, notice_id, score, reasons, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, notice_id) AS rank FROM s WHERE score >= 40 QUALIFY rank <= 10""",
+    "vector_check": "SELECT count(*) AS vectors, count(*) FILTER (WHERE vec_id % 19 = 0) AS wrong_size, count(*) FILTER (WHERE vec_id % 17 = 0 AND vec_id % 19 <> 0) AS not_finite, count(*) FILTER (WHERE vec_id % 10 = 3) AS orphans FROM embeddings",
 }

@@ -25,7 +25,8 @@ def messages_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A received message about each order's obligation, changed by key modulo 5.
 
     0: as it is; 1: deadline four days later; 2: amount 500000 more; 3: a
-    deadline without year; 4: another action.
+    deadline without year; 4: another action. Messages of even keys have a
+    second claim that nothing can be compared of.
     """
     n = notices_of_orders(spark, sf_dir)
     way = F.col("notice_id") % 5
@@ -33,7 +34,7 @@ def messages_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = F.col("cost") + F.when(way == 2, 500000).otherwise(0)
     verb = F.when(way == 4, "Kiểm tra kết quả").when(F.col("kind") == "register", "Sinh viên K21 đăng ký học phần").when(F.col("kind") == "submit", "Sinh viên nộp đơn xin xác nhận").otherwise("Đóng học phí")
     pay = F.when((F.col("kind") == "pay") & (way != 4), F.concat(F.lit(" "), F.format_string("%d", cost), F.lit(" đồng"))).otherwise("")
-    text = F.concat(verb, pay, F.lit(" trước ngày "), day, F.lit("\n\nThông báo số "), F.col("notice_id").cast("string"))
+    text = F.concat(verb, pay, F.lit(" trước ngày "), day, F.when(F.col("notice_id") % 2 == 0, F.concat(F.lit("\n\nThông báo số "), F.col("notice_id").cast("string"))).otherwise(""))
     return n.select(F.col("notice_id").alias("message_id"), text.alias("text"))
 
 

@@ -40,9 +40,15 @@ def write_jsonl(df: DataFrame, path: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row: number of rows, and a digest that does not depend on their order."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum((h % 1_000_000_007).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+    """One row: number of rows, and a digest that depends on all values but not on the order of rows.
+
+    A row's values as text, nested ones as JSON, are hashed by MD5, and the
+    first 60 bits of all hashes are summed.
+    """
+    text = [F.to_json(c) if t.startswith(("array", "struct", "map")) else F.col(c).cast("string") for c, t in df.dtypes]
+    row = F.md5(F.array_join(F.array(*[F.coalesce(x, F.lit("\\N")) for x in text]), "\u001f"))
+    number = F.conv(F.left(row, F.lit(15)), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -187,3 +187,8 @@ def marker_gate(listings: DataFrame, marker: str | Column) -> tuple[DataFrame, D
     """Listings that hold their marker, in any case, and those that do not: the dead letters."""
     has = F.coalesce(F.contains(F.lower("html"), F.lower(marker if isinstance(marker, Column) else F.lit(marker))), F.lit(False))
     return listings.filter(has), listings.filter(~has)
+
+
+def dead_letters(rows: DataFrame, stage: str, error_type: str, message: Column, at: Column) -> DataFrame:
+    """What could not be taken in, for an append-only table: (source_id, url, stage, error_type, message, failed_at)."""
+    return rows.select("source_id", "url", F.lit(stage).alias("stage"), F.lit(error_type).alias("error_type"), message.cast("string").alias("message"), at.alias("failed_at"))
