@@ -25,11 +25,16 @@ LANES, LANE_BITS = 3, 40
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
-    """Each turn with its position from 1 and the hash lanes h0 h1 h2 of the prefix that ends with it."""
+    """Each turn with its position from 1 and the hash lanes h0 h1 h2 of the prefix that ends with it.
+
+    Null roles and texts count as empty, null conv_ids as one conversation, and
+    null turns come first. Turns that tie are ordered by role, then by the MD5
+    of the text. An empty table gives an empty result.
+    """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), text_of("text").alias("text"))
-    keyed = turns.withColumns({"digest": F.xxhash64("role", "text"), "one": F.lit(1).cast("long"), "chars": F.length("text").cast("long")})
+    keyed = turns.withColumns({"digest": F.md5("text"), "one": F.lit(1).cast("long"), "chars": F.length("text").cast("long")})
     order = [F.col("turn"), F.col("role"), F.col("digest")]  # no texts: range bounds are sampled to the driver
     placed = prefix_sums(keyed, ["conv_id"], order, {"one": "earlier"}).withColumn("position", F.col("earlier") + 1)
     for i in range(LANES):
@@ -39,7 +44,7 @@ def prefixes(conversations: DataFrame) -> DataFrame:
 
 
 def maximal(hashed: DataFrame) -> DataFrame:
-    """Rows (conv_id, n_turns) of the conversations to keep, from :func:`prefixes`."""
+    """Rows (conv_id, n_turns) of the conversations to keep, from :func:`prefixes`: of equal ones that of least conv_id, null last."""
     lanes = [f"h{i}" for i in range(LANES)]
     whole = hashed.groupBy("conv_id").agg(F.max(F.struct("position", *lanes)).alias("w")).select("conv_id", "w.*")
     first = whole.groupBy("position", *lanes).agg(F.min(F.struct(F.isnull("conv_id").alias("unknown"), "conv_id")).alias("c"))
@@ -54,7 +59,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """Rendered turns of the maximal conversations: conv_id, n_turns, position, rendered.
 
     The conversation's text is its ``rendered`` values by position. Turns are
-    ordered by turn, ties by role and a hash of the text; a repeated turn counts as often as
+    ordered by turn, ties by role and the MD5 of the text; a repeated turn counts as often as
     it occurs. A null role or text is rendered as empty; rows of a null
     conv_id form one conversation. An empty table gives an empty result. Other
     columns are not read.
@@ -74,7 +79,7 @@ def rendered_conversations(formatted: DataFrame) -> DataFrame:
 SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS position
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS position
   FROM conversations),
 p AS (
   SELECT *, md5(string_agg(role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY position)) AS h,

@@ -234,9 +234,17 @@ class _Sent:
         return self.broadcast.value
 
 
+_sent: dict[tuple[str, str], _Sent] = {}
+
+
 def _send(docs: DataFrame, path: str) -> _Sent:
-    parts = load(path)
-    return _Sent(docs.sparkSession.sparkContext.broadcast(parts), hashlib.sha1(repr((path, parts[0][-50:], parts[1][-50:])).encode()).hexdigest())
+    """The vocabulary, sent once for an application and file."""
+    context = docs.sparkSession.sparkContext
+    key = (context.applicationId, path)
+    if key not in _sent:
+        parts = load(path)
+        _sent[key] = _Sent(context.broadcast(parts), hashlib.sha1(repr((path, parts[0][-50:], parts[1][-50:])).encode()).hexdigest())
+    return _sent[key]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -264,7 +272,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids)."""
+    """(doc_id, text) of rows (doc_id, ids).
+
+    Null or empty ids give an empty text. Null and repeated doc_ids, empty
+    tables and other columns are treated as by :func:`encode`.
+    """
     sent = _send(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +289,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_chars, n_pieces, n_bytes, ids_crc32, same): the digest of each row's ids, and whether decoding gives the text back."""
+    """(doc_id, n_chars, n_pieces, n_bytes, ids_crc32, same): the digest of each row's ids, and whether decoding gives the text back.
+
+    Nulls, empty and very long texts, repeated rows, empty tables and other
+    columns are treated as by :func:`encode`.
+    """
     sent = _send(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,7 +134,7 @@ def scores(docs: DataFrame, labels: DataFrame, column: str = "quality", threshol
 
 
 def apply(x: DataFrame, model: Discriminant, threshold: float) -> DataFrame:
-    """Scores of rows (doc_id, x) of :func:`features`."""
+    """Scores of rows (doc_id, x) of :func:`features`: each row by itself, null doc_ids too; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +149,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, column: str = "quality", thres
     """``docs`` without the documents that the classifier rejects; all columns and repeated rows stay.
 
     The model is the one of :func:`scores`; each text is scored where it lies.
+    A null text counts as empty. An empty table stays empty; without labels all
+    scores are 0.5, so all documents stay.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("__d"), F.col(column).cast("int").alias("label")).filter(~held_out(F.col("__d")) & F.col("label").isin(0, 1))
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.select("__d").distinct(), F.col("doc_id") == F.col("__d"), "left_semi")

@@ -20,6 +20,7 @@ low ``l`` bits lie side by side, the high parts are unary in a bit vector.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -35,8 +36,12 @@ from herald.llm._common import text_of
 
 #: Bytes of ids after which a block is closed; a document is never split.
 BLOCK_BYTES = 1 << 22
-#: Words whose ids each Python worker remembers.
-CACHE = 750_000
+#: Bytes of words that each Python worker remembers the ids of, with what Python adds to each.
+CACHE, ENTRY = 160 << 20, 200
+#: The rules of a vocabulary file by which a text's ids are those of its parts one after the other. White
+#: space is one space and dropped, case is folded, and letters are never joined with other characters but in contractions.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "shard int, block int, first long, n_docs long, n_ids long, width int, ids binary, ends binary, doc_ids binary, has_id binary"
 
 
@@ -106,11 +111,10 @@ _LETTERS = re.compile("[a-z\u00AA\u00B5\u00BA\u00DF-\u00F6\u00F8-\u00FF]").match
 class _Words:
     """Ids of parts of texts as bytes, remembered up to a bound; the library encodes what is new.
 
-    Parts are white-space separated words, if white space is dropped. Where
-    the vocabulary also folds case and never joins letters with other
-    characters but in contractions, the parts of Latin-1 texts without
+    Parts are white-space separated words; those of Latin-1 texts without
     apostrophes or special tokens are runs of letters and of other characters,
-    of which fewer are new.
+    of which fewer are new. This holds for vocabularies of the rules that
+    :func:`_splits_on_space` asks for.
     """
 
     def __init__(self, spec: str, width: int):
@@ -119,9 +123,7 @@ class _Words:
         self.tokenizer, self.kind = Tokenizer.from_str(spec), "H" if width == 2 else "I"
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[str, bytes] = {}
-        join = lambda *parts: b"".join(self.ids(list(parts)))
-        probes = {"Ab\u00c9.,": ("ab\u00e9", ".,"), "Of###the": ("of", "###", "the"), "A1b": ("a", "1", "b"), "x_Y-": ("x", "_", "y", "-"), "\u00df\u00aa\u00b2!": ("\u00df\u00aa", "\u00b2!")}
-        self.by_runs = all(self.ids([w])[0] == join(*parts) for w, parts in probes.items())
+        self.held = 0
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
@@ -144,7 +146,7 @@ class _Words:
         self.known.update(zip(fresh, [data[i:j] for i, j in zip([0, *bounds[:-1]], bounds)]))
 
     def split(self, text: str) -> list[str]:
-        if self.by_runs and "'" not in text and "<|" not in text:
+        if "'" not in text and "<|" not in text:
             try:
                 text.encode("latin-1")
                 return _RUNS(text.lower())
@@ -155,14 +157,16 @@ class _Words:
     def of(self, texts: list[str], by_word: bool) -> list[bytes]:
         if not by_word:
             return self.ids(texts)
-        if len(self.known) > CACHE:
+        if self.held > CACHE:
             self.known.clear()
+            self.held = 0
         split = list(map(self.split, texts))
         fresh = set().union(*split).difference(self.known)
-        letters = [w for w in fresh if _LETTERS(w) and w.isalpha() and w == w.lower()] if self.by_runs else []
+        letters = [w for w in fresh if _LETTERS(w) and w.isalpha() and w == w.lower()]
         for i in range(0, len(letters), 20_000):
             self.learn_letters(letters[i: i + 20_000])
         self.learn([w for w in fresh if w not in self.known])
+        self.held += sum(map(len, fresh)) + ENTRY * len(fresh)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
@@ -177,11 +181,16 @@ def _words(spec: str, width: int) -> _Words:
     return _loaded[key]
 
 
-def _splits_on_space(tokenizer) -> bool:
-    """Whether a text's ids are those of its words one after the other, as white space is dropped."""
-    probe = ["ab", "c.d", "e", "'s", "12a", "<", "the"]
-    ids = [i for w in probe for i in tokenizer.encode(w, add_special_tokens=False).ids]
-    return all(tokenizer.encode(s.join(probe), add_special_tokens=False).ids == ids for s in (" ", "\n", " \t\r ", "\n\n  "))
+def _splits_on_space(spec: str) -> bool:
+    """Whether a text's ids are those of its words one after the other, by the rules that the vocabulary file states; texts are encoded whole by any other file."""
+    rules = json.loads(spec)
+    split = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+    steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = rules.get("model") or {}
+    return (
+        (rules.get("normalizer") or {}).get("normalizers") == NORMAL and steps[0] == split and all(s.get("type") == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:])
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("unk_token") and rules.get("post_processor") is None
+        and not any(" " in t["content"] or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in rules["added_tokens"]))
 
 
 def _block(shard: int, number: int, first: int, width: int, parts: list[bytes], ids: list[int | None]) -> dict:
@@ -209,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
         spec = f.read()
     tokenizer = Tokenizer.from_str(spec)
     width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    by_word, end = _splits_on_space(tokenizer), np.array([end_id], f"<u{width}").tobytes()
+    by_word, end = _splits_on_space(spec), np.array([end_id], f"<u{width}").tobytes()
     sent = docs.sparkSession.sparkContext.broadcast(spec)
     out = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("doc_ids", pa.binary()), ("has_id", pa.binary())])
 
@@ -237,7 +246,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
 def _documents(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, whether each is known, and the offsets in ids of each document's start and end."""
-    ends = EliasFano.from_bytes(block["ends"]).values()
+    index = EliasFano.from_bytes(block["ends"])
+    ends = np.fromiter(map(index.select, range(block["n_docs"])), np.int64, block["n_docs"])
     known = np.cumsum(np.frombuffer(zlib.decompress(block["doc_ids"]), "<i8"))
     has = np.unpackbits(np.frombuffer(block["has_id"], np.uint8), count=block["n_docs"]).astype(bool)
     return known, has, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)
@@ -266,10 +276,17 @@ def _read(spark: SparkSession, path: str, name: str, kind: str, arrow: pa.DataTy
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids) of a store; start counts the ids of all documents before."""
+    """Rows (doc_id, start, n_tokens, ids) of a store; start counts the ids of all documents before.
+
+    A null doc_id comes back as null, repeated ones each with their own ids;
+    an empty store gives no rows. A block's ids are in memory at once.
+    """
     return _read(spark, path, "ids", "array<int>", pa.list_(pa.int32()), lambda data, w: np.frombuffer(data, f"<u{w}").astype(np.int32))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32) of a store: the crc of the ids as little-endian unsigned 32-bit integers."""
+    """Rows (doc_id, start, n_tokens, ids_crc32) of a store: the crc of the ids as little-endian unsigned 32-bit integers.
+
+    Nulls, repeated doc_ids and empty stores as in :func:`read_tokens`.
+    """
     return _read(spark, path, "ids_crc32", "long", pa.int64(), lambda data, w: zlib.crc32(np.frombuffer(data, f"<u{w}").astype("<u4")))

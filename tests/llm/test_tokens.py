@@ -20,6 +20,26 @@ def test_elias_fano(values):
         assert len(e.low) + len(e.high) < len(values) * 1.5
 
 
+def test_only_files_of_known_rules_are_split():
+    import json
+
+    spec = open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8").read()
+    assert T._splits_on_space(spec) and not T._splits_on_space(open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8").read())
+    for key, value in (("normalizer", None), ("pre_tokenizer", None), ("post_processor", {"type": "ByteLevel"})):
+        assert not T._splits_on_space(json.dumps({**json.loads(spec), key: value}))
+
+
+def test_split_equals_whole_texts():
+    import random
+
+    spec = open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8").read()
+    words, tk = T._Words(spec, 4), Tokenizer.from_str(spec)
+    random.seed(12)
+    alphabet = list("abAZ'.,-_ 01\n\t\u00e9\u00c5\u0301\u00df\u0130\u00a0\u2028x\U0001f600\u4e00") + ["<|endoftext|>", "'s ", "  ", "<|"]
+    texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 40))) for _ in range(3000)]
+    assert words.of(texts, True) == [np.array(e.ids, "<u4").tobytes() for e in tk.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_store_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     rows = [(i * 3, t, "x") for i, t in enumerate(ODD)] + [(None, "null id", "y"), (3, "same id", "z"), (3, "same id", "z")]
