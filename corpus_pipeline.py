@@ -14,27 +14,43 @@ from herald.llm._common import read, scratch_dir, temporary, tokenizer_file
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored like others, repeated rows each; labels of
+    null or unknown ids are not learnt from. An empty table stays empty.
+    """
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sites."""
+    """All documents, without the lines that stand on many sites.
+
+    Null texts and rows of a null source stay, repeated rows too; copies keep
+    their lines. An empty table stays empty.
+    """
     return line_dedup.dedup_lines(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of least doc_id.
+
+    Null and empty texts are one group. Rows that repeat doc_id and text count
+    once. An empty table stays empty.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each source up to its budget, repeated where the budget is above the source."""
+    """Documents of each source up to its budget, repeated where the budget is above the source.
+
+    A null source is a source; empty texts cost nothing and go with those
+    beside them; equal rows are planned one by one. An empty table stays empty.
+    """
     return mixing.take(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document of the mix."""
+    """The piece ids of each document of the mix: a row for each row, without ids for a null or empty text."""
     return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
@@ -51,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written to the shared folder and read again."""
+    """All stages on ``documents``, each written to the shared folder and read again; columns beyond those a stage names pass through."""
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{scratch_dir(spark)}/herald-{spark.sparkContext.applicationId}-stage{i}-{uuid.uuid4().hex}"

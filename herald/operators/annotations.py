@@ -138,3 +138,39 @@ def catalog_violations(flat: DataFrame, used: DataFrame, sources: DataFrame) ->
     """(item, rule): codes of several programs, and sources that are used but not registered."""
     codes = flat.filter("official_code is not null").groupBy("official_code").agg(F.count_distinct("program").alias("n")).filter("n > 1").select(F.col("official_code").alias("item"), F.lit("code is not unique").alias("rule"))
     return codes.unionByName(used.join(sources, "source_ref", "left_anti").select(F.col("source_ref").alias("item"), F.lit("unknown source").alias("rule")))
+
+
+def field_distribution(flat: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, n): how often each value of the fields occurs, null too."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("p")
+    return flat.select(pairs).select("p.field", "p.value").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def category_tags(flat: DataFrame, tags: dict[str, Column]) -> DataFrame:
+    """``flat`` with ``tags``: the names of the conditions that hold, in the order given."""
+    return flat.withColumn("tags", F.array_compact(F.array(*[F.when(test, name) for name, test in tags.items()])))
+
+
+def pack_manifest(pack: DataFrame) -> DataFrame:
+    """One row about a :func:`gold_pack`: rows, notices, accepted rows and candidates."""
+    return pack.agg(F.count("*").alias("rows"), F.count_distinct("notice_id").alias("notices"), F.count_if(F.col("state") == "accepted").alias("accepted"), F.count_if(F.col("state") == "candidate").alias("candidates"))
+
+
+def catalog_status(flat: DataFrame) -> DataFrame:
+    """(status, programs): programs of a flattened catalog by their faculty's assignment status, each code and name once."""
+    return flat.filter("program is not null").select("status", "official_code", "program").distinct().groupBy("status").agg(F.count("*").alias("programs"))
+
+
+def unverified_sources(programs: DataFrame, sources: DataFrame, official: tuple[str, ...] = ("official",)) -> DataFrame:
+    """(item, rule) of programs (official_code, status, source_ref) that are called verified without an official source (source_ref, source_type)."""
+    good = sources.filter(F.col("source_type").isin(*official)).select("source_ref")
+    backed = programs.join(good, "source_ref", "left_semi").select("official_code").distinct()
+    bad = programs.filter("status = 'verified'").select("official_code").distinct().join(backed, "official_code", "left_anti")
+    return bad.select(F.col("official_code").alias("item"), F.lit("verified without official source").alias("rule"))
+
+
+def resolve_alias(names: DataFrame, flat: DataFrame) -> DataFrame:
+    """``names`` (name) with the code and program whose own name or an alias is the same after folding; null without, the least code of several."""
+    known = flat.select(F.explode(F.array_compact(F.array("program", "alias"))).alias("n"), "official_code", "program")
+    known = known.groupBy(fold_key("n").alias("__k")).agg(F.min(F.struct("official_code", "program")).alias("r"))
+    return names.withColumn("__k", fold_key("name")).join(known, "__k", "left").select(*names.columns, "r.official_code", "r.program")

@@ -8,7 +8,10 @@ end - start)`` is always the claim's or field's text.
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,3 +184,20 @@ def understood_fields(claims: DataFrame) -> DataFrame:
     names = ["action", "deadline", "amount", "audience", "location"]
     found = [F.when(F.col(n).isNotNull(), n) for n in names] + [F.when(F.size(n) > 0, n) for n in ("documents", "exceptions")]
     return claims.select("message_id", "claim_ix", F.array_compact(F.array(*found)).alias("understood"))
+
+
+def compose(texts: DataFrame, column: str) -> DataFrame:
+    """``texts`` with ``column`` in composed form (NFC). Spark has no function for it; rows without combining marks, nearly all, do not leave the JVM."""
+    marks = F.regexp_like(column, F.lit(r"\p{M}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([unicodedata.normalize("NFC", t) for t in batch.column(column).to_pylist()], pa.string())
+            yield batch.set_column(batch.schema.get_field_index(column), column, made)
+
+    return texts.filter(~F.coalesce(marks, F.lit(False))).unionByName(texts.filter(marks).mapInArrow(run, texts.schema))
+
+
+def with_normalized(claims: DataFrame) -> DataFrame:
+    """Claims with ``normalized_text``: composed, with single spaces."""
+    return compose(claims.withColumn("normalized_text", clean_text("text")), "normalized_text")

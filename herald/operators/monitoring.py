@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,24 @@ def skip_unmodified(fetched: DataFrame, seen: DataFrame, validators: list[str])
 def changed_keys(events: DataFrame) -> DataFrame:
     """Notices whose chunks have to be made anew."""
     return events.filter(F.col("outcome").isin("NEW", "UPDATED")).select("notice_id").distinct()
+
+
+def notice_events(events: DataFrame) -> DataFrame:
+    """Each (notice_id, outcome, observed_at) once, with the least event_id it came by."""
+    return events.groupBy("notice_id", "outcome", "observed_at").agg(F.min("event_id").alias("event_id"))
+
+
+def utc(c: str | Column) -> Column:
+    """Instant of an ISO text; without an offset it is UTC, whatever the session's zone. Null if it cannot be read."""
+    text = F.trim(F.col(c) if isinstance(c, str) else c)
+    zoned = F.regexp_like(text, F.lit(r"(?i)(Z|[+-]\d{2}:?\d{2})$"))
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
+def rebuild_changed(stored: DataFrame, versions: DataFrame, events: DataFrame, chunk: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stored`` chunks of unchanged notices, and ``chunk`` of the versions of those that events call new or updated.
+
+    Without such events nothing is chunked.
+    """
+    changed = changed_keys(events)
+    return stored.join(changed, "notice_id", "left_anti").unionByName(chunk(versions.join(changed, "notice_id", "left_semi")).select(*stored.columns))

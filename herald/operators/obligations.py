@@ -253,3 +253,11 @@ def draft_obligations(drafts: DataFrame) -> DataFrame:
     return j.withColumn("at", at).select(
         "notice_id", "version_id", F.concat(F.lit("o"), F.row_number().over(w).cast("string")).alias("obligation_id"), "draft_id", "action_type", "action_text", (F.col("at") - 1).alias("start_char"),
         F.col("f0").alias("deadline_text"), read["normalized"].alias("deadline"), read["precision"].alias("precision"), parse_vnd(F.coalesce("f1", F.lit(""))).alias("amount"), F.col("f2").alias("location"))
+
+
+def inexact_evidence(spans_: DataFrame) -> DataFrame:
+    """(doc_id, evidence_id, rule) of spans (doc_id, evidence_id, text, start_char, end_char, raw_text) that do not stand in their text as they say."""
+    held = F.coalesce(F.contains("raw_text", F.col("text")) & (F.col("text") != ""), F.lit(False))
+    there = F.substring("raw_text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    rule = F.when(~held, "text not in source").when(F.col("start_char").isNotNull() & ~there.eqNullSafe(F.col("text")), "text not at its offsets")
+    return spans_.select("doc_id", "evidence_id", rule.alias("rule")).filter("rule is not null")

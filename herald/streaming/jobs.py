@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from herald.operators import versions
 from herald.operators.monitoring import MAX_DOUBLINGS
+from herald.sources.pages import dead_letters
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -19,20 +21,63 @@ def read_stream(spark: SparkSession, path: str, schema: str, max_files: int | No
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def ingest_versions(observations: DataFrame, table: str, checkpoint: str, key: list[str] | None = None) -> StreamingQuery:
-    """Append to the Parquet table what it lacks by (notice_key, content_hash); a batch that comes again adds nothing."""
+def ingest_versions(observations: DataFrame, table: str, checkpoint: str, key: list[str] | None = None, parts: int = 64) -> StreamingQuery:
+    """Append to the Parquet table what it lacks by (notice_key, content_hash); a batch that comes again adds nothing.
+
+    The table is partitioned by a hash of the key, so that a batch is compared
+    with the partitions of its own keys only.
+    """
     key = key or ["notice_key", "content_hash"]
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy(*key).agg(F.min("observed_at").alias("observed_at"))
+        new = batch.groupBy(*key).agg(F.min("observed_at").alias("observed_at")).withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
         if _exists(spark, table):
-            new = new.join(spark.read.parquet(table).select(*key), key, "left_anti")
-        new.write.mode("append").parquet(table)
+            mine = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts`` numbers
+            new = new.join(spark.read.parquet(table).filter(F.col("part").isin(mine)).select(*key), key, "left_anti")
+        new.write.mode("append").partitionBy("part").parquet(table)
 
     return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_notices(observations: DataFrame, folder: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Keep the tables of a stream of observations below ``folder``: log, versions, heads, discoveries and dead letters.
+
+    Each batch is written to its own folder ``batch=<id>``, with overwrite, so
+    a batch that is run again replaces itself. Rows with an ``error`` go to the
+    dead letters, others to the log. Versions, heads and discoveries of a batch
+    are those of the notices it touches, from all of their log: of several
+    states of a notice the one of the latest batch counts (:func:`latest`). The
+    log is partitioned by a hash of the notice, so that only the partitions of
+    touched notices are read again.
+    """
+    part = F.pmod(F.xxhash64("notice_key"), F.lit(parts)).cast("int")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        put(dead_letters(batch.filter("error is not null"), "ingest", "PARSE_ERROR", F.col("error"), F.col("observed_at")), "dead_letters")
+        good = batch.filter("error is null").drop("error").withColumn("part", part)
+        good.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/log/batch={batch_id}")
+        mine = [r["part"] for r in good.select("part").distinct().collect()]  # at most ``parts`` numbers
+        log = spark.read.schema(good.drop("part").schema.add("batch", "long").add("part", "int")).parquet(f"{folder}/log")
+        log = log.filter(F.col("part").isin(mine) & (F.col("batch") <= batch_id)).drop("batch", "part")
+        touched = log.join(batch.select("notice_key").distinct(), "notice_key", "left_semi")
+        known = versions.classify_changes(touched)
+        put(versions.versions(known), "versions")
+        put(versions.heads(known), "heads")
+        put(versions.discoveries(touched), "discoveries")
+
+    return observations.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str, name: str, key: list[str]) -> DataFrame:
+    """The rows of the latest batch for each key of a table of :func:`ingest_notices`."""
+    rows = spark.read.parquet(f"{folder}/{name}")
+    rest = [c for c in rows.columns if c not in (*key, "batch")]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -72,9 +117,9 @@ def failure_streaks(checks: DataFrame, interval: int = 600) -> DataFrame:
 
 
 def verify_stream(messages: DataFrame, verify: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
-    """Verify each batch of messages against the static tables that ``verify`` closes over, and append the verdicts."""
+    """Verify each batch of messages against the static tables that ``verify`` closes over, in a folder of its own: a batch that comes again replaces its verdicts."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        verify(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(table)
+        verify(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
