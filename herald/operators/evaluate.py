@@ -210,7 +210,8 @@ def order_statistics(rows: DataFrame, column: str, share: float, linear: bool, a
     ends = F.percentile_approx("v", F.array(F.lit(low), F.lit(high)), F.lit(accuracy))
     frame = v.agg(F.count("*").alias("n"), ends.alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
     # one row, joined to all
-    lower, upper = (F.col("least") if low == 0 else F.col("e")[0]), (F.col("most") if high == 1 else F.col("e")[1])
+    few = F.col("n") < 2 * accuracy  # ranks of so few lie too far apart for the bracket
+    lower, upper = F.when(few | F.lit(low == 0), F.col("least")).otherwise(F.col("e")[0]), F.when(few | F.lit(high == 1), F.col("most")).otherwise(F.col("e")[1])
     frame = frame.select("n", lower.alias("a"), upper.alias("b"))
     marked = v.join(F.broadcast(frame), F.lit(True))
     below = marked.filter("v < a").agg(F.count("*").alias("below"))

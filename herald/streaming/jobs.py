@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -60,7 +61,7 @@ def ingest_notices(observations: DataFrame, folder: str, checkpoint: str, parts:
         good = batch.filter("error is null").drop("error").withColumn("part", part)
         good.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/log/batch={batch_id}")
         mine = [r["part"] for r in good.select("part").distinct().collect()]  # at most ``parts`` numbers
-        log = spark.read.schema(good.drop("part").schema.add("batch", "long").add("part", "int")).parquet(f"{folder}/log")
+        log = spark.read.schema(good.drop("part").schema.add("batch", T.LongType()).add("part", T.IntegerType())).parquet(f"{folder}/log")
         log = log.filter(F.col("part").isin(mine) & (F.col("batch") <= batch_id)).drop("batch", "part")
         touched = log.join(batch.select("notice_key").distinct(), "notice_key", "left_semi")
         known = versions.classify_changes(touched)
