@@ -124,6 +124,8 @@ def match_units(units: DataFrame, rows: list[tuple], docs: int, df: DataFrame, u
     """The best template of each distinct unit of text (column ``unit``) that reaches ``threshold``: (unit, licence, score).
 
     ``rows`` and ``unseen`` are those of :func:`template_weights`, ``docs`` counts documents and templates, ``df`` has the documents of each term.
+    Null units match nothing, equal ones count once, and of equal scores the
+    first template counts. An empty table gives none.
     """
     spark: SparkSession = units.sparkSession
     table = spark.createDataFrame([(r[0], r[1], r[2], float(r[3]), float(r[4])) for r in rows], "template int, licence string, term string, idf double, share double")
@@ -203,10 +205,18 @@ def scan(files: DataFrame, threshold: float = 0.8, licence_file: Column | None =
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
-    """``documents`` as files: path ``source/lang/thousand/doc_id``; a document that opens with a licence statement speaks for its directory."""
-    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(thousand, F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    """``documents`` as files at several depths; a document that opens with a licence statement speaks for its directory.
+
+    The path is ``source/lang/doc_id`` for ids divisible by three, with the
+    thousand before doc_id for those that leave 1, and thousand and hundred for
+    those that leave 2. Null parts are written ``-``; a null id lies at the
+    shallowest place. Rows are kept one by one, other columns are not read.
+    """
+    n = F.col("doc_id")
+    left = F.pmod(n, F.lit(3))
+    part = lambda size, test: F.when(test, F.floor(n / size).cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), part(1000, left >= 1), part(100, left == 2), F.coalesce(n.cast("string"), F.lit("-")))
+    return docs.select(n.alias("file_id"), path.alias("path"), "text")
 
 
 def opens_with_licence() -> Column:
@@ -220,7 +230,7 @@ def sql(threshold: float = 0.8) -> str:
     values = ", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', {r[3]!r}::DOUBLE, {r[4]!r}::DOUBLE)" for r in rows)
     return rf"""
 WITH w(template, licence, term, idf, share) AS (VALUES {values}),
-f AS (SELECT doc_id, source || '/' || lang || '/' || (doc_id // 1000) AS dir, coalesce(text, '') AS text FROM documents),
+f AS (SELECT doc_id, source || '/' || lang || CASE WHEN doc_id % 3 >= 1 THEN '/' || (doc_id // 1000) ELSE '' END || CASE WHEN doc_id % 3 = 2 THEN '/' || (doc_id // 100) ELSE '' END AS dir, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM f),
 u AS (SELECT DISTINCT unit FROM l),
 t AS (SELECT unit, unnest(regexp_extract_all(lower(unit), '{_TERM}')) AS term FROM u),
@@ -230,9 +240,12 @@ d AS (SELECT unit, template, licence, sum(k * idf * share) AS dot FROM c JOIN w
 s AS (SELECT unit, template, licence, round(dot / norm, 6) AS score FROM d JOIN n USING (unit) WHERE round(dot / norm, 6) >= {threshold}),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, template) = 1),
 o AS (SELECT l.doc_id, b.licence, b.score FROM l JOIN b USING (unit) QUALIFY row_number() OVER (PARTITION BY l.doc_id ORDER BY b.score DESC, b.licence) = 1),
-g AS (SELECT f.dir, o.licence FROM o JOIN f USING (doc_id) WHERE regexp_matches(split_part(f.text, chr(10), 1), '(?i)licen[cs]e') QUALIFY row_number() OVER (PARTITION BY f.dir ORDER BY o.score DESC, o.licence) = 1)
-SELECT f.doc_id, f.dir || '/' || f.doc_id AS path, o.licence AS own_licence, o.score AS own_score, coalesce(o.licence, g.licence) AS licence,
-       CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN g.licence IS NOT NULL THEN 'inherited' END AS via,
-       CASE WHEN o.licence IS NULL THEN g.dir END AS from_dir
-FROM f LEFT JOIN o USING (doc_id) LEFT JOIN g ON f.dir = g.dir
+g AS (SELECT f.dir, o.licence FROM o JOIN f USING (doc_id) WHERE regexp_matches(split_part(f.text, chr(10), 1), '(?i)licen[cs]e') QUALIFY row_number() OVER (PARTITION BY f.dir ORDER BY o.score DESC, o.licence) = 1),
+p AS (SELECT dir, string_split(dir, '/') AS parts FROM (SELECT DISTINCT dir FROM f)),
+a AS (SELECT dir, unnest(range(1, len(parts) + 1)) AS depth, parts FROM p),
+h AS (SELECT a.dir, arg_max(g.licence, depth) AS licence, arg_max(g.dir, depth) AS from_dir FROM a JOIN g ON g.dir = array_to_string(a.parts[1:depth], '/') GROUP BY 1)
+SELECT f.doc_id, f.dir || '/' || f.doc_id AS path, o.licence AS own_licence, o.score AS own_score, coalesce(o.licence, h.licence) AS licence,
+       CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN h.licence IS NOT NULL THEN 'inherited' END AS via,
+       CASE WHEN o.licence IS NULL THEN h.from_dir END AS from_dir
+FROM f LEFT JOIN o USING (doc_id) LEFT JOIN h ON f.dir = h.dir
 """

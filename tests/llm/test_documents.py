@@ -335,6 +335,16 @@ def test_inheritance(spark):
     assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_documents_lie_at_several_depths(spark):
+    mit, plain = "Released under the MIT License.\nx", "no words of that kind"
+    ids = {3: mit, 4: plain, 1004: plain, 2005: plain, 2009: "This work is licensed under the GNU General Public License, version 3.\ny", 2012: plain}
+    df = spark.createDataFrame([(i, t, "s", "en") for i, t in ids.items()] + [(None, None, None, None)], "doc_id long, text string, source string, lang string")
+    files = license_scan.documents_as_files(df)
+    got = {r.file_id: (r.path, r.licence, r.from_dir) for r in license_scan.scan(files, licence_file=license_scan.opens_with_licence()).collect()}
+    assert got[4] == ("s/en/0/4", "MIT", "s/en") and got[1004] == ("s/en/1/10/1004", "MIT", "s/en") and got[2005] == ("s/en/2/2005", "MIT", "s/en")
+    assert got[2009][1:] == ("GPL-3.0", None) and got[2012] == ("s/en/2/20/2012", "GPL-3.0", "s/en/2/20") and got[None] == ("-/-/-", None, None)
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as cp
 
