@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herald.functions.text import fold_vietnamese, tokens
+from herald.operators.versions import current_versions
 
 #: BM25Plus as published (fixed values).
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -51,6 +52,16 @@ def chunk_versions(versions: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("_", "version_id", "i").alias("chunk_id"), F.col("i").alias("ordinal"), "c.*", *[c for c in versions.columns if c != "raw_text"])
 
 
+def build_corpus(version: DataFrame, head: DataFrame, notices: DataFrame, key: str = "notice_key") -> DataFrame:
+    """Chunks of all versions (key, content_hash, version_id, raw_text) with their notice's columns and ``is_latest``.
+
+    ``head`` (key, current_content_hash) tells the current content.
+    ``publication_date`` is null: chunks are not ranked by it.
+    """
+    marked = current_versions(version, head, key).join(notices, key)
+    return chunk_versions(marked).withColumn("publication_date", F.lit(None).cast("timestamp"))
+
+
 def postings(corpus: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, term, tf, dl): how often each term occurs, and the length of the document."""
     split = corpus.select(doc, tokens(text).alias("t"))

@@ -16,6 +16,9 @@ from herald.plans.notices import _OBS, _classified
 from herald.plans.tables import notices_of_orders, table
 
 
+_ANCHORED = (("register", "đăng kí"), ("apply", "nộp  đơn"), ("submit", "gửi hồ sơ"), ("pay", "đóng học phí"), ("attend", "tham gia"), ("collect", "nhận"), ("update", "tự đánh giá"), ("check", "xem"), ("other", "hoàn tất"))
+
+
 def _day(c):
     return F.date_format(c, "yyyy-MM-dd")
 
@@ -62,12 +65,12 @@ def candidate_claims(spark, sf_dir):
 
 
 def forced_pairs(spark, sf_dir):
-    """Claims held against obligations of another kind than theirs: none may conflict."""
+    """Claims held against obligations of another kind than theirs, of which none may conflict, and every fourth against its own kind."""
     n = notices_of_orders(spark, sf_dir)
-    claim = n.select(F.col("notice_id").alias("case_id"), ((F.col("notice_id") + 1) % 3).alias("k"), F.lit("31/12/1990").alias("deadline_text"), F.lit("1990-12-31").alias("deadline_norm"), F.lit("1").alias("amount_text"), F.lit(1).cast("long").alias("amount_value"), "off_action", "off_deadline", "off_deadline_norm", "off_amount")
+    claim = n.select(F.col("notice_id").alias("case_id"), ((F.col("notice_id") + F.when(F.col("notice_id") % 4 == 0, 0).otherwise(1)) % 3).alias("k"), F.lit("31/12/1990").alias("deadline_text"), F.lit("1990-12-31").alias("deadline_norm"), F.lit("1").alias("amount_text"), F.lit(1).cast("long").alias("amount_value"), "off_action", "off_deadline", "off_deadline_norm", "off_amount")
     other = F.element_at(F.array(F.lit("register"), F.lit("submit"), F.lit("pay")), (F.col("k") + 1).cast("int"))
     e = V.evaluate(claim.withColumns({"action_type": other, "action_text": other}))
-    return e.groupBy(V.field_verdict([F.col(f"{f}_state") for f in ("action", "deadline", "amount")]).alias("verdict")).agg(F.count("*").alias("n"), F.sum("comparable_count").cast("long").alias("compared"))
+    return e.select("case_id", V.field_verdict([F.col(f"{f}_state") for f in ("action", "deadline", "amount")]).alias("verdict"), F.col("comparable_count").cast("long").alias("compared"), "amount_state")
 
 
 def repaired_metadata(spark, sf_dir):
@@ -126,7 +129,29 @@ def grounded_spans(spark, sf_dir):
     spans = li.select(F.col("l_orderkey").alias("doc_id"), e.alias("evidence_id"), F.col("l_returnflag").alias("text"), F.lit("A and N").alias("raw_text")).groupBy("doc_id", "evidence_id", "raw_text").agg(F.max("text").alias("text"))
     uses = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 2).alias("obligation_id"), F.when(F.col("l_linestatus") == "O", "action").otherwise("deadline").alias("field"), e.alias("evidence_id"))
     good, left = O.sanitize_spans(spans, uses)
-    return good.agg(F.count("*").alias("spans")).crossJoin(left.agg(F.count("*").alias("uses")))  # one row each
+    none = F.lit(None).cast
+    return good.select("doc_id", "evidence_id", none("long").alias("obligation_id"), F.col("text").alias("what")).unionByName(left.distinct().select("doc_id", "evidence_id", "obligation_id", F.col("field").alias("what")))
+
+
+def grounded_actions(spark, sf_dir):
+    """Actions of each type: the quote if it stands in the text, else the line with an anchor of the type."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*[F.lit(t) for t, _ in _ANCHORED]), (k % len(_ANCHORED) + 1).cast("int"))
+    phrase = F.element_at(F.array(*[F.lit(p) for _, p in _ANCHORED]), (k % len(_ANCHORED) + 1).cast("int"))
+    text = F.concat(F.lit("Dòng đầu\n  Sinh viên "), phrase, F.lit(" số "), k.cast("string"), F.lit(". \nhết"))
+    quote = F.when(k % 2 == 0, F.concat(F.lit("số "), k.cast("string"))).otherwise("không có")
+    return o.select("o_orderkey", O.ground_action(text, kind, quote).alias("grounded"))
+
+
+def corpus_chunks(spark, sf_dir):
+    """Chunks of documents as versions of 500 notices, with titles and the mark of the current version."""
+    d = table(spark, sf_dir, "documents")
+    v = d.groupBy((F.col("doc_id") % 500).alias("notice_key"), F.md5("text").alias("content_hash")).agg(F.min("doc_id").alias("version_id"), F.first("text").alias("raw_text"))
+    head = d.groupBy((F.col("doc_id") % 500).alias("notice_key")).agg(F.max_by(F.md5("text"), "doc_id").alias("current_content_hash"))
+    notices = head.select("notice_key", F.concat(F.lit("Tin "), F.col("notice_key").cast("string")).alias("title"))
+    c = R.build_corpus(v.select("notice_key", "content_hash", "version_id", "raw_text"), head, notices)
+    return c.select("chunk_id", "notice_key", "title", "is_latest", F.col("publication_date").isNull().alias("undated"), F.md5("text").alias("text_md5"))
 
 
 def drafted_obligations(spark, sf_dir):
@@ -142,7 +167,7 @@ def folded_texts(spark, sf_dir):
     return d.select("doc_id", F.md5(norm_text("text")).alias("norm_md5"), F.md5(fold_vietnamese(F.lower("source"))).alias("source_md5"))
 
 
-_ALL = (search_index, notice_catalog, version_coverage, backfill_events, derived_queries, candidate_claims, forced_pairs, repaired_metadata, decided_spans, annotation_upsert, incomplete_annotations, case_checks, catalog_rows, expected_values, error_layers, grounded_spans, drafted_obligations, folded_texts)
+_ALL = (search_index, notice_catalog, version_coverage, backfill_events, derived_queries, candidate_claims, forced_pairs, repaired_metadata, decided_spans, annotation_upsert, incomplete_annotations, case_checks, catalog_rows, expected_values, error_layers, grounded_spans, grounded_actions, corpus_chunks, drafted_obligations, folded_texts)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
     "version_coverage": _OBS + "SELECT count(*) FILTER (WHERE v.h = k.h) AS current, count(*) FILTER (WHERE v.h <> k.h) AS historical, (SELECT count(*) FROM nation) AS relations FROM v JOIN k USING (notice_key)",
@@ -158,7 +183,29 @@ SELECT o_orderkey AS notice_id, outcome, strftime(o_orderdate, '%Y-%m-%d') AS da
 SELECT o_orderkey AS obligation_id, m AS mutation, strftime(o_orderdate + CASE WHEN m = 'deadline' THEN INTERVAL 4 DAY ELSE INTERVAL 0 DAY END, '%Y-%m-%d') AS deadline,
   CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + CASE WHEN m = 'amount' THEN 500000 ELSE 0 END END AS amount, CASE WHEN m = 'location' THEN 'another place' ELSE o_orderpriority END AS location
 FROM orders, (VALUES ('exact'), ('deadline'), ('amount'), ('location')) t(m) WHERE m <> 'amount' OR o_orderkey % 2 = 0""",
-    "forced_pairs": "SELECT 'INSUFFICIENT_EVIDENCE' AS verdict, count(*) AS n, 0::BIGINT AS compared FROM orders",
+    "forced_pairs": """
+SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 4 = 0 THEN 'CONFLICT' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict, CASE WHEN o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 3 = 2 THEN 3 ELSE 2 END::BIGINT AS compared,
+  CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 3 = 2 THEN 'CONFLICT' ELSE 'INSUFFICIENT_EVIDENCE' END END AS amount_state FROM orders""",
+    "grounded_actions": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'số ' || o_orderkey ELSE 'Sinh viên ' || ['đăng kí', 'nộp  đơn', 'gửi hồ sơ', 'đóng học phí', 'tham gia', 'nhận', 'tự đánh giá', 'xem', 'hoàn tất'][o_orderkey % 9 + 1] || ' số ' || o_orderkey || '.' END AS grounded FROM orders""",
+    "corpus_chunks": r"""
+WITH RECURSIVE v AS (SELECT doc_id % 500 AS k, md5(text) AS h, min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY 1, 2),
+hd AS (SELECT doc_id % 500 AS k, arg_max(md5(text), doc_id) AS h FROM documents GROUP BY 1),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM v),
+f AS (
+  SELECT doc_id, ls, 1 AS i, 0 AS pos, -1 AS from_, 0 AS to_, 0 AS size, -1 AS cut_from, 0 AS cut_to FROM l
+  UNION ALL
+  SELECT doc_id, ls, i + 1, pos + length(ls[i]) + 1,
+    CASE WHEN trim(ls[i]) = '' OR size + length(ls[i]) > 500 THEN -1 WHEN from_ >= 0 THEN from_ ELSE pos END,
+    pos + length(ls[i]), CASE WHEN trim(ls[i]) = '' OR size + length(ls[i]) > 500 THEN 0 ELSE size + length(ls[i]) END,
+    CASE WHEN trim(ls[i]) = '' THEN from_ WHEN size + length(ls[i]) > 500 THEN (CASE WHEN from_ >= 0 THEN from_ ELSE pos END) ELSE -1 END,
+    CASE WHEN trim(ls[i]) = '' THEN to_ ELSE pos + length(ls[i]) END
+  FROM f WHERE i <= len(ls)),
+c AS (
+  SELECT doc_id, cut_from AS a, cut_to AS b FROM f WHERE cut_from >= 0
+  UNION ALL SELECT doc_id, from_, to_ FROM f WHERE i = len(ls) + 1 AND from_ >= 0)
+SELECT c.doc_id || '_' || (row_number() OVER (PARTITION BY c.doc_id ORDER BY a) - 1) AS chunk_id, v.k AS notice_key, 'Tin ' || v.k AS title, v.h = hd.h AS is_latest, true AS undated, md5(v.text[a + 1:b]) AS text_md5
+FROM c JOIN v ON c.doc_id = v.doc_id JOIN hd ON hd.k = v.k""",
     "repaired_metadata": "SELECT o_orderkey AS annotation, coalesce(c_name, '?') AS title FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON c_custkey = o_custkey",
     "decided_spans": """
 WITH r AS (SELECT o_orderkey AS record_id, CASE o_orderkey % 3 WHEN 0 THEN 'accept' ELSE 'edit' END AS decision, CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS span,
@@ -182,6 +229,7 @@ SELECT expected, predicted, found, right_ AS right, round(found / expected, 9) A
 WITH s AS (SELECT l_orderkey AS d, l_linenumber AS e, max(l_returnflag) AS t FROM lineitem GROUP BY 1, 2 HAVING max(l_returnflag) IN ('A', 'N')),
 u AS (SELECT l_orderkey AS d, l_partkey % 2 AS o, l_linestatus AS f, l_linenumber AS e FROM lineitem SEMI JOIN s ON s.d = l_orderkey AND s.e = l_linenumber),
 k AS (SELECT * FROM u WHERE (d, o) IN (SELECT (d, o) FROM u WHERE f = 'O'))
-SELECT (SELECT count(*) FROM s SEMI JOIN k USING (d, e)) AS spans, (SELECT count(*) FROM k) AS uses""",
+SELECT d AS doc_id, e::VARCHAR AS evidence_id, NULL::BIGINT AS obligation_id, t AS what FROM s SEMI JOIN k USING (d, e)
+UNION ALL SELECT DISTINCT d, e::VARCHAR, o, CASE WHEN f = 'O' THEN 'action' ELSE 'deadline' END FROM k""",
     "drafted_obligations": "SELECT o_orderkey AS draft_id, CASE WHEN o_orderkey % 2 = 0 THEN 'đăng ký' ELSE 'Sinh viên đăng ký  học phần.' END AS action_text, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deadline, CASE WHEN o_orderkey % 5 <> 0 THEN 'Nộp tại Phòng A' END AS location FROM orders",
 }

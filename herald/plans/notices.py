@@ -83,11 +83,10 @@ def source_state(spark, sf_dir):
 
 
 def latest_activity(spark, sf_dir):
+    """The latest event of each user at the time of the last one of all."""
     e = table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("now"))
     events = e.select(F.col("user_id").alias("notice_id"), "event_id", F.col("event_type").alias("outcome"), F.col("ts").alias("observed_at"))
-    # one row: the time of the report
-    return M.latest_activity(events.crossJoin(F.broadcast(now)).groupBy("notice_id", "event_id", "outcome", "observed_at", "now").count().drop("count", "now"), F.lit(now.first()["now"])).select("notice_id", "event_id", "outcome")
+    return M.latest_activity(events, e.agg(F.max("ts")).scalar()).select("notice_id", "event_id", "outcome")
 
 
 def cycle_summary(spark, sf_dir):
@@ -101,7 +100,8 @@ def monitor_status(spark, sf_dir):
 
 def source_outcomes(spark, sf_dir):
     c = checks(spark, sf_dir).groupBy("source_id").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("NEW", "UPDATED", "FAILED", "UNCHANGED")])
-    return c.select("source_id", M.source_outcome(F.lit(0), F.greatest(F.col("UPDATED") - 3, F.lit(0)), F.col("FAILED"), F.greatest(F.col("UNCHANGED") - 4, F.lit(0)), F.lit(0)).alias("outcome"))
+    some = lambda n, left, count: F.when(F.col("source_id") % n == left, F.col(count)).otherwise(0)
+    return c.select("source_id", M.source_outcome(some(5, 0, "NEW"), some(3, 1, "UPDATED"), F.col("FAILED"), some(2, 0, "UNCHANGED"), some(7, 0, "UNCHANGED")).alias("outcome"))
 
 
 def snapshot_diff(spark, sf_dir):
@@ -162,7 +162,9 @@ SELECT page_id, CASE WHEN host = 'example.org' OR ends_with(host, '.example.org'
     "latest_activity": "WITH l AS (SELECT user_id AS notice_id, max(event_id) AS event_id FROM events GROUP BY 1) SELECT l.notice_id, l.event_id, e.event_type AS outcome FROM l JOIN events e USING (event_id) WHERE e.ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR",
     "cycle_summary": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS started_at, count(*) FILTER (WHERE event_type = 'signup') AS new_count, count(*) FILTER (WHERE event_type = 'purchase') AS updated_count, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS unchanged_count, count(*) FILTER (WHERE event_type = 'error') AS failed_count FROM events GROUP BY 1",
     "monitor_status": _RUNS + "SELECT count(*) AS sources, count(*) FILTER (WHERE event_type <> 'error') AS healthy, max(changed) AS last_changed_at FROM s WHERE last = 1",
-    "source_outcomes": "WITH c AS (SELECT user_id AS source_id, count(*) FILTER (WHERE event_type = 'purchase') AS u, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS s FROM events GROUP BY 1) SELECT source_id, CASE WHEN u > 3 THEN 'UPDATED' WHEN f > 0 AND s <= 4 THEN 'FAILED' ELSE 'UNCHANGED' END AS outcome FROM c",
+    "source_outcomes": """
+WITH c AS (SELECT user_id AS id, count(*) FILTER (WHERE event_type = 'signup') AS n, count(*) FILTER (WHERE event_type = 'purchase') AS u, count(*) FILTER (WHERE event_type = 'error') AS f, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS s FROM events GROUP BY 1)
+SELECT id AS source_id, CASE WHEN id % 5 = 0 AND n > 0 THEN 'NEW' WHEN id % 3 = 1 AND u > 0 THEN 'UPDATED' WHEN f > 0 AND NOT ((id % 2 = 0 OR id % 7 = 0) AND s > 0) THEN 'FAILED' ELSE 'UNCHANGED' END AS outcome FROM c""",
     "snapshot_diff": "SELECT c_custkey AS notice_id, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE 'UPDATED' END AS outcome FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0",
     "skip_unmodified": "SELECT page_id FROM pages WHERE page_id % 2 = 1",
 }

@@ -76,6 +76,12 @@ def source_health(spark, sf_dir):
     return registry.apply_health(checks)
 
 
+def health_log(spark, sf_dir):
+    """The log of checks after a second delivery that repeats every third of them."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_id"), F.when(F.col("event_type") == "error", "FAILED").otherwise("HEALTHY").alias("health"))
+    return registry.health_snapshots(e.filter("check_id % 3 != 1"), e.filter("check_id % 3 != 2"))
+
+
 def dataset_fingerprint(spark, sf_dir):
     return files.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -240,7 +246,7 @@ def aligned_claims(spark, sf_dir):
 
 
 _ALL = (
-    page_notices, page_links, discovered_links, page_text, listing_gate, source_upsert, source_missing, source_health, dataset_fingerprint, annotation_violations, review_batch, promote_drafts, gold_pack, field_support, rule_obligations, ground_quotes,
+    page_notices, page_links, discovered_links, page_text, listing_gate, source_upsert, source_missing, source_health, health_log, dataset_fingerprint, annotation_violations, review_batch, promote_drafts, gold_pack, field_support, rule_obligations, ground_quotes,
     payload_errors, confusion, accuracy, atom_prf, retrieval_metrics, mutations, leakage, contained_passages, price_percentiles, change_classes, field_outcomes, aligned_claims,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -274,6 +280,7 @@ SELECT coalesce(s_suppkey, d.id) AS source_id, coalesce(d.name, s_name) AS name,
 WITH h AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'click' THEN 'FAILED' WHEN event_type = 'error' THEN CASE event_id % 4 WHEN 0 THEN 'DEGRADED' WHEN 1 THEN 'DEGRADED' ELSE 'FAILED' END
   WHEN event_id % 11 = 0 OR value * 10 < 500 OR event_id % 13 = 0 THEN 'DEGRADED' ELSE 'HEALTHY' END AS health FROM events)
 SELECT user_id AS source_id, arg_max(health, (ts, event_id)) AS health_status, max(ts) AS last_checked_at, max(ts) FILTER (WHERE health = 'HEALTHY') AS last_success_at FROM h GROUP BY 1""",
+    "health_log": "SELECT user_id AS source_id, ts AS checked_at, event_id AS check_id, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'HEALTHY' END AS health FROM events",
     "dataset_fingerprint": """
 WITH r AS (SELECT md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, '\\N'), coalesce(text, '\\N'), coalesce(lang, '\\N'), coalesce(source, '\\N'), coalesce(n_chars::VARCHAR, '\\N'))) AS h FROM documents)
 SELECT count(*) AS rows, sum(('0x' || h[1:15])::BIGINT::HUGEINT)::VARCHAR AS digest FROM r""",

@@ -50,3 +50,9 @@ def apply_health(checks: DataFrame) -> DataFrame:
     return checks.groupBy("source_id").agg(
         F.max_by("health", F.struct("checked_at", "check_id")).alias("health_status"), F.max("checked_at").alias("last_checked_at"),
         F.max(F.when(F.col("health") == "HEALTHY", F.col("checked_at"))).alias("last_success_at"))
+
+
+def health_snapshots(stored: DataFrame, checks: DataFrame) -> DataFrame:
+    """The log of checks (source_id, checked_at, check_id, health) with the new ones appended; a check that comes again adds nothing."""
+    key = ["source_id", "checked_at", "check_id"]
+    return stored.unionByName(checks.select(*stored.columns).dropDuplicates(key).join(stored.select(*key), key, "left_anti"))
