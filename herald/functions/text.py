@@ -106,10 +106,20 @@ def _read_date(text: Column, last: Column) -> Column:
         minute = F.regexp_extract(x["time"], _TIME, 2)
         clock = F.concat_ws(":", F.regexp_extract(x["time"], _TIME, 1), F.when(minute == "", "0").otherwise(minute))
         at = F.date_format(F.try_to_timestamp(F.concat_ws(" ", x["day"], clock), F.lit("d/M/yyyy H:m")), "yyyy-MM-dd'T'HH:mm:ss'+07:00'")
-        return F.when(x["day"].isNull(), None).when(x["time"].isNotNull(), at).otherwise(F.date_format(F.try_to_date(x["day"], "d/M/yyyy"), "yyyy-MM-dd"))
-
-    both = let(F.struct(day.alias("day"), time.alias("time")), lambda x: F.struct(value(x).alias("value"), x["time"].isNotNull().alias("timed")))
-    return let(both, lambda v: F.struct(v["value"].alias("normalized"), F.when(v["value"].isNull(), "unknown").when(v["timed"], "datetime").otherwise("date").alias("precision")))
+        return F.when(x["day"].isNull(), None).when(x["time"].isNotNull(), at).otherwise(
+            F.date_format(F.try_to_date(x["day"], "d/M/yyyy"), "yyyy-MM-dd")
+        )
+
+    both = let(
+        F.struct(day.alias("day"), time.alias("time")), lambda x: F.struct(value(x).alias("value"), x["time"].isNotNull().alias("timed"))
+    )
+    return let(
+        both,
+        lambda v: F.struct(
+            v["value"].alias("normalized"),
+            F.when(v["value"].isNull(), "unknown").when(v["timed"], "datetime").otherwise("date").alias("precision")
+        )
+    )
 
 
 def parse_vnd(c: str | Column) -> Column:
@@ -125,8 +135,16 @@ def parse_vnd(c: str | Column) -> Column:
 
 def dates_in(c: str | Column) -> Column:
     """Distinct calendar dates (ISO) of a text in day-month-year or ISO form, in order."""
-    dmy = F.transform(F.regexp_extract_all(col(c), F.lit(_FULL), F.lit(0)), lambda x: F.date_format(F.try_to_date(F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", ""), r"[.-]", "/"), "d/M/yyyy"), "yyyy-MM-dd"))
-    iso = F.transform(F.regexp_extract_all(col(c), F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)), lambda x: F.date_format(F.try_to_date(x, "yyyy-MM-dd"), "yyyy-MM-dd"))
+    dmy = F.transform(
+        F.regexp_extract_all(col(c), F.lit(_FULL), F.lit(0)),
+        lambda x: F.date_format(
+            F.try_to_date(F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", ""), r"[.-]", "/"), "d/M/yyyy"), "yyyy-MM-dd"
+        )
+    )
+    iso = F.transform(
+        F.regexp_extract_all(col(c), F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)),
+        lambda x: F.date_format(F.try_to_date(x, "yyyy-MM-dd"), "yyyy-MM-dd")
+    )
     return F.array_distinct(F.array_compact(F.concat(dmy, iso)))
 
 
@@ -141,10 +159,15 @@ def running(lengths: Column, block: int = 256) -> Column:
     """The sums of the numbers before each one. Blocks are summed first, so that no long array is copied for each step."""
     def plain(xs: Column, base: Column) -> Column:
         zero = F.struct(base.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-        return F.aggregate(xs, zero, lambda a, x: F.struct((a["at"] + x).cast("int").alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+        return F.aggregate(
+            xs, zero, lambda a, x: F.struct((a["at"] + x).cast("int").alias("at"), F.array_append(a["out"], a["at"]).alias("out")),
+            lambda a: a["out"]
+        )
 
     def blocked(xs: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, block))
+        parts = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda i: F.slice(xs, i * block + 1, block)
+        )
         sums = lambda ps: F.transform(ps, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
         return let(parts, lambda ps: F.flatten(F.zip_with(ps, plain(sums(ps), F.lit(0)), plain)))
 
@@ -173,6 +196,12 @@ def span_of(c: Column, pattern: str, group: int = 0) -> Column:
         if not group:
             return F.when(whole != "", F.struct(head.cast("int").alias("start"), whole.alias("text")))
         text = F.regexp_extract(c, FLAGS + pattern, group)
-        return F.when(whole != "", let(text, lambda t: F.struct((head + F.greatest(F.position(t, whole) - 1, F.lit(0))).cast("int").alias("start"), t.alias("text"))))
+        return F.when(
+            whole != "",
+            let(
+                text,
+                lambda t: F.struct((head + F.greatest(F.position(t, whole) - 1, F.lit(0))).cast("int").alias("start"), t.alias("text"))
+            )
+        )
 
     return let(F.regexp_extract(c, FLAGS + pattern, 0), found)

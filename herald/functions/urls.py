@@ -47,9 +47,17 @@ def normalize_url(url: str | Column, domain: str = "") -> Column:
     path = F.regexp_replace(_part(u, 3), "/{2,}", "/")
     path = F.when(F.regexp_like(path, F.lit("^/*$")), "/").otherwise(F.regexp_replace(path, "/+$", ""))
     pairs = F.filter(F.split(_part(u, 4), "&"), lambda p: p != F.lit(""))
-    pairs = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("v")))
+    pairs = F.transform(
+        pairs,
+        lambda p: F.struct(
+            F.substring_index(p, "=", 1).alias("k"),
+            F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("v")
+        )
+    )
     plain = lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%20")))
-    pairs = F.transform(pairs, lambda p: F.struct(F.coalesce(plain(p["k"]), p["k"]).alias("k"), F.coalesce(plain(p["v"]), p["v"]).alias("v")))
+    pairs = F.transform(
+        pairs, lambda p: F.struct(F.coalesce(plain(p["k"]), p["k"]).alias("k"), F.coalesce(plain(p["v"]), p["v"]).alias("v"))
+    )
     kept = F.filter(pairs, lambda p: ~(F.startswith(F.lower(p["k"]), F.lit("utm_")) | F.lower(p["k"]).isin(*TRACKING)))
     query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
     return F.concat(scheme, F.lit("://"), netloc, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
@@ -74,7 +82,9 @@ def source_of(url: str | Column, fallback: str | Column, prefixes: list[tuple[st
 _PRIVATE = [
     ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"),
     ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"),
-    ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"),
+    (
+        "192.168.0.0", "192.168.255.255"
+    ), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"),
     ("224.0.0.0", "255.255.255.255"),
 ]
 

@@ -23,19 +23,35 @@ def annotation_violations(spans: DataFrame, obligations: DataFrame, uses: DataFr
     notice_id, obligation_id, evidence_id. ``relations``: notice_id,
     target_notice_id.
     """
-    twice = lambda df, c, rule: df.groupBy("notice_id", c).agg(F.count("*").alias("n")).filter("n > 1").select("notice_id", F.lit(rule).alias("rule"), F.col(c).cast("string").alias("item"))
+    twice = lambda df, c, rule: df.groupBy("notice_id", c).agg(F.count("*").alias("n")).filter("n > 1").select(
+        "notice_id", F.lit(rule).alias("rule"), F.col(c).cast("string").alias("item")
+    )
     bad = lambda df, c, rule, test: df.filter(test).select("notice_id", F.lit(rule).alias("rule"), F.col(c).cast("string").alias("item"))
     exact = F.substring("raw_text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
     day, moment = F.try_to_date("deadline", "yyyy-MM-dd"), F.try_to_timestamp("deadline")
     zone = F.regexp_like("deadline", F.lit(r"(Z|[+-]\d{2}:?\d{2})$"))
     found = [
         twice(spans, "evidence_id", "evidence_id is not unique"), twice(obligations, "obligation_id", "obligation_id is not unique"),
-        bad(uses.join(spans.select("notice_id", "evidence_id").distinct(), ["notice_id", "evidence_id"], "left_anti"), "evidence_id", "unknown evidence_id", F.lit(True)),
+        bad(
+            uses.join(spans.select("notice_id", "evidence_id").distinct(), ["notice_id", "evidence_id"], "left_anti"), "evidence_id",
+            "unknown evidence_id", F.lit(True)
+        ),
         bad(spans, "evidence_id", "one offset only", F.col("start_char").isNull() != F.col("end_char").isNull()),
-        bad(spans, "evidence_id", "text does not match offsets", F.col("start_char").isNotNull() & F.col("end_char").isNotNull() & ~exact.eqNullSafe(F.col("text"))),
-        bad(obligations, "obligation_id", "deadline is no date", F.col("deadline").isNotNull() & (F.col("precision") == "date") & day.isNull()),
-        bad(obligations, "obligation_id", "deadline is no time", F.col("deadline").isNotNull() & (F.col("precision") == "datetime") & (moment.isNull() | ~zone)),
-        bad(obligations, "obligation_id", "amount is negative", F.col("amount") < 0), bad(relations, "target_notice_id", "relation to itself", F.col("notice_id") == F.col("target_notice_id")),
+        bad(
+            spans, "evidence_id", "text does not match offsets",
+            F.col("start_char").isNotNull() & F.col("end_char").isNotNull() & ~exact.eqNullSafe(F.col("text"))
+        ),
+        bad(
+            obligations, "obligation_id", "deadline is no date",
+            F.col("deadline").isNotNull() & (F.col("precision") == "date") & day.isNull()
+        ),
+        bad(
+            obligations, "obligation_id", "deadline is no time",
+            F.col("deadline").isNotNull() & (F.col("precision") == "datetime") & (moment.isNull() | ~zone)
+        ),
+        bad(obligations, "obligation_id", "amount is negative", F.col("amount") < 0), bad(
+            relations, "target_notice_id", "relation to itself", F.col("notice_id") == F.col("target_notice_id")
+        ),
     ]
     if {"event_start", "event_end"} <= set(obligations.columns):
         found.append(bad(obligations, "obligation_id", "event ends before it starts", F.col("event_end") < F.col("event_start")))
@@ -53,7 +69,9 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str], order: str) -> Dat
     """The latest row of each key of both tables by ``order``; the new one on a tie."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     rest = [c for c in stored.columns if c not in key]
-    return both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, "__new")).alias("r")).select(*key, "r.*").select(*stored.columns)
+    return both.groupBy(*key).agg(
+        F.max_by(F.struct(*rest), F.struct(order, "__new")).alias("r")
+    ).select(*key, "r.*").select(*stored.columns)
 
 
 def reviewed(annotations: DataFrame) -> DataFrame:
@@ -87,7 +105,9 @@ def select_batch(scored: DataFrame, quotas: dict[str, int], total: int) -> DataF
     quota = F.lit(0)
     for source, n in quotas.items():
         quota = F.when(F.col("source_id") == source, n).otherwise(quota)
-    first = scored.withColumn("place", F.row_number().over(Window.partitionBy("source_id").orderBy(*best))).withColumn("by_quota", F.col("place") <= quota)
+    first = scored.withColumn(
+        "place", F.row_number().over(Window.partitionBy("source_id").orderBy(*best))
+    ).withColumn("by_quota", F.col("place") <= quota)
     # a top-k report: at most ``total`` rows leave the sort
     return first.orderBy(F.col("by_quota").desc(), *best).limit(total).drop("place")
 
@@ -123,7 +143,9 @@ def case_violations(cases: DataFrame, frozen: DataFrame, actions: tuple[str, ...
     many = lambda *k: c.join(c.groupBy(*k).agg(F.count("*").alias("__n")).filter("__n > 1").select(*k), list(k), "left_semi")
     found = [
         row(many("case_id").dropDuplicates(["case_id"]), "case_id is not unique"), row(c.filter(~F.contains("text", F.col("span"))), "span not in text"), row(c.filter(~F.col("action").isin(*actions)), "unknown action"),
-        row(c.filter("claim_count != claims"), "claim count differs"), row(many("__k"), "same text twice"), row(c.join(frozen.select(fold_key("text").alias("__k")).distinct(), "__k", "left_semi"), "text is in the frozen set"),
+        row(c.filter("claim_count != claims"), "claim count differs"), row(many("__k"), "same text twice"), row(
+            c.join(frozen.select(fold_key("text").alias("__k")).distinct(), "__k", "left_semi"), "text is in the frozen set"
+        ),
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -131,13 +153,18 @@ def case_violations(cases: DataFrame, frozen: DataFrame, actions: tuple[str, ...
 def flatten_catalog(faculties: DataFrame) -> DataFrame:
     """(faculty_id, faculty, official_code, program, status, alias) of rows with nested programs; one row for each alias, null without."""
     p = faculties.select("faculty_id", F.col("display_name").alias("faculty"), F.explode_outer("programs").alias("p"))
-    return p.select("faculty_id", "faculty", F.col("p.official_code").alias("official_code"), F.col("p.display_name").alias("program"), F.col("p.faculty_assignment_status").alias("status"), F.explode_outer("p.aliases").alias("alias"))
+    return p.select(
+        "faculty_id", "faculty", F.col("p.official_code").alias("official_code"), F.col("p.display_name").alias("program"),
+        F.col("p.faculty_assignment_status").alias("status"), F.explode_outer("p.aliases").alias("alias")
+    )
 
 
 def catalog_violations(flat: DataFrame, used: DataFrame, sources: DataFrame) -> DataFrame:
     """(item, rule): codes of several programs, and sources that are used but not registered."""
     codes = flat.filter("official_code is not null").groupBy("official_code").agg(F.count_distinct("program").alias("n")).filter("n > 1").select(F.col("official_code").alias("item"), F.lit("code is not unique").alias("rule"))
-    return codes.unionByName(used.join(sources, "source_ref", "left_anti").select(F.col("source_ref").alias("item"), F.lit("unknown source").alias("rule")))
+    return codes.unionByName(
+        used.join(sources, "source_ref", "left_anti").select(F.col("source_ref").alias("item"), F.lit("unknown source").alias("rule"))
+    )
 
 
 def field_distribution(flat: DataFrame, fields: list[str]) -> DataFrame:
@@ -153,12 +180,17 @@ def category_tags(flat: DataFrame, tags: dict[str, Column]) -> DataFrame:
 
 def pack_manifest(pack: DataFrame) -> DataFrame:
     """One row about a :func:`gold_pack`: rows, notices, accepted rows and candidates."""
-    return pack.agg(F.count("*").alias("rows"), F.count_distinct("notice_id").alias("notices"), F.count_if(F.col("state") == "accepted").alias("accepted"), F.count_if(F.col("state") == "candidate").alias("candidates"))
+    return pack.agg(
+        F.count("*").alias("rows"), F.count_distinct("notice_id").alias("notices"),
+        F.count_if(F.col("state") == "accepted").alias("accepted"), F.count_if(F.col("state") == "candidate").alias("candidates")
+    )
 
 
 def catalog_status(flat: DataFrame) -> DataFrame:
     """(status, programs): programs of a flattened catalog by their faculty's assignment status, each code and name once."""
-    return flat.filter("program is not null").select("status", "official_code", "program").distinct().groupBy("status").agg(F.count("*").alias("programs"))
+    return flat.filter("program is not null").select(
+        "status", "official_code", "program"
+    ).distinct().groupBy("status").agg(F.count("*").alias("programs"))
 
 
 def unverified_sources(programs: DataFrame, sources: DataFrame, official: tuple[str, ...] = ("official",)) -> DataFrame:

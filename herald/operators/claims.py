@@ -42,7 +42,10 @@ ACTIONS = [
 FULL_DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}"
 SHORT_DATE = r"(?:(?:trước|đến)\s+(?:hết\s+)?(?:ngày\s+)?|hạn\s+cuối\s*:?[ \t]*)(\d{1,2}[./-]\d{1,2})(?![./-]\d)"
 MONEY = r"\b(?:\d{1,3}(?:[.,\s]\d{3})+|\d+)(?=\s*(?:đồng|vnđ|vnd|đ)\b)|\b\d+\s*k\b"
-AUDIENCES = [r"\bk\s*(\d{2})\b", r"\b(?:sinh\s+viên|sv)\s+k\s*(\d{2})\b", r"\b(?:sinh\s+viên|sv)\s+khóa\s*(\d{2})\b", r"\b(?:sinh\s+viên\s+)?khóa\s+tuyển\s+sinh\s+(20\d{2})\b"]
+AUDIENCES = [
+    r"\bk\s*(\d{2})\b", r"\b(?:sinh\s+viên|sv)\s+k\s*(\d{2})\b", r"\b(?:sinh\s+viên|sv)\s+khóa\s*(\d{2})\b",
+    r"\b(?:sinh\s+viên\s+)?khóa\s+tuyển\s+sinh\s+(20\d{2})\b"
+]
 LOCATION = r"(?:địa\s*điểm\s*:\s*|\btại\s+)((?:Phòng|Khu|Ban|Trường|Văn\s+phòng|Hội\s+trường)[^.;\r\n]{0,100})"
 DOCUMENT_CUE = r"hồ\s+sơ\s+gồm|cần\s+nộp|bao\s+gồm"
 DOCUMENTS = r"đơn\s+đăng\s+k[ýí]|bản\s+sao\s+CCCD|bản\s+sao\s+CMND|CCCD|CMND|bảng\s+điểm|chứng\s+chỉ"
@@ -60,7 +63,9 @@ def _lead(text: Column) -> Column:
 
 def _moved(base: Column, parts: Column) -> Column:
     """Parts (start, text) trimmed, their starts counted from ``base``; blank ones go."""
-    out = F.transform(parts, lambda p: F.struct((base + p["start"] + _lead(p["text"])).cast("int").alias("start"), trim_space(p["text"]).alias("text")))
+    out = F.transform(
+        parts, lambda p: F.struct((base + p["start"] + _lead(p["text"])).cast("int").alias("start"), trim_space(p["text"]).alias("text"))
+    )
     return F.filter(out, lambda p: p["text"] != "")
 
 
@@ -69,7 +74,13 @@ def _sentences(block: Column) -> Column:
     one = F.array(F.struct(block["start"].alias("start"), block["text"].alias("text"), F.lit(False).alias("open")))
 
     def cut(parts: Column) -> Column:
-        marked = F.transform(parts, lambda x, i: F.struct((block["start"] + x["start"] + _lead(x["text"])).cast("int").alias("start"), trim_space(x["text"]).alias("text"), (i == F.size(parts) - 1).alias("open")))
+        marked = F.transform(
+            parts,
+            lambda x, i: F.struct(
+                (block["start"] + x["start"] + _lead(x["text"])).cast("int").alias("start"), trim_space(x["text"]).alias("text"),
+                (i == F.size(parts) - 1).alias("open")
+            )
+        )
         return F.filter(marked, lambda x: x["text"] != "")
 
     return F.when(F.regexp_like(block["text"], F.lit(r"[\r\n]")), one).otherwise(let(pieces(block["text"], SENTENCE_END), cut))
@@ -92,7 +103,10 @@ def segment_claims(messages: DataFrame) -> DataFrame:
     claims = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(_sentences(b), _clauses))))
     # outer: before an inner one Spark would filter empty arrays, and so cut every message twice
     c = messages.select("message_id", F.posexplode_outer(claims).alias("claim_ix", "c")).filter("c is not null")
-    return c.select("message_id", "claim_ix", F.col("c.start").alias("start_char"), (F.col("c.start") + F.length("c.text")).cast("int").alias("end_char"), F.col("c.text").alias("text"))
+    return c.select(
+        "message_id", "claim_ix", F.col("c.start").alias("start_char"),
+        (F.col("c.start") + F.length("c.text")).cast("int").alias("end_char"), F.col("c.text").alias("text")
+    )
 
 
 def _plain(pattern: str) -> str:
@@ -112,7 +126,9 @@ def action(text: Column) -> Column:
         out = F.when(s.isNull(), None)
         for i, (kind, pattern) in enumerate(ACTIONS):
             verb = F.regexp_extract(s["text"], f"{_I}^(?:{pattern})$", 1)
-            out = out.when(verb != "", F.struct(s["start"].alias("start"), F.lit(i).alias("order"), verb.alias("text"), F.lit(kind).alias("type")))
+            out = out.when(
+                verb != "", F.struct(s["start"].alias("start"), F.lit(i).alias("order"), verb.alias("text"), F.lit(kind).alias("type"))
+            )
         return out
 
     return let(span_of(text, any_), found)
@@ -120,8 +136,19 @@ def action(text: Column) -> Column:
 
 def deadline(text: Column) -> Column:
     """struct(start, text, normalized): the first full date, else a date without year after a cue, which stays unnormalised."""
-    full = let(span_of(text, FULL_DATE), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), parse_deadline(s["text"])["normalized"].alias("normalized"))))
-    short = let(span_of(text, SHORT_DATE, 1), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), F.lit(None).cast("string").alias("normalized"))))
+    full = let(
+        span_of(text, FULL_DATE),
+        lambda s: F.when(
+            s.isNotNull(),
+            F.struct(s["start"].alias("start"), s["text"].alias("text"), parse_deadline(s["text"])["normalized"].alias("normalized"))
+        )
+    )
+    short = let(
+        span_of(text, SHORT_DATE, 1),
+        lambda s: F.when(
+            s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), F.lit(None).cast("string").alias("normalized"))
+        )
+    )
     return F.coalesce(full, short)
 
 
@@ -141,12 +168,20 @@ def audience(text: Column) -> Column:
 
     year = lambda s: F.concat(F.lit("K"), F.regexp_extract(s["text"], r"(\d{2})$", 1))
     any_ = "|".join(f"(?:{_plain(p)})" for p in AUDIENCES)
-    return let(span_of(text, any_), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), year(s).alias("cohort"))))
+    return let(
+        span_of(text, any_),
+        lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), year(s).alias("cohort")))
+    )
 
 
 def location(text: Column) -> Column:
     """struct(start, text, normalized) of a named place after a cue."""
-    return let(span_of(text, LOCATION, 1), lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), clean_text(s["text"]).alias("normalized"))))
+    return let(
+        span_of(text, LOCATION, 1),
+        lambda s: F.when(
+            s.isNotNull(), F.struct(s["start"].alias("start"), s["text"].alias("text"), clean_text(s["text"]).alias("normalized"))
+        )
+    )
 
 
 def documents(text: Column) -> Column:
@@ -175,7 +210,12 @@ def extract_claims(messages: DataFrame) -> DataFrame:
     """
     c, t = segment_claims(messages), F.col("text")
     c = c.withColumn("claim_id", F.sha2(F.concat_ws(":", F.col("message_id").cast("string"), "start_char"), 256))
-    c = c.withColumns({"normalized_text": clean_text(t), "action": action(t), "deadline": deadline(t), "amount": amount(t), "audience": audience(t), "location": location(t), "documents": documents(t), "exceptions": exceptions(t)})
+    c = c.withColumns(
+        {
+            "normalized_text": clean_text(t), "action": action(t), "deadline": deadline(t), "amount": amount(t), "audience": audience(t),
+            "location": location(t), "documents": documents(t), "exceptions": exceptions(t)
+        }
+    )
     return c.withColumn("object_hint", object_hint(t, F.col("action")))
 
 

@@ -16,14 +16,24 @@ def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
 def prf(tp: Column, fp: Column, fn: Column, empty: float | None = 0.0) -> Column:
     """struct(precision, recall, f1) of counts; ``empty`` where a denominator is 0."""
     p, r = ratio(tp, tp + fp, empty), ratio(tp, tp + fn, empty)
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(empty).cast("double")).alias("f1"))
+    return F.struct(
+        p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(empty).cast("double")).alias("f1")
+    )
 
 
 def derive_queries(obligations: DataFrame) -> DataFrame:
     """Up to four retrieval queries for each obligation: the action, with audience, with deadline, with a paper."""
     a = F.col("action_text")
     with_ = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(" ", a, F.col(c)))
-    kinds = F.array(*[F.when(q.isNotNull(), F.struct(F.lit(k).alias("kind"), q.alias("text"))) for k, q in (("action", a), ("audience", with_("audience_text")), ("deadline", with_("deadline_text")), ("document", with_("document_text")))])
+    kinds = F.array(
+        *[
+            F.when(q.isNotNull(), F.struct(F.lit(k).alias("kind"), q.alias("text"))) for k,
+            q in (
+                ("action", a), ("audience", with_("audience_text")), ("deadline", with_("deadline_text")),
+                ("document", with_("document_text"))
+            )
+        ]
+    )
     return obligations.select("obligation_id", F.explode(F.array_compact(kinds)).alias("q")).select("obligation_id", "q.kind", "q.text")
 
 
@@ -42,9 +52,14 @@ def mutate_cases(cases: DataFrame) -> DataFrame:
     """Four variants of each case (case_id, text, deadline, location): exact, deadline four days on, another place, unsupported."""
     later = F.date_format(F.date_add(F.col("deadline").cast("date"), 4), "yyyy-MM-dd")
     kinds = F.array(
-        F.struct(F.lit("exact").alias("mutation"), F.col("deadline").alias("deadline"), F.col("location").alias("location"), F.lit("VERIFIED").alias("expected")),
+        F.struct(
+            F.lit("exact").alias("mutation"), F.col("deadline").alias("deadline"), F.col("location").alias("location"),
+            F.lit("VERIFIED").alias("expected")
+        ),
         *[F.struct(F.lit(k).alias("mutation"), d.alias("deadline"), p.alias("location"), F.lit(v).alias("expected")) for k, d, p, v in (
-            ("deadline", later, F.col("location"), "CONFLICT"), ("location", F.col("deadline"), F.lit("another place"), "INSUFFICIENT_EVIDENCE"),
+            ("deadline", later, F.col("location"), "CONFLICT"), (
+                "location", F.col("deadline"), F.lit("another place"), "INSUFFICIENT_EVIDENCE"
+            ),
             ("unsupported", F.lit(None).cast("string"), F.lit(None).cast("string"), "ABSTAINED"))])
     return cases.select("case_id", F.explode(kinds).alias("m")).select("case_id", "m.*")
 
@@ -62,7 +77,9 @@ def confusion_prf(rows: DataFrame, labels: list) -> DataFrame:
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     s = prf(z("tp"), z("fp"), z("fn"), 0.0)
     some = z("tp") + z("fn") > 0
-    return domain.join(per, "label", "left").select("label", (z("tp") + z("fn")).alias("support"), *[F.when(some, s[m]).alias(m) for m in ("precision", "recall", "f1")])
+    return domain.join(per, "label", "left").select(
+        "label", (z("tp") + z("fn")).alias("support"), *[F.when(some, s[m]).alias(m) for m in ("precision", "recall", "f1")]
+    )
 
 
 def macro_average(per_label: DataFrame) -> DataFrame:
@@ -95,13 +112,21 @@ def exact_match(gold: DataFrame, predicted: DataFrame, exclude: DataFrame | None
     none = F.expr("cast(array() as array<string>)")
     failed_ = F.coalesce("failed", F.lit(False))
     same, some = ~failed_ & (F.coalesce("p", none) == F.col("g")), F.size("g") > 0
-    out = j.groupBy("field").agg(F.count("*").alias("notices"), F.count_if(some).alias("present"), F.count_if(same).alias("a"), F.count_if(same & some).alias("b"), F.count_if(failed_).alias("errors"))
-    return out.select("field", "notices", "present", ratio(F.col("a"), F.col("notices"), 0.0).alias("exact_all"), ratio(F.col("b"), F.col("present"), 0.0).alias("exact_present"), "errors")
+    out = j.groupBy("field").agg(
+        F.count("*").alias("notices"), F.count_if(some).alias("present"), F.count_if(same).alias("a"), F.count_if(same & some).alias("b"),
+        F.count_if(failed_).alias("errors")
+    )
+    return out.select(
+        "field", "notices", "present", ratio(F.col("a"), F.col("notices"), 0.0).alias("exact_all"),
+        ratio(F.col("b"), F.col("present"), 0.0).alias("exact_present"), "errors"
+    )
 
 
 def accuracy(rows: DataFrame) -> DataFrame:
     """One row: rows, those right, and their share."""
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("predicted")).alias("right")).withColumn("accuracy", ratio(F.col("right"), F.col("n")))
+    return rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("predicted")).alias("right")
+    ).withColumn("accuracy", ratio(F.col("right"), F.col("n")))
 
 
 def error_layers(rows: DataFrame) -> DataFrame:
@@ -116,7 +141,10 @@ def atom_prf(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     key = ["notice_id", "field", "atom"]
     norm = lambda df, side: df.select("notice_id", "field", norm_text("atom").alias("atom")).distinct().withColumn(side, F.lit(1))
     both = norm(gold, "g").join(norm(predicted, "p"), key, "full_outer")
-    c = both.groupBy("field").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    c = both.groupBy("field").agg(
+        F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"),
+        F.count_if(F.col("p").isNull()).alias("fn")
+    )
     return c.select("*", prf(F.col("tp"), F.col("fp"), F.col("fn")).alias("s")).select("field", "tp", "fp", "fn", "s.*")
 
 
@@ -125,8 +153,12 @@ def value_metrics(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     key = ["notice_id", "value"]
     found = expected.join(predicted.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("found"))
     right = predicted.join(expected.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("right"))
-    n = expected.agg(F.count("*").alias("expected")).crossJoin(predicted.agg(F.count("*").alias("predicted"))).crossJoin(found).crossJoin(right)  # one row each
-    return n.withColumns({"recall": ratio(F.col("found"), F.col("expected"), 0.0), "precision": ratio(F.col("right"), F.col("predicted"), 0.0)})
+    n = expected.agg(F.count("*").alias("expected")).crossJoin(
+        predicted.agg(F.count("*").alias("predicted"))
+    ).crossJoin(found).crossJoin(right)  # one row each
+    return n.withColumns(
+        {"recall": ratio(F.col("found"), F.col("expected"), 0.0), "precision": ratio(F.col("right"), F.col("predicted"), 0.0)}
+    )
 
 
 def align_claims(gold: DataFrame, predicted: DataFrame, per_case: bool = True) -> DataFrame:
@@ -140,7 +172,11 @@ def align_claims(gold: DataFrame, predicted: DataFrame, per_case: bool = True) -
 
 def alignment_metrics(aligned: DataFrame) -> DataFrame:
     """One row: pairs, equal boundaries, missed and invented claims."""
-    return aligned.agg(F.count_if(F.col("gold").isNotNull() & F.col("predicted").isNotNull()).alias("pairs"), F.count_if(F.col("gold") == F.col("predicted")).alias("exact"), F.count_if(F.col("predicted").isNull()).alias("missed"), F.count_if(F.col("gold").isNull()).alias("invented"))
+    return aligned.agg(
+        F.count_if(F.col("gold").isNotNull() & F.col("predicted").isNotNull()).alias("pairs"),
+        F.count_if(F.col("gold") == F.col("predicted")).alias("exact"), F.count_if(F.col("predicted").isNull()).alias("missed"),
+        F.count_if(F.col("gold").isNull()).alias("invented")
+    )
 
 
 def field_outcomes(rows: DataFrame) -> DataFrame:
@@ -153,12 +189,17 @@ def qualification(outcomes: DataFrame, least: float = 0.9) -> DataFrame:
     """One row: the share of correct fields and BLOCKED (anything hallucinated), QUALIFIED or REVIEW."""
     n = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("n"))), F.lit(0))
     share = ratio(n("correct"), n("correct") + n("incorrect") + n("missing") + n("hallucinated"), 0.0)
-    return outcomes.agg(share.alias("correct_share"), F.when(n("hallucinated") > 0, "BLOCKED").when(share >= least, "QUALIFIED").otherwise("REVIEW").alias("status"))
+    return outcomes.agg(
+        share.alias("correct_share"),
+        F.when(n("hallucinated") > 0, "BLOCKED").when(share >= least, "QUALIFIED").otherwise("REVIEW").alias("status")
+    )
 
 
 def leakage(cases: DataFrame, frozen: DataFrame) -> DataFrame:
     """Cases (case_id, text) whose folded text stands in the frozen set (text)."""
-    return cases.join(frozen.select(fold_key("text").alias("__k")).distinct(), fold_key(cases["text"]) == F.col("__k"), "left_semi").select("case_id")
+    return cases.join(
+        frozen.select(fold_key("text").alias("__k")).distinct(), fold_key(cases["text"]) == F.col("__k"), "left_semi"
+    ).select("case_id")
 
 
 def contained(passages: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
@@ -171,7 +212,9 @@ def contained(passages: DataFrame, documents: DataFrame, k: int = 5) -> DataFram
     document; null texts have no words.
     """
     words = lambda c: F.filter(F.split(fold_key(c), " "), lambda x: x != F.lit(""))
-    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(n, F.array_join(F.slice(w, i, n), " ")))
+    grams = lambda w, n: F.transform(
+        F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(n, F.array_join(F.slice(w, i, n), " "))
+    )
     p = passages.select("item_id", fold_key("text").alias("p"), words("text").alias("w")).filter(F.size("w") > 0)
     p = p.withColumn("n", F.least(F.size("w"), F.lit(k)))
     g = p.select("item_id", F.explode(F.array_distinct(grams(F.col("w"), F.col("n")))).alias("h"))
@@ -179,21 +222,34 @@ def contained(passages: DataFrame, documents: DataFrame, k: int = 5) -> DataFram
     d = documents.select("doc_id", words("text").alias("w")).join(F.broadcast(sizes), F.size("w") >= F.col("n"))
     near = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), F.col("n")))).alias("h"))
     all_ = g.groupBy("item_id").agg(F.count("*").alias("all"))
-    pairs = near.join(g, "h").groupBy("item_id", "doc_id").agg(F.count_distinct("h").alias("m")).join(all_, "item_id").filter("m = all").select("item_id", "doc_id")
-    held = documents.select("doc_id", "text").join(pairs, "doc_id").select("item_id", "doc_id", fold_key("text").alias("t")).join(p.select("item_id", "p"), "item_id")
-    return held.filter(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "p", F.lit(" ")))).select("item_id", "doc_id").distinct()
+    pairs = near.join(g, "h").groupBy("item_id", "doc_id").agg(
+        F.count_distinct("h").alias("m")
+    ).join(all_, "item_id").filter("m = all").select("item_id", "doc_id")
+    held = documents.select("doc_id", "text").join(pairs, "doc_id").select(
+        "item_id", "doc_id", fold_key("text").alias("t")
+    ).join(p.select("item_id", "p"), "item_id")
+    return held.filter(
+        F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.concat(F.lit(" "), "p", F.lit(" ")))
+    ).select("item_id", "doc_id").distinct()
 
 
 def change_classes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(case_id, change) of outcomes (case_id, right) before and after: regression, fixed, unchanged or limitation."""
     j = before.select("case_id", F.col("right").alias("b")).join(after.select("case_id", F.col("right").alias("a")), "case_id")
-    return j.select("case_id", F.when(F.col("b") & ~F.col("a"), "regression").when(~F.col("b") & F.col("a"), "fixed").when(F.col("a"), "unchanged").otherwise("limitation").alias("change"))
+    return j.select(
+        "case_id",
+        F.when(
+            F.col("b") & ~F.col("a"), "regression"
+        ).when(~F.col("b") & F.col("a"), "fixed").when(F.col("a"), "unchanged").otherwise("limitation").alias("change")
+    )
 
 
 def distribution(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:
     """(value, n) with every value of the domain, 0 where it does not occur."""
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return rows.sparkSession.createDataFrame([(d,) for d in domain], "value string").join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.sparkSession.createDataFrame([(d,) for d in domain], "value string").join(counts, "value", "left").select(
+        "value", F.coalesce("n", F.lit(0)).alias("n")
+    )
 
 
 def order_statistics(rows: DataFrame, column: str, share: float, linear: bool, accuracy: int = 10_000) -> DataFrame:
@@ -211,17 +267,26 @@ def order_statistics(rows: DataFrame, column: str, share: float, linear: bool, a
     frame = v.agg(F.count("*").alias("n"), ends.alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
     # one row, joined to all
     few = F.col("n") < 2 * accuracy  # ranks of so few lie too far apart for the bracket
-    lower, upper = F.when(few | F.lit(low == 0), F.col("least")).otherwise(F.col("e")[0]), F.when(few | F.lit(high == 1), F.col("most")).otherwise(F.col("e")[1])
+    lower, upper = F.when(
+        few | F.lit(low == 0), F.col("least")
+    ).otherwise(F.col("e")[0]), F.when(few | F.lit(high == 1), F.col("most")).otherwise(F.col("e")[1])
     frame = frame.select("n", lower.alias("a"), upper.alias("b"))
     marked = v.join(F.broadcast(frame), F.lit(True))
     below = marked.filter("v < a").agg(F.count("*").alias("below"))
     inner = marked.filter("v between a and b").groupBy("v", "n").agg(F.count("*").alias("c"))
     upto = Window.orderBy("v")
-    inner = inner.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(below), F.lit(True)).withColumn("upto", F.col("upto") + F.col("below"))
+    inner = inner.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(below), F.lit(True)).withColumn(
+        "upto", F.col("upto") + F.col("below")
+    )
     at = (F.col("n") - 1) * F.lit(share) if linear else F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
     pick = inner.withColumn("at", at)
-    found = pick.agg(F.max("at").alias("at"), F.max("n").alias("n"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("y"))
-    return found.select(F.coalesce("n", F.lit(0)).alias("n"), (F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.floor("at"))).alias("value"))
+    found = pick.agg(
+        F.max("at").alias("at"), F.max("n").alias("n"), F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("x"),
+        F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("y")
+    )
+    return found.select(
+        F.coalesce("n", F.lit(0)).alias("n"), (F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.floor("at"))).alias("value")
+    )
 
 
 def percentiles(rows: DataFrame, column: str) -> DataFrame:
@@ -245,11 +310,23 @@ def candidate_claims(obligations: DataFrame) -> DataFrame:
     """Claims to try against each obligation (obligation_id, deadline, amount, audience, location, document): one exact, and one for each field made wrong."""
     c = F.col
     later = F.date_format(F.date_add(c("deadline").cast("date"), 4), "yyyy-MM-dd")
-    base = {"deadline": c("deadline"), "amount": c("amount").cast("bigint"), "audience": c("audience"), "location": c("location"), "document": c("document")}
-    wrong = {"deadline": later, "amount": base["amount"] + 500_000, "audience": F.lit("another audience"), "location": F.lit("another place"), "document": F.lit("another document")}
+    base = {
+        "deadline": c("deadline"), "amount": c("amount").cast("bigint"), "audience": c("audience"), "location": c("location"),
+        "document": c("document")
+    }
+    wrong = {
+        "deadline": later, "amount": base["amount"] + 500_000, "audience": F.lit("another audience"), "location": F.lit("another place"),
+        "document": F.lit("another document")
+    }
     kinds = [F.struct(F.lit("exact").alias("mutation"), *[v.alias(k) for k, v in base.items()])]
-    kinds += [F.when(base[f].isNotNull(), F.struct(F.lit(f).alias("mutation"), *[(wrong[k] if k == f else v).alias(k) for k, v in base.items()])) for f in base]
-    return obligations.select("obligation_id", F.explode(F.array_compact(F.array(*kinds))).alias("m")).select("obligation_id", "m.*", F.lit("CANDIDATE").alias("status"))
+    kinds += [
+        F.when(
+            base[f].isNotNull(), F.struct(F.lit(f).alias("mutation"), *[(wrong[k] if k == f else v).alias(k) for k, v in base.items()])
+        ) for f in base
+    ]
+    return obligations.select(
+        "obligation_id", F.explode(F.array_compact(F.array(*kinds))).alias("m")
+    ).select("obligation_id", "m.*", F.lit("CANDIDATE").alias("status"))
 
 
 def field_accuracy(rows: DataFrame) -> DataFrame:

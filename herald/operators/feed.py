@@ -36,7 +36,9 @@ def _bound(value: Column, precision: Column, end: bool) -> Column:
     return F.when(precision == "date", midnight).when(precision == "datetime", F.try_to_timestamp(value))
 
 
-def actionability(deadline: Column, deadline_precision: Column, start: Column, start_precision: Column, end: Column, end_precision: Column, now: Column) -> Column:
+def actionability(
+    deadline: Column, deadline_precision: Column, start: Column, start_precision: Column, end: Column, end_precision: Column, now: Column
+) -> Column:
     """UPCOMING, ACTIVE, EXPIRED, NO_DEADLINE or UNKNOWN at ``now``.
 
     A date lasts through its local day and is over from the next midnight; a
@@ -72,7 +74,9 @@ def feed_by_class(profiles: DataFrame, obligations: DataFrame, now: Column) -> D
     c = F.col
     # what does not depend on the profile is worked out once for each obligation
     live = live.select(
-        "obligation_id", "audience", actionability(c("deadline"), c("deadline_precision"), c("start"), c("start_precision"), c("end"), c("end_precision"), now).alias("actionability"),
+        "obligation_id", "audience", actionability(
+            c("deadline"), c("deadline_precision"), c("start"), c("start_precision"), c("end"), c("end_precision"), now
+        ).alias("actionability"),
         missing_information({"deadline": c("deadline"), "amount": c("amount"), "location": c("location")}).alias("missing"), c("deadline").isNotNull().alias("dated"))
     item = live.join(kinds, F.lit(True), "inner").withColumn("applicability", applicability(c("audience"), {k: c(k) for k in keys}))
     w = Window.partitionBy(*keys).orderBy((c("applicability") != "APPLIES").cast("int"), (~c("dated")).cast("int"), "obligation_id")

@@ -13,7 +13,9 @@ MAX_DOUBLINGS = 4
 
 def source_outcome(created: Column, updated: Column, failed: Column, unchanged: Column, duplicate: Column) -> Column:
     """NEW, UPDATED, FAILED (failures and nothing that held) or UNCHANGED."""
-    return F.when(created > 0, "NEW").when(updated > 0, "UPDATED").when((failed > 0) & (unchanged + duplicate == 0), "FAILED").otherwise("UNCHANGED")
+    return F.when(created > 0, "NEW").when(updated > 0, "UPDATED").when(
+        (failed > 0) & (unchanged + duplicate == 0), "FAILED"
+    ).otherwise("UNCHANGED")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "notice_id") -> DataFrame:
@@ -58,14 +60,19 @@ def latest_activity(events: DataFrame, now: Column, hours: int = 48) -> DataFram
 def backfill_events(state: DataFrame, notices: DataFrame, version_counts: DataFrame, events: DataFrame) -> DataFrame:
     """Events missing for notices seen since their source last changed: UPDATED with several versions, else NEW."""
     since = notices.join(state.select("source_id", "last_changed_at"), "source_id").filter("last_observed_at >= last_changed_at")
-    made = since.join(version_counts, "notice_id", "left").select("notice_id", F.when(F.col("version_count") > 1, "UPDATED").otherwise("NEW").alias("outcome"), F.col("last_observed_at").alias("observed_at"))
+    made = since.join(version_counts, "notice_id", "left").select(
+        "notice_id", F.when(F.col("version_count") > 1, "UPDATED").otherwise("NEW").alias("outcome"),
+        F.col("last_observed_at").alias("observed_at")
+    )
     return made.join(events, ["notice_id", "outcome", "observed_at"], "left_anti")
 
 
 def cycle_summary(checks: DataFrame, width: str = "10 minutes") -> DataFrame:
     """Counts of outcomes in tumbling windows: started_at, new_count, updated_count, unchanged_count, failed_count."""
     count = lambda o: F.count_if(F.col("outcome") == o).alias(f"{o.lower()}_count")
-    return checks.groupBy(F.window("checked_at", width).alias("w")).agg(*map(count, ("NEW", "UPDATED", "UNCHANGED", "FAILED"))).select(F.col("w.start").alias("started_at"), "new_count", "updated_count", "unchanged_count", "failed_count")
+    return checks.groupBy(F.window("checked_at", width).alias("w")).agg(*map(count, ("NEW", "UPDATED", "UNCHANGED", "FAILED"))).select(
+        F.col("w.start").alias("started_at"), "new_count", "updated_count", "unchanged_count", "failed_count"
+    )
 
 
 def monitor_status(state: DataFrame) -> DataFrame:
@@ -106,4 +113,6 @@ def rebuild_changed(stored: DataFrame, versions: DataFrame, events: DataFrame, c
     Without such events nothing is chunked.
     """
     changed = changed_keys(events)
-    return stored.join(changed, "notice_id", "left_anti").unionByName(chunk(versions.join(changed, "notice_id", "left_semi")).select(*stored.columns))
+    return stored.join(changed, "notice_id", "left_anti").unionByName(
+        chunk(versions.join(changed, "notice_id", "left_semi")).select(*stored.columns)
+    )

@@ -52,9 +52,14 @@ _I = FLAGS
 
 def spans(text: str | Column, pattern: str) -> Column:
     """array<struct<start, end>> of all matches of ``pattern``, which must not capture; offsets from 0."""
-    one = lambda b, i: F.struct((b[i]["start"] + F.length(b[i]["text"])).cast("int").alias("start"), b[i + 1]["start"].cast("int").alias("end"))
+    one = lambda b, i: F.struct(
+        (b[i]["start"] + F.length(b[i]["text"])).cast("int").alias("start"), b[i + 1]["start"].cast("int").alias("end")
+    )
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return let(pieces(text, pattern), lambda b: F.when(F.size(b) < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: one(b, i))))
+    return let(
+        pieces(text, pattern),
+        lambda b: F.when(F.size(b) < 2, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: one(b, i)))
+    )
 
 
 def detect_audience(text: Column) -> Column:
@@ -63,7 +68,9 @@ def detect_audience(text: Column) -> Column:
         has = lambda p: F.regexp_like(raw, F.lit(_I + p))
         years = F.regexp_extract_all(raw, F.lit(_I + r"kh[oó]a(?:\s+tuyển\s+sinh)?\s*(20\d{2})"), F.lit(1))
         return F.when(raw != "", F.struct(
-            raw.alias("raw_text"), has(r"tất\s+cả.*sinh\s+viên").alias("applies_to_all_students"), F.expr("cast(array() as array<string>)").alias("faculties"),
+            raw.alias("raw_text"), has(r"tất\s+cả.*sinh\s+viên").alias("applies_to_all_students"), F.expr(
+                "cast(array() as array<string>)"
+            ).alias("faculties"),
             F.array_compact(F.array(F.when(has(r"\bCNTT\b|Công\s+nghệ\s+Thông\s+tin"), "CNTT"))).alias("majors"),
             F.array_sort(F.array_distinct(F.transform(years, lambda y: F.concat(F.lit("K"), F.right(y, F.lit(2)))))).alias("cohorts"),
             F.array_compact(F.array(F.when(has(r"chính\s+quy"), "chính quy"), F.when(has(r"chương\s+trình\s+tiên\s+tiến"), "Chương trình tiên tiến"))).alias("programs")))
@@ -73,7 +80,9 @@ def detect_audience(text: Column) -> Column:
 
 def detect_documents(text: Column) -> Column:
     """Up to eight distinct papers named in a text, in order."""
-    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_I + DOCUMENTS), F.lit(0)), trim_space)), 1, MOST_DOCUMENTS)
+    return F.slice(
+        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_I + DOCUMENTS), F.lit(0)), trim_space)), 1, MOST_DOCUMENTS
+    )
 
 
 def _deadline(after: Column) -> Column:
@@ -86,9 +95,15 @@ def _deadline(after: Column) -> Column:
         from_ = F.greatest(p["start"] - TIME_BEFORE, F.lit(0))
         time = F.try_element_at(F.regexp_extract_all(F.substring(window, from_ + 1, p["start"] - from_), F.lit(TIME), F.lit(0)), F.lit(-1))
         read = parse_deadline(F.concat_ws(" ", time, raw))
-        return F.when(p.isNotNull(), let(read, lambda v: F.struct(raw.alias("raw_text"), v["normalized"].alias("normalized"), v["precision"].alias("precision"))))
-
-    pick = let(spans(window, DATE), lambda f: F.when((F.size(f) > 1) & ranged, F.try_element_at(f, F.lit(-1))).otherwise(F.try_element_at(f, F.lit(1))))
+        return F.when(
+            p.isNotNull(),
+            let(read, lambda v: F.struct(raw.alias("raw_text"), v["normalized"].alias("normalized"), v["precision"].alias("precision")))
+        )
+
+    pick = let(
+        spans(window, DATE),
+        lambda f: F.when((F.size(f) > 1) & ranged, F.try_element_at(f, F.lit(-1))).otherwise(F.try_element_at(f, F.lit(1)))
+    )
     return let(pick, value)
 
 
@@ -102,21 +117,37 @@ def rule_extract(notices: DataFrame) -> DataFrame:
     t = F.col("raw_text")
 
     def found(i: int, kind: str, pattern: str) -> Column:
-        return F.transform(spans(t, pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("order"), F.lit(kind).alias("kind")))
+        return F.transform(
+            spans(t, pattern),
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(i).alias("order"), F.lit(kind).alias("kind"))
+        )
 
     hits = F.array_sort(F.flatten(F.array(*[found(i, kind, p) for i, (kind, p) in enumerate(ACTIONS)])))
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
     once = let(hits, lambda h: F.filter(h, lambda x, i: (i == 0) | ~same(x, F.get(h, F.greatest(i - 1, F.lit(0))))))
-    placed = F.array_sort(F.transform(once, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    placed = F.array_sort(
+        F.transform(
+            once, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))
+        )
+    )
     # all of it stays in the notice's row; what holds for the whole notice is worked out once
-    rows = notices.filter("raw_text is not null").select("notice_id", "version_id", "raw_text", detect_audience(t).alias("audience"), detect_documents(t).alias("papers"), F.slice(placed, 1, MOST_OBLIGATIONS).alias("placed"))
-    rows = rows.select("notice_id", "version_id", "raw_text", "audience", "papers", F.posexplode_outer("placed").alias("ordinal", "a")).filter("a is not null")  # an inner one would be preceded by a filter that finds all spans a second time
+    rows = notices.filter("raw_text is not null").select(
+        "notice_id", "version_id", "raw_text", detect_audience(t).alias("audience"), detect_documents(t).alias("papers"),
+        F.slice(placed, 1, MOST_OBLIGATIONS).alias("placed")
+    )
+    rows = rows.select(
+        "notice_id", "version_id", "raw_text", "audience", "papers", F.posexplode_outer("placed").alias("ordinal", "a")
+    ).filter("a is not null")  # an inner one would be preceded by a filter that finds all spans a second time
     after = F.substring("raw_text", F.col("a.end") + 1, F.lit(LOCATION_WINDOW))
     money = F.when(F.col("a.kind") == "pay", span_of(F.substring(after, 1, AMOUNT_WINDOW), MONEY)["text"])
     place = span_of(after, LOCATION, 1)["text"]
-    papers = F.when(F.col("a.kind").isin("submit", "apply", "register"), F.col("papers")).otherwise(F.expr("cast(array() as array<string>)"))
+    papers = F.when(
+        F.col("a.kind").isin("submit", "apply", "register"), F.col("papers")
+    ).otherwise(F.expr("cast(array() as array<string>)"))
     return rows.select(
-        "notice_id", "version_id", "ordinal", F.col("a.kind").alias("action_type"), F.substring("raw_text", F.col("a.start") + 1, F.col("a.end") - F.col("a.start")).alias("action_text"), F.col("a.start").alias("start_char"),
+        "notice_id", "version_id", "ordinal", F.col("a.kind").alias("action_type"), F.substring(
+            "raw_text", F.col("a.start") + 1, F.col("a.end") - F.col("a.start")
+        ).alias("action_text"), F.col("a.start").alias("start_char"),
         "audience", _deadline(after).alias("deadline"), money.alias("amount_text"), parse_vnd(money).alias("amount_vnd"), trim_space(place).alias("location"), papers.alias("documents"))
 
 
@@ -203,11 +234,24 @@ def payload_errors(outputs: DataFrame) -> DataFrame:
     any_ = lambda test: F.coalesce(F.exists(claims, test), F.lit(False))
     loose = lambda v: v.isNotNull() & ~F.contains(F.col("message"), v)
     error = (
-        F.when(F.col("__k").isNull() | (F.size(F.array_except("__k", F.array(F.lit("claims")))) > 0) | claims.isNull(), "INVALID_TOP_LEVEL_SCHEMA")
+        F.when(
+            F.col("__k").isNull() | (F.size(F.array_except("__k", F.array(F.lit("claims")))) > 0) | claims.isNull(),
+            "INVALID_TOP_LEVEL_SCHEMA"
+        )
         .when(any_(lambda c: c.isNull() | c["verdict"].isNotNull()), "TRUST_VERDICT_OR_INVALID_CLAIM")
-        .when(any_(lambda c: c["claim_text"].isNull() | (c["claim_text"] == "") | ~F.contains(F.col("message"), c["claim_text"])), "UNGROUNDED_CLAIM")
+        .when(
+            any_(lambda c: c["claim_text"].isNull() | (c["claim_text"] == "") | ~F.contains(F.col("message"), c["claim_text"])),
+            "UNGROUNDED_CLAIM"
+        )
         .when(any_(lambda c: c["action_normalized"].isNotNull() & ~c["action_normalized"].isin(*ANCHORS)), "INVALID_ACTION")
-        .when(any_(lambda c: c["deadline_normalized"].isNotNull() & (c["deadline_raw"].isNull() | (F.size(F.split(c["deadline_raw"], "/")) < 3))), "INVENTED_YEAR")
+        .when(
+            any_(
+                lambda c: c["deadline_normalized"].isNotNull() & (
+                    c["deadline_raw"].isNull() | (F.size(F.split(c["deadline_raw"], "/")) < 3)
+                )
+            ),
+            "INVENTED_YEAR"
+        )
         .when(any_(lambda c: c["amount_value"].isNotNull() & ~F.regexp_like(c["amount_value"], F.lit(r"^-?\d+$"))), "INVALID_AMOUNT")
         .when(any_(lambda c: loose(c["action"]) | loose(c["deadline_raw"]) | loose(c["amount_raw"]) | loose(c["audience"]) | F.coalesce(F.exists(c["required_documents"], lambda d: loose(d)), F.lit(False))), "UNGROUNDED_FIELD"))
     return p.select("output_id", error.alias("error"))
@@ -222,7 +266,9 @@ def flatten_obligations(annotations: DataFrame) -> DataFrame:
     """One row for each obligation of annotations (notice_id, version_id, annotation_status, obligations)."""
     o = annotations.select("notice_id", "version_id", "annotation_status", F.posexplode("obligations").alias("ordinal", "o"))
     return o.select(
-        "notice_id", "version_id", "annotation_status", "ordinal", F.col("o.obligation_id").alias("obligation_id"), F.col("o.action.action_type").alias("off_action"), F.col("o.deadline.raw_text").alias("off_deadline"),
+        "notice_id", "version_id", "annotation_status", "ordinal", F.col("o.obligation_id").alias("obligation_id"), F.col(
+            "o.action.action_type"
+        ).alias("off_action"), F.col("o.deadline.raw_text").alias("off_deadline"),
         F.col("o.deadline.normalized").alias("off_deadline_norm"), F.col("o.amount.value_vnd").alias("off_amount"), F.col("o.location.text").alias("location"), F.col("o.audience").alias("audience"))
 
 
@@ -242,16 +288,28 @@ def draft_obligations(drafts: DataFrame) -> DataFrame:
     grounded is null. ``obligation_id`` counts the obligations of a version.
     """
     quotes = ["deadline_quote", "amount_quote", "location_quote"]
-    long = drafts.select("draft_id", "raw_text", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("quote")) for i, c in enumerate(quotes)])).alias("q"))
-    long = long.filter("q.quote is not null").select((F.col("draft_id") * 4 + F.col("q.field")).alias("quote_id"), F.col("q.quote").alias("quote"), "raw_text")
-    found = ground(long).select(F.floor(F.col("quote_id") / 4).alias("draft_id"), F.concat(F.lit("f"), (F.col("quote_id") % 4).cast("string")).alias("f"), "grounded")
+    long = drafts.select(
+        "draft_id", "raw_text",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("quote")) for i, c in enumerate(quotes)])).alias("q")
+    )
+    long = long.filter("q.quote is not null").select(
+        (F.col("draft_id") * 4 + F.col("q.field")).alias("quote_id"), F.col("q.quote").alias("quote"), "raw_text"
+    )
+    found = ground(long).select(
+        F.floor(F.col("quote_id") / 4).alias("draft_id"), F.concat(F.lit("f"), (F.col("quote_id") % 4).cast("string")).alias("f"),
+        "grounded"
+    )
     wide = found.groupBy("draft_id").pivot("f", ["f0", "f1", "f2"]).agg(F.first("grounded"))
-    j = drafts.withColumn("action_text", ground_action(F.col("raw_text"), F.col("action_type"), F.col("action_quote"))).filter("action_text is not null").join(wide, "draft_id", "left")
+    j = drafts.withColumn(
+        "action_text", ground_action(F.col("raw_text"), F.col("action_type"), F.col("action_quote"))
+    ).filter("action_text is not null").join(wide, "draft_id", "left")
     at = F.position("action_text", "raw_text")
     w = Window.partitionBy("notice_id", "version_id").orderBy("at", "draft_id")
     read = parse_deadline(F.coalesce("f0", F.lit("")))
     return j.withColumn("at", at).select(
-        "notice_id", "version_id", F.concat(F.lit("o"), F.row_number().over(w).cast("string")).alias("obligation_id"), "draft_id", "action_type", "action_text", (F.col("at") - 1).alias("start_char"),
+        "notice_id", "version_id", F.concat(
+            F.lit("o"), F.row_number().over(w).cast("string")
+        ).alias("obligation_id"), "draft_id", "action_type", "action_text", (F.col("at") - 1).alias("start_char"),
         F.col("f0").alias("deadline_text"), read["normalized"].alias("deadline"), read["precision"].alias("precision"), parse_vnd(F.coalesce("f1", F.lit(""))).alias("amount"), F.col("f2").alias("location"))
 
 
@@ -259,5 +317,7 @@ def inexact_evidence(spans_: DataFrame) -> DataFrame:
     """(doc_id, evidence_id, rule) of spans (doc_id, evidence_id, text, start_char, end_char, raw_text) that do not stand in their text as they say."""
     held = F.coalesce(F.contains("raw_text", F.col("text")) & (F.col("text") != ""), F.lit(False))
     there = F.substring("raw_text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
-    rule = F.when(~held, "text not in source").when(F.col("start_char").isNotNull() & ~there.eqNullSafe(F.col("text")), "text not at its offsets")
+    rule = F.when(~held, "text not in source").when(
+        F.col("start_char").isNotNull() & ~there.eqNullSafe(F.col("text")), "text not at its offsets"
+    )
     return spans_.select("doc_id", "evidence_id", rule.alias("rule")).filter("rule is not null")

@@ -26,10 +26,14 @@ def chunks(text: str | Column, most: int = 500) -> Column:
     length of its lines over ``most``. A chunk's text is exactly that span.
     """
     lines = F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\n", -1)
-    zero = F.expr("named_struct('at', 0, 'from', -1, 'to', 0, 'size', 0, 'out', cast(array() as array<struct<start_char:int,end_char:int>>))")
+    zero = F.expr(
+        "named_struct('at', 0, 'from', -1, 'to', 0, 'size', 0, 'out', cast(array() as array<struct<start_char:int,end_char:int>>))"
+    )
 
     def close(a: Column) -> Column:
-        return F.when(a["from"] >= 0, F.array_append(a["out"], F.struct(a["from"].alias("start_char"), a["to"].alias("end_char")))).otherwise(a["out"])
+        return F.when(
+            a["from"] >= 0, F.array_append(a["out"], F.struct(a["from"].alias("start_char"), a["to"].alias("end_char")))
+        ).otherwise(a["out"])
 
     def step(a: Column, x: Column) -> Column:
         n = F.length(x)
@@ -38,18 +42,29 @@ def chunks(text: str | Column, most: int = 500) -> Column:
         grown = F.struct(begun.alias("from"), (a["at"] + n).alias("to"), a["out"].alias("out"))
         full = a["size"] + n > most
         after = (a["at"] + n + 1).cast("int").alias("at")
-        state = lambda f, t, s, o: F.struct(after, f.cast("int").alias("from"), t.cast("int").alias("to"), s.cast("int").alias("size"), o.alias("out"))
+        state = lambda f, t, s, o: F.struct(
+            after, f.cast("int").alias("from"), t.cast("int").alias("to"), s.cast("int").alias("size"), o.alias("out")
+        )
         return F.when(blank, state(F.lit(-1), F.lit(0), F.lit(0), close(a))).when(full, state(F.lit(-1), F.lit(0), F.lit(0), close(grown))).otherwise(state(grown["from"], grown["to"], a["size"] + n, a["out"]))
 
     source = F.col(text) if isinstance(text, str) else text
     spans = F.aggregate(lines, zero, step, close)
-    return F.transform(spans, lambda s: F.struct(s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), F.substring(source, s["start_char"] + 1, s["end_char"] - s["start_char"]).alias("text")))
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            s["start_char"].alias("start_char"), s["end_char"].alias("end_char"),
+            F.substring(source, s["start_char"] + 1, s["end_char"] - s["start_char"]).alias("text")
+        )
+    )
 
 
 def chunk_versions(versions: DataFrame) -> DataFrame:
     """Chunks of rows (version_id, raw_text, ...): chunk_id ``{version}_{i}``, offsets, text, and the other columns."""
     rows = versions.select("*", F.posexplode(chunks("raw_text")).alias("i", "c"))
-    return rows.select(F.concat_ws("_", "version_id", "i").alias("chunk_id"), F.col("i").alias("ordinal"), "c.*", *[c for c in versions.columns if c != "raw_text"])
+    return rows.select(
+        F.concat_ws("_", "version_id", "i").alias("chunk_id"), F.col("i").alias("ordinal"), "c.*",
+        *[c for c in versions.columns if c != "raw_text"]
+    )
 
 
 def build_corpus(version: DataFrame, head: DataFrame, notices: DataFrame, key: str = "notice_key") -> DataFrame:
@@ -78,11 +93,15 @@ def bm25plus(corpus: DataFrame, queries: DataFrame, k: int | None, doc: str = "d
     without any term of the query rank below all others; they are listed with
     ``every`` only, which pairs a stated set of queries with all documents.
     """
-    size = corpus.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"))).alias("avgdl"))
+    size = corpus.agg(
+        F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"))).alias("avgdl")
+    )
     terms = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     # only terms that some query has are kept of the documents, before any shuffle of postings
     wanted = terms.select("term").distinct()
-    found = corpus.select(doc, tokens("text").alias("t")).select(doc, F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
+    found = corpus.select(doc, tokens("text").alias("t")).select(
+        doc, F.size("t").alias("dl"), F.explode("t").alias("term")
+    ).join(wanted, "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = terms.join(df, "term").crossJoin(F.broadcast(size)).withColumn("w", F.col("qf") * F.log((F.col("n") + 1) / F.col("df")))  # size is one row
     whole = weight.groupBy("query_id").agg((DELTA * F.sum("w")).alias("every"))
@@ -139,7 +158,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int | None, vector_i
                 # of equal scores the least id: a stable sort of columns that are ordered by id
                 by_id = np.argsort(own, kind="stable")
                 best = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :n]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(s, best, axis=1).ravel())], names=["query_id", vector_id, "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, n)), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(s, best, axis=1).ravel())],
+                    names=["query_id", vector_id, "score"]
+                )
 
     found = vectors.select(F.col(vector_id).cast("long").alias(vector_id), "embedding").filter("embedding is not null")
     return top_k(found.mapInArrow(near, f"query_id long, {vector_id} long, score double"), k, vector_id)
@@ -154,7 +176,9 @@ def rrf(lists: list[DataFrame], k: int, doc: str = "doc_id") -> DataFrame:
     for i, ranked in enumerate(lists):
         part = ranked.filter(F.col("rank") <= 2 * k).select("query_id", doc, "rank", F.lit(i).alias("list"))
         all_ = part if all_ is None else all_.unionByName(part)
-    scored = all_.groupBy("query_id", doc).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    scored = all_.groupBy("query_id", doc).agg(
+        F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first")
+    )
     w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first", doc)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", doc, "score", "rank")
 
@@ -166,7 +190,9 @@ def rrf_current(lists: list[DataFrame], current: DataFrame, k: int, doc: str = "
     for i, ranked in enumerate(kept):
         part = ranked.select("query_id", doc, "rank", F.lit(i).alias("list"))
         all_ = part if all_ is None else all_.unionByName(part)
-    scored = all_.groupBy("query_id", doc).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    scored = all_.groupBy("query_id", doc).agg(
+        F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first")
+    )
     w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "first", doc)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", doc, "score", "rank")
 
@@ -182,7 +208,10 @@ def vector_check(vectors: DataFrame, known: DataFrame, vector_id: str, size: int
     wrong = F.size("embedding") != size
     bad = F.exists("embedding", lambda x: F.isnull(x) | F.isnan(x) | (F.abs(x) == float("inf")))
     orphan = vectors.join(known.select(vector_id), vector_id, "left_anti").agg(F.count("*").alias("orphans"))
-    return vectors.agg(F.count("*").alias("vectors"), F.count_if(wrong).alias("wrong_size"), F.count_if(bad).alias("not_finite"), F.bit_xor(F.xxhash64(vector_id, "embedding")).alias("digest")).crossJoin(orphan)
+    return vectors.agg(
+        F.count("*").alias("vectors"), F.count_if(wrong).alias("wrong_size"), F.count_if(bad).alias("not_finite"),
+        F.bit_xor(F.xxhash64(vector_id, "embedding")).alias("digest")
+    ).crossJoin(orphan)
 
 
 def current_evidence(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
@@ -205,7 +234,9 @@ def _candidates(n: DataFrame, q: DataFrame) -> DataFrame:
     word, or, if it has no other, any part of it. So it is looked up among the
     parts of the distinct words.
     """
-    word = n.select("notice_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "category", "body"), " "))).alias("word")).filter("word != ''")
+    word = n.select(
+        "notice_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "category", "body"), " "))).alias("word")
+    ).filter("word != ''")
     known = word.select("word").distinct()
     ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word")))
     parts = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.left(e, i)))))
@@ -217,7 +248,9 @@ def _candidates(n: DataFrame, q: DataFrame) -> DataFrame:
     return word.join(by_word.unionByName(by_part).distinct(), "word").select("query_id", "notice_id").distinct()
 
 
-def lexical_rank(notices: DataFrame, queries: DataFrame, limit: int = 10, least: int = 40, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def lexical_rank(
+    notices: DataFrame, queries: DataFrame, limit: int = 10, least: int = 40, synonyms: dict[str, tuple[str, ...]] | None = None
+) -> DataFrame:
     """(query_id, notice_id, score, reasons, rank) of notices (notice_id, title, category, text) by folded wording.
 
     100 for the phrase in the title, else 80 for a synonym there; 50 if all
@@ -227,20 +260,33 @@ def lexical_rank(notices: DataFrame, queries: DataFrame, limit: int = 10, least:
     share a word with the query, or hold a phrase, can reach it: they are found
     by joins on words, and scored.
     """
-    q = queries.select("query_id", fold_vietnamese("text").alias("q")).filter("q != ''").withColumn("qt", F.array_distinct(F.split("q", " ")))
+    q = queries.select(
+        "query_id", fold_vietnamese("text").alias("q")
+    ).filter("q != ''").withColumn("qt", F.array_distinct(F.split("q", " ")))
     table = F.create_map(*[x for k, v in (synonyms or {"": ()}).items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     q = q.withColumn("syn", F.coalesce(F.try_element_at(table, F.col("q")), F.expr("cast(array() as array<string>)")))
-    n = notices.select("notice_id", fold_vietnamese("title").alias("title"), fold_vietnamese("category").alias("category"), fold_vietnamese("text").alias("body"))
+    n = notices.select(
+        "notice_id", fold_vietnamese("title").alias("title"), fold_vietnamese("category").alias("category"),
+        fold_vietnamese("text").alias("body")
+    )
     p = _candidates(n, q).join(n, "notice_id").join(q, "query_id")
     hits = lambda c: F.size(F.array_intersect("qt", F.split(c, " ")))
     p = p.withColumns({
-        "phrase": F.contains("title", F.col("q")), "syn_title": F.exists("syn", lambda s: F.contains(F.col("title"), s)), "in_title": hits("title"), "in_category": hits("category"),
+        "phrase": F.contains("title", F.col("q")), "syn_title": F.exists(
+            "syn", lambda s: F.contains(F.col("title"), s)
+        ), "in_title": hits("title"), "in_category": hits("category"),
         "phrase_body": F.contains("body", F.col("q")) | F.exists("syn", lambda s: F.contains(F.col("body"), s)), "in_body": hits("body")})
     c = F.col
     all_title = c("in_title") == F.size("qt")
     score = F.when(c("phrase"), 100).when(c("syn_title"), 80).otherwise(0) + F.when(all_title, 50).otherwise(0) + 15 * c("in_category") + 20 * c("in_title") + F.when(c("phrase_body"), 30).otherwise(5 * c("in_body"))
     some_title = F.when((c("in_title") > 0) & ~(c("phrase") | c("syn_title") | all_title), "title words")
-    reasons = F.array_compact(F.array(F.when(c("phrase"), "title phrase").when(c("syn_title"), "title synonym"), F.when(all_title, "all title words"), F.when(c("in_category") > 0, "category"), some_title, F.when(c("phrase_body"), "text phrase").when(c("in_body") > 0, "text words")))
+    reasons = F.array_compact(
+        F.array(
+            F.when(c("phrase"), "title phrase").when(c("syn_title"), "title synonym"), F.when(all_title, "all title words"),
+            F.when(c("in_category") > 0, "category"), some_title,
+            F.when(c("phrase_body"), "text phrase").when(c("in_body") > 0, "text words")
+        )
+    )
     rows = p.select("query_id", "notice_id", "title", score.alias("score"), reasons.alias("reasons")).filter(F.col("score") >= least)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "title", "notice_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("title")
@@ -248,5 +294,7 @@ def lexical_rank(notices: DataFrame, queries: DataFrame, limit: int = 10, least:
 
 def search_index(notices: DataFrame, sources: DataFrame, newest: DataFrame, activity: DataFrame) -> DataFrame:
     """Notices with their source's name as category, the newest text, and their recent activity if there is any."""
-    rows = notices.join(sources.select("source_id", F.col("name").alias("category")), "source_id").join(newest.select("notice_id", F.col("raw_text").alias("text")), "notice_id", "left")
+    rows = notices.join(sources.select("source_id", F.col("name").alias("category")), "source_id").join(
+        newest.select("notice_id", F.col("raw_text").alias("text")), "notice_id", "left"
+    )
     return rows.join(activity.select("notice_id", F.col("outcome").alias("recent")), "notice_id", "left")

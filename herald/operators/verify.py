@@ -28,7 +28,9 @@ def compare_amount(claimed: Column, claimed_value: Column, official: Column) ->
 def compare_action(claimed: Column, claimed_type: Column, official_type: Column) -> Column:
     """MATCH of the types; without a claimed type the wording decides for three of them."""
     text = F.lower(claimed)
-    lexical = ((official_type == "pay") & F.contains(text, F.lit("đóng"))) | ((official_type == "register") & F.contains(text, F.lit("đăng ký"))) | ((official_type == "submit") & F.contains(text, F.lit("nộp")))
+    lexical = ((official_type == "pay") & F.contains(text, F.lit("đóng"))) | (
+        (official_type == "register") & F.contains(text, F.lit("đăng ký"))
+    ) | ((official_type == "submit") & F.contains(text, F.lit("nộp")))
     return F.when(F.when(claimed_type.isNotNull(), claimed_type == official_type).otherwise(lexical), MATCH).otherwise(CONFLICT)
 
 
@@ -59,18 +61,29 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     day = F.when(act.isNotNull() & c("deadline_text").isNotNull(), F.when(
         (c("off_deadline").isNotNull() | c("off_deadline_norm").isNotNull()) & c("deadline_norm").isNotNull(),
         compare_deadline(c("deadline_text"), c("deadline_norm"), c("off_deadline"), c("off_deadline_norm"))).otherwise(INSUFFICIENT))
-    sum_ = F.when(act.isNotNull() & c("amount_text").isNotNull(), F.when(c("off_amount").isNotNull(), compare_amount(c("amount_text"), c("amount_value"), c("off_amount"))).otherwise(INSUFFICIENT))
+    sum_ = F.when(
+        act.isNotNull() & c("amount_text").isNotNull(),
+        F.when(c("off_amount").isNotNull(), compare_amount(c("amount_text"), c("amount_value"), c("off_amount"))).otherwise(INSUFFICIENT)
+    )
     out = pairs.withColumns({"action_state": act, "deadline_state": day, "amount_state": sum_})
     states = [c(f"{f}_state") for f in ("action", "deadline", "amount")]
     count = lambda test: sum((F.when(F.coalesce(test(s), F.lit(False)), 1).otherwise(0) for s in states), F.lit(0))
-    signature = F.concat_ws("|", act, F.when(act.isNotNull(), c("off_action")), day, F.when(day.isNotNull() & (day != INSUFFICIENT), date_iso(F.coalesce("off_deadline_norm", "off_deadline"))), sum_, F.when(sum_.isNotNull(), c("off_amount").cast("string")))
-    return out.withColumns({"match_count": count(lambda s: s == MATCH), "comparable_count": count(lambda s: s != INSUFFICIENT), "signature": signature})
+    signature = F.concat_ws(
+        "|", act, F.when(act.isNotNull(), c("off_action")), day,
+        F.when(day.isNotNull() & (day != INSUFFICIENT), date_iso(F.coalesce("off_deadline_norm", "off_deadline"))), sum_,
+        F.when(sum_.isNotNull(), c("off_amount").cast("string"))
+    )
+    return out.withColumns(
+        {"match_count": count(lambda s: s == MATCH), "comparable_count": count(lambda s: s != INSUFFICIENT), "signature": signature}
+    )
 
 
 def field_verdict(states: list[Column]) -> Column:
     """CONFLICT if any field conflicts; with a match VERIFIED, PARTIALLY_VERIFIED if another field lacks evidence; else INSUFFICIENT_EVIDENCE."""
     any_ = lambda v: F.coalesce(sum((F.when(F.coalesce(s == v, F.lit(False)), 1).otherwise(0) for s in states), F.lit(0)) > 0, F.lit(False))
-    return F.when(any_(CONFLICT), CONFLICT).when(any_(MATCH) & ~any_(INSUFFICIENT), "VERIFIED").when(any_(MATCH), "PARTIALLY_VERIFIED").otherwise(INSUFFICIENT)
+    return F.when(any_(CONFLICT), CONFLICT).when(
+        any_(MATCH) & ~any_(INSUFFICIENT), "VERIFIED"
+    ).when(any_(MATCH), "PARTIALLY_VERIFIED").otherwise(INSUFFICIENT)
 
 
 def best_obligation(evaluated: DataFrame, claim: list[str], ordinal: str) -> DataFrame:
@@ -86,7 +99,10 @@ def best_obligation(evaluated: DataFrame, claim: list[str], ordinal: str) -> Dat
     low = F.min(F.when(usable, F.struct((-F.col("match_count")).alias("m"), "signature")))
     high = F.max(F.when(usable, F.struct("match_count", "signature")))
     out = evaluated.groupBy(*claim).agg(F.count(ordinal).alias("n_obligations"), best.alias("best"), low.alias("low"), high.alias("high"))
-    return out.select(*claim, "n_obligations", F.col("best").isNotNull().alias("usable"), "best.s.*", (F.col("low.signature") != F.col("high.signature")).alias("ambiguous"))
+    return out.select(
+        *claim, "n_obligations", F.col("best").isNotNull().alias("usable"), "best.s.*",
+        (F.col("low.signature") != F.col("high.signature")).alias("ambiguous")
+    )
 
 
 def abstention(has_field: Column, has_evidence: Column, has_obligation: Column, usable: Column, ambiguous: Column) -> Column:
@@ -118,10 +134,17 @@ def verify_claims(claims: DataFrame, obligations: DataFrame, validity: DataFrame
         F.col("amount.text").alias("amount_text"), F.col("amount.value").alias("amount_value"))
     flat = flat.withColumn("has_field", F.coalesce("action_type", "deadline_text", "amount_text").isNotNull())
     seen = flat if evidence is None else flat.join(evidence.select(*key, *version), key, "left")
-    best = best_obligation(evaluate(seen.join(obligations, version, "left")), [*key, *version, "has_field"], "ordinal").join(validity, version, "left")
+    best = best_obligation(
+        evaluate(seen.join(obligations, version, "left")), [*key, *version, "has_field"], "ordinal"
+    ).join(validity, version, "left")
     why = abstention(F.col("has_field"), F.col("notice_id").isNotNull(), F.col("n_obligations") > 0, F.col("usable"), F.col("ambiguous"))
-    judged = temporal_gate(field_verdict([F.col(f"{f}_state") for f in ("action", "deadline", "amount")]), F.coalesce("validity", F.lit("CURRENT")))
-    return best.select(*key, *version, F.when(why.isNotNull(), "ABSTAINED").otherwise(judged).alias("verdict"), why.alias("abstention_reason"), *[F.when(why.isNull(), F.col(f"{f}_state")).alias(f"{f}_state") for f in ("action", "deadline", "amount")])
+    judged = temporal_gate(
+        field_verdict([F.col(f"{f}_state") for f in ("action", "deadline", "amount")]), F.coalesce("validity", F.lit("CURRENT"))
+    )
+    return best.select(
+        *key, *version, F.when(why.isNotNull(), "ABSTAINED").otherwise(judged).alias("verdict"), why.alias("abstention_reason"),
+        *[F.when(why.isNull(), F.col(f"{f}_state")).alias(f"{f}_state") for f in ("action", "deadline", "amount")]
+    )
 
 
 def public_verdict(verdict: Column) -> Column:
@@ -133,7 +156,9 @@ def message_verdicts(verdicts: DataFrame) -> DataFrame:
     """(message_id, n_claims, verdict): a conflict anywhere; all verified; some verified, even in part; else lack of evidence."""
     v = public_verdict(F.col("verdict"))
     some = F.bool_or(v.isin("VERIFIED", "PARTIALLY_VERIFIED"))
-    out = F.when(F.bool_or(v == CONFLICT), CONFLICT).when(F.bool_and(v == "VERIFIED"), "VERIFIED").when(some, "PARTIALLY_VERIFIED").otherwise(INSUFFICIENT)
+    out = F.when(F.bool_or(v == CONFLICT), CONFLICT).when(
+        F.bool_and(v == "VERIFIED"), "VERIFIED"
+    ).when(some, "PARTIALLY_VERIFIED").otherwise(INSUFFICIENT)
     return verdicts.groupBy("message_id").agg(F.count("*").alias("n_claims"), out.alias("verdict"))
 
 
@@ -142,7 +167,10 @@ def evidence_shown(verdicts: DataFrame) -> DataFrame:
     w = Window.partitionBy("message_id")
     visible = F.col("notice_id").isNotNull() & (F.col("verdict") != "ABSTAINED")
     primary = F.min(F.col("verdict") == "VERIFIED").over(w) & (F.col("claim_ix") == F.min("claim_ix").over(w))
-    return verdicts.select("message_id", "claim_ix", public_verdict(F.col("verdict")).alias("public_verdict"), visible.alias("evidence_visible"), primary.alias("verified_primary"))
+    return verdicts.select(
+        "message_id", "claim_ix", public_verdict(F.col("verdict")).alias("public_verdict"), visible.alias("evidence_visible"),
+        primary.alias("verified_primary")
+    )
 
 
 def temporal_validity(versions: DataFrame, relations: DataFrame) -> DataFrame:
@@ -155,9 +183,15 @@ def temporal_validity(versions: DataFrame, relations: DataFrame) -> DataFrame:
     target_version_id, relation_type, provenance.
     """
     edges = relations.filter(F.col("relation_type").isin("supersedes", "amends"))
-    first = lambda *keys: [F.min(F.struct("relation_id", F.lower("provenance").isin("manual", "reviewed", "gold", "human").alias("confirmed")))]
-    exact = edges.filter("target_version_id is not null").groupBy(F.col("target_notice_id").alias("notice_id"), F.col("target_version_id").alias("version_id")).agg(first()[0].alias("a"))
+    first = lambda *keys: [
+        F.min(F.struct("relation_id", F.lower("provenance").isin("manual", "reviewed", "gold", "human").alias("confirmed")))
+    ]
+    exact = edges.filter("target_version_id is not null").groupBy(
+        F.col("target_notice_id").alias("notice_id"), F.col("target_version_id").alias("version_id")
+    ).agg(first()[0].alias("a"))
     wide = edges.filter("target_version_id is null").groupBy(F.col("target_notice_id").alias("notice_id")).agg(first()[0].alias("b"))
     e = versions.join(exact, ["notice_id", "version_id"], "left").join(wide, ["notice_id"], "left").withColumn("e", F.least("a", "b"))
-    state = F.when(~F.col("is_latest") | F.col("e.confirmed"), "SUPERSEDED_OUTDATED").when(F.col("e").isNotNull(), "UNKNOWN").otherwise("CURRENT")
+    state = F.when(
+        ~F.col("is_latest") | F.col("e.confirmed"), "SUPERSEDED_OUTDATED"
+    ).when(F.col("e").isNotNull(), "UNKNOWN").otherwise("CURRENT")
     return e.select("notice_id", "version_id", state.alias("validity"))

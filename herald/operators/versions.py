@@ -17,11 +17,17 @@ from herald.functions.urls import normalize_url, notice_id
 
 def content_hash(title: Column, published: Column, text: Column, attachments: Column) -> Column:
     """SHA-256 of the JSON of cleaned title and text, ISO date and sorted attachments, keys in alphabetical order."""
-    record = F.struct(F.array_sort(attachments).alias("attachments"), published.alias("publication_date"), clean_text(text).alias("raw_text"), clean_text(title).alias("title"))
+    record = F.struct(
+        F.array_sort(attachments).alias("attachments"), published.alias("publication_date"), clean_text(text).alias("raw_text"),
+        clean_text(title).alias("title")
+    )
     return F.sha2(F.to_json(record, {"ignoreNullFields": "false"}), 256)
 
 
-def resolve_identity(obs: DataFrame, domain: str, id_pattern: str = r"(?i)/id/(\d+)(?:/|$)", namespace: str = "notice", order: tuple[str, ...] = ("observed_at",), shared: Column | None = None) -> DataFrame:
+def resolve_identity(
+    obs: DataFrame, domain: str, id_pattern: str = r"(?i)/id/(\d+)(?:/|$)", namespace: str = "notice",
+    order: tuple[str, ...] = ("observed_at",), shared: Column | None = None
+) -> DataFrame:
     """``obs`` with ``normalized_url`` and ``notice_key``, the normalized URL that the notice was first seen by.
 
     A URL that was seen before names its notice. A new one belongs to the
@@ -33,14 +39,20 @@ def resolve_identity(obs: DataFrame, domain: str, id_pattern: str = r"(?i)/id/(\
     own = notice_id("canonical_url", domain, id_pattern, namespace)
     seen = obs.withColumn("normalized_url", normalize_url("canonical_url", domain))
     first = F.struct(*order, own.alias("own"), F.coalesce(own, shared if shared is not None else F.lit(None).cast("string")).alias("id"))
-    urls = seen.groupBy("normalized_url").agg(F.min(first).alias("f")).select("normalized_url", F.struct(*[F.col(f"f.{c}") for c in order], "normalized_url").alias("at"), "f.own", "f.id")
+    urls = seen.groupBy("normalized_url").agg(F.min(first).alias("f")).select(
+        "normalized_url", F.struct(*[F.col(f"f.{c}") for c in order], "normalized_url").alias("at"), "f.own", "f.id"
+    )
     anchor = urls.filter("own is not null").groupBy("own").agg(F.min("at").alias("anchor")).withColumnRenamed("own", "__own")
     placed = urls.join(anchor, F.col("id") == F.col("__own"), "left")
     key = F.when(F.col("anchor") < F.col("at"), F.col("anchor.normalized_url")).otherwise(F.col("normalized_url"))
-    return seen.join(placed.select("normalized_url", key.alias("notice_key")), "normalized_url").select(*obs.columns, "normalized_url", "notice_key")
+    return seen.join(
+        placed.select("normalized_url", key.alias("notice_key")), "normalized_url"
+    ).select(*obs.columns, "normalized_url", "notice_key")
 
 
-def classify_changes(obs: DataFrame, key: str = "notice_key", url: str = "normalized_url", order: tuple[str, ...] = ("observed_at",)) -> DataFrame:
+def classify_changes(
+    obs: DataFrame, key: str = "notice_key", url: str = "normalized_url", order: tuple[str, ...] = ("observed_at",)
+) -> DataFrame:
     """``obs`` with ``outcome``: CREATED, UPDATED, UNCHANGED or DUPLICATE.
 
     The first URL seen of a notice is its own. What comes by another URL of
@@ -59,12 +71,21 @@ def classify_changes(obs: DataFrame, key: str = "notice_key", url: str = "normal
     if "title" in obs.columns:
         badged = ~clean_title("title").eqNullSafe(clean_text("title"))
         have = lambda c, kind: F.col(c) if c in obs.columns else F.lit(None).cast(kind)
-        rest = content_hash(clean_title("title"), have("publication_date", "string"), have("raw_text", "string"), have("attachments", "array<string>"))
+        rest = content_hash(
+            clean_title("title"), have("publication_date", "string"), have("raw_text", "string"), have("attachments", "array<string>")
+        )
         plain = rest if "raw_text" in obs.columns else plain
     marked = marked.withColumns({"__badged": badged, "__plain": plain})
     line = Window.partitionBy(key, "__dup").orderBy(*order)
-    marked = marked.withColumns({"__n": F.row_number().over(line), "__same": F.col("__plain").eqNullSafe(F.lag("__plain").over(line)) & (F.row_number().over(line) > 1)})
-    marked = marked.withColumn("__run", F.sum(F.when(F.col("__same"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    marked = marked.withColumns(
+        {
+            "__n": F.row_number().over(line),
+            "__same": F.col("__plain").eqNullSafe(F.lag("__plain").over(line)) & (F.row_number().over(line) > 1)
+        }
+    )
+    marked = marked.withColumn(
+        "__run", F.sum(F.when(F.col("__same"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    )
     earlier = Window.partitionBy(key, "__dup", "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     head = F.last(F.when(F.col("__badged"), F.col("content_hash")), ignorenulls=True).over(earlier)
     kept = F.col("__same") & (~F.col("__badged") | head.eqNullSafe(F.col("content_hash")))
@@ -82,17 +103,25 @@ def heads(classified: DataFrame, key: str = "notice_key", order: tuple[str, ...]
     live = classified.filter("outcome != 'DUPLICATE'")
     changed = F.when(F.col("outcome") != "UNCHANGED", F.struct(*order))
     more = [F.max_by(F.struct(c), changed)[c].alias(c) for c in ("title", "publication_date") if c in classified.columns]
-    return live.groupBy(key).agg(F.min("observed_at").alias("first_observed_at"), F.max("observed_at").alias("last_observed_at"), F.max_by("content_hash", changed).alias("current_content_hash"), *more)
+    return live.groupBy(key).agg(
+        F.min("observed_at").alias("first_observed_at"), F.max("observed_at").alias("last_observed_at"),
+        F.max_by("content_hash", changed).alias("current_content_hash"), *more
+    )
 
 
 def discoveries(obs: DataFrame, key: str = "notice_key") -> DataFrame:
     """Where a notice was found: first and last time, and the metadata of the last, per source and URL."""
-    return obs.groupBy(key, "source_id", "normalized_url").agg(F.min("observed_at").alias("first_discovered_at"), F.max("observed_at").alias("last_discovered_at"), F.max_by("metadata", F.struct("observed_at", "metadata")).alias("metadata"))
+    return obs.groupBy(key, "source_id", "normalized_url").agg(
+        F.min("observed_at").alias("first_discovered_at"), F.max("observed_at").alias("last_discovered_at"),
+        F.max_by("metadata", F.struct("observed_at", "metadata")).alias("metadata")
+    )
 
 
 def current_versions(version: DataFrame, head: DataFrame, key: str = "notice_key") -> DataFrame:
     """``version`` with ``is_latest``: the content that the head points to, also after a return to older content."""
-    return version.join(head.select(key, "current_content_hash"), key).withColumn("is_latest", F.col("content_hash") == F.col("current_content_hash")).drop("current_content_hash")
+    return version.join(head.select(key, "current_content_hash"), key).withColumn(
+        "is_latest", F.col("content_hash") == F.col("current_content_hash")
+    ).drop("current_content_hash")
 
 
 def newest_versions(version: DataFrame, key: str = "notice_key", version_id: str = "version_id") -> DataFrame:
@@ -115,7 +144,9 @@ def version_history(version: DataFrame, key: str = "notice_key") -> DataFrame:
 
 def version_coverage(version: DataFrame, relations: DataFrame) -> DataFrame:
     """One row: current and historical versions, and relations."""
-    return version.agg(F.count_if("is_latest").alias("current"), F.count_if(~F.col("is_latest")).alias("historical")).crossJoin(relations.agg(F.count("*").alias("relations")))
+    return version.agg(
+        F.count_if("is_latest").alias("current"), F.count_if(~F.col("is_latest")).alias("historical")
+    ).crossJoin(relations.agg(F.count("*").alias("relations")))
 
 
 def notice_catalog(notices: DataFrame, sources: DataFrame, reviewed: DataFrame) -> DataFrame:
@@ -124,7 +155,9 @@ def notice_catalog(notices: DataFrame, sources: DataFrame, reviewed: DataFrame)
     return notices.join(sources, "source_id").join(has, "notice_id", "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
-def notice_detail(head: DataFrame, version: DataFrame, notice: Column, key: str = "notice_key", version_id: str = "version_id") -> DataFrame:
+def notice_detail(
+    head: DataFrame, version: DataFrame, notice: Column, key: str = "notice_key", version_id: str = "version_id"
+) -> DataFrame:
     """The head of one notice with its newest version; no row for an unknown notice. The filter reaches both scans."""
     one = F.col(key) == notice
     return head.filter(one).join(newest_versions(version.filter(one), key, version_id), key, "left")

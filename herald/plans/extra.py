@@ -24,8 +24,12 @@ def _day(c, form="yyyy-MM-dd"):
 
 # --- sources and identity ---
 def configured_sources(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("notes"), (F.col("s_acctbal") > 0).alias("enabled"))
-    config = s.filter("source_id % 3 = 0").select("source_id", F.when(F.col("source_id") % 2 == 0, "configured").alias("notes"), F.lit(False).alias("enabled"))
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("notes"), (F.col("s_acctbal") > 0).alias("enabled")
+    )
+    config = s.filter("source_id % 3 = 0").select(
+        "source_id", F.when(F.col("source_id") % 2 == 0, "configured").alias("notes"), F.lit(False).alias("enabled")
+    )
     return registry.configured(s, config, ["notes", "enabled"])
 
 
@@ -34,7 +38,10 @@ def official_ids(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     i = F.col("page_id")
     host = F.when(i % 4 == 1, "sub.notices.example").when(i % 4 == 2, "other.example").otherwise("Notices.example")
-    url = F.concat(F.lit("https://"), host, F.when(i % 4 == 3, "/News/").otherwise("/thongbao/ID/"), i.cast("string"), F.when(i % 5 == 0, "?a=1").otherwise(""))
+    url = F.concat(
+        F.lit("https://"), host, F.when(i % 4 == 3, "/News/").otherwise("/thongbao/ID/"), i.cast("string"),
+        F.when(i % 5 == 0, "?a=1").otherwise("")
+    )
     return p.select("page_id", notice_id(url, "notices.example", r"(?i)/thongbao/id/(\d+)", "dut").alias("official_id"))
 
 
@@ -42,10 +49,14 @@ def resolved_identity(spark, sf_dir):
     """Events as fetches: clicks come by mirrors that claim the notice's id, some before the notice itself was seen."""
     e = table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
-    own = F.when(F.col("event_type") == "signup", F.concat(F.lit("https://notices.example//b/id/"), user)).otherwise(F.concat(F.lit("http://notices.example/a/id/"), user, F.lit("/?utm_source=x")))
+    own = F.when(
+        F.col("event_type") == "signup", F.concat(F.lit("https://notices.example//b/id/"), user)
+    ).otherwise(F.concat(F.lit("http://notices.example/a/id/"), user, F.lit("/?utm_source=x")))
     url = F.when(F.col("event_type") == "click", F.concat(F.lit("https://mirror.example/"), user)).otherwise(own)
     obs = e.select("event_id", "ts", url.alias("canonical_url"), F.concat(F.lit("notice:"), user).alias("claimed"))
-    return N.resolve_identity(obs, "notices.example", order=("ts", "event_id"), shared=F.col("claimed")).select("event_id", "normalized_url", "notice_key")
+    return N.resolve_identity(
+        obs, "notices.example", order=("ts", "event_id"), shared=F.col("claimed")
+    ).select("event_id", "normalized_url", "notice_key")
 
 
 def stored_payloads(spark, sf_dir):
@@ -65,14 +76,24 @@ def notice_detail(spark, sf_dir):
 def content_hashes(spark, sf_dir):
     """Hashes of the whole canonical record of each order."""
     o = table(spark, sf_dir, "orders")
-    links = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.col("o_orderstatus"), F.lit("b.pdf"), F.lit("A.pdf"))).otherwise(F.expr("cast(array() as array<string>)"))
+    links = F.when(
+        F.col("o_orderkey") % 2 == 0, F.array(F.col("o_orderstatus"), F.lit("b.pdf"), F.lit("A.pdf"))
+    ).otherwise(F.expr("cast(array() as array<string>)"))
     title = F.concat(F.lit("  Tin  "), F.col("o_orderkey").cast("string"), F.lit(" "))
-    return o.select("o_orderkey", N.content_hash(title, F.when(F.col("o_orderkey") % 3 != 0, _day("o_orderdate")), F.concat(F.lit("a \n b "), F.col("o_orderpriority")), links).alias("content_hash"))
+    return o.select(
+        "o_orderkey",
+        N.content_hash(
+            title, F.when(F.col("o_orderkey") % 3 != 0, _day("o_orderdate")), F.concat(F.lit("a \n b "), F.col("o_orderpriority")), links
+        ).alias("content_hash")
+    )
 
 
 # --- monitoring ---
 def notice_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("notice_id"), "event_id", F.col("event_type").alias("outcome"), F.date_trunc("day", "ts").alias("observed_at"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("notice_id"), "event_id", F.col("event_type").alias("outcome"),
+        F.date_trunc("day", "ts").alias("observed_at")
+    )
     return M.notice_events(e)
 
 
@@ -86,11 +107,15 @@ def utc_instants(spark, sf_dir):
 
 def rebuilt_chunks(spark, sf_dir):
     """Chunks after a third of the documents changed: theirs are cut anew, the others' stay."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("notice_id"), F.lit(1).alias("version_id"), F.col("text").alias("raw_text"))
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("notice_id"), F.lit(1).alias("version_id"), F.col("text").alias("raw_text")
+    )
     events = d.select("notice_id", F.when(F.col("notice_id") % 3 == 0, "UPDATED").otherwise("UNCHANGED").alias("outcome"))
     stored = d.select("notice_id", F.lit("old").alias("chunk_id"), F.lit(None).cast("string").alias("text"))
     out = M.rebuild_changed(stored, d, events, R.chunk_versions)
-    return out.groupBy("notice_id").agg(F.count_if(F.col("chunk_id") == "old").alias("old"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    return out.groupBy("notice_id").agg(
+        F.count_if(F.col("chunk_id") == "old").alias("old"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")
+    )
 
 
 # --- claims ---
@@ -99,17 +124,24 @@ def claim_details(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     text = F.concat(
-        F.lit("Sinh viên nộp đơn"), F.when(k % 2 == 0, F.concat(F.lit(" tại Phòng  A"), (k % 40).cast("string"))).otherwise(""), F.when(k % 3 == 0, ", hồ sơ gồm CCCD và cccd, Bảng điểm").when(k % 3 == 1, ", CCCD").otherwise(""),
+        F.lit("Sinh viên nộp đơn"), F.when(
+            k % 2 == 0, F.concat(F.lit(" tại Phòng  A"), (k % 40).cast("string"))
+        ).otherwise(""), F.when(k % 3 == 0, ", hồ sơ gồm CCCD và cccd, Bảng điểm").when(k % 3 == 1, ", CCCD").otherwise(""),
         F.when(k % 5 == 0, F.concat(F.lit("; trừ sinh viên K"), (k % 9 + 10).cast("string"))).otherwise(""))
     c = C.extract_claims(o.select(k.alias("message_id"), text.alias("text")))
     u = C.understood_fields(c).select("message_id", "claim_ix", F.array_join("understood", ",").alias("understood"))
-    return c.select("message_id", "claim_ix", F.col("location.normalized").alias("location"), F.array_join("documents", "|").alias("documents"), F.array_join("exceptions", "|").alias("exceptions"), F.length("claim_id").cast("long").alias("id_chars")).join(u, ["message_id", "claim_ix"]).drop("claim_ix")
+    return c.select(
+        "message_id", "claim_ix", F.col("location.normalized").alias("location"), F.array_join("documents", "|").alias("documents"),
+        F.array_join("exceptions", "|").alias("exceptions"), F.length("claim_id").cast("long").alias("id_chars")
+    ).join(u, ["message_id", "claim_ix"]).drop("claim_ix")
 
 
 def supported_deadlines(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     text = F.concat(F.lit("Hạn "), _day("o_orderdate", "d-M-yyyy"), F.lit(" hoặc 31/02/2021"))
-    claimed = F.when(F.col("o_orderkey") % 3 == 0, _day("o_orderdate")).when(F.col("o_orderkey") % 3 == 1, F.concat(_day("o_orderdate"), F.lit("T10:00:00+07:00"))).otherwise("2021-02-28")
+    claimed = F.when(F.col("o_orderkey") % 3 == 0, _day("o_orderdate")).when(
+        F.col("o_orderkey") % 3 == 1, F.concat(_day("o_orderdate"), F.lit("T10:00:00+07:00"))
+    ).otherwise("2021-02-28")
     return O.supported_deadlines(o.select("o_orderkey", text.alias("text"), claimed.alias("deadline"))).select("o_orderkey", "deadline")
 
 
@@ -118,7 +150,10 @@ def compared_fields(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     claimed = F.when(k % 4 == 0, "https://x.example").when(k % 4 == 1, F.upper("o_orderpriority")).when(k % 4 == 2, F.lit("Phòng B")).otherwise(F.concat(F.lit(" "), F.col("o_orderpriority")))
-    return o.select("o_orderkey", V.compare_audience(F.when(k % 3 != 0, k % 3 == 1)).alias("audience"), V.compare_location(claimed, F.when(k % 8 == 0, F.lit("http://y.example")).otherwise(F.col("o_orderpriority"))).alias("location"))
+    return o.select(
+        "o_orderkey", V.compare_audience(F.when(k % 3 != 0, k % 3 == 1)).alias("audience"),
+        V.compare_location(claimed, F.when(k % 8 == 0, F.lit("http://y.example")).otherwise(F.col("o_orderpriority"))).alias("location")
+    )
 
 
 # --- drafts and annotations ---
@@ -126,23 +161,37 @@ def _annotations(spark, sf_dir):
     """An annotation for each order, with an obligation for each of its lineitems."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     one = F.struct(
-        F.col("l_linenumber").cast("string").alias("obligation_id"), F.struct(F.when(F.col("l_returnflag") == "R", "pay").otherwise("submit").alias("action_type")).alias("action"),
-        F.struct(_day("l_shipdate", "dd/MM/yyyy").alias("raw_text"), _day("l_shipdate").alias("normalized")).alias("deadline"), F.when(F.col("l_returnflag") == "R", F.struct(F.floor("l_extendedprice").alias("value_vnd"))).alias("amount"),
+        F.col("l_linenumber").cast("string").alias("obligation_id"), F.struct(
+            F.when(F.col("l_returnflag") == "R", "pay").otherwise("submit").alias("action_type")
+        ).alias("action"),
+        F.struct(
+            _day("l_shipdate", "dd/MM/yyyy").alias("raw_text"), _day("l_shipdate").alias("normalized")
+        ).alias("deadline"), F.when(F.col("l_returnflag") == "R", F.struct(F.floor("l_extendedprice").alias("value_vnd"))).alias("amount"),
         F.when(F.col("l_linestatus") == "O", F.struct(F.lit("Phòng A").alias("text"))).alias("location"), F.struct((F.col("l_linenumber") % 2 == 0).alias("applies_to_all_students")).alias("audience"))
     many = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("obligations"))
-    return o.join(many, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id"), F.when(F.col("o_orderstatus") == "F", "GOLD").otherwise("DRAFT").alias("annotation_status"), "obligations")
+    return o.join(many, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id"),
+        F.when(F.col("o_orderstatus") == "F", "GOLD").otherwise("DRAFT").alias("annotation_status"), "obligations"
+    )
 
 
 def flat_obligations(spark, sf_dir):
     f = O.flatten_obligations(_annotations(spark, sf_dir))
-    return f.select("notice_id", "annotation_status", "obligation_id", "off_action", "off_deadline", "off_deadline_norm", "off_amount", "location", F.col("audience.applies_to_all_students").alias("for_all"))
+    return f.select(
+        "notice_id", "annotation_status", "obligation_id", "off_action", "off_deadline", "off_deadline_norm", "off_amount", "location",
+        F.col("audience.applies_to_all_students").alias("for_all")
+    )
 
 
 def field_values(spark, sf_dir):
     """How often obligations have each action and place, and how many carry each tag."""
     flat = O.flatten_obligations(_annotations(spark, sf_dir))
-    tagged = G.category_tags(flat, {"money": F.col("off_amount") > 30000, "open": F.col("location").isNull(), "all": F.col("audience.applies_to_all_students")})
-    tags = tagged.select(F.explode("tags").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(F.lit("tag").alias("field"), "value", "n")
+    tagged = G.category_tags(
+        flat, {"money": F.col("off_amount") > 30000, "open": F.col("location").isNull(), "all": F.col("audience.applies_to_all_students")}
+    )
+    tags = tagged.select(F.explode("tags").alias("value")).groupBy("value").agg(F.count("*").alias("n")).select(
+        F.lit("tag").alias("field"), "value", "n"
+    )
     return G.field_distribution(flat, ["off_action", "location"]).unionByName(tags)
 
 
@@ -150,37 +199,65 @@ def evidence_numbers(spark, sf_dir):
     """Ids and offsets of quotes by their place in the text; those that do not occur are left out."""
     o = table(spark, sf_dir, "orders")
     raw = F.concat(_day("o_orderdate"), F.lit(" "), F.col("o_orderpriority"), F.lit(" "), F.col("o_orderstatus"))
-    q = o.select(F.col("o_orderkey").alias("doc_id"), raw.alias("raw_text"), F.explode(F.array(F.col("o_orderpriority"), _day("o_orderdate"), F.lit("absent"))).alias("quote"))
-    return O.number_spans(q).select("doc_id", "evidence_id", "quote", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
+    q = o.select(
+        F.col("o_orderkey").alias("doc_id"), raw.alias("raw_text"),
+        F.explode(F.array(F.col("o_orderpriority"), _day("o_orderdate"), F.lit("absent"))).alias("quote")
+    )
+    return O.number_spans(q).select(
+        "doc_id", "evidence_id", "quote", F.col("start_char").cast("long").alias("start_char"),
+        F.col("end_char").cast("long").alias("end_char")
+    )
 
 
 def inexact_evidence(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    s = o.select(k.alias("doc_id"), F.lit("e1").alias("evidence_id"), F.when(k % 7 == 0, "absent").otherwise(F.col("o_orderpriority")).alias("text"), F.when(k % 5 != 0, F.floor(k % 3 / 2).cast("int")).alias("start_char"), (F.floor(k % 3 / 2) + F.length("o_orderpriority")).cast("int").alias("end_char"), F.concat("o_orderpriority", F.lit("!")).alias("raw_text"))
+    s = o.select(
+        k.alias("doc_id"), F.lit("e1").alias("evidence_id"), F.when(k % 7 == 0, "absent").otherwise(F.col("o_orderpriority")).alias("text"),
+        F.when(k % 5 != 0, F.floor(k % 3 / 2).cast("int")).alias("start_char"),
+        (F.floor(k % 3 / 2) + F.length("o_orderpriority")).cast("int").alias("end_char"),
+        F.concat("o_orderpriority", F.lit("!")).alias("raw_text")
+    )
     return O.inexact_evidence(s).select("doc_id", "rule")
 
 
 def pack_manifest(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    obligations = li.select(F.col("l_orderkey").alias("notice_id"), F.lit(1).alias("version_id"), F.col("l_linenumber").alias("obligation_id"), F.when(F.col("l_returnflag") == "R", "REVIEWED").otherwise("DRAFT").alias("annotation_status"))
+    obligations = li.select(
+        F.col("l_orderkey").alias("notice_id"), F.lit(1).alias("version_id"), F.col("l_linenumber").alias("obligation_id"),
+        F.when(F.col("l_returnflag") == "R", "REVIEWED").otherwise("DRAFT").alias("annotation_status")
+    )
     return G.pack_manifest(G.gold_pack(o.select(F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id")), obligations))
 
 
 def catalog_aliases(spark, sf_dir):
     """Customers' segments looked up among nations' programs by name or alias, and programs without an official source."""
     n = table(spark, sf_dir, "nation")
-    flat = n.select(F.col("n_nationkey").cast("string").alias("official_code"), F.col("n_name").alias("program"), F.explode(F.array(F.concat(F.lit("Segment "), (F.col("n_nationkey") % 5).cast("string")), F.lower("n_name"))).alias("alias"))
-    names = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" segment  "), (F.col("c_custkey") % 7).cast("string")).alias("name"))
+    flat = n.select(
+        F.col("n_nationkey").cast("string").alias("official_code"), F.col("n_name").alias("program"),
+        F.explode(F.array(F.concat(F.lit("Segment "), (F.col("n_nationkey") % 5).cast("string")), F.lower("n_name"))).alias("alias")
+    )
+    names = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit(" segment  "), (F.col("c_custkey") % 7).cast("string")).alias("name")
+    )
     found = G.resolve_alias(names, flat).select(F.col("c_custkey").cast("string").alias("item"), F.col("official_code").alias("found"))
-    programs = n.select(F.col("n_nationkey").cast("string").alias("official_code"), F.when(F.col("n_nationkey") % 2 == 0, "verified").otherwise("open").alias("status"), F.col("n_regionkey").alias("source_ref"))
-    sources = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("source_ref"), F.when(F.col("r_regionkey") < 3, "official").otherwise("press").alias("source_type"))
+    programs = n.select(
+        F.col("n_nationkey").cast("string").alias("official_code"),
+        F.when(F.col("n_nationkey") % 2 == 0, "verified").otherwise("open").alias("status"), F.col("n_regionkey").alias("source_ref")
+    )
+    sources = table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").alias("source_ref"), F.when(F.col("r_regionkey") < 3, "official").otherwise("press").alias("source_type")
+    )
     return found.unionByName(G.unverified_sources(programs, sources).select("item", F.col("rule").alias("found")))
 
 
 # --- scores ---
 def _states(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").cast("string").alias("d"), F.col("l_returnflag").alias("field"), F.when(F.col("l_quantity") > 10, F.col("l_linestatus")).alias("expected"), F.when(F.col("l_tax") > 0.02, F.col("l_linestatus")).alias("state"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").cast("date").cast("string").alias("d"), F.col("l_returnflag").alias("field"),
+        F.when(F.col("l_quantity") > 10, F.col("l_linestatus")).alias("expected"),
+        F.when(F.col("l_tax") > 0.02, F.col("l_linestatus")).alias("state")
+    )
 
 
 def field_accuracy(spark, sf_dir):
@@ -203,8 +280,13 @@ def model_qualification(spark, sf_dir):
 def gold_claims(spark, sf_dir):
     """Gold claims of accepted records: the list where there is one, else the single claim."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    many = li.filter("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_linenumber").cast("string"))).alias("gold_claims"))
-    r = o.join(many, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("candidate").alias("state"), "gold_claims", F.col("o_orderpriority").alias("gold_claim"))
+    many = li.filter("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.col("l_linenumber").cast("string"))).alias("gold_claims")
+    )
+    r = o.join(many, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
+        F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("candidate").alias("state"),
+        "gold_claims", F.col("o_orderpriority").alias("gold_claim")
+    )
     return J.expand_gold(r).select("record_id", F.col("ix").cast("long").alias("ix"), "claim")
 
 
@@ -213,16 +295,27 @@ def exact_values(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     key = [F.col("l_orderkey").alias("notice_id"), F.when(F.col("l_returnflag") == "R", "money").otherwise("deadline").alias("field")]
     gold = li.select(*key, F.when(F.col("l_linenumber") < 4, F.col("l_linenumber").cast("string")).alias("value"))
-    predicted = li.select(*key, F.when(F.col("l_linenumber") < 4, (F.col("l_linenumber") + F.when(F.col("l_orderkey") % 4 == 0, 1).otherwise(0)).cast("string")).alias("value"), F.when(F.col("l_orderkey") % 7 == 0, "timeout").alias("error"))
+    predicted = li.select(
+        *key,
+        F.when(
+            F.col("l_linenumber") < 4, (F.col("l_linenumber") + F.when(F.col("l_orderkey") % 4 == 0, 1).otherwise(0)).cast("string")
+        ).alias("value"),
+        F.when(F.col("l_orderkey") % 7 == 0, "timeout").alias("error")
+    )
     e = J.exact_match(gold, predicted, li.filter("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("notice_id")))
-    return e.select("field", "notices", "present", F.round("exact_all", 9).alias("exact_all"), F.round("exact_present", 9).alias("exact_present"), "errors")
+    return e.select(
+        "field", "notices", "present", F.round("exact_all", 9).alias("exact_all"), F.round("exact_present", 9).alias("exact_present"),
+        "errors"
+    )
 
 
 def stale_hits(spark, sf_dir):
     """How many of all vectors of a query's label are not current."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    return J.stale_hits(e.join(F.broadcast(q), F.col("label") == F.col("own")).select("query_id", "vec_id"), e.filter("vec_id % 3 != 0"), "vec_id")
+    return J.stale_hits(
+        e.join(F.broadcast(q), F.col("label") == F.col("own")).select("query_id", "vec_id"), e.filter("vec_id % 3 != 0"), "vec_id"
+    )
 
 
 _ALL = (

@@ -13,7 +13,10 @@ _NOW = "2026-03-15 16:59:59"
 def _profiles(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.select(k.alias("profile_id"), F.col("c_mktsegment").alias("faculty"), F.when(k % 4 != 0, F.lit("m0")).alias("major"), F.concat(F.lit("K"), (k % 3 + 20).cast("string")).alias("cohort"), F.lit(None).cast("string").alias("program"))
+    return c.select(
+        k.alias("profile_id"), F.col("c_mktsegment").alias("faculty"), F.when(k % 4 != 0, F.lit("m0")).alias("major"),
+        F.concat(F.lit("K"), (k % 3 + 20).cast("string")).alias("cohort"), F.lit(None).cast("string").alias("program")
+    )
 
 
 def _obligations(spark, sf_dir):
@@ -21,12 +24,18 @@ def _obligations(spark, sf_dir):
     k = F.col("p_partkey")
     none = F.expr("cast(array() as array<string>)")
     audience = F.struct(
-        (k % 5 == 0).alias("applies_to_all_students"), F.when(k % 5 == 1, F.array(F.lit("FURNITURE"), F.lit("MACHINERY"))).otherwise(none).alias("faculties"),
+        (k % 5 == 0).alias("applies_to_all_students"), F.when(
+            k % 5 == 1, F.array(F.lit("FURNITURE"), F.lit("MACHINERY"))
+        ).otherwise(none).alias("faculties"),
         F.when(k % 5 == 2, F.array(F.lit("m0"))).otherwise(none).alias("majors"), F.when(k % 5 <= 2, F.array(F.lit("K20"))).otherwise(none).alias("cohorts"), none.alias("programs"))
     day = lambda n, start: F.date_format(F.date_add(F.lit(start).cast("date"), (k % n).cast("int")), "yyyy-MM-dd")
     return p.select(
-        k.alias("obligation_id"), audience.alias("audience"), F.when(k % 7 != 0, day(30, "2026-03-01")).alias("deadline"), F.lit("date").alias("deadline_precision"),
-        F.when(k % 3 == 0, day(40, "2026-02-20")).alias("start"), F.lit("date").alias("start_precision"), F.when(k % 11 == 0, F.concat(day(30, "2026-03-01"), F.lit("T08:00:00+07:00"))).alias("end"), F.lit("datetime").alias("end_precision"),
+        k.alias("obligation_id"), audience.alias("audience"), F.when(
+            k % 7 != 0, day(30, "2026-03-01")
+        ).alias("deadline"), F.lit("date").alias("deadline_precision"),
+        F.when(k % 3 == 0, day(40, "2026-02-20")).alias("start"), F.lit("date").alias("start_precision"), F.when(
+            k % 11 == 0, F.concat(day(30, "2026-03-01"), F.lit("T08:00:00+07:00"))
+        ).alias("end"), F.lit("datetime").alias("end_precision"),
         F.when(k % 2 == 0, k).alias("amount"), F.col("p_brand").alias("location"), F.when(k % 13 == 0, "SUPERSEDED_OUTDATED").otherwise("CURRENT").alias("validity"), F.col("p_type").alias("action_type"), F.col("p_name").alias("action_text"))
 
 
@@ -37,14 +46,19 @@ def _by_class(spark, sf_dir):
 def personal_feed(spark, sf_dir):
     """The feed of each class of profiles; ``feed_members`` has the classes of profiles."""
     f = _by_class(spark, sf_dir)
-    return f.select("faculty", "major", "cohort", "obligation_id", "applicability", "actionability", F.array_join("missing", ",").alias("missing"), F.col("position").cast("long").alias("position"))
+    return f.select(
+        "faculty", "major", "cohort", "obligation_id", "applicability", "actionability", F.array_join("missing", ",").alias("missing"),
+        F.col("position").cast("long").alias("position")
+    )
 
 
 def feed_members(spark, sf_dir):
     """Each profile with the dimensions of its class and the first item of its feed."""
     profiles = _profiles(spark, sf_dir)
     first = _by_class(spark, sf_dir).filter("position = 1")
-    return I.for_profiles(profiles, first).join(profiles, "profile_id").select("profile_id", "faculty", "major", "cohort", "obligation_id", "applicability")
+    return I.for_profiles(profiles, first).join(profiles, "profile_id").select(
+        "profile_id", "faculty", "major", "cohort", "obligation_id", "applicability"
+    )
 
 
 def feed_groups(spark, sf_dir):
@@ -57,7 +71,10 @@ def action_briefs(spark, sf_dir):
     """Briefs of the items that apply to a class."""
     items = _by_class(spark, sf_dir).filter("applicability = 'APPLIES'")
     b = I.action_brief(items, _obligations(spark, sf_dir))
-    return b.select("faculty", "major", "cohort", "obligation_id", "action_type", "action_text", "deadline", "amount", "location", "actionability", F.array_join("missing", ",").alias("missing"))
+    return b.select(
+        "faculty", "major", "cohort", "obligation_id", "action_type", "action_text", "deadline", "amount", "location", "actionability",
+        F.array_join("missing", ",").alias("missing")
+    )
 
 
 QUERIES = {f.__name__: f for f in (personal_feed, feed_members, feed_groups, action_briefs)}

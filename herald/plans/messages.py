@@ -19,9 +19,13 @@ WITH n AS (
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = C.extract_claims(messages_of_orders(spark, sf_dir)).withColumns({"notice_id": F.col("message_id"), "version_id": F.lit(1).cast("long")})
+    claims = C.extract_claims(messages_of_orders(spark, sf_dir)).withColumns(
+        {"notice_id": F.col("message_id"), "version_id": F.lit(1).cast("long")}
+    )
     official = notices_of_orders(spark, sf_dir)
-    validity = official.select("notice_id", "version_id", F.when(F.col("notice_id") % 11 == 0, "SUPERSEDED_OUTDATED").otherwise("CURRENT").alias("validity"))
+    validity = official.select(
+        "notice_id", "version_id", F.when(F.col("notice_id") % 11 == 0, "SUPERSEDED_OUTDATED").otherwise("CURRENT").alias("validity")
+    )
     return V.verify_claims(claims, official.drop("due", "cost", "kind"), validity)
 
 
@@ -32,7 +36,10 @@ def verify_messages(spark, sf_dir):
 
 def claim_verdicts(spark, sf_dir):
     v = _verdicts(spark, sf_dir)
-    return v.select("message_id", F.col("claim_ix").cast("long").alias("claim_ix"), "verdict", "abstention_reason", "action_state", "deadline_state", "amount_state")
+    return v.select(
+        "message_id", F.col("claim_ix").cast("long").alias("claim_ix"), "verdict", "abstention_reason", "action_state", "deadline_state",
+        "amount_state"
+    )
 
 
 def evidence_shown(spark, sf_dir):
@@ -41,13 +48,18 @@ def evidence_shown(spark, sf_dir):
 
 def verdict_distribution(spark, sf_dir):
     """Message verdicts counted, with every class present."""
-    domain = spark.createDataFrame([(v,) for v in ("VERIFIED", "PARTIALLY_VERIFIED", "CONFLICT", "INSUFFICIENT_EVIDENCE")], "verdict string")
+    domain = spark.createDataFrame(
+        [(v,) for v in ("VERIFIED", "PARTIALLY_VERIFIED", "CONFLICT", "INSUFFICIENT_EVIDENCE")], "verdict string"
+    )
     counts = verify_messages(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
     return F.broadcast(domain).join(counts, "verdict", "left").select("verdict", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def segment_claims(spark, sf_dir):
-    return C.segment_claims(messages_of_orders(spark, sf_dir)).select("message_id", F.col("claim_ix").cast("long").alias("claim_ix"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "text")
+    return C.segment_claims(messages_of_orders(spark, sf_dir)).select(
+        "message_id", F.col("claim_ix").cast("long").alias("claim_ix"), F.col("start_char").cast("long").alias("start_char"),
+        F.col("end_char").cast("long").alias("end_char"), "text"
+    )
 
 
 def segment_conversations(spark, sf_dir):
@@ -57,21 +69,32 @@ def segment_conversations(spark, sf_dir):
 
 def claim_fields(spark, sf_dir):
     c = C.extract_claims(messages_of_orders(spark, sf_dir)).filter("claim_ix = 0")
-    return c.select("message_id", F.col("action.type").alias("action"), F.col("action.text").alias("verb"), F.col("deadline.text").alias("deadline"), F.col("deadline.normalized").alias("deadline_norm"), F.col("amount.value").alias("amount"), F.col("audience.cohort").alias("cohort"), "object_hint")
+    return c.select(
+        "message_id", F.col("action.type").alias("action"), F.col("action.text").alias("verb"), F.col("deadline.text").alias("deadline"),
+        F.col("deadline.normalized").alias("deadline_norm"), F.col("amount.value").alias("amount"),
+        F.col("audience.cohort").alias("cohort"), "object_hint"
+    )
 
 
 def parse_values(spark, sf_dir):
     """Deadlines and money read from text built of each order's columns."""
     o = table(spark, sf_dir, "orders")
-    text = F.concat(F.lit("Từ 01/02/2020 đến 17h30 ngày "), F.date_format("o_orderdate", "d-M-yyyy"), F.when(F.col("o_orderkey") % 4 == 0, " hoặc 31/02/2021").otherwise(""))
-    money = F.when(F.col("o_orderkey") % 3 == 0, F.concat((F.col("o_orderkey") % 900).cast("string"), F.lit(" k"))).when(F.col("o_orderkey") % 3 == 1, F.concat((F.col("o_orderkey") % 50).cast("string"), F.lit(",5 triệu đồng"))).otherwise(F.concat(F.lit("lệ phí "), (F.col("o_orderkey") % 900 + 100).cast("string"), F.lit(".000 VND")))
+    text = F.concat(
+        F.lit("Từ 01/02/2020 đến 17h30 ngày "), F.date_format("o_orderdate", "d-M-yyyy"),
+        F.when(F.col("o_orderkey") % 4 == 0, " hoặc 31/02/2021").otherwise("")
+    )
+    money = F.when(F.col("o_orderkey") % 3 == 0, F.concat((F.col("o_orderkey") % 900).cast("string"), F.lit(" k"))).when(
+        F.col("o_orderkey") % 3 == 1, F.concat((F.col("o_orderkey") % 50).cast("string"), F.lit(",5 triệu đồng"))
+    ).otherwise(F.concat(F.lit("lệ phí "), (F.col("o_orderkey") % 900 + 100).cast("string"), F.lit(".000 VND")))
     d = parse_deadline(text)
     return o.select("o_orderkey", d["normalized"].alias("normalized"), d["precision"].alias("precision"), parse_vnd(money).alias("vnd"))
 
 
 def temporal_validity(spark, sf_dir):
     """Versions by user and event type; all lineitems as relations, to a version or to all of a notice."""
-    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("notice_id"), "event_type").agg(F.min("event_id").alias("version_id"), F.max("event_id").alias("last"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("notice_id"), "event_type").agg(
+        F.min("event_id").alias("version_id"), F.max("event_id").alias("last")
+    )
     top = e.groupBy("notice_id").agg(F.max("last").alias("m"))
     versions = e.join(top, "notice_id").select("notice_id", "version_id", (F.col("last") == F.col("m")).alias("is_latest"))
     li = table(spark, sf_dir, "lineitem")
@@ -81,7 +104,12 @@ def temporal_validity(spark, sf_dir):
     return V.temporal_validity(versions, relation)
 
 
-QUERIES = {f.__name__: f for f in (verify_messages, claim_verdicts, evidence_shown, verdict_distribution, segment_claims, segment_conversations, claim_fields, parse_values, temporal_validity)}
+QUERIES = {
+    f.__name__: f for f in (
+        verify_messages, claim_verdicts, evidence_shown, verdict_distribution, segment_claims, segment_conversations, claim_fields,
+        parse_values, temporal_validity
+    )
+}
 
 _CLAIMS = _BASE + """,
 s AS (

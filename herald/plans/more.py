@@ -16,7 +16,10 @@ from herald.plans.notices import _OBS, _classified
 from herald.plans.tables import notices_of_orders, table
 
 
-_ANCHORED = (("register", "đăng kí"), ("apply", "nộp  đơn"), ("submit", "gửi hồ sơ"), ("pay", "đóng học phí"), ("attend", "tham gia"), ("collect", "nhận"), ("update", "tự đánh giá"), ("check", "xem"), ("other", "hoàn tất"))
+_ANCHORED = (
+    ("register", "đăng kí"), ("apply", "nộp  đơn"), ("submit", "gửi hồ sơ"), ("pay", "đóng học phí"), ("attend", "tham gia"),
+    ("collect", "nhận"), ("update", "tự đánh giá"), ("check", "xem"), ("other", "hoàn tất")
+)
 
 
 def _day(c):
@@ -27,9 +30,15 @@ def search_index(spark, sf_dir):
     o, e = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
     notices = o.select(F.col("o_orderkey").alias("notice_id"), (F.col("o_custkey") % 100).alias("source_id"))
     sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"))
-    newest = N.newest_versions(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("notice_key"), F.col("l_linenumber").alias("version_id"), F.col("l_returnflag").alias("raw_text")).dropDuplicates(["notice_key", "version_id"]).groupBy("notice_key", "version_id").agg(F.max("raw_text").alias("raw_text")))
+    newest = N.newest_versions(
+        table(spark, sf_dir, "lineitem").select(
+            F.col("l_orderkey").alias("notice_key"), F.col("l_linenumber").alias("version_id"), F.col("l_returnflag").alias("raw_text")
+        ).dropDuplicates(["notice_key", "version_id"]).groupBy("notice_key", "version_id").agg(F.max("raw_text").alias("raw_text"))
+    )
     activity = e.groupBy(F.col("user_id").alias("notice_id")).agg(F.max_by("event_type", "event_id").alias("outcome"))
-    return R.search_index(notices, sources, newest.withColumnRenamed("notice_key", "notice_id"), activity).select("notice_id", "category", F.col("text").isNotNull().alias("has_text"), "recent")
+    return R.search_index(
+        notices, sources, newest.withColumnRenamed("notice_key", "notice_id"), activity
+    ).select("notice_id", "category", F.col("text").isNotNull().alias("has_text"), "recent")
 
 
 def notice_catalog(spark, sf_dir):
@@ -47,65 +56,115 @@ def version_coverage(spark, sf_dir):
 
 def backfill_events(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    notices = o.select(F.col("o_orderkey").alias("notice_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("last_observed_at"))
+    notices = o.select(
+        F.col("o_orderkey").alias("notice_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("last_observed_at")
+    )
     state = o.groupBy(F.col("o_custkey").alias("source_id")).agg(F.max("o_orderdate").alias("last_changed_at"))
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("notice_id")).agg(F.count("*").alias("version_count"))
-    events = notices.filter("notice_id % 2 = 0").select("notice_id", F.lit("UPDATED").alias("outcome"), F.col("last_observed_at").alias("observed_at"))
+    events = notices.filter("notice_id % 2 = 0").select(
+        "notice_id", F.lit("UPDATED").alias("outcome"), F.col("last_observed_at").alias("observed_at")
+    )
     return M.backfill_events(state, notices, counts, events).select("notice_id", "outcome", _day("observed_at").alias("day"))
 
 
 def derived_queries(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("obligation_id"), F.col("p_name").alias("action_text"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("audience_text"), F.lit(None).cast("string").alias("deadline_text"), F.col("p_type").alias("document_text"))
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("obligation_id"), F.col("p_name").alias("action_text"),
+        F.when(F.col("p_size") > 25, F.col("p_brand")).alias("audience_text"), F.lit(None).cast("string").alias("deadline_text"),
+        F.col("p_type").alias("document_text")
+    )
     return J.derive_queries(p)
 
 
 def candidate_claims(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obligation_id"), _day("o_orderdate").alias("deadline"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("amount"), F.lit(None).cast("string").alias("audience"), F.col("o_orderpriority").alias("location"), F.lit(None).cast("string").alias("document"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("obligation_id"), _day("o_orderdate").alias("deadline"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("amount"), F.lit(None).cast("string").alias("audience"),
+        F.col("o_orderpriority").alias("location"), F.lit(None).cast("string").alias("document")
+    )
     return J.candidate_claims(o).select("obligation_id", "mutation", "deadline", "amount", "location")
 
 
 def forced_pairs(spark, sf_dir):
     """Claims held against obligations of another kind than theirs, of which none may conflict, and every fourth against its own kind."""
     n = notices_of_orders(spark, sf_dir)
-    claim = n.select(F.col("notice_id").alias("case_id"), ((F.col("notice_id") + F.when(F.col("notice_id") % 4 == 0, 0).otherwise(1)) % 3).alias("k"), F.lit("31/12/1990").alias("deadline_text"), F.lit("1990-12-31").alias("deadline_norm"), F.lit("1").alias("amount_text"), F.lit(1).cast("long").alias("amount_value"), "off_action", "off_deadline", "off_deadline_norm", "off_amount")
+    claim = n.select(
+        F.col("notice_id").alias("case_id"), ((F.col("notice_id") + F.when(F.col("notice_id") % 4 == 0, 0).otherwise(1)) % 3).alias("k"),
+        F.lit("31/12/1990").alias("deadline_text"), F.lit("1990-12-31").alias("deadline_norm"), F.lit("1").alias("amount_text"),
+        F.lit(1).cast("long").alias("amount_value"), "off_action", "off_deadline", "off_deadline_norm", "off_amount"
+    )
     other = F.element_at(F.array(F.lit("register"), F.lit("submit"), F.lit("pay")), (F.col("k") + 1).cast("int"))
     e = V.evaluate(claim.withColumns({"action_type": other, "action_text": other}))
-    return e.select("case_id", V.field_verdict([F.col(f"{f}_state") for f in ("action", "deadline", "amount")]).alias("verdict"), F.col("comparable_count").cast("long").alias("compared"), "amount_state")
+    return e.select(
+        "case_id", V.field_verdict([F.col(f"{f}_state") for f in ("action", "deadline", "amount")]).alias("verdict"),
+        F.col("comparable_count").cast("long").alias("compared"), "amount_state"
+    )
 
 
 def repaired_metadata(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("notice_id"), F.col("o_orderkey").alias("annotation"), F.lit("?").alias("title"))
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 4 != 0").select(F.col("c_custkey").alias("notice_id"), F.col("c_name").alias("title"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("notice_id"), F.col("o_orderkey").alias("annotation"), F.lit("?").alias("title")
+    )
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 4 != 0").select(
+        F.col("c_custkey").alias("notice_id"), F.col("c_name").alias("title")
+    )
     return G.repair_metadata(o, c, ["title"]).select("annotation", "title")
 
 
 def decided_spans(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    records = o.select(F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("span"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus"))).alias("raw_text"))
+    records = o.select(
+        F.col("o_orderkey").alias("record_id"), F.col("o_orderstatus").alias("span"),
+        F.concat_ws(" ", "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus"))).alias("raw_text")
+    )
     decision = F.element_at(F.array(F.lit("accept"), F.lit("edit"), F.lit("reject")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return G.apply_decisions(records, o.filter("o_orderkey % 7 != 0").select(F.col("o_orderkey").alias("record_id"), decision.alias("decision"), F.col("o_orderpriority").alias("new_span")))
+    return G.apply_decisions(
+        records,
+        o.filter("o_orderkey % 7 != 0").select(
+            F.col("o_orderkey").alias("record_id"), decision.alias("decision"), F.col("o_orderpriority").alias("new_span")
+        )
+    )
 
 
 def annotation_upsert(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("notice_id"), F.col("o_orderkey").alias("stamp"), F.col("o_orderstatus").alias("annotation_status"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("notice_id"), F.col("o_orderkey").alias("stamp"), F.col("o_orderstatus").alias("annotation_status")
+    )
     return G.upsert(o.filter("stamp % 2 = 0"), o.filter("stamp % 2 = 1"), ["notice_id"], "stamp")
 
 
 def incomplete_annotations(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("notice_id"), F.when(F.col("o_orderstatus") == "F", "GOLD").when(F.col("o_orderstatus") == "O", "REVIEWED").otherwise("DRAFT").alias("annotation_status"), F.when(F.col("o_custkey") % 3 != 0, "x").alias("annotator_id"), F.left("o_orderpriority", F.lit(3)).alias("quote"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("none").alias("raw_text"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("notice_id"),
+        F.when(F.col("o_orderstatus") == "F", "GOLD").when(
+            F.col("o_orderstatus") == "O", "REVIEWED"
+        ).otherwise("DRAFT").alias("annotation_status"),
+        F.when(F.col("o_custkey") % 3 != 0, "x").alias("annotator_id"), F.left("o_orderpriority", F.lit(3)).alias("quote"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("none").alias("raw_text")
+    )
     return G.completeness(o)
 
 
 def case_checks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    cases = d.select((F.col("doc_id") - F.when(F.col("doc_id") % 100 == 1, 1).otherwise(0)).alias("case_id"), "text", F.when(F.col("doc_id") % 10 == 0, "\u0001").otherwise("").alias("span"), F.when(F.col("doc_id") % 9 == 0, "fly").otherwise("pay").alias("action"), F.lit(1).alias("claim_count"), (F.col("doc_id") % 2).alias("claims"))
+    cases = d.select(
+        (F.col("doc_id") - F.when(F.col("doc_id") % 100 == 1, 1).otherwise(0)).alias("case_id"), "text",
+        F.when(F.col("doc_id") % 10 == 0, "\u0001").otherwise("").alias("span"),
+        F.when(F.col("doc_id") % 9 == 0, "fly").otherwise("pay").alias("action"), F.lit(1).alias("claim_count"),
+        (F.col("doc_id") % 2).alias("claims")
+    )
     return G.case_violations(cases, table(spark, sf_dir, "benchmark").select("text"), ("pay",)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def catalog_rows(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    program = F.struct(F.col("n_name").alias("display_name"), F.array(F.lower("n_name"), F.lit("x")).alias("aliases"), (F.col("n_nationkey") % 20).cast("string").alias("official_code"), F.lit("verified").alias("faculty_assignment_status"))
-    f = table(spark, sf_dir, "region").join(n.groupBy("n_regionkey").agg(F.collect_list(program).alias("programs")), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_regionkey").alias("faculty_id"), F.col("r_name").alias("display_name"), "programs")
+    program = F.struct(
+        F.col("n_name").alias("display_name"), F.array(F.lower("n_name"), F.lit("x")).alias("aliases"),
+        (F.col("n_nationkey") % 20).cast("string").alias("official_code"), F.lit("verified").alias("faculty_assignment_status")
+    )
+    f = table(spark, sf_dir, "region").join(
+        n.groupBy("n_regionkey").agg(F.collect_list(program).alias("programs")), F.col("r_regionkey") == F.col("n_regionkey")
+    ).select(F.col("r_regionkey").alias("faculty_id"), F.col("r_name").alias("display_name"), "programs")
     flat = G.flatten_catalog(f)
     used = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("source_ref")).distinct()
     return G.catalog_violations(flat, used, used.filter("source_ref != 'BUILDING'"))
@@ -113,24 +172,40 @@ def catalog_rows(spark, sf_dir):
 
 def expected_values(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    m = J.value_metrics(li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").cast("long").alias("value")), li.select(F.col("l_orderkey").alias("notice_id"), (F.col("l_suppkey") % 9).alias("value")))
-    return m.select("expected", "predicted", "found", "right", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+    m = J.value_metrics(
+        li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").cast("long").alias("value")),
+        li.select(F.col("l_orderkey").alias("notice_id"), (F.col("l_suppkey") % 9).alias("value"))
+    )
+    return m.select(
+        "expected", "predicted", "found", "right", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision")
+    )
 
 
 def error_layers(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    rows = e.select((F.col("event_id") % 2).alias("truth"), F.lit(0).cast("long").alias("predicted"), (F.col("event_type") != "click").alias("segmented"), (F.col("value") > 50).alias("extracted"), (F.col("user_id") % 3 != 0).alias("retrieved"), (F.col("event_type") != "view").alias("compared"))
+    rows = e.select(
+        (F.col("event_id") % 2).alias("truth"), F.lit(0).cast("long").alias("predicted"),
+        (F.col("event_type") != "click").alias("segmented"), (F.col("value") > 50).alias("extracted"),
+        (F.col("user_id") % 3 != 0).alias("retrieved"), (F.col("event_type") != "view").alias("compared")
+    )
     return J.error_layers(rows)
 
 
 def grounded_spans(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     e = F.col("l_linenumber").cast("string")
-    spans = li.select(F.col("l_orderkey").alias("doc_id"), e.alias("evidence_id"), F.col("l_returnflag").alias("text"), F.lit("A and N").alias("raw_text")).groupBy("doc_id", "evidence_id", "raw_text").agg(F.max("text").alias("text"))
-    uses = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 2).alias("obligation_id"), F.when(F.col("l_linestatus") == "O", "action").otherwise("deadline").alias("field"), e.alias("evidence_id"))
+    spans = li.select(
+        F.col("l_orderkey").alias("doc_id"), e.alias("evidence_id"), F.col("l_returnflag").alias("text"), F.lit("A and N").alias("raw_text")
+    ).groupBy("doc_id", "evidence_id", "raw_text").agg(F.max("text").alias("text"))
+    uses = li.select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 2).alias("obligation_id"),
+        F.when(F.col("l_linestatus") == "O", "action").otherwise("deadline").alias("field"), e.alias("evidence_id")
+    )
     good, left = O.sanitize_spans(spans, uses)
     none = F.lit(None).cast
-    return good.select("doc_id", "evidence_id", none("long").alias("obligation_id"), F.col("text").alias("what")).unionByName(left.distinct().select("doc_id", "evidence_id", "obligation_id", F.col("field").alias("what")))
+    return good.select("doc_id", "evidence_id", none("long").alias("obligation_id"), F.col("text").alias("what")).unionByName(
+        left.distinct().select("doc_id", "evidence_id", "obligation_id", F.col("field").alias("what"))
+    )
 
 
 def grounded_actions(spark, sf_dir):
@@ -147,18 +222,27 @@ def grounded_actions(spark, sf_dir):
 def corpus_chunks(spark, sf_dir):
     """Chunks of documents as versions of 500 notices, with titles and the mark of the current version."""
     d = table(spark, sf_dir, "documents")
-    v = d.groupBy((F.col("doc_id") % 500).alias("notice_key"), F.md5("text").alias("content_hash")).agg(F.min("doc_id").alias("version_id"), F.first("text").alias("raw_text"))
+    v = d.groupBy(
+        (F.col("doc_id") % 500).alias("notice_key"), F.md5("text").alias("content_hash")
+    ).agg(F.min("doc_id").alias("version_id"), F.first("text").alias("raw_text"))
     head = d.groupBy((F.col("doc_id") % 500).alias("notice_key")).agg(F.max_by(F.md5("text"), "doc_id").alias("current_content_hash"))
     notices = head.select("notice_key", F.concat(F.lit("Tin "), F.col("notice_key").cast("string")).alias("title"))
     c = R.build_corpus(v.select("notice_key", "content_hash", "version_id", "raw_text"), head, notices)
-    return c.select("chunk_id", "notice_key", "title", "is_latest", F.col("publication_date").isNull().alias("undated"), F.md5("text").alias("text_md5"))
+    return c.select(
+        "chunk_id", "notice_key", "title", "is_latest", F.col("publication_date").isNull().alias("undated"), F.md5("text").alias("text_md5")
+    )
 
 
 def drafted_obligations(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
     raw = F.concat(F.lit("Sinh viên đăng ký  học phần.\nHạn "), day, F.lit(".\nNộp tại Phòng A"))
-    d = o.select(F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("notice_id"), F.lit(1).alias("version_id"), raw.alias("raw_text"), F.lit("register").alias("action_type"), F.when(F.col("o_orderkey") % 2 == 0, "đăng ký").otherwise("khác hẳn").alias("action_quote"), F.when(F.col("o_orderkey") % 3 == 0, day).alias("deadline_quote"), F.lit(None).cast("string").alias("amount_quote"), F.when(F.col("o_orderkey") % 5 == 0, "mặt trăng").otherwise("nộp  tại phòng a").alias("location_quote"))
+    d = o.select(
+        F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("notice_id"), F.lit(1).alias("version_id"), raw.alias("raw_text"),
+        F.lit("register").alias("action_type"), F.when(F.col("o_orderkey") % 2 == 0, "đăng ký").otherwise("khác hẳn").alias("action_quote"),
+        F.when(F.col("o_orderkey") % 3 == 0, day).alias("deadline_quote"), F.lit(None).cast("string").alias("amount_quote"),
+        F.when(F.col("o_orderkey") % 5 == 0, "mặt trăng").otherwise("nộp  tại phòng a").alias("location_quote")
+    )
     return O.draft_obligations(d).select("draft_id", "action_text", "deadline", "location")
 
 
@@ -167,7 +251,11 @@ def folded_texts(spark, sf_dir):
     return d.select("doc_id", F.md5(norm_text("text")).alias("norm_md5"), F.md5(fold_vietnamese(F.lower("source"))).alias("source_md5"))
 
 
-_ALL = (search_index, notice_catalog, version_coverage, backfill_events, derived_queries, candidate_claims, forced_pairs, repaired_metadata, decided_spans, annotation_upsert, incomplete_annotations, case_checks, catalog_rows, expected_values, error_layers, grounded_spans, grounded_actions, corpus_chunks, drafted_obligations, folded_texts)
+_ALL = (
+    search_index, notice_catalog, version_coverage, backfill_events, derived_queries, candidate_claims, forced_pairs, repaired_metadata,
+    decided_spans, annotation_upsert, incomplete_annotations, case_checks, catalog_rows, expected_values, error_layers, grounded_spans,
+    grounded_actions, corpus_chunks, drafted_obligations, folded_texts
+)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
     "version_coverage": _OBS + "SELECT count(*) FILTER (WHERE v.h = k.h) AS current, count(*) FILTER (WHERE v.h <> k.h) AS historical, (SELECT count(*) FROM nation) AS relations FROM v JOIN k USING (notice_key)",

@@ -14,7 +14,11 @@ _PREFIXES = [("/en/", "english"), ("/de/", "german"), ("/fr/", "french")]
 
 def url_identity(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", normalize_url("url", "example.org").alias("normalized"), host("url").alias("host"), official_host("url", "example.org").alias("official"), source_of("url", F.lit("other"), _PREFIXES).alias("owner"), F.coalesce(admission("url"), F.lit("OK")).alias("admission"))
+    return p.select(
+        "page_id", normalize_url("url", "example.org").alias("normalized"), host("url").alias("host"),
+        official_host("url", "example.org").alias("official"), source_of("url", F.lit("other"), _PREFIXES).alias("owner"),
+        F.coalesce(admission("url"), F.lit("OK")).alias("admission")
+    )
 
 
 def _classified(spark, sf_dir):
@@ -27,7 +31,10 @@ def change_classify(spark, sf_dir):
 
 def crawl_stats(spark, sf_dir):
     c = _classified(spark, sf_dir)
-    return c.groupBy("source_id").agg(F.count("*").alias("fetched"), *[F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("CREATED", "UPDATED", "UNCHANGED", "DUPLICATE")])
+    return c.groupBy("source_id").agg(
+        F.count("*").alias("fetched"),
+        *[F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("CREATED", "UPDATED", "UNCHANGED", "DUPLICATE")]
+    )
 
 
 def version_append(spark, sf_dir):
@@ -40,7 +47,9 @@ def notice_heads(spark, sf_dir):
 
 def current_versions(spark, sf_dir):
     c = _classified(spark, sf_dir)
-    return N.current_versions(N.versions(c), N.heads(c, order=("observed_at", "event_id"))).select("notice_key", "content_hash", "is_latest")
+    return N.current_versions(
+        N.versions(c), N.heads(c, order=("observed_at", "event_id"))
+    ).select("notice_key", "content_hash", "is_latest")
 
 
 def newest_versions(spark, sf_dir):
@@ -49,7 +58,9 @@ def newest_versions(spark, sf_dir):
 
 
 def version_history(spark, sf_dir):
-    return N.version_history(N.versions(_classified(spark, sf_dir))).select("notice_key", "content_hash", F.col("number").cast("long").alias("number"), "previous_hash", "has_history")
+    return N.version_history(N.versions(_classified(spark, sf_dir))).select(
+        "notice_key", "content_hash", F.col("number").cast("long").alias("number"), "previous_hash", "has_history"
+    )
 
 
 def discovery_upsert(spark, sf_dir):
@@ -58,34 +69,48 @@ def discovery_upsert(spark, sf_dir):
 
 def recent_notices(spark, sf_dir):
     """The 20 latest orders, those pending undated: a top-k report."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("notice_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("publication_date"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("notice_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("publication_date")
+    )
     return N.recent_notices(o, 20).select("notice_id", F.date_format("publication_date", "yyyy-MM-dd").alias("publication_date"))
 
 
 def document_hashes(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha2("text", 256).alias("raw_hash"), N.content_hash(F.col("source"), F.col("lang"), F.col("text"), F.array("lang", "source")).alias("content_hash")).select("doc_id", "raw_hash", F.length("content_hash").cast("long").alias("hash_chars"))
+    return d.select(
+        "doc_id", F.sha2("text", 256).alias("raw_hash"),
+        N.content_hash(F.col("source"), F.col("lang"), F.col("text"), F.array("lang", "source")).alias("content_hash")
+    ).select("doc_id", "raw_hash", F.length("content_hash").cast("long").alias("hash_chars"))
 
 
 def raw_store(spark, sf_dir):
     """Distinct payloads with how often each came."""
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("raw_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("raw_hash")).agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("first_doc")
+    )
 
 
 def failure_streaks(spark, sf_dir):
     r = M.failure_streaks(checks(spark, sf_dir))
-    return r.select("check_id", F.col("consecutive_failures").cast("long").alias("consecutive_failures"), "delay_seconds", "last_changed_at")
+    return r.select(
+        "check_id", F.col("consecutive_failures").cast("long").alias("consecutive_failures"), "delay_seconds", "last_changed_at"
+    )
 
 
 def source_state(spark, sf_dir):
     r = M.source_state(checks(spark, sf_dir))
-    return r.select("source_id", "check_id", F.col("consecutive_failures").cast("long").alias("consecutive_failures"), "delay_seconds", "last_error", "last_changed_at")
+    return r.select(
+        "source_id", "check_id", F.col("consecutive_failures").cast("long").alias("consecutive_failures"), "delay_seconds", "last_error",
+        "last_changed_at"
+    )
 
 
 def latest_activity(spark, sf_dir):
     """The latest event of each user at the time of the last one of all."""
     e = table(spark, sf_dir, "events")
-    events = e.select(F.col("user_id").alias("notice_id"), "event_id", F.col("event_type").alias("outcome"), F.col("ts").alias("observed_at"))
+    events = e.select(
+        F.col("user_id").alias("notice_id"), "event_id", F.col("event_type").alias("outcome"), F.col("ts").alias("observed_at")
+    )
     return M.latest_activity(events, e.agg(F.max("ts")).scalar()).select("notice_id", "event_id", "outcome")
 
 
@@ -99,15 +124,24 @@ def monitor_status(spark, sf_dir):
 
 
 def source_outcomes(spark, sf_dir):
-    c = checks(spark, sf_dir).groupBy("source_id").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("NEW", "UPDATED", "FAILED", "UNCHANGED")])
+    c = checks(spark, sf_dir).groupBy("source_id").agg(
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("NEW", "UPDATED", "FAILED", "UNCHANGED")]
+    )
     some = lambda n, left, count: F.when(F.col("source_id") % n == left, F.col(count)).otherwise(0)
-    return c.select("source_id", M.source_outcome(some(5, 0, "NEW"), some(3, 1, "UPDATED"), F.col("FAILED"), some(2, 0, "UNCHANGED"), some(7, 0, "UNCHANGED")).alias("outcome"))
+    return c.select(
+        "source_id",
+        M.source_outcome(
+            some(5, 0, "NEW"), some(3, 1, "UPDATED"), F.col("FAILED"), some(2, 0, "UNCHANGED"), some(7, 0, "UNCHANGED")
+        ).alias("outcome")
+    )
 
 
 def snapshot_diff(spark, sf_dir):
     """Customers' balances against those raised for every third and missing for every fifth before."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("notice_id"), F.sha2(F.col("c_name"), 256).alias("content_hash"))
-    before = c.filter("notice_id % 5 != 0").withColumn("content_hash", F.when(F.col("notice_id") % 3 == 0, F.lit("old")).otherwise(F.col("content_hash")))
+    before = c.filter("notice_id % 5 != 0").withColumn(
+        "content_hash", F.when(F.col("notice_id") % 3 == 0, F.lit("old")).otherwise(F.col("content_hash"))
+    )
     return M.snapshot_diff(before, c)
 
 
@@ -117,7 +151,13 @@ def skip_unmodified(spark, sf_dir):
     return M.skip_unmodified(p, seen, ["etag"]).select("page_id")
 
 
-QUERIES = {f.__name__: f for f in (url_identity, change_classify, crawl_stats, version_append, notice_heads, current_versions, newest_versions, version_history, discovery_upsert, recent_notices, document_hashes, raw_store, failure_streaks, source_state, latest_activity, cycle_summary, monitor_status, source_outcomes, snapshot_diff, skip_unmodified)}
+QUERIES = {
+    f.__name__: f for f in (
+        url_identity, change_classify, crawl_stats, version_append, notice_heads, current_versions, newest_versions, version_history,
+        discovery_upsert, recent_notices, document_hashes, raw_store, failure_streaks, source_state, latest_activity, cycle_summary,
+        monitor_status, source_outcomes, snapshot_diff, skip_unmodified
+    )
+}
 
 _OBS = """
 WITH o AS (

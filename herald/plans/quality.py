@@ -15,11 +15,29 @@ from herald.sources import files, pages, registry
 def _dated_pages(spark, sf_dir):
     """All pages; two of three get a dated notice with attachments, in some the text too short, before their own content."""
     i = F.col("page_id")
-    at = F.date_format(F.make_timestamp(F.lit(2026), (i % 12 + 1).cast("int"), (i % 28 + 1).cast("int"), (i % 24).cast("int"), (i % 60).cast("int"), F.lit(0)), "dd/MM/yyyy HH:mm")
-    body = F.when(i % 3 == 1, F.concat(F.lit("<p>Thông báo  số "), i.cast("string"), F.lit(" gửi sinh viên.</p><p>Sinh viên xem tệp.</p><p>Sinh viên xem tệp.</p>"))).otherwise(F.lit("<p>Ngắn</p>"))
-    head = F.concat(F.lit("<h1>Trang</h1><h2>Tin "), i.cast("string"), F.when(i % 2 == 0, " <b>Hot</b>").otherwise(""), F.lit("</h2><span>"), at, F.lit("</span>"))
-    files = F.concat(F.lit('<a href="/f/'), i.cast("string"), F.lit('.PDF?x=1"></a><a href="/f/a.html"></a><iframe src="https://drive.google.com/f'), i.cast("string"), F.lit('"></iframe><script>no()</script><div>Các thông tin khác</div><p>Nicht mehr.</p>'))
-    return table(spark, sf_dir, "pages").withColumn("html", F.when(i % 3 == 0, F.col("html")).otherwise(F.concat(head, body, files, F.coalesce("html", F.lit("")))))
+    at = F.date_format(
+        F.make_timestamp(
+            F.lit(2026), (i % 12 + 1).cast("int"), (i % 28 + 1).cast("int"), (i % 24).cast("int"), (i % 60).cast("int"), F.lit(0)
+        ),
+        "dd/MM/yyyy HH:mm"
+    )
+    body = F.when(
+        i % 3 == 1,
+        F.concat(
+            F.lit("<p>Thông báo  số "), i.cast("string"), F.lit(" gửi sinh viên.</p><p>Sinh viên xem tệp.</p><p>Sinh viên xem tệp.</p>")
+        )
+    ).otherwise(F.lit("<p>Ngắn</p>"))
+    head = F.concat(
+        F.lit("<h1>Trang</h1><h2>Tin "), i.cast("string"), F.when(i % 2 == 0, " <b>Hot</b>").otherwise(""), F.lit("</h2><span>"), at,
+        F.lit("</span>")
+    )
+    files = F.concat(
+        F.lit('<a href="/f/'), i.cast("string"), F.lit('.PDF?x=1"></a><a href="/f/a.html"></a><iframe src="https://drive.google.com/f'),
+        i.cast("string"), F.lit('"></iframe><script>no()</script><div>Các thông tin khác</div><p>Nicht mehr.</p>')
+    )
+    return table(spark, sf_dir, "pages").withColumn(
+        "html", F.when(i % 3 == 0, F.col("html")).otherwise(F.concat(head, body, files, F.coalesce("html", F.lit(""))))
+    )
 
 
 def page_notices(spark, sf_dir):
@@ -38,14 +56,26 @@ def page_links(spark, sf_dir):
 def discovered_links(spark, sf_dir):
     """Official notice links of pages that list one of every kind: double, relative, foreign and no notice; at most two a page."""
     i = F.col("page_id").cast("string")
-    html = F.concat(F.lit('<a href="/Thongbao/id/'), i, F.lit('">a</a><a href="https://notices.example/thongbao/ID/7'), i, F.lit('">b</a><a href="/Thongbao/id/'), i, F.lit('">c</a><a href="https://other.example/Thongbao/id/1">d</a><a href="/x">e</a><a href="https://sub.notices.example/Thongbao/id/3">f</a>'))
-    n = pages.parse_notices(table(spark, sf_dir, "pages").select("page_id", F.lit("https://notices.example/list").alias("url"), html.alias("html")))
-    return pages.discover_links(n, "notices.example", limit=2).select("page_id", "link", "external_id", F.col("position").cast("long").alias("position"))
+    html = F.concat(
+        F.lit('<a href="/Thongbao/id/'), i, F.lit('">a</a><a href="https://notices.example/thongbao/ID/7'), i,
+        F.lit('">b</a><a href="/Thongbao/id/'), i,
+        F.lit(
+            '">c</a><a href="https://other.example/Thongbao/id/1">d</a><a href="/x">e</a><a href="https://sub.notices.example/Thongbao/id/3">f</a>'
+        )
+    )
+    n = pages.parse_notices(
+        table(spark, sf_dir, "pages").select("page_id", F.lit("https://notices.example/list").alias("url"), html.alias("html"))
+    )
+    return pages.discover_links(n, "notices.example", limit=2).select(
+        "page_id", "link", "external_id", F.col("position").cast("long").alias("position")
+    )
 
 
 def page_text(spark, sf_dir):
     """Title and visible text of pages; every ninth is of a media type that is not read."""
-    p = table(spark, sf_dir, "pages").withColumn("media_type", F.when(F.col("page_id") % 9 == 0, "application/pdf").otherwise("text/html; charset=utf-8"))
+    p = table(spark, sf_dir, "pages").withColumn(
+        "media_type", F.when(F.col("page_id") % 9 == 0, "application/pdf").otherwise("text/html; charset=utf-8")
+    )
     return pages.visible_text(p).select("page_id", "title", F.md5("text").alias("text_md5"), "status")
 
 
@@ -54,12 +84,22 @@ def listing_gate(spark, sf_dir):
     p = table(spark, sf_dir, "pages").withColumn("source_id", F.col("page_id") % 5)
     good, bad = pages.marker_gate(p, F.when(F.col("page_id") % 2 == 0, F.lit("<ARTICLE>")).otherwise(F.lit("<nav>")))
     letters = pages.dead_letters(bad, "listing", "MARKER_MISSING", F.lit("expected marker absent"), F.lit("2026-01-01"))
-    return letters.select("source_id", "url", "stage", "error_type", "message", "failed_at").unionByName(good.select("source_id", "url", F.lit("parsed").alias("stage"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("failed_at")))
+    return letters.select("source_id", "url", "stage", "error_type", "message", "failed_at").unionByName(
+        good.select(
+            "source_id", "url", F.lit("parsed").alias("stage"), F.lit(None).cast("string").alias("error_type"),
+            F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("failed_at")
+        )
+    )
 
 
 def source_upsert(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"), F.lit("2020").alias("updated_at"))
-    seed = s.filter("source_id % 2 = 0").select((F.col("source_id") + F.when(F.col("source_id") % 4 == 0, 1_000_000).otherwise(0)).alias("source_id"), F.when(F.col("source_id") % 3 == 0, "renamed").otherwise(F.col("name")).alias("name"))
+    s = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"), F.lit("2020").alias("updated_at")
+    )
+    seed = s.filter("source_id % 2 = 0").select(
+        (F.col("source_id") + F.when(F.col("source_id") % 4 == 0, 1_000_000).otherwise(0)).alias("source_id"),
+        F.when(F.col("source_id") % 3 == 0, "renamed").otherwise(F.col("name")).alias("name")
+    )
     return registry.upsert_sources(s, seed, F.lit("2026"), ("name",))
 
 
@@ -70,15 +110,22 @@ def source_missing(spark, sf_dir):
 
 def source_health(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    status = F.when(F.col("event_type") == "error", F.element_at(F.array(*map(F.lit, (403, 429, 500, 404))), (F.col("event_id") % 4 + 1).cast("int"))).when(F.col("event_type") == "click", None).otherwise(200)
+    status = F.when(
+        F.col("event_type") == "error", F.element_at(F.array(*map(F.lit, (403, 429, 500, 404))), (F.col("event_id") % 4 + 1).cast("int"))
+    ).when(F.col("event_type") == "click", None).otherwise(200)
     h = registry.health(status, F.col("event_id") % 11 != 0, F.col("value") * 10, F.col("event_id") % 13 != 0)
-    checks = e.select(F.col("user_id").alias("source_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_id"), h.alias("health"))
+    checks = e.select(
+        F.col("user_id").alias("source_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_id"), h.alias("health")
+    )
     return registry.apply_health(checks)
 
 
 def health_log(spark, sf_dir):
     """The log of checks after a second delivery that repeats every third of them."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_id"), F.when(F.col("event_type") == "error", "FAILED").otherwise("HEALTHY").alias("health"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_id"),
+        F.when(F.col("event_type") == "error", "FAILED").otherwise("HEALTHY").alias("health")
+    )
     return registry.health_snapshots(e.filter("check_id % 3 != 1"), e.filter("check_id % 3 != 2"))
 
 
@@ -90,7 +137,12 @@ def dataset_fingerprint(spark, sf_dir):
 def _spans(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     raw = F.concat(F.lit("hạn "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "), F.col("o_orderpriority"))
-    return o.select(F.col("o_orderkey").alias("notice_id"), F.concat(F.lit("e"), (F.col("o_orderkey") % 2).cast("string")).alias("evidence_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"), F.lit(4).alias("start_char"), F.when(F.col("o_orderkey") % 29 == 0, None).when(F.col("o_orderkey") % 17 == 0, 13).otherwise(14).alias("end_char"), raw.alias("raw_text"))
+    return o.select(
+        F.col("o_orderkey").alias("notice_id"), F.concat(F.lit("e"), (F.col("o_orderkey") % 2).cast("string")).alias("evidence_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("text"), F.lit(4).alias("start_char"),
+        F.when(F.col("o_orderkey") % 29 == 0, None).when(F.col("o_orderkey") % 17 == 0, 13).otherwise(14).alias("end_char"),
+        raw.alias("raw_text")
+    )
 
 
 def annotation_violations(spark, sf_dir):
@@ -98,12 +150,17 @@ def annotation_violations(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     k = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    deadline = F.when(k % 2 == 1, F.concat(day, F.when(k % 3 == 0, "T10:00:00").otherwise("T10:00:00+07:00"))).when(k % 19 == 0, "2026-02-30").otherwise(day)
+    deadline = F.when(
+        k % 2 == 1, F.concat(day, F.when(k % 3 == 0, "T10:00:00").otherwise("T10:00:00+07:00"))
+    ).when(k % 19 == 0, "2026-02-30").otherwise(day)
     again = lambda df, n: df.unionByName(df.filter(F.col("notice_id") % n == 0))
     obligations = o.select(
         k.alias("notice_id"), (F.col("o_custkey") % 3).alias("obligation_id"), deadline.alias("deadline"), F.when(k % 2 == 1, "datetime").otherwise("date").alias("precision"), F.lit(None).cast("string").alias("timezone"),
         F.when(k % 23 == 0, -1).otherwise(F.floor("o_totalprice")).alias("amount"), F.lit("2026-01-02").alias("event_start"), F.when(k % 41 == 0, "2026-01-01").otherwise("2026-01-03").alias("event_end"))
-    uses = li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").alias("obligation_id"), F.concat(F.lit("e"), (F.col("l_linenumber") % 2).cast("string")).alias("evidence_id"))
+    uses = li.select(
+        F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").alias("obligation_id"),
+        F.concat(F.lit("e"), (F.col("l_linenumber") % 2).cast("string")).alias("evidence_id")
+    )
     relations = li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_suppkey").alias("target_notice_id"))
     v = G.annotation_violations(again(_spans(spark, sf_dir), 31), again(obligations, 37), uses, relations)
     return v.select("notice_id", "rule", "item").distinct()
@@ -112,25 +169,39 @@ def annotation_violations(spark, sf_dir):
 def review_batch(spark, sf_dir):
     """Ten documents to review by keyword score, quotas for three sources: a top-k report."""
     d = table(spark, sf_dir, "documents")
-    scored = d.select(F.col("doc_id").alias("notice_id"), F.col("source").alias("source_id"), G.keyword_score(F.col("text"), ("the ", "licen", "rights", "of ", "und ")).cast("long").alias("score"))
+    scored = d.select(
+        F.col("doc_id").alias("notice_id"), F.col("source").alias("source_id"),
+        G.keyword_score(F.col("text"), ("the ", "licen", "rights", "of ", "und ")).cast("long").alias("score")
+    )
     return G.select_batch(scored, {"src1": 4, "src2": 3, "src3": 3}, 10).select("notice_id", "source_id", "score")
 
 
 def promote_drafts(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     a = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("notice_id"), F.lit("GOLD").alias("annotation_status"))
-    drafts = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("notice_id"), F.when(F.col("o_orderstatus") == "F", "PROMOTED").otherwise("DRAFT").alias("state"), F.when(F.col("o_custkey") % 2 == 0, "someone").alias("reviewer"))
+    drafts = o.filter("o_orderkey % 2 = 0").select(
+        F.col("o_orderkey").alias("notice_id"), F.when(F.col("o_orderstatus") == "F", "PROMOTED").otherwise("DRAFT").alias("state"),
+        F.when(F.col("o_custkey") % 2 == 0, "someone").alias("reviewer")
+    )
     return G.promote(a, drafts, ["notice_id"])
 
 
 def gold_pack(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    obligations = li.select(F.col("l_orderkey").alias("notice_id"), F.lit(1).alias("version_id"), F.col("l_linenumber").cast("long").alias("obligation_id"), F.when(F.col("l_returnflag") == "R", "REVIEWED").otherwise("DRAFT").alias("annotation_status"))
-    return G.gold_pack(o.select(F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id")), obligations).select("notice_id", "obligation_id", "state")
+    obligations = li.select(
+        F.col("l_orderkey").alias("notice_id"), F.lit(1).alias("version_id"), F.col("l_linenumber").cast("long").alias("obligation_id"),
+        F.when(F.col("l_returnflag") == "R", "REVIEWED").otherwise("DRAFT").alias("annotation_status")
+    )
+    return G.gold_pack(
+        o.select(F.col("o_orderkey").alias("notice_id"), F.lit(1).alias("version_id")), obligations
+    ).select("notice_id", "obligation_id", "state")
 
 
 def field_support(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deadline"), F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("amount"))
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderpriority", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deadline"),
+        F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("amount")
+    )
     return G.field_support(o, ["deadline", "amount"], "o_orderpriority")
 
 
@@ -147,7 +218,12 @@ def _notices(spark, sf_dir):
 def rule_obligations(spark, sf_dir):
     """Every obligation that the rules find, with the audience's names."""
     r = O.rule_extract(_notices(spark, sf_dir))
-    return r.select("notice_id", F.col("ordinal").cast("long").alias("ordinal"), F.array_join("audience.programs", "|").alias("programs"), "action_type", "action_text", F.col("deadline.normalized").alias("deadline"), "amount_vnd", "location", F.array_join("documents", "|").alias("documents"), F.array_join("audience.cohorts", ",").alias("cohorts"), F.col("audience.applies_to_all_students").alias("for_all"))
+    return r.select(
+        "notice_id", F.col("ordinal").cast("long").alias("ordinal"), F.array_join("audience.programs", "|").alias("programs"),
+        "action_type", "action_text", F.col("deadline.normalized").alias("deadline"), "amount_vnd", "location",
+        F.array_join("documents", "|").alias("documents"), F.array_join("audience.cohorts", ",").alias("cohorts"),
+        F.col("audience.applies_to_all_students").alias("for_all")
+    )
 
 
 def ground_quotes(spark, sf_dir):
@@ -155,8 +231,12 @@ def ground_quotes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     first = F.split("text", "\n")[0]
     k = F.col("doc_id") % 4
-    quote = F.when(k == 0, first).when(k == 1, F.replace(first, F.lit(" "), F.lit("  "))).when((k == 2) & F.length(first).between(20, 150), F.concat(F.left(first, F.length(first) - 1), F.lit("\u00a4"))).when(k == 2, first).otherwise("zzz 9999")
-    return O.ground(d.select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), F.col("text").alias("raw_text"))).select("quote_id", F.md5("grounded").alias("grounded_md5"))
+    quote = F.when(k == 0, first).when(k == 1, F.replace(first, F.lit(" "), F.lit("  "))).when(
+        (k == 2) & F.length(first).between(20, 150), F.concat(F.left(first, F.length(first) - 1), F.lit("\u00a4"))
+    ).when(k == 2, first).otherwise("zzz 9999")
+    return O.ground(
+        d.select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), F.col("text").alias("raw_text"))
+    ).select("quote_id", F.md5("grounded").alias("grounded_md5"))
 
 
 def payload_errors(spark, sf_dir):
@@ -165,13 +245,22 @@ def payload_errors(spark, sf_dir):
     k, n = F.col("o_orderkey") % 9, F.col("o_orderkey").cast("string")
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
     message = F.concat(F.lit("Sinh viên "), n, F.lit(" nộp đơn "), F.col("o_orderpriority"), F.lit(" trước "), day)
-    base = {"claim_text": F.concat(n, F.lit(" nộp đơn")), "action": F.lit("nộp"), "action_normalized": F.lit("submit"), "deadline_raw": day, "deadline_normalized": F.date_format("o_orderdate", "yyyy-MM-dd"), "amount_value": F.lit(None).cast("string"), "audience": F.lit(None).cast("string")}
-    wrong = {1: {"claim_text": F.concat(n, F.lit(" khác"))}, 2: {"action_normalized": F.lit("fly")}, 3: {"deadline_raw": F.lit("30/9")}, 4: {"amount_value": F.lit("1.5")}, 5: {"audience": F.lit("ai đó")}, 6: {"verdict": F.lit("VERIFIED")}}
+    base = {
+        "claim_text": F.concat(n, F.lit(" nộp đơn")), "action": F.lit("nộp"), "action_normalized": F.lit("submit"), "deadline_raw": day,
+        "deadline_normalized": F.date_format("o_orderdate", "yyyy-MM-dd"), "amount_value": F.lit(None).cast("string"),
+        "audience": F.lit(None).cast("string")
+    }
+    wrong = {
+        1: {"claim_text": F.concat(n, F.lit(" khác"))}, 2: {"action_normalized": F.lit("fly")}, 3: {"deadline_raw": F.lit("30/9")},
+        4: {"amount_value": F.lit("1.5")}, 5: {"audience": F.lit("ai đó")}, 6: {"verdict": F.lit("VERIFIED")}
+    }
     claim = lambda more: F.to_json(F.struct(F.array(F.struct(*[v.alias(c) for c, v in {**base, **more}.items()])).alias("claims")))
     payload = F.when(k == 7, '{"other":1}').when(k == 8, "[")
     for i, more in wrong.items():
         payload = payload.when(k == i, claim(more))
-    return O.payload_errors(o.select(F.col("o_orderkey").alias("output_id"), message.alias("message"), payload.otherwise(claim({})).alias("payload")))
+    return O.payload_errors(
+        o.select(F.col("o_orderkey").alias("output_id"), message.alias("message"), payload.otherwise(claim({})).alias("payload"))
+    )
 
 
 # --- evaluation ---
@@ -181,7 +270,10 @@ def _labels(spark, sf_dir):
 
 def confusion(spark, sf_dir):
     c = J.confusion_prf(_labels(spark, sf_dir), [0, 1, 2])
-    return c.select(F.col("label").cast("long").alias("label"), F.col("support").cast("long").alias("support"), F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
+    return c.select(
+        F.col("label").cast("long").alias("label"), F.col("support").cast("long").alias("support"),
+        F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1")
+    )
 
 
 def accuracy(spark, sf_dir):
@@ -190,8 +282,16 @@ def accuracy(spark, sf_dir):
 
 def atom_prf(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    atoms = lambda c: li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_returnflag").alias("field"), F.col(c).cast("string").alias("atom"))
-    a = J.atom_prf(atoms("l_linenumber"), li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_returnflag").alias("field"), (F.col("l_partkey") % 5).cast("string").alias("atom")))
+    atoms = lambda c: li.select(
+        F.col("l_orderkey").alias("notice_id"), F.col("l_returnflag").alias("field"), F.col(c).cast("string").alias("atom")
+    )
+    a = J.atom_prf(
+        atoms("l_linenumber"),
+        li.select(
+            F.col("l_orderkey").alias("notice_id"), F.col("l_returnflag").alias("field"),
+            (F.col("l_partkey") % 5).cast("string").alias("atom")
+        )
+    )
     return a.select("field", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -199,14 +299,19 @@ def retrieval_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
     ranked = F.col("vec_id") % 10 + 1
-    r = e.join(F.broadcast(q), (F.col("vec_id") >= F.col("query_id")) & (F.col("vec_id") < F.col("query_id") + 10)).select("query_id", "vec_id", ranked.alias("rank"))
+    r = e.join(
+        F.broadcast(q), (F.col("vec_id") >= F.col("query_id")) & (F.col("vec_id") < F.col("query_id") + 10)
+    ).select("query_id", "vec_id", ranked.alias("rank"))
     rel = e.join(F.broadcast(q), F.col("label") == F.col("own")).select("query_id", "vec_id")
     m = J.retrieval_metrics(q, r, rel, "vec_id")
     return m.select("queries", *[F.round(c, 9).alias(c) for c in m.columns if c != "queries"])
 
 
 def mutations(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("deadline"), F.col("o_orderpriority").alias("location"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("deadline"),
+        F.col("o_orderpriority").alias("location")
+    )
     return J.mutate_cases(o)
 
 
@@ -223,7 +328,10 @@ def contained_passages(spark, sf_dir):
 def price_percentiles(spark, sf_dir):
     p = J.percentiles(table(spark, sf_dir, "orders"), "o_totalprice")
     at = J.percentile_at(table(spark, sf_dir, "orders"), "o_totalprice", 0.95)
-    return p.crossJoin(at).select("n", F.round("mean", 4).alias("mean"), F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), F.col("value").alias("p95_at"))  # one row each
+    return p.crossJoin(at).select(
+        "n", F.round("mean", 4).alias("mean"), F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"),
+        F.col("value").alias("p95_at")
+    )  # one row each
 
 
 def change_classes(spark, sf_dir):
@@ -234,14 +342,19 @@ def change_classes(spark, sf_dir):
 
 
 def field_outcomes(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("field"), F.when(F.col("l_quantity") > 5, F.col("l_returnflag")).alias("gold"), F.when(F.col("l_tax") > 0.01, F.when(F.col("l_discount") > 0.05, F.lit("r.")).otherwise(F.col("l_returnflag"))).alias("predicted"))
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("field"), F.when(F.col("l_quantity") > 5, F.col("l_returnflag")).alias("gold"),
+        F.when(F.col("l_tax") > 0.01, F.when(F.col("l_discount") > 0.05, F.lit("r.")).otherwise(F.col("l_returnflag"))).alias("predicted")
+    )
     return J.field_outcomes(li)
 
 
 def aligned_claims(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     gold = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ix"), "text")
-    pred = c.filter("turn != 1").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ix"), F.when(F.col("turn") == 3, "?").otherwise(F.col("text")).alias("text"))
+    pred = c.filter("turn != 1").select(
+        F.col("conv_id").alias("case_id"), F.col("turn").alias("ix"), F.when(F.col("turn") == 3, "?").otherwise(F.col("text")).alias("text")
+    )
     return J.alignment_metrics(J.align_claims(gold, pred))
 
 

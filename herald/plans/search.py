@@ -16,7 +16,10 @@ _SYNONYMS = {"red widget": ("gizmo", "plate"), "hot gear": ("old gear", "ot bolt
 def chunk_documents(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"), F.col("text").alias("raw_text"))
     c = R.chunk_versions(d)
-    return c.select("chunk_id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), F.md5("text").alias("text_md5"))
+    return c.select(
+        "chunk_id", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"),
+        F.md5("text").alias("text_md5")
+    )
 
 
 def tokenize(spark, sf_dir):
@@ -30,7 +33,9 @@ def _queries(spark, sf_dir):
 
 def bm25plus(spark, sf_dir):
     """Documents for each benchmark passage: top five, as the search is one."""
-    return R.bm25plus(table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), _K).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return R.bm25plus(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), _queries(spark, sf_dir), _K
+    ).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _dense(spark, sf_dir, k):
@@ -41,48 +46,73 @@ def _dense(spark, sf_dir, k):
 
 def dense_topk(spark, sf_dir):
     """Nearest vectors of every vector whose id is divisible by 50, among all."""
-    return _dense(spark, sf_dir, _K).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _dense(spark, sf_dir, _K).select(
+        "query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 def _by_label(spark, sf_dir, k):
     """Another ranking of the same vectors: those of the query's label, by id."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    return R.top_k(e.join(F.broadcast(q), F.col("label") == F.col("own")).select("query_id", "vec_id", (-F.col("vec_id")).cast("double").alias("score")), k, "vec_id")
+    return R.top_k(
+        e.join(F.broadcast(q), F.col("label") == F.col("own")).select(
+            "query_id", "vec_id", (-F.col("vec_id")).cast("double").alias("score")
+        ),
+        k, "vec_id"
+    )
 
 
 def rank_fusion(spark, sf_dir):
-    return R.rrf([_dense(spark, sf_dir, 2 * _K), _by_label(spark, sf_dir, 2 * _K)], _K, "vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return R.rrf([_dense(spark, sf_dir, 2 * _K), _by_label(spark, sf_dir, 2 * _K)], _K, "vec_id").select(
+        "query_id", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 def rank_fusion_current(spark, sf_dir):
     current = table(spark, sf_dir, "embeddings").filter("vec_id % 3 != 0").select("vec_id")
     lists = [_dense(spark, sf_dir, None), _by_label(spark, sf_dir, None)]
-    return R.rrf_current(lists, current, _K, "vec_id").select("query_id", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return R.rrf_current(lists, current, _K, "vec_id").select(
+        "query_id", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 def collapse_identity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
     ranked = _dense(spark, sf_dir, 20).join(e, "vec_id")
-    return R.collapse_identity(ranked, ["label"]).select("query_id", "label", F.col("first_rank").cast("long").alias("first_rank"), F.col("rank").cast("long").alias("rank"))
+    return R.collapse_identity(ranked, ["label"]).select(
+        "query_id", "label", F.col("first_rank").cast("long").alias("first_rank"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 def vector_check(spark, sf_dir):
     """Vectors of which some are cut short and some hold a value that is no number."""
     e = table(spark, sf_dir, "embeddings")
-    broken = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 17 == 0) & (i == 3), F.lit(float("nan")).cast("float")).otherwise(x))
+    broken = F.transform(
+        "embedding", lambda x, i: F.when((F.col("vec_id") % 17 == 0) & (i == 3), F.lit(float("nan")).cast("float")).otherwise(x)
+    )
     v = e.select("vec_id", F.when(F.col("vec_id") % 19 == 0, F.slice("embedding", 1, 63)).otherwise(broken).alias("embedding"))
     return R.vector_check(v, e.filter("vec_id % 10 != 3").select("vec_id"), "vec_id", 64).drop("digest")
 
 
 def lexical_rank(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("notice_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.concat_ws(" ", "p_brand", "p_name").alias("text"))
+    n = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("notice_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"),
+        F.concat_ws(" ", "p_brand", "p_name").alias("text")
+    )
     q = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
     found = R.lexical_rank(n, q, 10, synonyms=_SYNONYMS)
-    return found.select("query_id", "notice_id", F.col("score").cast("long").alias("score"), F.array_join("reasons", ",").alias("reasons"), F.col("rank").cast("long").alias("rank"))
+    return found.select(
+        "query_id", "notice_id", F.col("score").cast("long").alias("score"), F.array_join("reasons", ",").alias("reasons"),
+        F.col("rank").cast("long").alias("rank")
+    )
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, tokenize, bm25plus, dense_topk, rank_fusion, rank_fusion_current, collapse_identity, vector_check, lexical_rank)}
+QUERIES = {
+    f.__name__: f for f in (
+        chunk_documents, tokenize, bm25plus, dense_topk, rank_fusion, rank_fusion_current, collapse_identity, vector_check, lexical_rank
+    )
+}
 
 _DENSE = """
 WITH v AS (SELECT vec_id, label::BIGINT AS label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
@@ -124,8 +154,12 @@ e AS (SELECT query_id, sum(w) AS every FROM w GROUP BY 1),
 s AS (SELECT query_id, doc_id, round(sum(w * tf * 2.5::DOUBLE / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl) + tf)) + any_value(every), 6) AS score FROM tf JOIN w USING (term) JOIN e USING (query_id) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""",
     "dense_topk": _DENSE + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM d WHERE rank <= 5",
-    "rank_fusion": _DENSE + _FUSE.format(lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE rank <= 10"),
-    "rank_fusion_current": _DENSE + _FUSE.format(lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE vec_id % 3 <> 0 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE vec_id % 3 <> 0"),
+    "rank_fusion": _DENSE + _FUSE.format(
+        lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE rank <= 10"
+    ),
+    "rank_fusion_current": _DENSE + _FUSE.format(
+        lists="SELECT query_id, vec_id, rank, 0 AS list FROM d WHERE vec_id % 3 <> 0 UNION ALL SELECT query_id, vec_id, rank, 1 FROM l WHERE vec_id % 3 <> 0"
+    ),
     "collapse_identity": _DENSE + ", c AS (SELECT query_id, label, min(rank) AS first_rank FROM d WHERE rank <= 20 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS rank FROM c",
     "lexical_rank": r"""
 WITH n AS (SELECT p_partkey AS notice_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS category, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')) AS body FROM part),

@@ -24,17 +24,32 @@ def _notices(spark, sf_dir):
     due = F.date_add(F.col("o_orderdate").cast("date"), 30)
     one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
     version = F.explode(F.when(k % 4 == 0, F.array(one, two)).otherwise(F.array(two))).alias("version_id")
-    rows = v.select(k.alias("notice_id"), (F.floor(k / 50) % 8).alias("way"), due.alias("due"), R.normalise("embedding").alias("embedding"), version)
+    rows = v.select(
+        k.alias("notice_id"), (F.floor(k / 50) % 8).alias("way"), due.alias("due"), R.normalise("embedding").alias("embedding"), version
+    )
     on = F.date_add("due", F.when(F.col("version_id") == 1, -7).otherwise(0))
-    text = F.concat(F.lit("Thông báo số "), F.col("notice_id").cast("string"), F.lit(": "), _of(_VERBS, F.col("notice_id") % 3), F.lit(" trước ngày "), F.date_format(on, "dd/MM/yyyy"))
-    return rows.select("notice_id", "version_id", "way", "due", "embedding", (F.col("notice_id") * 10 + F.col("version_id")).alias("chunk_id"), (F.col("version_id") == 2).alias("is_latest"), text.alias("text"), on.alias("on"))
+    text = F.concat(
+        F.lit("Thông báo số "), F.col("notice_id").cast("string"), F.lit(": "), _of(_VERBS, F.col("notice_id") % 3), F.lit(" trước ngày "),
+        F.date_format(on, "dd/MM/yyyy")
+    )
+    return rows.select(
+        "notice_id", "version_id", "way", "due", "embedding", (F.col("notice_id") * 10 + F.col("version_id")).alias("chunk_id"),
+        (F.col("version_id") == 2).alias("is_latest"), text.alias("text"), on.alias("on")
+    )
 
 
 def _obligations(notices):
     """Reviewed obligations of the versions; none for way 2, two for way 3."""
-    n = notices.filter("way != 2").select("notice_id", "version_id", "on", F.explode(F.when(F.col("way") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("ordinal"))
+    n = notices.filter("way != 2").select(
+        "notice_id", "version_id", "on",
+        F.explode(F.when(F.col("way") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("ordinal")
+    )
     day = F.date_add("on", F.col("ordinal"))
-    return n.select("notice_id", "version_id", "ordinal", _of(_KINDS, F.col("notice_id") % 3).alias("off_action"), F.date_format(day, "dd/MM/yyyy").alias("off_deadline"), F.date_format(day, "yyyy-MM-dd").alias("off_deadline_norm"), F.lit(None).cast("long").alias("off_amount"))
+    return n.select(
+        "notice_id", "version_id", "ordinal", _of(_KINDS, F.col("notice_id") % 3).alias("off_action"),
+        F.date_format(day, "dd/MM/yyyy").alias("off_deadline"), F.date_format(day, "yyyy-MM-dd").alias("off_deadline_norm"),
+        F.lit(None).cast("long").alias("off_amount")
+    )
 
 
 def _messages(notices):
@@ -54,16 +69,24 @@ def _found(spark, sf_dir):
     n = _notices(spark, sf_dir)
     m = _messages(n)
     claims = C.extract_claims(m)
-    asked = claims.filter("coalesce(action.text, deadline.text, amount.text) is not null").select((F.col("message_id") * 10 + F.col("claim_ix")).alias("query_id"), "message_id", "claim_ix", "text")
+    asked = claims.filter("coalesce(action.text, deadline.text, amount.text) is not null").select(
+        (F.col("message_id") * 10 + F.col("claim_ix")).alias("query_id"), "message_id", "claim_ix", "text"
+    )
     lexical = R.bm25plus(n.select("chunk_id", "text"), asked.select("query_id", "text"), None, "chunk_id", every=True)
-    dense = R.dense_search(n.select("chunk_id", "embedding"), asked.join(m.select("message_id", "vector"), "message_id").select("query_id", "vector"), None, "chunk_id")
+    dense = R.dense_search(
+        n.select("chunk_id", "embedding"), asked.join(m.select("message_id", "vector"), "message_id").select("query_id", "vector"), None,
+        "chunk_id"
+    )
     first = R.current_evidence(lexical, dense, n).filter("rank = 1")
     return n, claims, asked.join(first, "query_id").select("message_id", "claim_ix", "notice_id", "version_id")
 
 
 def _judged(spark, sf_dir):
     n, claims, evidence = _found(spark, sf_dir)
-    relations = n.filter("way = 6 and version_id = 2").select(F.col("notice_id").alias("relation_id"), F.col("notice_id").alias("target_notice_id"), F.lit(None).cast("long").alias("target_version_id"), F.lit("amends").alias("relation_type"), F.lit("manual").alias("provenance"))
+    relations = n.filter("way = 6 and version_id = 2").select(
+        F.col("notice_id").alias("relation_id"), F.col("notice_id").alias("target_notice_id"),
+        F.lit(None).cast("long").alias("target_version_id"), F.lit("amends").alias("relation_type"), F.lit("manual").alias("provenance")
+    )
     validity = V.temporal_validity(n.select("notice_id", "version_id", "is_latest"), relations)
     return V.verify_claims(claims, _obligations(n), validity, evidence)
 
@@ -75,7 +98,9 @@ def searched_evidence(spark, sf_dir):
 
 def searched_verdicts(spark, sf_dir):
     """Verdicts of the claims of messages by searched evidence, with all reasons to abstain among them."""
-    return _judged(spark, sf_dir).select("message_id", F.col("claim_ix").cast("long").alias("claim_ix"), "notice_id", "verdict", "abstention_reason", "deadline_state")
+    return _judged(spark, sf_dir).select(
+        "message_id", F.col("claim_ix").cast("long").alias("claim_ix"), "notice_id", "verdict", "abstention_reason", "deadline_state"
+    )
 
 
 def searched_messages(spark, sf_dir):

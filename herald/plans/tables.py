@@ -17,7 +17,9 @@ def notices_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     due = F.date_add(F.col("o_orderdate").cast("date"), 30)
     cost = (F.floor(F.col("o_totalprice") / 1000).cast("long") * 1000 + 100000)
     return o.select(
-        F.col("o_orderkey").alias("notice_id"), F.lit(1).cast("long").alias("version_id"), F.lit(0).alias("ordinal"), kind.alias("off_action"),
+        F.col(
+            "o_orderkey"
+        ).alias("notice_id"), F.lit(1).cast("long").alias("version_id"), F.lit(0).alias("ordinal"), kind.alias("off_action"),
         F.date_format(due, "dd/MM/yyyy").alias("off_deadline"), F.date_format(due, "yyyy-MM-dd").alias("off_deadline_norm"), F.when(kind == "pay", cost).alias("off_amount"), due.alias("due"), cost.alias("cost"), kind.alias("kind"))
 
 
@@ -30,20 +32,32 @@ def messages_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     n = notices_of_orders(spark, sf_dir)
     way = F.col("notice_id") % 5
-    day = F.when(way == 1, F.date_format(F.date_add("due", 4), "dd/MM/yyyy")).when(way == 3, F.date_format("due", "dd/MM")).otherwise(F.col("off_deadline"))
+    day = F.when(
+        way == 1, F.date_format(F.date_add("due", 4), "dd/MM/yyyy")
+    ).when(way == 3, F.date_format("due", "dd/MM")).otherwise(F.col("off_deadline"))
     cost = F.col("cost") + F.when(way == 2, 500000).otherwise(0)
-    verb = F.when(way == 4, "Kiểm tra kết quả").when(F.col("kind") == "register", "Sinh viên K21 đăng ký học phần").when(F.col("kind") == "submit", "Sinh viên nộp đơn xin xác nhận").otherwise("Đóng học phí")
+    verb = F.when(way == 4, "Kiểm tra kết quả").when(
+        F.col("kind") == "register", "Sinh viên K21 đăng ký học phần"
+    ).when(F.col("kind") == "submit", "Sinh viên nộp đơn xin xác nhận").otherwise("Đóng học phí")
     pay = F.when((F.col("kind") == "pay") & (way != 4), F.concat(F.lit(" "), F.format_string("%d", cost), F.lit(" đồng"))).otherwise("")
-    text = F.concat(verb, pay, F.lit(" trước ngày "), day, F.when(F.col("notice_id") % 2 == 0, F.concat(F.lit("\n\nThông báo số "), F.col("notice_id").cast("string"))).otherwise(""))
+    text = F.concat(
+        verb, pay, F.lit(" trước ngày "), day,
+        F.when(F.col("notice_id") % 2 == 0, F.concat(F.lit("\n\nThông báo số "), F.col("notice_id").cast("string"))).otherwise("")
+    )
     return n.select(F.col("notice_id").alias("message_id"), text.alias("text"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as observations: the user is the notice, the event type its content, clicks come by another URL."""
     e = table(spark, sf_dir, "events")
-    url = F.concat(F.lit("https://notices.example/id/"), F.col("user_id").cast("string"), F.when(F.col("event_type") == "click", "/mirror").otherwise(""))
+    url = F.concat(
+        F.lit("https://notices.example/id/"), F.col("user_id").cast("string"),
+        F.when(F.col("event_type") == "click", "/mirror").otherwise("")
+    )
     return e.select(
-        F.col("event_id"), F.col("user_id").alias("notice_key"), (F.col("user_id") % 7).alias("source_id"), url.alias("normalized_url"), F.sha2("event_type", 256).alias("content_hash"),
+        F.col("event_id"), F.col("user_id").alias("notice_key"), (
+            F.col("user_id") % 7
+        ).alias("source_id"), url.alias("normalized_url"), F.sha2("event_type", 256).alias("content_hash"),
         F.col("ts").alias("observed_at"), F.col("props").alias("metadata"))
 
 
@@ -52,4 +66,8 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     outcome = F.when(kind == "error", "FAILED").when(kind == "signup", "NEW").when(kind == "purchase", "UPDATED").otherwise("UNCHANGED")
-    return e.select(F.col("user_id").alias("source_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_id"), (kind == "error").alias("failed"), kind.isin("signup", "purchase").alias("changed"), F.col("props").alias("error"), outcome.alias("outcome"), F.col("value"))
+    return e.select(
+        F.col("user_id").alias("source_id"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_id"),
+        (kind == "error").alias("failed"), kind.isin("signup", "purchase").alias("changed"), F.col("props").alias("error"),
+        outcome.alias("outcome"), F.col("value")
+    )

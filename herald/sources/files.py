@@ -21,7 +21,9 @@ ANNOTATION = (
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Annotations of a folder of JSON files, one each; malformed files are skipped, the last by name of a version counts."""
-    rows = spark.read.schema(ANNOTATION + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rows = spark.read.schema(ANNOTATION + ", _corrupt string").option("multiLine", True).option(
+        "columnNameOfCorruptRecord", "_corrupt"
+    ).json(path)
     rows = rows.withColumn("__file", F.input_file_name()).filter("_corrupt is null and notice_id is not null and version_id is not null")
     rest = [c for c in rows.columns if c not in ("notice_id", "version_id", "_corrupt")]
     last = rows.groupBy("notice_id", "version_id").agg(F.max_by(F.struct(*rest), "__file").alias("r"))
@@ -30,7 +32,9 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines by an explicit schema; lines that do not parse are left out."""
-    return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).filter("_corrupt is null").drop("_corrupt")
+    return spark.read.schema(schema + ", _corrupt string").option(
+        "columnNameOfCorruptRecord", "_corrupt"
+    ).json(path).filter("_corrupt is null").drop("_corrupt")
 
 
 def write_jsonl(df: DataFrame, path: str) -> DataFrame:

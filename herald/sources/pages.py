@@ -119,7 +119,10 @@ def parse_page(html: str, url: str) -> dict:
     body = "\n".join(lines)
     date = DATE.search(events[anchor][1])[0] if anchor is not None else None
     enough = len(body) >= 20
-    return {"title": title, "date_text": date and _clean(date), "raw_text": body if enough else title, "parse_mode": "body" if enough else "title_only", "links": links, "attachments": list(attachments)}
+    return {
+        "title": title, "date_text": date and _clean(date), "raw_text": body if enough else title,
+        "parse_mode": "body" if enough else "title_only", "links": links, "attachments": list(attachments)
+    }
 
 
 def _in_list(inside: list[set[str]]) -> bool:
@@ -173,13 +176,20 @@ def visible_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [(None, _clean(h or "")) if m == "text/plain" else visible(h or "") for h, m in zip(pdf.html, pdf.media_type)]
-            yield pd.DataFrame({"page_id": pdf.page_id, "title": [t for t, _ in found], "text": [x for _, x in found], "refused": pdf.refused})
+            yield pd.DataFrame(
+                {"page_id": pdf.page_id, "title": [t for t, _ in found], "text": [x for _, x in found], "refused": pdf.refused}
+            )
 
     kind = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
     refused = F.when(~kind.isin(*MEDIA_TYPES), "UNSUPPORTED_CONTENT_TYPE").when(F.octet_length("html") > MOST_BYTES, "TOO_LARGE")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.when(refused.isNull(), F.col("html")).alias("html"), kind.alias("media_type"), refused.alias("refused"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.when(refused.isNull(), F.col("html")).alias("html"), kind.alias("media_type"),
+        refused.alias("refused")
+    )
     out = rows.mapInPandas(run, "page_id long, title string, text string, refused string")
-    status = F.coalesce("refused", F.when(F.col("text") == "", "EMPTY_CONTENT").when(F.length("text") > MOST_CHARS, "CONTENT_TRUNCATED").otherwise("OK"))
+    status = F.coalesce(
+        "refused", F.when(F.col("text") == "", "EMPTY_CONTENT").when(F.length("text") > MOST_CHARS, "CONTENT_TRUNCATED").otherwise("OK")
+    )
     return out.select("page_id", "title", F.substring("text", 1, MOST_CHARS).alias("text"), status.alias("status"))
 
 
@@ -191,4 +201,7 @@ def marker_gate(listings: DataFrame, marker: str | Column) -> tuple[DataFrame, D
 
 def dead_letters(rows: DataFrame, stage: str, error_type: str, message: Column, at: Column) -> DataFrame:
     """What could not be taken in, for an append-only table: (source_id, url, stage, error_type, message, failed_at)."""
-    return rows.select("source_id", "url", F.lit(stage).alias("stage"), F.lit(error_type).alias("error_type"), message.cast("string").alias("message"), at.alias("failed_at"))
+    return rows.select(
+        "source_id", "url", F.lit(stage).alias("stage"), F.lit(error_type).alias("error_type"), message.cast("string").alias("message"),
+        at.alias("failed_at")
+    )

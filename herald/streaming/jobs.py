@@ -32,7 +32,9 @@ def ingest_versions(observations: DataFrame, table: str, checkpoint: str, key: l
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy(*key).agg(F.min("observed_at").alias("observed_at")).withColumn("part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+        new = batch.groupBy(*key).agg(F.min("observed_at").alias("observed_at")).withColumn(
+            "part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+        )
         if _exists(spark, table):
             mine = [r["part"] for r in new.select("part").distinct().collect()]  # at most ``parts`` numbers
             new = new.join(spark.read.parquet(table).filter(F.col("part").isin(mine)).select(*key), key, "left_anti")
@@ -114,7 +116,10 @@ def failure_streaks(checks: DataFrame, interval: int = 600) -> DataFrame:
         state.update((streak,))
         yield pd.DataFrame(out, columns=["source_id", "checked_at", "consecutive_failures", "delay_seconds"])
 
-    return checks.groupBy("source_id").applyInPandasWithState(step, "source_id long, checked_at timestamp, consecutive_failures long, delay_seconds long", "streak long", "append", GroupStateTimeout.NoTimeout)
+    return checks.groupBy("source_id").applyInPandasWithState(
+        step, "source_id long, checked_at timestamp, consecutive_failures long, delay_seconds long", "streak long", "append",
+        GroupStateTimeout.NoTimeout
+    )
 
 
 def verify_stream(messages: DataFrame, verify: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
