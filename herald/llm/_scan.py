@@ -29,7 +29,9 @@ def _starts(batch: pa.RecordBatch, group: list[str], last: dict | None) -> np.nd
     return np.flatnonzero(new)
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[Column], values: dict[str, str], late: dict[str, Column] | None = None) -> DataFrame:
+def prefix_sums(
+    df: DataFrame, group: list[str], order: list[Column], values: dict[str, str], late: dict[str, Column] | None = None
+) -> DataFrame:
     """``df`` with, for each ``{value: name}``, the sum of ``value`` over earlier rows of the group.
 
     Rows are range-sorted by (group, order), so a group of any size spreads
@@ -72,7 +74,12 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[Column], values: di
     rows = materialize(dealt.mapInArrow(run, schema))
     before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("__p", *group).agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"__s_{o}") for v, o in values.items()])
-    base = sums.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__g_{i}") for i, c in enumerate(group)], *[F.coalesce(F.sum(f"__s_{o}").over(before), F.lit(0)).cast("long").alias(f"__b_{o}") for o in outs])
+    base = sums.select(
+        F.col("__p").alias("__q"), *[F.col(c).alias(f"__g_{i}") for i, c in enumerate(group)],
+        *[F.coalesce(F.sum(f"__s_{o}").over(before), F.lit(0)).cast("long").alias(f"__b_{o}") for o in outs]
+    )
     same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(base[f"__g_{i}"]) for i, c in enumerate(group)], rows["__p"] == base["__q"])
     joined = rows.join(base, same, "left")
-    return joined.select(*[rows[c] for c in (*df.columns, *late)], *[(rows[o] + F.coalesce(base[f"__b_{o}"], F.lit(0))).alias(o) for o in outs])
+    return joined.select(
+        *[rows[c] for c in (*df.columns, *late)], *[(rows[o] + F.coalesce(base[f"__b_{o}"], F.lit(0))).alias(o) for o in outs]
+    )

@@ -80,14 +80,20 @@ def components(edges: DataFrame) -> DataFrame:
     is a minimum by key and a join. Edges of each round are written to the
     shared folder; it ends when each component is a star. Loops, repeated edges and an empty table are allowed.
     """
-    e = edges.filter("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = edges.filter("a is not null and b is not null and a != b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    ).distinct()
     while not _stars(e):
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
-        e = materialize(joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct())
+        e = materialize(
+            joined.filter("b != m").select(
+                F.col("b").alias("a"), F.col("m").alias("b")
+            ).union(low.select("a", F.col("m").alias("b"))).distinct()
+        )
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

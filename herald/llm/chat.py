@@ -39,8 +39,12 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     placed = prefix_sums(keyed, ["conv_id"], order, {"one": "earlier"}).withColumn("position", F.col("earlier") + 1)
     for i in range(LANES):
         placed = placed.withColumn(f"v{i}", F.shiftrightunsigned(F.xxhash64(F.lit(i), "position", "role", "text"), 64 - LANE_BITS))
-    summed = prefix_sums(placed.drop("earlier", "digest", "one"), ["conv_id"], [F.col("position")], {f"v{i}": f"b{i}" for i in range(LANES)})
-    return summed.select("conv_id", "turn", "position", "role", "text", *[(F.col(f"b{i}") + F.col(f"v{i}")).alias(f"h{i}") for i in range(LANES)])
+    summed = prefix_sums(
+        placed.drop("earlier", "digest", "one"), ["conv_id"], [F.col("position")], {f"v{i}": f"b{i}" for i in range(LANES)}
+    )
+    return summed.select(
+        "conv_id", "turn", "position", "role", "text", *[(F.col(f"b{i}") + F.col(f"v{i}")).alias(f"h{i}") for i in range(LANES)]
+    )
 
 
 def maximal(hashed: DataFrame) -> DataFrame:

@@ -83,7 +83,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = [simhash(t.as_py()).hex() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")
+    ).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def within_radius(prints: DataFrame, radius: int = 3, hot: int = 64) -> DataFrame:
@@ -119,7 +121,11 @@ def _fine_keys(edge: list[int], digits: int, radius: int) -> Column:
         left = F.concat(F.substring("fingerprint", 1, i), F.substring("fingerprint", j + 1, digits - j))
         cut = [round(k * (digits - j + i) / (2 * radius)) for k in range(2 * radius + 1)]
         parts = [F.substring(left, x + 1, y - x) for x, y in zip(cut, cut[1:])]
-        by_block.append(F.array(*[F.xxhash64(F.lit(n), *[parts[k] for k in chosen]) for n, chosen in enumerate(combinations(range(2 * radius), radius))]))
+        by_block.append(
+            F.array(
+                *[F.xxhash64(F.lit(n), *[parts[k] for k in chosen]) for n, chosen in enumerate(combinations(range(2 * radius), radius))]
+            )
+        )
     out = by_block[-1]
     for n, keys in reversed(list(enumerate(by_block[:-1]))):
         out = F.when(F.col("block") == n, keys).otherwise(out)
@@ -148,7 +154,10 @@ def edit(text: str, following: str) -> str:
 def _compare(doc_id: int | None, text: str, own: bytes, following: str, next_print: bytes) -> list:
     changed = edit(text, following)
     print_ = simhash(changed)
-    return [doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.hex(), print_.hex(), likeness(own, print_), likeness(own, next_print)]
+    return [
+        doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.hex(), print_.hex(),
+        likeness(own, print_), likeness(own, next_print)
+    ]
 
 
 def neighbour_likeness(docs: DataFrame) -> DataFrame:
@@ -170,7 +179,9 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                for doc_id, part, text in zip(some.column("doc_id").to_pylist(), some.column("part").to_pylist(), some.column("text").to_pylist()):
+                for doc_id, part, text in zip(
+                    some.column("doc_id").to_pylist(), some.column("part").to_pylist(), some.column("text").to_pylist()
+                ):
                     own = simhash(text)
                     if held is None:
                         out.append([1, part, doc_id, None, None, own.hex(), None, None, None, text])
@@ -184,18 +195,32 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
             yield _batch([[2, last, held[0], None, None, held[2].hex(), None, None, None, held[1]]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn(
+        "part", F.spark_partition_id()
+    )
     found = materialize(dealt.mapInArrow(run, _OUT))
-    first = found.filter("kind = 1").select(F.col("part").alias("p"), F.col("text").alias("following"), F.col("fingerprint").alias("next_print"))
+    first = found.filter("kind = 1").select(
+        F.col("part").alias("p"), F.col("text").alias("following"), F.col("fingerprint").alias("next_print")
+    )
     # a row for each partition that has rows
     w = Window.orderBy("part")
-    order = found.filter("kind = 1").select("part").withColumns({"n": F.lead("part").over(w), "f": F.min("part").over(Window.partitionBy())})
+    order = found.filter("kind = 1").select("part").withColumns(
+        {"n": F.lead("part").over(w), "f": F.min("part").over(Window.partitionBy())}
+    )
     ends = found.filter("kind = 2").select("part", "doc_id", "text", "fingerprint").join(order, "part")
     ends = ends.withColumn("p", F.coalesce("n", "f")).join(first, "p").select("doc_id", "text", "fingerprint", "following", "next_print")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _batch([[0, 0, *_compare(r["doc_id"], r["text"], bytes.fromhex(r["fingerprint"]), r["following"], bytes.fromhex(r["next_print"])), None] for r in batch.to_pylist()])
+            yield _batch(
+                [
+                    [
+                        0, 0,
+                        *_compare(r["doc_id"], r["text"], bytes.fromhex(r["fingerprint"]), r["following"], bytes.fromhex(r["next_print"])),
+                        None
+                    ] for r in batch.to_pylist()
+                ]
+            )
 
     columns = _NAMES[2:9]
     return found.filter("kind = 0").select(*columns).unionByName(ends.mapInArrow(finish, _OUT).select(*columns))
@@ -207,9 +232,14 @@ def with_neighbours(prints: DataFrame, radius: int = 3) -> DataFrame:
     Fingerprints count once, however many rows have them; null ones have null.
     """
     links = materialize(within_radius(prints, radius))
-    count = links.select(F.col("a").alias("__f")).unionByName(links.select(F.col("b").alias("__f"))).groupBy("__f").agg(F.count("*").alias("__n"))
+    count = links.select(F.col("a").alias("__f")).unionByName(
+        links.select(F.col("b").alias("__f"))
+    ).groupBy("__f").agg(F.count("*").alias("__n"))
     joined = prints.join(count, F.col("fingerprint") == F.col("__f"), "left")
-    return joined.select(*[prints[c] for c in prints.columns], F.when(F.col("fingerprint").isNotNull(), F.coalesce("__n", F.lit(0)).cast("long")).alias("n_close"))
+    return joined.select(
+        *[prints[c] for c in prints.columns],
+        F.when(F.col("fingerprint").isNotNull(), F.coalesce("__n", F.lit(0)).cast("long")).alias("n_close")
+    )
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:

@@ -33,27 +33,39 @@ def _trimmed(text: Column) -> Column:
     return F.transform(_lines(text), F.trim)
 
 
-def spread_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, lg_k: int = 12) -> DataFrame:
+def spread_lines(
+    docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, lg_k: int = 12
+) -> DataFrame:
     """Keys (k1, k2) of the lines on at least ``sites`` distinct sites; of fewer than ``min_words`` words, ``short_sites``.
 
     A null site is not counted. Blank and null texts have no lines, and an
     empty table gives none.
     """
-    line = docs.select(F.col(site).cast("string").alias("site"), F.explode(_trimmed(text_of("text"))).alias("line")).filter("site is not null and line != ''")
+    line = docs.select(
+        F.col(site).cast("string").alias("site"), F.explode(_trimmed(text_of("text"))).alias("line")
+    ).filter("site is not null and line != ''")
     need = F.when(F.regexp_count("line", F.lit(r"\s+")) >= min_words - 1, F.lit(sites)).otherwise(F.lit(short_sites)).alias("need")
     rows = line.select(*text_key(F.col("line")), F.xxhash64("site").alias("site"), need)
-    sketched = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("need").alias("need"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
-    return _decide(rows, materialize(sketched.filter("n >= need").select("k1", "k2", "need", F.hll_sketch_estimate("sketch").alias("estimate"))))
+    sketched = rows.groupBy("k1", "k2").agg(
+        F.count("*").alias("n"), F.max("need").alias("need"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch")
+    )
+    return _decide(
+        rows, materialize(sketched.filter("n >= need").select("k1", "k2", "need", F.hll_sketch_estimate("sketch").alias("estimate")))
+    )
 
 
 def _decide(rows: DataFrame, sketched: DataFrame) -> DataFrame:
     sure = sketched.filter(F.col("estimate") > F.col("need") * (1 + NEAR)).select("k1", "k2")
     open_ = sketched.filter(F.col("estimate").between(F.col("need") * (1 - NEAR) - 1, F.col("need") * (1 + NEAR))).select("k1", "k2")
-    exact = rows.join(open_, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("site").alias("s"), F.max("need").alias("need"))
+    exact = rows.join(open_, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
+        F.count_distinct("site").alias("s"), F.max("need").alias("need")
+    )
     return sure.unionByName(exact.filter("s >= need").select("k1", "k2"))
 
 
-def mark_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, most: float = 0.5) -> DataFrame:
+def mark_lines(
+    docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, most: float = 0.5
+) -> DataFrame:
     """For each distinct text with boilerplate lines: its key (t1, t2), the positions ``drop`` of these from 0, and ``words`` in them.
 
     Texts that are shown to be copies are left out: of their words spread
@@ -61,17 +73,29 @@ def mark_lines(docs: DataFrame, site: str = "source", sites: int = 5, min_words:
     """
     spread = materialize(spread_lines(docs, site, sites, min_words, short_sites))
     texts = docs.select(text_of("text").alias("text"))
-    rows = texts.select(*[c.alias(a) for c, a in zip(text_key(F.col("text")), ("t1", "t2"))], n_words(F.col("text")).alias("all_words"), F.posexplode(_trimmed(F.col("text"))).alias("at", "line"))
+    rows = texts.select(
+        *[c.alias(a) for c, a in zip(text_key(F.col("text")), ("t1", "t2"))], n_words(F.col("text")).alias("all_words"),
+        F.posexplode(_trimmed(F.col("text"))).alias("at", "line")
+    )
     rows = rows.filter("line != ''").select("t1", "t2", "all_words", "at", *text_key(F.col("line")), n_words(F.col("line")).alias("words"))
-    hit = rows.join(spread, ["k1", "k2"], "left_semi").groupBy("t1", "t2", "at").agg(*[F.max(c).alias(c) for c in ("k1", "words", "all_words")], F.count("*").alias("twins"))
-    of = hit.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("at", "k1"))).alias("found"), F.sum("words").alias("words"), *[F.max(c).alias(c) for c in ("all_words", "twins")])
+    hit = rows.join(spread, ["k1", "k2"], "left_semi").groupBy("t1", "t2", "at").agg(
+        *[F.max(c).alias(c) for c in ("k1", "words", "all_words")], F.count("*").alias("twins")
+    )
+    of = hit.groupBy("t1", "t2").agg(
+        F.sort_array(F.collect_list(F.struct("at", "k1"))).alias("found"), F.sum("words").alias("words"),
+        *[F.max(c).alias(c) for c in ("all_words", "twins")]
+    )
     of = materialize(of)
-    return of.join(_copies(of.filter(F.col("words") > most * F.col("all_words"))), ["t1", "t2"], "left_anti").select("t1", "t2", F.col("found.at").alias("drop"), "words")
+    return of.join(
+        _copies(of.filter(F.col("words") > most * F.col("all_words"))), ["t1", "t2"], "left_anti"
+    ).select("t1", "t2", F.col("found.at").alias("drop"), "words")
 
 
 def _copies(mostly: DataFrame) -> DataFrame:
     """Keys of those texts that have a twin, or of whose pairs of successive spread lines half stand in others of these texts too."""
-    after = F.zip_with("found", F.slice("found", F.lit(2), F.size("found")), lambda a, b: F.struct(a["k1"].alias("first"), b["k1"].alias("then")))
+    after = F.zip_with(
+        "found", F.slice("found", F.lit(2), F.size("found")), lambda a, b: F.struct(a["k1"].alias("first"), b["k1"].alias("then"))
+    )
     pair = mostly.select("t1", "t2", F.explode(F.array_distinct(F.filter(after, lambda p: p["then"].isNotNull()))).alias("pair"))
     shared = pair.groupBy("pair").agg((F.count("*") > 1).cast("long").alias("shared"))
     known = pair.join(shared, "pair").groupBy("t1", "t2").agg(F.avg("shared").alias("share")).filter("share >= 0.5")
@@ -89,7 +113,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """
     marked = mark_lines(docs, **options).select(F.col("t1").alias("__k1"), F.col("t2").alias("__k2"), F.col("drop").alias("__drop"))
     t1, t2 = text_key(text_of(docs["text"]))
-    joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(marked, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left")
+    joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(
+        marked, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left"
+    )
     left = F.array_join(F.filter(_lines(docs["text"]), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
     text = F.when(F.col("__drop").isNull(), docs["text"]).otherwise(left)
     out = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
@@ -104,7 +130,10 @@ def report(docs: DataFrame, site: str = "source", **options) -> DataFrame:
     """
     count = F.size(F.filter(_trimmed(text_of("text")), lambda x: x != F.lit(""))).cast("long")
     after = dedup_lines(docs.select("doc_id", site, "text", count.alias("n_lines")), site=site, **options)
-    return after.select("doc_id", "n_lines", (F.col("n_lines") - count).alias("n_dropped"), F.length(text_of("text")).cast("long").alias("n_chars"), F.md5(text_of("text")).alias("text_md5"))
+    return after.select(
+        "doc_id", "n_lines", (F.col("n_lines") - count).alias("n_dropped"), F.length(text_of("text")).cast("long").alias("n_chars"),
+        F.md5(text_of("text")).alias("text_md5")
+    )
 
 
 SQL = r"""

@@ -39,7 +39,9 @@ SEQUENCE = 256
 def line_statistics(line: str, words: list[str], seen: bool) -> list[float]:
     n = len(words)
     return [
-        1.0, min(1.0, 2.0 * sum(map(line.count, _SYMBOLS)) / n), min(1.0, 2.0 * line.count("!") / n), sum(1 for w in words if len(w) > 1 and w.isupper()) / n,
+        1.0, min(1.0, 2.0 * sum(map(line.count, _SYMBOLS)) / n), min(1.0, 2.0 * line.count("!") / n), sum(
+            1 for w in words if len(w) > 1 and w.isupper()
+        ) / n,
         sum(map(eq, words, words[1:])) / n, len(set(words)) / n, sum(1 for w in words if len(w) <= 3) / n,
         min(1.0, 5.0 * line.count(".") / n), float(seen), 1.0 / n,
     ]
@@ -172,11 +174,15 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
     and 1, and labels without a document are left out; without any, all lines
     are content. Repeated ids are learnt from with each of their texts.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("d"), F.col(column).cast("int").alias("label")).filter(F.col("d").isNotNull() & ~held_out(F.col("d")) & F.col("label").isin(0, 1)).dropDuplicates(["d"])
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("d"), F.col(column).cast("int").alias("label")
+    ).filter(F.col("d").isNotNull() & ~held_out(F.col("d")) & F.col("label").isin(0, 1)).dropDuplicates(["d"])
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     order = F.md5(F.col("d").cast("string"))
     there = known.join(ids, F.col("d") == F.col("doc_id"), "left_semi")
-    chosen = there.filter("label = 0").orderBy(order, "d").limit(sample).unionByName(there.filter("label = 1").orderBy(order, "d").limit(sample))
+    chosen = there.filter("label = 0").orderBy(order, "d").limit(sample).unionByName(
+        there.filter("label = 1").orderBy(order, "d").limit(sample)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,14 +192,26 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: i
                 names = np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in at], np.uint64)
                 x = np.array(stats, np.float32)
                 for i in range(0, len(at), SEQUENCE):
-                    yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([x[i: i + SEQUENCE].tobytes()], pa.binary()), pa.array([names[i: i + SEQUENCE].tobytes()], pa.binary())], names=["label", "x", "names"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([label], pa.int32()), pa.array([x[i: i + SEQUENCE].tobytes()], pa.binary()),
+                            pa.array([names[i: i + SEQUENCE].tobytes()], pa.binary())
+                        ],
+                        names=["label", "x", "names"]
+                    )
 
     # at most 2 * sample ids; what comes back is as many sequences of bounded length
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("d"))
+    few = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")
+    ).join(F.broadcast(chosen), F.col("doc_id") == F.col("d"))
     sequences = materialize(few.select("text", "label").mapInArrow(run, "label int, x binary, names binary"))
     order = [F.md5("x"), F.md5("names")]
     rows = [r for y in (0, 1) for r in sequences.filter(F.col("label") == y).orderBy(*order).limit(sample).collect()]
-    rows = [(np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(float), r["label"], np.frombuffer(r["names"], np.uint64)) for r in rows if r["x"]]
+    rows = [
+        (
+            np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)).astype(float), r["label"], np.frombuffer(r["names"], np.uint64)
+        ) for r in rows if r["x"]
+    ]
     good = np.unique(np.concatenate([n for _, y, n in rows if y] or [np.zeros(0, np.uint64)]))
     return fit_chain([x for x, _, _ in rows], [np.full(len(n), 1) if y else np.isin(n, good).astype(np.int64) for _, y, n in rows])
 
@@ -217,13 +235,24 @@ def assess(docs: DataFrame, chain: Chain) -> DataFrame:
                     counts, at, sizes, stats = measures(text)
                     labels = chain.decode(stats)
                     content = sum(n for n, y in zip(sizes, labels) if y)
-                    rows.append({"doc_id": doc_id, **counts, "n_lines": len(at), "content_share": content / max(1, counts["n_words"]), "boilerplate": [i for i, y in zip(at, labels) if not y]})
+                    rows.append(
+                        {
+                            "doc_id": doc_id, **counts, "n_lines": len(at), "content_share": content / max(1, counts["n_words"]),
+                            "boilerplate": [i for i, y in zip(at, labels) if not y]
+                        }
+                    )
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, SCHEMA)
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")], ("content_share", pa.float64()), ("boilerplate", pa.list_(pa.int32()))])
+_ARROW = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        *[(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")],
+        ("content_share", pa.float64()), ("boilerplate", pa.list_(pa.int32()))
+    ]
+)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, least_share: float = 0.5) -> DataFrame:

@@ -29,10 +29,16 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     order of ``most * size / weight`` the sources below L are a prefix, so
     prefix sums find it.
     """
-    ranked = prefix_sums(materialize(sizes.withColumns({"one": F.lit(1).cast("long"), "last": F.isnull("source")})), [], [F.col("last"), F.col("source")], {"one": "rank"})
+    ranked = prefix_sums(
+        materialize(sizes.withColumns({"one": F.lit(1).cast("long"), "last": F.isnull("source")})), [], [F.col("last"), F.col("source")],
+        {"one": "rank"}
+    )
     table = F.array(*[F.lit(float(w)) for w in weights])
     turn = (F.col("rank") % len(weights)).cast("int")
-    w = ranked.select("source", "source_size", F.element_at(table, turn + 1).alias("weight"), *[(turn == i).cast("long").alias(f"is_{i}") for i in range(len(weights))])
+    w = ranked.select(
+        "source", "source_size", F.element_at(table, turn + 1).alias("weight"),
+        *[(turn == i).cast("long").alias(f"is_{i}") for i in range(len(weights))]
+    )
     w = w.withColumn("fill", most * F.col("source_size") / F.col("weight"))
     total = w.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w"), F.count("*").alias("n")).first()
     if not total["s"]:
@@ -44,7 +50,9 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     used = reduce(add, [F.lit(float(x)) * F.col(f"n_{i}") for i, x in enumerate(weights)])
     below = below.withColumns({"full": F.lit(most) * F.col("before"), "used": used})
     level = (F.lit(budget) - F.col("full")) / (F.lit(float(total["w"])) - F.col("used"))
-    open_ = below.withColumn("level", level).filter(F.col("fill") > F.col("level")).agg(F.min(F.struct("fill", "level")).alias("x")).first()["x"]
+    open_ = below.withColumn("level", level).filter(F.col("fill") > F.col("level")).agg(
+        F.min(F.struct("fill", "level")).alias("x")
+    ).first()["x"]
     reached = open_["level"] if open_ else float("inf")
     return w.select("source", "source_size", F.least(F.lit(most) * F.col("source_size"), F.lit(reached) * F.col("weight")).alias("target"))
 
@@ -53,7 +61,9 @@ def _planned(rows: DataFrame, weights: Sequence[float], share: float, most: floa
     """``rows`` (__source, __draw, __key, __size, others) with __total, __target and __copies."""
     placed = prefix_sums(rows, ["__source"], [F.col("__draw"), F.col("__key")], {"__size": "__before"}, late)
     sizes = placed.groupBy("__source").agg(F.sum("__size").alias("source_size")).withColumnRenamed("__source", "source")
-    goal = targets(sizes, weights, share, most).select(F.col("source").alias("__s"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
+    goal = targets(sizes, weights, share, most).select(
+        F.col("source").alias("__s"), F.col("source_size").alias("__total"), F.col("target").alias("__target")
+    )
     joined = placed.join(goal, F.col("__source").eqNullSafe(F.col("__s")))
     rounds = F.when(F.col("__total") > 0, F.floor(F.col("__target") / F.col("__total"))).otherwise(F.lit(0))
     rest = F.col("__target") - rounds * F.col("__total")
@@ -70,7 +80,9 @@ def _keys(seed: int) -> list[Column]:
     return [F.col("source").cast("string").alias("__source"), F.xxhash64("text").alias("__key"), draw.alias("__draw")]
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(
+    docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7
+) -> DataFrame:
     """One row (doc_id, source, text_key, size, source_size, target, copies, taken) for each row of ``docs``.
 
     ``copies`` says how often the mix takes the document, ``taken`` how many
@@ -81,11 +93,17 @@ def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] =
     result. Other columns are not read, and texts only once.
     """
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(seed), _size(size).alias("__size")))
-    out = {"__source": "source", "__key": "text_key", "__size": "size", "__total": "source_size", "__target": "target", "__copies": "copies"}
-    return _planned(rows, weights, share, most).select("doc_id", *[F.col(c).alias(n) for c, n in out.items()], (F.col("__size") * F.col("__copies")).alias("taken"))
+    out = {
+        "__source": "source", "__key": "text_key", "__size": "size", "__total": "source_size", "__target": "target", "__copies": "copies"
+    }
+    return _planned(rows, weights, share, most).select(
+        "doc_id", *[F.col(c).alias(n) for c, n in out.items()], (F.col("__size") * F.col("__copies")).alias("taken")
+    )
 
 
-def take(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def take(
+    docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7
+) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` says, all columns kept.
 
     Nulls, ties and empty tables are treated as there. Each of equal rows is

@@ -111,7 +111,10 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             spare = np.diff(off) - bit.sum(axis=1, dtype=np.int64)
             rows = np.arange(n + 1, dtype=np.int32) * (BITS // 64)
             yield pa.RecordBatch.from_arrays(
-                [batch.slice(i, n).column("t"), pa.ListArray.from_arrays(off, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(rows, pa.array(lanes.ravel())), pa.array(spare.astype(np.int32))],
+                [
+                    batch.slice(i, n).column("t"), pa.ListArray.from_arrays(off, pa.array(h.view(np.int64))),
+                    pa.ListArray.from_arrays(rows, pa.array(lanes.ravel())), pa.array(spare.astype(np.int32))
+                ],
                 names=["t", "shingles", "bits", "spare"])
 
 
@@ -138,17 +141,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands:
 
 def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 7) -> DataFrame:
     """Rows (doc_id, t, root, class_id); t is the digest of the text, root that of one text of the class."""
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.unhex(F.md5(text_of("text"))).alias("t"))
+    rows_in = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.unhex(F.md5(text_of("text"))).alias("t")
+    )
     hashed = rows_in.select("doc_id", "t", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
     signed = materialize(hashed.mapInArrow(lambda it: _sign(it, k, bands, rows), "doc_id long, t binary, bands array<long>"))
     texts = materialize(signed.groupBy("t").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")))
     place = texts.select("t", "least", F.explode("bands").alias("h"))
     bucket = place.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     # of each text that shares a bucket: its buckets, at most one for each band, and how many others are in these
-    member = place.join(bucket, "h").groupBy("t").agg(F.min("least").alias("least"), F.sum("n").alias("w"), F.collect_list(F.struct("h", "n")).alias("at"))
+    member = place.join(bucket, "h").groupBy("t").agg(
+        F.min("least").alias("least"), F.sum("n").alias("w"), F.collect_list(F.struct("h", "n")).alias("at")
+    )
     member = materialize(member)
 
-    centre = member.select("t", "w", F.explode("at.h").alias("h")).groupBy("h").agg(F.max(F.struct("w", "t")).alias("c")).select("h", F.col("c.t").alias("a"))
+    centre = member.select(
+        "t", "w", F.explode("at.h").alias("h")
+    ).groupBy("h").agg(F.max(F.struct("w", "t")).alias("c")).select("h", F.col("c.t").alias("a"))
     star = member.select(F.col("t").alias("b"), F.explode("at.h").alias("h")).join(centre, "h").filter("a != b").select("a", "b").distinct()
     chosen = member.select(F.col("t").alias("u"), "least")
     once = rows_in.join(chosen, F.expr("t = u and doc_id <=> least"), "left_semi").dropDuplicates(["t"])
@@ -168,10 +177,14 @@ def _classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int =
 def _open_links(member: DataFrame, texts: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """Links between texts that share a bucket and lie in different classes; bounds rule out pairs, the rest is verified."""
     named = roots.withColumnRenamed("node", "t")
-    place = member.join(named, "t", "left").select("t", F.coalesce("root", "t").alias("root"), F.explode(F.filter("at", lambda x: x["n"] > 2)).alias("x"))
+    place = member.join(named, "t", "left").select(
+        "t", F.coalesce("root", "t").alias("root"), F.explode(F.filter("at", lambda x: x["n"] > 2)).alias("x")
+    )
     place = place.select("t", "root", F.col("x.h").alias("h"))
     by = place.groupBy("h", "root").agg(F.count("*").alias("c"))
-    mixed = by.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("classes")).filter("classes > 1").select("h", "main")
+    mixed = by.groupBy("h").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("classes")
+    ).filter("classes > 1").select("h", "main")
     place = materialize(place.join(mixed, "h"))
     if place.isEmpty():
         return None

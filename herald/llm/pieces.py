@@ -99,7 +99,10 @@ def _grow(children: list[dict[int, int]], node: int, c: int) -> int:
 class Pieces:
     """A vocabulary with its trie; encodes and decodes single texts."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], base: np.ndarray, check: np.ndarray, value: np.ndarray, piece_ids: list[int]):
+    def __init__(
+        self, pieces: list[str], scores: list[float], byte_ids: list[int], base: np.ndarray, check: np.ndarray, value: np.ndarray,
+        piece_ids: list[int]
+    ):
         self.pieces, self.byte_ids = pieces, byte_ids
         self.base, self.check = base.tolist(), check.tolist()
         ids = [piece_ids[v] if v >= 0 else -1 for v in value.tolist()]
@@ -266,9 +269,17 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = [p.encode_bytes(t) for t in part.column("text").to_pylist()]
                 arrays = [np.frombuffer(i, "<u4") for i in ids]
                 by = [int(((a >= low) & (a <= high)).sum()) for a in arrays]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(by, pa.int64())], names=["doc_id", "ids", "n_pieces", "n_bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()),
+                        pa.array(by, pa.int64())
+                    ],
+                    names=["doc_id", "ids", "n_pieces", "n_bytes"]
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, ids binary, n_pieces long, n_bytes long")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")
+    ).mapInArrow(run, "doc_id long, ids binary, n_pieces long, n_bytes long")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -305,8 +316,15 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     data = p.encode_bytes(text)
                     a = np.frombuffer(data, "<u4")
-                    rows.append((doc_id, len(text), len(a), int(((a >= low) & (a <= high)).sum()), zlib.crc32(data), p.decode(a.tolist()) == text))
+                    rows.append(
+                        (doc_id, len(text), len(a), int(((a >= low) & (a <= high)).sum()), zlib.crc32(data), p.decode(a.tolist()) == text)
+                    )
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "n_chars", "n_pieces", "n_bytes", "ids_crc32", "same"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, n_chars long, n_pieces long, n_bytes long, ids_crc32 long, same boolean")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
+                    names=["doc_id", "n_chars", "n_pieces", "n_bytes", "ids_crc32", "same"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(
+        run, "doc_id long, n_chars long, n_pieces long, n_bytes long, ids_crc32 long, same boolean"
+    )

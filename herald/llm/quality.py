@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 from herald.llm._common import WORD, materialize, text_of
 
-NAMES = ("words", "word length", "distinct", "symbols", "marks", "upper", "repeats", "short", "stops", "lines", "same lines", "top word", "long", "digits", "capitals")
+NAMES = (
+    "words", "word length", "distinct", "symbols", "marks", "upper", "repeats", "short", "stops", "lines", "same lines", "top word", "long",
+    "digits", "capitals"
+)
 _SYMBOLS = "#*$%&|<>"
 _find = re.compile(WORD).findall
 
@@ -38,8 +41,12 @@ def statistics(text: str) -> list[float]:
     lengths = list(map(len, words))
     share = lambda k: float(log(k / n + 0.002))
     return [
-        float(log(1 + n)), float(log(sum(lengths) / n)), float(log(len(counts)) / log(n + 1)), share(sum(map(text.count, _SYMBOLS))), share(text.count("!") + text.count("?")),
-        share(sum(map(str.isupper, words)) - sum(1 for w in words if len(w) == 1 and w.isupper())), share(sum(map(eq, words, words[1:]))), share(sum(1 for k in lengths if k <= 3)), share(text.count(".")),
+        float(log(1 + n)), float(log(sum(lengths) / n)), float(log(len(counts)) / log(n + 1)), share(sum(map(text.count, _SYMBOLS))), share(
+            text.count("!") + text.count("?")
+        ),
+        share(
+            sum(map(str.isupper, words)) - sum(1 for w in words if len(w) == 1 and w.isupper())
+        ), share(sum(map(eq, words, words[1:]))), share(sum(1 for k in lengths if k <= 3)), share(text.count(".")),
         share(len(lines)), share(len(lines) - len(set(lines))), share(max(counts.values())), share(sum(1 for k in lengths if k >= 12)), share(sum(map(str.isdigit, words))), share(sum(1 for w in words if w[0].isupper())),
     ]
 
@@ -54,7 +61,9 @@ def features(docs: DataFrame) -> DataFrame:
                 x = pa.array([statistics(t.as_py()) for t in part.column("text")], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), x], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")
+    ).mapInArrow(run, "doc_id long, x array<double>")
 
 
 @dataclass
@@ -84,7 +93,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = x[label == c]
             total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
     k = total.shape[1]
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], k).astype(np.int32)), pa.array(np.tile(np.arange(k), 2).astype(np.int32)), pa.array(total.ravel())], names=["label", "at", "value"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.repeat([0, 1], k).astype(np.int32)), pa.array(np.tile(np.arange(k), 2).astype(np.int32)), pa.array(total.ravel())],
+        names=["label", "at", "value"]
+    )
 
 
 def fit(rows: DataFrame, pooled: float = 0.1, diagonal: float = 0.05, ridge: float = 1e-3) -> Discriminant:
@@ -128,7 +140,9 @@ def scores(docs: DataFrame, labels: DataFrame, column: str = "quality", threshol
     are allowed. Other columns are not read.
     """
     x = materialize(features(docs))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).filter(~held_out(F.col("doc_id")) & F.col("label").isin(0, 1))
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")
+    ).filter(~held_out(F.col("doc_id")) & F.col("label").isin(0, 1))
     model = fit(x.join(known, "doc_id").select("x", "label"), **shrinkage)
     return apply(x, model, threshold)
 
@@ -142,7 +156,9 @@ def apply(x: DataFrame, model: Discriminant, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
     scored = x.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, column: str = "quality", threshold: float = 0.3) -> DataFrame:
@@ -152,8 +168,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, column: str = "quality", thres
     A null text counts as empty. An empty table stays empty; without labels all
     scores are 0.5, so all documents stay.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("__d"), F.col(column).cast("int").alias("label")).filter(~held_out(F.col("__d")) & F.col("label").isin(0, 1))
-    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.select("__d").distinct(), F.col("doc_id") == F.col("__d"), "left_semi")
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("__d"), F.col(column).cast("int").alias("label")
+    ).filter(~held_out(F.col("__d")) & F.col("label").isin(0, 1))
+    learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        known.select("__d").distinct(), F.col("doc_id") == F.col("__d"), "left_semi"
+    )
     model = fit(features(learn).join(known, F.col("doc_id") == F.col("__d")).select("x", "label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,7 +67,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_token_store, op3_chat_turns, op4_line_quality, op5_source_mix, op6_fingerprints, op7_quality_scores, op8_line_dedup, op9_pieces, op10_license_scan)
+    for f in (
+        op1_near_duplicates, op2_token_store, op3_chat_turns, op4_line_quality, op5_source_mix, op6_fingerprints, op7_quality_scores,
+        op8_line_dedup, op9_pieces, op10_license_scan
+    )
 }
 
 SQL: dict[str, str] = {

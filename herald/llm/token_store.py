@@ -72,7 +72,9 @@ class EliasFano:
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, l, a, b = (int(x) for x in np.frombuffer(data, "<u4", 4))
-        return cls(n, l, np.frombuffer(data, np.uint8, a, 16), np.frombuffer(data, np.uint8, b, 16 + a), np.frombuffer(data, "<u4", -1, 16 + a + b))
+        return cls(
+            n, l, np.frombuffer(data, np.uint8, a, 16), np.frombuffer(data, np.uint8, b, 16 + a), np.frombuffer(data, "<u4", -1, 16 + a + b)
+        )
 
     def select(self, i: int) -> int:
         """The i-th value, from 0: reads the unary bits after the nearest sample only."""
@@ -188,8 +190,12 @@ def _splits_on_space(spec: str) -> bool:
     steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
     model = rules.get("model") or {}
     return (
-        (rules.get("normalizer") or {}).get("normalizers") == NORMAL and steps[0] == split and all(s.get("type") == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:])
-        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and not model.get("unk_token") and rules.get("post_processor") is None
+        (rules.get("normalizer") or {}).get("normalizers") == NORMAL and steps[0] == split and all(
+            s.get("type") == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:]
+        )
+        and model.get("type") == "BPE" and model.get(
+            "end_of_word_suffix"
+        ) == "</w>" and not model.get("dropout") and not model.get("unk_token") and rules.get("post_processor") is None
         and not any(" " in t["content"] or t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in rules["added_tokens"]))
 
 
@@ -197,7 +203,9 @@ def _block(shard: int, number: int, first: int, width: int, parts: list[bytes],
     ends = np.cumsum([len(p) // width for p in parts])
     known = np.array([0 if i is None else i for i in ids], "<i8")
     return {
-        "shard": shard, "block": number, "first": first, "n_docs": len(parts), "n_ids": int(ends[-1]), "width": width, "ids": b"".join(parts),
+        "shard": shard, "block": number, "first": first, "n_docs": len(parts), "n_ids": int(
+            ends[-1]
+        ), "width": width, "ids": b"".join(parts),
         "ends": EliasFano.encode(ends).to_bytes(), "doc_ids": zlib.compress(np.diff(known, prepend=0).astype("<i8").tobytes(), 1),
         "has_id": np.packbits([i is not None for i in ids]).tobytes(),
     }
@@ -220,7 +228,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
     width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     by_word, end = _splits_on_space(spec), np.array([end_id], f"<u{width}").tobytes()
     sent = docs.sparkSession.sparkContext.broadcast(spec)
-    out = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("doc_ids", pa.binary()), ("has_id", pa.binary())])
+    out = pa.schema(
+        [
+            ("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
+            ("width", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("doc_ids", pa.binary()), ("has_id", pa.binary())
+        ]
+    )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(sent.value, width)
@@ -241,7 +254,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     dealt = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    dealt.withColumn("shard", F.spark_partition_id()).mapInArrow(encode, SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+    dealt.withColumn(
+        "shard", F.spark_partition_id()
+    ).mapInArrow(encode, SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 
 def _documents(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -266,11 +281,20 @@ def _read(spark: SparkSession, path: str, name: str, kind: str, arrow: pa.DataTy
                     part = slice(i, i + 512)
                     made = [value(ids[a * w: b * w], w) for a, b in zip(starts[part].tolist(), ends[part].tolist())]
                     n = len(made)
-                    yield pa.RecordBatch.from_arrays([pa.array(known[part], mask=~has[part]), pa.array([r["shard"]] * n, pa.int32()), pa.array(starts[part] + r["first"]), pa.array(ends[part] - starts[part]), pa.array(made, arrow)], names=["doc_id", "shard", "inner", "n_tokens", name])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(known[part], mask=~has[part]), pa.array([r["shard"]] * n, pa.int32()),
+                            pa.array(starts[part] + r["first"]), pa.array(ends[part] - starts[part]), pa.array(made, arrow)
+                        ],
+                        names=["doc_id", "shard", "inner", "n_tokens", name]
+                    )
 
     docs = store.mapInArrow(decode, f"doc_id long, shard int, inner long, n_tokens long, {name} {kind}")
     shards = store.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = shards.select(F.col("shard"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = shards.select(
+        F.col("shard"),
+        F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")
+    )
     # a row for each task that wrote the store, so of a size to broadcast
     return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", name)
 

@@ -37,7 +37,10 @@ def test_snapshots_collapse(spark):
 
 
 def test_chat_edges(spark):
-    df = spark.createDataFrame([(1, 0, None, None), (1, 0, None, None), (None, 0, "user", "x"), (2, None, "user", "y"), (2, 1, "user", "z")], "conv_id long, turn long, role string, text string")
+    df = spark.createDataFrame(
+        [(1, 0, None, None), (1, 0, None, None), (None, 0, "user", "x"), (2, None, "user", "y"), (2, 1, "user", "z")],
+        "conv_id long, turn long, role string, text string"
+    )
     got = {(r.conv_id, r.position): r.n_turns for r in chat.format_chats(df).collect()}
     assert got == {(1, 1): 2, (1, 2): 2, (None, 1): 1, (2, 1): 2, (2, 2): 2}
     assert chat.format_chats(df.limit(0)).count() == 0
@@ -46,7 +49,12 @@ def test_chat_edges(spark):
 # --- mixing ---
 def test_mix_meets_targets(spark):
     random.seed(4)
-    rows = [(i, " ".join(["w"] * random.randint(0, 40)) if i % 17 else None, random.choice(["a", "b", "B", "c", None, "hot", "hot", "hot", "hot"]), "x") for i in range(400)]
+    rows = [
+        (
+            i, " ".join(["w"] * random.randint(0, 40)) if i % 17 else None,
+            random.choice(["a", "b", "B", "c", None, "hot", "hot", "hot", "hot"]), "x"
+        ) for i in range(400)
+    ]
     df = frame(spark, rows)
     out = mixing.mix(df).collect()
     again = {r.doc_id: r.taken for r in mixing.mix(df.repartition(7)).collect()}
@@ -58,7 +66,9 @@ def test_mix_meets_targets(spark):
     want = fill(sizes, weights, 1.5 * sum(sizes.values()), 2)
     taken = Counter()
     for r in out:
-        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and 0 <= r.taken <= 2 * r.size and again[r.doc_id] == r.taken
+        assert r.source_size == sizes[r.source] and abs(
+            r.target - want[r.source]
+        ) < 1e-6 and 0 <= r.taken <= 2 * r.size and again[r.doc_id] == r.taken
         taken[r.source] += r.taken
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 40
@@ -88,7 +98,11 @@ def test_take_of_equal_rows_keeps_the_budget(spark):
 # --- fingerprints ---
 def test_neighbours(spark):
     random.seed(6)
-    rows = [(i * 2, " ".join(random.choice(["the", "of", "and", f"w{random.randint(0, 500)}"]) for _ in range(random.randint(0, 200))), 0) for i in range(80)] + [(161, None, 0), (163, "é😀x" * 9, 0), (165, "word " * 20000, 0)]
+    rows = [
+        (
+            i * 2, " ".join(random.choice(["the", "of", "and", f"w{random.randint(0, 500)}"]) for _ in range(random.randint(0, 200))), 0
+        ) for i in range(80)
+    ] + [(161, None, 0), (163, "é😀x" * 9, 0), (165, "word " * 20000, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, part int")
     got = {r.doc_id: r for r in fingerprint.neighbour_likeness(df.repartition(5)).collect()}
     texts = [t or "" for _, t, _ in rows]
@@ -97,7 +111,9 @@ def test_neighbours(spark):
     for n, (i, _, _) in enumerate(rows):
         r, t, nxt = got[i], texts[n], texts[(n + 1) % len(rows)]
         changed = fingerprint.edit(t, nxt)
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest() and r.fingerprint == fingerprint.simhash(t).hex()
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(
+            changed.encode()
+        ).hexdigest() and r.fingerprint == fingerprint.simhash(t).hex()
         assert 0 <= r.near_next <= 1 and r.edited_fingerprint == fingerprint.simhash(changed).hex()
         better += r.near_edited > r.near_next
     assert better > 0.9 * len(rows)
@@ -171,7 +187,10 @@ def test_line_dedup_equals_counting(spark):
         random.shuffle(lines)
         rows.append((i, "\n".join(lines), f"s{random.randint(0, 6)}" if i % 13 else None, 1))
     rows += [(900, None, "s1", 1), (901, "", "s1", 1), (902, "\n".join(common), "s2", 1), (902, "\n".join(common), "s2", 1)]
-    rows += [(903, "\n".join([common[5], "own words of this page", common[0], common[3]]), "s3", 1), (904, "\n".join([*common[:5], "edited line of a copy"]), "s4", 1)]
+    rows += [
+        (903, "\n".join([common[5], "own words of this page", common[0], common[3]]), "s3", 1),
+        (904, "\n".join([*common[:5], "edited line of a copy"]), "s4", 1)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, drop int")
     sites = defaultdict(set)
     for _, t, s, _ in rows:
@@ -190,7 +209,9 @@ def test_line_dedup_equals_counting(spark):
 
 
 def test_line_dedup_edges(spark):
-    rows = [(None, "a b c\nx", f"s{i}", i, 0, 0, 0) for i in range(6)] + [(7, f"a b c\n{'y ' * 30000}", "s1", 1, 1, 1, 1), (8, None, None, None, None, None, None), (8, None, None, None, None, None, None)]
+    rows = [(None, "a b c\nx", f"s{i}", i, 0, 0, 0) for i in range(6)] + [
+        (7, f"a b c\n{'y ' * 30000}", "s1", 1, 1, 1, 1), (8, None, None, None, None, None, None), (8, None, None, None, None, None, None)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, t1 int, t2 int, k1 int, found int")
     got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()}
     assert got == {(None, "a b c\nx"), (7, "y " * 30000), (8, None)}  # six rows are copies of each other
@@ -204,7 +225,9 @@ def test_line_dedup_edges(spark):
 def test_base_counts():
     m, *_ = line_quality.measures("a b c x\na b c x\n\na b c\x0by #%  ")
     assert m == {"n_words": 14, "word_chars": 15, "n_symbols": 2, "n_dup_lines": 1, "n_repeat_words": 11}  # a no-break space is a word
-    assert line_quality.repeated_words("a b c d a b c".split()) == 6 and line_quality.repeated_words(["x"] * 5) == 5 and line_quality.repeated_words([]) == 0
+    assert line_quality.repeated_words(
+        "a b c d a b c".split()
+    ) == 6 and line_quality.repeated_words(["x"] * 5) == 5 and line_quality.repeated_words([]) == 0
 
 
 def brute_repeats(w):
@@ -282,7 +305,9 @@ def test_query_equals_plain_python(spark):
         for x in lines:
             again.append(x in seen)
             seen.add(x)
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", "".join(w))), sum(again), brute_repeats(w))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", "".join(w))), sum(again), brute_repeats(w)
+        )
         assert r.base_failed == (len(w) < 50 or 100 * brute_repeats(w) > 50 * len(w))
         words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
         stats = [np.array(line_quality.line_statistics(x, own, s)) for x, own, s in zip(lines, words, again)]
@@ -309,7 +334,9 @@ def test_quality_on_held_out_documents(spark, sf):
 
 
 def test_quality_edges(spark):
-    docs = spark.createDataFrame([(1, None, 1.0), (None, "", 2.0), (2, "x " * 9000, 3.0), (2, "x", 4.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame(
+        [(1, None, 1.0), (None, "", 2.0), (2, "x " * 9000, 3.0), (2, "x", 4.0)], "doc_id long, text string, score double"
+    )
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.scores(docs, none).collect()] == [0.5] * 4
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
@@ -324,25 +351,44 @@ def test_quality_edges(spark):
 # --- licences ---
 def test_inheritance(spark):
     rows = [
-        ("a", "repo/LICENSE", "Released under the MIT License."), ("b", "repo/src/main.c", "int main"), ("c", "repo/src/lib/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
-        ("d", "repo/src/lib/x/y.c", None), ("e", "repo/own.c", "code\nLicensed under the Apache License, Version 2.0.\nmore"), ("f", "other/z.c", "license to kill"), ("g", None, "Licensed under CC BY-NC 4.0."), ("h", "top", ""), ("h", "top", ""),
+        ("a", "repo/LICENSE", "Released under the MIT License."), ("b", "repo/src/main.c", "int main"), (
+            "c", "repo/src/lib/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."
+        ),
+        ("d", "repo/src/lib/x/y.c", None), (
+            "e", "repo/own.c", "code\nLicensed under the Apache License, Version 2.0.\nmore"
+        ), ("f", "other/z.c", "license to kill"), ("g", None, "Licensed under CC BY-NC 4.0."), ("h", "top", ""), ("h", "top", ""),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], "file_id string, path string, text string, units int")
     got = {r.file_id: (r.own_licence, r.licence, r.via, r.from_dir) for r in license_scan.scan(df).collect()}
     assert got["a"] == ("MIT", "MIT", "own", None) and got["b"] == (None, "MIT", "inherited", "repo")
     assert got["c"][:3] == ("GPL-3.0", "GPL-3.0", "own") and got["d"] == (None, "GPL-3.0", "inherited", "repo/src/lib")
-    assert got["e"][:3] == ("Apache-2.0", "Apache-2.0", "own") and got["f"] == (None, None, None, None) and got["g"][1] == "CC-BY-NC-4.0" and got["h"][1] is None
+    assert got["e"][:3] == (
+        "Apache-2.0", "Apache-2.0", "own"
+    ) and got["f"] == (None, None, None, None) and got["g"][1] == "CC-BY-NC-4.0" and got["h"][1] is None
     assert license_scan.scan(df).count() == len(rows) and license_scan.scan(df.limit(0)).count() == 0
 
 
 def test_documents_lie_at_several_depths(spark):
     mit, plain = "Released under the MIT License.\nx", "no words of that kind"
-    ids = {3: mit, 4: plain, 1004: plain, 2005: plain, 2009: "This work is licensed under the GNU General Public License, version 3.\ny", 2012: plain}
-    df = spark.createDataFrame([(i, t, "s", "en") for i, t in ids.items()] + [(None, None, None, None)], "doc_id long, text string, source string, lang string")
+    ids = {
+        3: mit, 4: plain, 1004: plain, 2005: plain, 2009: "This work is licensed under the GNU General Public License, version 3.\ny",
+        2012: plain
+    }
+    df = spark.createDataFrame(
+        [(i, t, "s", "en") for i, t in ids.items()] + [(None, None, None, None)], "doc_id long, text string, source string, lang string"
+    )
     files = license_scan.documents_as_files(df)
-    got = {r.file_id: (r.path, r.licence, r.from_dir) for r in license_scan.scan(files, licence_file=license_scan.opens_with_licence()).collect()}
-    assert got[4] == ("s/en/0/4", "MIT", "s/en") and got[1004] == ("s/en/1/10/1004", "MIT", "s/en") and got[2005] == ("s/en/2/2005", "MIT", "s/en")
-    assert got[2009][1:] == ("GPL-3.0", None) and got[2012] == ("s/en/2/20/2012", "GPL-3.0", "s/en/2/20") and got[None] == ("-/-/-", None, None)
+    got = {
+        r.file_id: (r.path, r.licence, r.from_dir) for r in license_scan.scan(
+            files, licence_file=license_scan.opens_with_licence()
+        ).collect()
+    }
+    assert got[4] == ("s/en/0/4", "MIT", "s/en") and got[1004] == (
+        "s/en/1/10/1004", "MIT", "s/en"
+    ) and got[2005] == ("s/en/2/2005", "MIT", "s/en")
+    assert got[2009][1:] == ("GPL-3.0", None) and got[2012] == (
+        "s/en/2/20/2012", "GPL-3.0", "s/en/2/20"
+    ) and got[None] == ("-/-/-", None, None)
 
 
 def test_pipeline_stages_keep_columns(spark):
@@ -361,12 +407,21 @@ def test_pipeline_stages_keep_columns(spark):
 
 def test_wrapped_headers_and_full_texts(spark):
     full = dict(license_scan.full_texts())
-    gnu = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    gnu = [
+        "This program is free software: you can redistribute it and/or modify",
+        "it under the terms of the GNU General Public License as published by",
+        "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."
+    ]
     bsd = full["BSD-3-Clause"].split("\n")[:2]
-    gnu += ["This program is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", "GNU General Public License for more details."]
+    gnu += [
+        "This program is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of",
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", "GNU General Public License for more details."
+    ]
     files = {
         "a/b/head.c": ("import x\n" + "\n".join(f" * {x}" for x in gnu) + "\nint main", "GPL-3.0"), "a/bsd.c": ("start\n" + "\n".join(bsd) + "\nend", "BSD-3-Clause"), "a/spdx.c": ("// SPDX-License-Identifier: MIT\nint main", "MIT"),
-        "m/x": ("MIT License", "MIT"), "n/x": ("Licensed under the MIT license", "MIT"), "o/x": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0"), "p/x": ("the cat sat under the tree with the dog", None),
+        "m/x": ("MIT License", "MIT"), "n/x": ("Licensed under the MIT license", "MIT"), "o/x": (
+            "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0"
+        ), "p/x": ("the cat sat under the tree with the dog", None),
         "q/LICENSE": ("Copyright (c) 2020 A B\n\n" + full["MIT"], "MIT"), "r/s/COPYING": (full["GPL-2.0"], "GPL-2.0"), "r/s/t/u/v.c": ("int", "GPL-2.0")}
     df = spark.createDataFrame([(p, p, t) for p, (t, _) in files.items()], "file_id string, path string, text string")
     assert {r.file_id: r.licence for r in license_scan.scan(df).collect()} == {p: w for p, (_, w) in files.items()}

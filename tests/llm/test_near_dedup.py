@@ -38,13 +38,18 @@ def test_classes_equal_brute_force(spark):
 
 
 def test_edge_cases(spark):
-    rows = [(1, "a b c d e f", 0, "x"), (1, "a b c d e f", 0, "y"), (None, "a b c d e f", 1, "z"), (2, None, 2, None), (3, "", 2, None), (1, "another text of one doc id", 3, None), (None, "alone", 4, None)]
+    rows = [
+        (1, "a b c d e f", 0, "x"), (1, "a b c d e f", 0, "y"), (None, "a b c d e f", 1, "z"), (2, None, 2, None), (3, "", 2, None),
+        (1, "another text of one doc id", 3, None), (None, "alone", 4, None)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, t int, bands string")
     got = sorted(((r.doc_id, r.class_id) for r in N.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (None, 1), (2, 2), (3, 2), (1, 1), (None, None)], key=str)
     kept = N.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (2, None), (1, "another text of one doc id"), (None, "alone")], key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, "a b c d e f"), (2, None), (1, "another text of one doc id"), (None, "alone")], key=str
+    )
     empty = spark.createDataFrame([], df.schema)
     assert N.near_duplicates(empty).count() == 0 and N.drop_near_duplicates(empty).count() == 0
 

@@ -80,7 +80,12 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
 
     docs, labels = spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet")
     assert cp.run(spark, _folder(spark, tmp_path, "empty", docs.limit(0), labels)).count() == 0
-    rows = [(1, "a b c d e f g", None, "x", None), (1, "a b c d e f g", None, "x", None), (None, None, "s", "y", 1), (2, "", "s", None, 2), (3, "own words of the third", "u", "z", 3), (4, "w " * 40000, "u", "z", 3)]
-    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, t string, words int").withColumns({"drop": F.lit(1), "bands": F.lit("b"), "size": F.lit(2), "label": F.lit("l")})
+    rows = [
+        (1, "a b c d e f g", None, "x", None), (1, "a b c d e f g", None, "x", None), (None, None, "s", "y", 1), (2, "", "s", None, 2),
+        (3, "own words of the third", "u", "z", 3), (4, "w " * 40000, "u", "z", 3)
+    ]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, t string, words int").withColumns(
+        {"drop": F.lit(1), "bands": F.lit("b"), "size": F.lit(2), "label": F.lit("l")}
+    )
     out = cp.run(spark, _folder(spark, tmp_path, "odd", odd, labels.limit(0))).collect()
     assert {r.doc_id for r in out} >= {1, 3, 4} and all(bool(r.ids) == (r.n_pieces > 0) for r in out)

@@ -8,7 +8,10 @@ from herald.llm import pieces as P
 from herald.llm import token_store as T
 from herald.llm._common import tokenizer_file
 
-ODD = ["it's A'LL 'S", "İstanbul ÀÉ", "áb ж Ωmega ab\xa0c\x85d", "<|endoftext|> x<|endoftext|>y", "ª²x µm ß ẞ", "", None, "  \n", "12ab34 a1.b2", "don’t “q” – ﬁ", "\x1cab\x1d c\x0bd\x0ce", "ÿÀb-C_d...", "Å", "word " * 30000]
+ODD = [
+    "it's A'LL 'S", "İstanbul ÀÉ", "áb ж Ωmega ab\xa0c\x85d", "<|endoftext|> x<|endoftext|>y", "ª²x µm ß ẞ", "", None, "  \n",
+    "12ab34 a1.b2", "don’t “q” – ﬁ", "\x1cab\x1d c\x0bd\x0ce", "ÿÀb-C_d...", "Å", "word " * 30000
+]
 
 
 @pytest.mark.parametrize("values", [[], [5], [0, 0, 0], [3, 3, 9, 1000, 1000, 70000], list(range(0, 5000, 7)), [2**33, 2**33 + 1]])
@@ -130,7 +133,10 @@ def _unigram_oracle(scores):
 def test_viterbi_equals_the_library():
     loaded = P.load(tokenizer_file("piece_bpe_32k.model"))
     p, sp = P.Pieces(*loaded), _unigram_oracle(loaded[1])
-    texts = ["", " ", "hello world", "  two  spaces ", "Thblend onheretion, é😀\x00\n\tx", "ungewöhnlichkeit", "a" * 50, "ciónmente ñ ß 数学", "▁mark"]
+    texts = [
+        "", " ", "hello world", "  two  spaces ", "Thblend onheretion, é😀\x00\n\tx", "ungewöhnlichkeit", "a" * 50, "ciónmente ñ ß 数学",
+        "▁mark"
+    ]
     import random
 
     random.seed(2)
@@ -163,7 +169,9 @@ def test_double_array():
 
 def test_pieces_on_tables(spark):
     path = tokenizer_file("piece_bpe_32k.model")
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ODD)] + [(None, "no id", 2), (1, "again", 3), (1, "again", 3)], "doc_id long, text string, ids int")
+    df = spark.createDataFrame(
+        [(i, t, 1) for i, t in enumerate(ODD)] + [(None, "no id", 2), (1, "again", 3), (1, "again", 3)], "doc_id long, text string, ids int"
+    )
     enc = P.encode(df, path)
     back = sorted(((r.doc_id, r.text) for r in P.decode(enc, path).collect()), key=str)
     assert back == sorted(((i, t or "") for i, t, _ in df.collect()), key=str)
