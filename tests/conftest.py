@@ -15,7 +15,9 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
+        SparkSession.builder.master("local[4]").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.ui.enabled", "false").config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

@@ -29,7 +29,9 @@ def test_spans_are_exact_and_blocks_split(spark):
 def test_fields(spark):
     rows = _claims(spark)
     a = rows[1, 0]
-    assert (a.action.type, a.deadline.normalized, a.amount.value, a.audience.cohort, a.location.normalized, a.object_hint) == ("register", "2026-08-15", 450000, "K21", "Phòng A1", "học phần")
+    assert (
+        a.action.type, a.deadline.normalized, a.amount.value, a.audience.cohort, a.location.normalized, a.object_hint
+    ) == ("register", "2026-08-15", 450000, "K21", "Phòng A1", "học phần")
     b = rows[2, 0]
     assert (b.action.type, b.deadline.text, b.deadline.normalized, b.amount.value) == ("pay", "30/9", None, 250000)
     assert rows[2, 1].documents == ["CCCD", "bảng điểm"] and rows[2, 1].exceptions == ["trừ sinh viên K20"]
@@ -41,15 +43,26 @@ def test_values(spark):
     texts = ["đến 17h30 ngày 5/6/2026", "31/02/2026", "từ 01/01/2026 đến 2-3-2026", "không", None, "25:10 1/1/2026"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.parse_deadline("t").alias("d"))
     got = [(r.d.normalized, r.d.precision) for r in df.orderBy("i").collect()]
-    assert got == [("2026-06-05T17:30:00+07:00", "datetime"), (None, "unknown"), ("2026-03-02", "date"), (None, "unknown"), (None, "unknown"), (None, "unknown")]
-    money = spark.createDataFrame([("50 k",), ("1,5 triệu đồng",), ("450.000 VND",), ("nhiều tiền",)], "t string").select(T.parse_vnd("t").alias("v"))
+    assert got == [
+        ("2026-06-05T17:30:00+07:00", "datetime"), (None, "unknown"), ("2026-03-02", "date"), (None, "unknown"), (None, "unknown"),
+        (None, "unknown")
+    ]
+    money = spark.createDataFrame(
+        [("50 k",), ("1,5 triệu đồng",), ("450.000 VND",), ("nhiều tiền",)], "t string"
+    ).select(T.parse_vnd("t").alias("v"))
     assert [r.v for r in money.collect()] == [50000, 1500000, 450000, None]
 
 
 def test_verdicts(spark):
-    claims = [("submit", "nộp", "1/1/2026", "2026-01-01", None, None), ("submit", "nộp", "2/1/2026", "2026-01-02", None, None), ("submit", "nộp", "1/1", None, None, None), ("pay", "đóng", None, None, "5 k", 5000), ("pay", "đóng", None, None, None, None), (None, None, None, None, None, None)]
+    claims = [
+        ("submit", "nộp", "1/1/2026", "2026-01-01", None, None), ("submit", "nộp", "2/1/2026", "2026-01-02", None, None),
+        ("submit", "nộp", "1/1", None, None, None), ("pay", "đóng", None, None, "5 k", 5000), ("pay", "đóng", None, None, None, None),
+        (None, None, None, None, None, None)
+    ]
     schema = "action struct<type:string,text:string>, deadline struct<text:string,normalized:string>, amount struct<text:string,value:bigint>"
-    rows = [(i, 0, i % 5, 1, (a, t) if a else None, (d, n) if d else None, (m, v) if m else None) for i, (a, t, d, n, m, v) in enumerate(claims)]
+    rows = [
+        (i, 0, i % 5, 1, (a, t) if a else None, (d, n) if d else None, (m, v) if m else None) for i, (a, t, d, n, m, v) in enumerate(claims)
+    ]
     c = spark.createDataFrame(rows, f"message_id int, claim_ix int, notice_id int, version_id int, {schema}")
     o = spark.createDataFrame([(0, 1, 0, "submit", None, "2026-01-01", None), (1, 1, 0, "submit", None, "2026-01-01T10:00:00+07:00", None), (2, 1, 0, "submit", None, "2026-01-01", None), (3, 1, 0, "pay", None, None, 6000), (4, 1, 0, "pay", None, None, 1), (4, 1, 1, "pay", None, "2026-01-01", 2)],
                               "notice_id int, version_id int, ordinal int, off_action string, off_deadline string, off_deadline_norm string, off_amount bigint")
@@ -62,15 +75,29 @@ def test_verdicts(spark):
 
 
 def test_ambiguous_tie(spark):
-    c = spark.createDataFrame([(1, 0, 1, 1, ("pay", "đóng"), None, ("5 k", 5000))], "message_id int, claim_ix int, notice_id int, version_id int, action struct<type:string,text:string>, deadline struct<text:string,normalized:string>, amount struct<text:string,value:bigint>")
-    o = spark.createDataFrame([(1, 1, i, "pay", None, None, a) for i, a in enumerate((1, 2))], "notice_id int, version_id int, ordinal int, off_action string, off_deadline string, off_deadline_norm string, off_amount bigint")
+    c = spark.createDataFrame(
+        [(1, 0, 1, 1, ("pay", "đóng"), None, ("5 k", 5000))],
+        "message_id int, claim_ix int, notice_id int, version_id int, action struct<type:string,text:string>, deadline struct<text:string,normalized:string>, amount struct<text:string,value:bigint>"
+    )
+    o = spark.createDataFrame(
+        [(1, 1, i, "pay", None, None, a) for i, a in enumerate((1, 2))],
+        "notice_id int, version_id int, ordinal int, off_action string, off_deadline string, off_deadline_norm string, off_amount bigint"
+    )
     r = V.verify_claims(c, o, spark.createDataFrame([], "notice_id int, version_id int, validity string")).first()
     assert r.abstention_reason == "AMBIGUOUS_OFFICIAL_EVIDENCE"
 
 
 def test_grounding(spark):
-    q = spark.createDataFrame([(1, "nộp  hồ sơ", "Hãy nộp hồ sơ.\nNộp Hồ sơ"), (2, "abc", None), (3, "nộp hồ sơ ngay hôm nay nhé", "nộp hồ sơ ngay hôm nay nhe\nkhác"), (4, "xyz", "abc"), (5, "abc", "xabcx")], "quote_id long, quote string, raw_text string")
-    assert {r.quote_id: r.grounded for r in O.ground(q).collect()} == {1: "Nộp Hồ sơ", 2: None, 3: "nộp hồ sơ ngay hôm nay nhe", 4: None, 5: "abc"}
+    q = spark.createDataFrame(
+        [
+            (1, "nộp  hồ sơ", "Hãy nộp hồ sơ.\nNộp Hồ sơ"), (2, "abc", None),
+            (3, "nộp hồ sơ ngay hôm nay nhé", "nộp hồ sơ ngay hôm nay nhe\nkhác"), (4, "xyz", "abc"), (5, "abc", "xabcx")
+        ],
+        "quote_id long, quote string, raw_text string"
+    )
+    assert {r.quote_id: r.grounded for r in O.ground(q).collect()} == {
+        1: "Nộp Hồ sơ", 2: None, 3: "nộp hồ sơ ngay hôm nay nhe", 4: None, 5: "abc"
+    }
 
 
 def test_dates_in_text(spark):

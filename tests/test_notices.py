@@ -15,14 +15,22 @@ T0 = datetime(2026, 1, 1)
 def test_urls(spark):
     urls = ["HTTP://Notices.Example:80//a//b/?utm_x=1&b=2&a=1#f", "http://other.test:8080/", "https://notices.example?ref=1", None]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(U.normalize_url("u", "notices.example").alias("n"))
-    assert [r.n for r in df.collect()] == ["https://notices.example:80/a/b?a=1&b=2", "http://other.test:8080/", "https://notices.example/", None]
-    bad = ["ftp://a.b", "http://user:x@a.b/", "http://localhost/", "http://10.0.0.1/", "http://8.8.8.8/", "https://a.b/c", "", "http://intranet/"]
+    assert [r.n for r in df.collect()] == [
+        "https://notices.example:80/a/b?a=1&b=2", "http://other.test:8080/", "https://notices.example/", None
+    ]
+    bad = [
+        "ftp://a.b", "http://user:x@a.b/", "http://localhost/", "http://10.0.0.1/", "http://8.8.8.8/", "https://a.b/c", "",
+        "http://intranet/"
+    ]
     got = spark.createDataFrame([(u,) for u in bad], "u string").select(U.admission("u").alias("a")).collect()
     assert [r.a for r in got] == ["INVALID_URL", "UNSAFE_URL", "UNSAFE_URL", "UNSAFE_URL", None, None, "INVALID_URL", "UNSAFE_URL"]
 
 
 def _obs(spark, rows):
-    return spark.createDataFrame([(k, u, h, T0 + timedelta(hours=i), t, h) for i, (k, u, h, t) in enumerate(rows)], "notice_key string, normalized_url string, content_hash string, observed_at timestamp, title string, raw_text string")
+    return spark.createDataFrame(
+        [(k, u, h, T0 + timedelta(hours=i), t, h) for i, (k, u, h, t) in enumerate(rows)],
+        "notice_key string, normalized_url string, content_hash string, observed_at timestamp, title string, raw_text string"
+    )
 
 
 def test_changes_and_heads(spark):
@@ -37,10 +45,15 @@ def test_changes_and_heads(spark):
 
 def test_monitoring(spark):
     rows = [(1, T0 + timedelta(minutes=i), i, f) for i, f in enumerate([True, True, False, True])]
-    c = spark.createDataFrame(rows, "source_id int, checked_at timestamp, check_id int, failed boolean").withColumns({"changed": ~F.col("failed"), "error": F.lit("x"), "outcome": F.lit("o")})
+    c = spark.createDataFrame(
+        rows, "source_id int, checked_at timestamp, check_id int, failed boolean"
+    ).withColumns({"changed": ~F.col("failed"), "error": F.lit("x"), "outcome": F.lit("o")})
     got = [(r.consecutive_failures, r.delay_seconds) for r in M.failure_streaks(c).orderBy("check_id").collect()]
     assert got == [(1, 1200), (2, 2400), (0, 600), (1, 1200)]
-    e = spark.createDataFrame([(1, 1, "NEW", T0), (1, 2, "UPDATED", T0 - timedelta(hours=60)), (2, 3, "NEW", T0)], "notice_id int, event_id int, outcome string, observed_at timestamp")
+    e = spark.createDataFrame(
+        [(1, 1, "NEW", T0), (1, 2, "UPDATED", T0 - timedelta(hours=60)), (2, 3, "NEW", T0)],
+        "notice_id int, event_id int, outcome string, observed_at timestamp"
+    )
     assert [r.notice_id for r in M.latest_activity(e, F.lit(T0)).collect()] == [2]  # the latest event is too old for 1
 
 
@@ -64,11 +77,19 @@ def test_fusion_uses_ranks_before_the_filter(spark):
 def test_actionability_boundaries(spark):
     def at(now, deadline, precision="date", start=None):
         lit = lambda x: F.lit(x).cast("string")
-        return spark.range(1).select(I.actionability(lit(deadline), lit(precision), lit(start), lit("date"), lit(None), lit(None), F.lit(now).cast("timestamp")).alias("a")).first().a
+        return spark.range(1).select(
+            I.actionability(
+                lit(deadline), lit(precision), lit(start), lit("date"), lit(None), lit(None), F.lit(now).cast("timestamp")
+            ).alias("a")
+        ).first().a
 
     assert at("2026-03-15 16:59:59", "2026-03-15") == "ACTIVE" and at("2026-03-15 17:00:00", "2026-03-15") == "EXPIRED"
-    assert at("2026-03-15 10:00:00", "2026-03-15T17:00:00+07:00", "datetime") == "ACTIVE" and at("2026-03-15 10:00:01", "2026-03-15T17:00:00+07:00", "datetime") == "EXPIRED"
-    assert at("2026-03-01 00:00:00", "2026-03-15", start="2026-03-20") == "UNKNOWN" and at("2026-03-01 00:00:00", "2026-03-15", start="2026-03-10") == "UPCOMING"
+    assert at(
+        "2026-03-15 10:00:00", "2026-03-15T17:00:00+07:00", "datetime"
+    ) == "ACTIVE" and at("2026-03-15 10:00:01", "2026-03-15T17:00:00+07:00", "datetime") == "EXPIRED"
+    assert at(
+        "2026-03-01 00:00:00", "2026-03-15", start="2026-03-20"
+    ) == "UNKNOWN" and at("2026-03-01 00:00:00", "2026-03-15", start="2026-03-10") == "UPCOMING"
     assert at("2026-03-01 00:00:00", None) == "NO_DEADLINE" and at("2026-03-01 00:00:00", "soon") == "UNKNOWN"
 
 
@@ -78,7 +99,10 @@ PAGE = """<html><head><title>Trang chủ</title><script>var a = "1";</script></h
 
 
 def test_notice_page(spark):
-    df = spark.createDataFrame([(1, "https://notices.example/x/y", PAGE), (2, "https://notices.example/z", None), (3, "u", "<p>x")], "page_id long, url string, html string")
+    df = spark.createDataFrame(
+        [(1, "https://notices.example/x/y", PAGE), (2, "https://notices.example/z", None), (3, "u", "<p>x")],
+        "page_id long, url string, html string"
+    )
     rows = {r.page_id: r for r in pages.parse_notices(df).collect()}
     r = rows[1]
     assert r.title == "Thông báo học phí" and r.parse_mode == "body" and r.publication_date == datetime(2026, 6, 5, 1, 30)
