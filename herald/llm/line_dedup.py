@@ -1,9 +1,10 @@
 """Line dedup: lines spread over many sites are boilerplate, by HyperLogLog sketches of the sites of each line.
 
 A line is a ``\\n``-separated piece of a text, trimmed of spaces. Its spread is
-the number of distinct sites that have it. Sketches of sites per line hash
-merge in one aggregation, which leaves a task one row for each line it has
-seen, however common; where the estimate lies near the threshold, an exact
+the number of distinct sites that have it. A table of line hashes and sites is
+written once; a plain count, with a row for each line a task has seen, however
+common, leaves the lines that occur often enough. Their sketches of sites merge
+in an aggregation, and where the estimate lies near the threshold, an exact
 distinct count decides. Lines of few words are found on many sites by chance,
 so they need more of them.
 
@@ -36,31 +37,31 @@ def _trimmed(text: Column) -> Column:
 def spread_lines(
     docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, lg_k: int = 12
 ) -> DataFrame:
-    """Keys (k1, k2) of the lines on at least ``sites`` distinct sites; of fewer than ``min_words`` words, ``short_sites``.
+    """(k1, k2, words) of the lines on at least ``sites`` distinct sites; of fewer than ``min_words`` words, ``short_sites``.
 
     A null site is not counted. Blank and null texts have no lines, and an
     empty table gives none.
     """
-    line = docs.select(
-        F.col(site).cast("string").alias("site"), F.explode(_trimmed(text_of("text"))).alias("line")
-    ).filter("site is not null and line != ''")
-    need = F.when(F.regexp_count("line", F.lit(r"\s+")) >= min_words - 1, F.lit(sites)).otherwise(F.lit(short_sites)).alias("need")
-    rows = line.select(*text_key(F.col("line")), F.xxhash64("site").alias("site"), need)
-    sketched = rows.groupBy("k1", "k2").agg(
-        F.count("*").alias("n"), F.max("need").alias("need"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch")
-    )
-    return _decide(
-        rows, materialize(sketched.filter("n >= need").select("k1", "k2", "need", F.hll_sketch_estimate("sketch").alias("estimate")))
-    )
+    line = docs.select(F.col(site).cast("string").alias("site"), F.explode(_trimmed(text_of("text"))).alias("line"))
+    line = line.filter("site is not null and line != ''")
+    rows = materialize(line.select(*text_key(F.col("line")), F.xxhash64("site").alias("site"), n_words(F.col("line")).alias("words")))
+    need = F.when(F.col("words") >= min_words, F.lit(sites)).otherwise(F.lit(short_sites))
+    seen = rows.groupBy("k1", "k2").agg(
+        F.count("*").alias("n"), F.max("words").alias("words"), (F.min("site") != F.max("site")).alias("several")).withColumn("need", need)
+    # a line of too few occurrences, or of one site, needs no sketch
+    able = materialize(seen.filter((F.col("n") >= F.col("need")) & (F.col("several") | (F.col("need") < 2))).select("k1", "k2", "words", "need"))
+    of = rows.select("k1", "k2", "site").join(able, ["k1", "k2"])
+    sketched = of.groupBy("k1", "k2").agg(
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"), *[F.max(c).alias(c) for c in ("words", "need")])
+    return _decide(of, materialize(sketched))
 
 
 def _decide(rows: DataFrame, sketched: DataFrame) -> DataFrame:
-    sure = sketched.filter(F.col("estimate") > F.col("need") * (1 + NEAR)).select("k1", "k2")
-    open_ = sketched.filter(F.col("estimate").between(F.col("need") * (1 - NEAR) - 1, F.col("need") * (1 + NEAR))).select("k1", "k2")
-    exact = rows.join(open_, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
-        F.count_distinct("site").alias("s"), F.max("need").alias("need")
-    )
-    return sure.unionByName(exact.filter("s >= need").select("k1", "k2"))
+    sure = sketched.filter(F.col("estimate") > F.col("need") * (1 + NEAR)).select("k1", "k2", "words")
+    near = F.col("estimate").between(F.col("need") * (1 - NEAR) - 1, F.col("need") * (1 + NEAR))
+    exact = rows.join(sketched.filter(near).select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
+        F.count_distinct("site").alias("s"), *[F.max(c).alias(c) for c in ("words", "need")])
+    return sure.unionByName(exact.filter("s >= need").select("k1", "k2", "words"))
 
 
 def mark_lines(
@@ -77,10 +78,9 @@ def mark_lines(
         *[c.alias(a) for c, a in zip(text_key(F.col("text")), ("t1", "t2"))], n_words(F.col("text")).alias("all_words"),
         F.posexplode(_trimmed(F.col("text"))).alias("at", "line")
     )
-    rows = rows.filter("line != ''").select("t1", "t2", "all_words", "at", *text_key(F.col("line")), n_words(F.col("line")).alias("words"))
-    hit = rows.join(spread, ["k1", "k2"], "left_semi").groupBy("t1", "t2", "at").agg(
-        *[F.max(c).alias(c) for c in ("k1", "words", "all_words")], F.count("*").alias("twins")
-    )
+    rows = rows.filter("line != ''").select("t1", "t2", "all_words", "at", *text_key(F.col("line")))
+    hit = rows.join(spread, ["k1", "k2"]).groupBy("t1", "t2", "at").agg(
+        *[F.max(c).alias(c) for c in ("k1", "words", "all_words")], F.count("*").alias("twins"))
     of = hit.groupBy("t1", "t2").agg(
         F.sort_array(F.collect_list(F.struct("at", "k1"))).alias("found"), F.sum("words").alias("words"),
         *[F.max(c).alias(c) for c in ("all_words", "twins")]
@@ -142,7 +142,7 @@ l AS (SELECT doc_id, source, text, unnest(ls) AS raw, generate_subscripts(ls, 1)
 t AS (SELECT *, trim(raw, ' ') AS line FROM l),
 s AS (
   SELECT line FROM t WHERE line != '' GROUP BY line
-  HAVING count(DISTINCT source) >= CASE WHEN len(regexp_extract_all(line, '\s+')) >= 2 THEN 5 ELSE 25 END),
+  HAVING count(DISTINCT source) >= CASE WHEN len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 THEN 5 ELSE 25 END),
 m AS (
   SELECT t.doc_id, t.text, t.at, t.raw, t.line, s.line IS NOT NULL AS hit,
          len(regexp_extract_all(t.line, '[^\x20\x09-\x0D]+')) AS words
