@@ -58,24 +58,22 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     c = F.col
     acts = c("action_type").isNotNull() & c("off_action").isNotNull()
     act = F.when(acts & (compare_action(c("action_text"), c("action_type"), c("off_action")) == MATCH), MATCH)
-    day = F.when(act.isNotNull() & c("deadline_text").isNotNull(), F.when(
-        (c("off_deadline").isNotNull() | c("off_deadline_norm").isNotNull()) & c("deadline_norm").isNotNull(),
-        compare_deadline(c("deadline_text"), c("deadline_norm"), c("off_deadline"), c("off_deadline_norm"))).otherwise(INSUFFICIENT))
+    # the official day is read once for each pair, and states once each
+    out = pairs.withColumns({"action_state": act, "__off_day": date_iso(F.coalesce("off_deadline_norm", "off_deadline"))})
+    acted, off = c("action_state").isNotNull(), c("__off_day")
+    claimed = compare_deadline(c("deadline_text"), c("deadline_norm"), off, off)
+    day = F.when(acted & c("deadline_text").isNotNull(), F.when(c("deadline_norm").isNotNull(), claimed).otherwise(INSUFFICIENT))
     sum_ = F.when(
-        act.isNotNull() & c("amount_text").isNotNull(),
-        F.when(c("off_amount").isNotNull(), compare_amount(c("amount_text"), c("amount_value"), c("off_amount"))).otherwise(INSUFFICIENT)
-    )
-    out = pairs.withColumns({"action_state": act, "deadline_state": day, "amount_state": sum_})
+        acted & c("amount_text").isNotNull(),
+        F.when(c("off_amount").isNotNull(), compare_amount(c("amount_text"), c("amount_value"), c("off_amount"))).otherwise(INSUFFICIENT))
+    out = out.withColumns({"deadline_state": day, "amount_state": sum_})
     states = [c(f"{f}_state") for f in ("action", "deadline", "amount")]
     count = lambda test: sum((F.when(F.coalesce(test(s), F.lit(False)), 1).otherwise(0) for s in states), F.lit(0))
     signature = F.concat_ws(
-        "|", act, F.when(act.isNotNull(), c("off_action")), day,
-        F.when(day.isNotNull() & (day != INSUFFICIENT), date_iso(F.coalesce("off_deadline_norm", "off_deadline"))), sum_,
-        F.when(sum_.isNotNull(), c("off_amount").cast("string"))
-    )
-    return out.withColumns(
-        {"match_count": count(lambda s: s == MATCH), "comparable_count": count(lambda s: s != INSUFFICIENT), "signature": signature}
-    )
+        "|", states[0], F.when(acted, c("off_action")), states[1], F.when(states[1] != INSUFFICIENT, off), states[2],
+        F.when(states[2].isNotNull(), c("off_amount").cast("string")))
+    counts = {"match_count": count(lambda s: s == MATCH), "comparable_count": count(lambda s: s != INSUFFICIENT)}
+    return out.withColumns({**counts, "signature": signature}).drop("__off_day")
 
 
 def field_verdict(states: list[Column]) -> Column:
