@@ -176,7 +176,7 @@ def test_lexical_phrases_inside_words(spark):
     )
     q = spark.createDataFrame([(1, "green"), (2, "Green tree"), (3, "nothing")], "query_id int, text string")
     got = {(r.query_id, r.notice_id): (r.score, r.reasons) for r in R.lexical_rank(n, q, least=15).collect()}
-    assert got[1, 1] == (130, ["title phrase", "text phrase"][:1]) or got[1, 1][0] == 100
+    assert got[1, 1] == (100, ["title phrase"])
     assert got[2, 1][0] == 120 and got[1, 2][0] == 30 and got[1, 3][0] == 15 and got[2, 2][0] == 50 and not any(k[0] == 3 for k in got)
 
 
