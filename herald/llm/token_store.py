@@ -95,14 +95,19 @@ class EliasFano:
         raw = int.from_bytes(self.low[from_bit // 8: (from_bit + self.l + 7) // 8].tobytes(), "little")
         return (high << self.l) | ((raw >> (from_bit % 8)) & ((1 << self.l) - 1))
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = ones - np.arange(self.n)
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places ``i``, from 0: the unary bits are unpacked once, the low bits of those places only."""
+        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
+        high = ones[i] - i
         if not self.l:
             return high
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.l).reshape(self.n, self.l).astype(np.int64)
-        return (high << self.l) | (bits << np.arange(self.l)).sum(axis=1)
+        at = i[:, None] * self.l + np.arange(self.l)
+        bits = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        return (high << self.l) | (bits.astype(np.int64) << np.arange(self.l)).sum(axis=1)
+
+    def values(self) -> np.ndarray:
+        """All values."""
+        return self.select_many(np.arange(self.n))
 
 
 #: Runs of Latin-1 letters, and of anything else but white space, of a text in lower case.
@@ -262,7 +267,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 def _documents(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, whether each is known, and the offsets in ids of each document's start and end."""
     index = EliasFano.from_bytes(block["ends"])
-    ends = np.fromiter(map(index.select, range(block["n_docs"])), np.int64, block["n_docs"])
+    ends = index.select_many(np.arange(block["n_docs"]))
     known = np.cumsum(np.frombuffer(zlib.decompress(block["doc_ids"]), "<i8"))
     has = np.unpackbits(np.frombuffer(block["has_id"], np.uint8), count=block["n_docs"]).astype(bool)
     return known, has, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)

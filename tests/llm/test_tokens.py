@@ -19,6 +19,7 @@ def test_elias_fano(values):
     e = T.EliasFano.from_bytes(T.EliasFano.encode(np.array(values, np.int64)).to_bytes())
     assert e.values().tolist() == values
     assert [e.select(i) for i in range(len(values))] == values
+    assert e.select_many(np.arange(len(values))[::-3]).tolist() == values[::-3]
     if len(values) > 500:
         assert len(e.low) + len(e.high) < len(values) * 1.5
 
