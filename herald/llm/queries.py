@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herald.llm import chat, fingerprint, license_scan, line_dedup, line_quality, mixing, near_dedup, pieces, quality, token_store
+from herald.llm import (
+    chat, fingerprint, lexical, license_scan, line_dedup, line_quality, mixing, near_dedup, pieces, quality, resample, token_store, url_filter,
+)
 from herald.llm._common import read, scratch_dir, tokenizer_file
 
 
@@ -65,11 +67,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(files, licence_file=license_scan.opens_with_licence()).withColumnRenamed("file_id", "doc_id")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of each page, by rules or by the reputation of its host."""
+    return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.outcomes_of_labels(read(spark, sf_dir, "labels")))
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of each document, with the benchmark's texts as the target."""
+    found = resample.importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("n_words")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_token_store, op3_chat_turns, op4_line_quality, op5_source_mix, op6_fingerprints, op7_quality_scores,
-        op8_line_dedup, op9_pieces, op10_license_scan
+        op8_line_dedup, op9_pieces, op10_license_scan, op11_url_filter, op12_importance_resample, op13_ranked_search,
     )
 }
 
@@ -78,4 +96,7 @@ SQL: dict[str, str] = {
     "op5_source_mix": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op10_license_scan": license_scan.sql(),
+    "op11_url_filter": url_filter.sql(),
+    "op12_importance_resample": resample.SQL,
+    "op13_ranked_search": lexical.SQL,
 }
