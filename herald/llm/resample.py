@@ -8,10 +8,11 @@ with the greatest sums of weight and Gumbel noise are a sample without
 replacement by importance.
 
 Texts are read twice, to count and to weigh. Each time a batch's n-grams are
-interned in an open-addressed NumPy table: keys are their xxhash64, places are
-found by linear probing of all keys at once, and bytes are compared before two
+interned in open-addressed NumPy tables: keys are xxhash64, places are found by
+linear probing of all keys at once, and contents are compared before two
 occurrences share a place. A place stores its bucket and its count, so CRC-32
-is taken once for each distinct n-gram of a chunk. Chunks hold about ``CHUNK``
+is worked out once for each distinct n-gram of a chunk, from those of its words.
+Chunks hold about ``CHUNK``
 bytes of text whatever the texts' lengths; a longer text is cut between words,
 with the words that its n-grams reach beyond the cut.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from herald.llm._common import materialize
 from herald.llm._scan import prefix_sums
 
 #: Bytes of words that are interned together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Longest run of words that is a feature.
 RUN = 3
 #: A-Z to lower case, nothing else.
@@ -42,6 +43,11 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Masks of the first 0 to 8 bytes of a little-endian number.
 _FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: The primes of xxhash64, and the reversed polynomial of CRC-32.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+_POLYNOMIAL = 0xEDB88320
+_SPACE = zlib.crc32(b" ")
 
 
 def plain_words(text: str) -> bytes:
@@ -49,57 +55,140 @@ def plain_words(text: str) -> bytes:
     return _BETWEEN.sub(b" ", text.encode("utf-8", "surrogatepass").translate(LOWER)).strip(b" ")
 
 
-class GramTable:
-    """Distinct byte runs of one buffer, by open addressing."""
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hash_rows(columns: list[np.ndarray]) -> np.ndarray:
+    """xxhash64 of rows of at most three 64-bit numbers, as little-endian bytes."""
+    h = np.full(len(columns[0]), _P5 + np.uint64(8 * len(columns)), np.uint64)
+    for c in columns:
+        h ^= _turned(c.astype(np.uint64) * _P2, 31) * _P1
+        h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _moves() -> list[np.ndarray]:
+    """For each i, what each of a CRC's four bytes becomes when 2**i zero bytes follow."""
+    one = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        one = np.where(one & 1, (one >> 1) ^ np.uint32(_POLYNOMIAL), one >> 1).astype(np.uint32)
+    out = [np.stack([one, *(np.arange(256, dtype=np.uint32) << np.uint32(8 * b) for b in range(3))])]
+    while len(out) < 40:
+        last = out[-1]
+        out.append(np.stack([_moved(last, row) for row in last]))
+    return out
+
+
+def _moved(move: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return move[0][crc & 255] ^ move[1][crc >> 8 & 255] ^ move[2][crc >> 16 & 255] ^ move[3][crc >> 24]
+
+
+_MOVES = _moves()
 
-    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray, buckets: int):
-        n = len(starts)
+
+def joined_crc(first: np.ndarray, then: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """CRC-32 of two byte strings, one after the other, from theirs and the second one's length."""
+    crc = first.copy()
+    for i in range(int(length.max(initial=0)).bit_length()):
+        some = np.flatnonzero(length >> i & 1)
+        crc[some] = _moved(_MOVES[i], crc[some])
+    return crc ^ then
+
+
+class OpenTable:
+    """An open-addressed table: the place of each occurrence, and an occurrence (or -1) at each place."""
+
+    def __init__(self, keys: np.ndarray, equal: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        n = len(keys)
         size = 1 << max(4, (2 * n).bit_length())
-        hashed = xxhash.xxh64_intdigest
-        keys = np.fromiter((hashed(data[i:j]) for i, j in zip(starts.tolist(), ends.tolist())), np.uint64, n)
-        # the eight bytes from each place on, as one number
-        padded = np.frombuffer(data + bytes(8), np.uint8)
-        eight = padded[: len(data)].astype(np.uint64)
-        for i in range(1, 8):
-            eight |= padded[i : len(data) + i].astype(np.uint64) << np.uint64(8 * i)
-        length, owner = ends - starts, np.full(size, -1, np.int64)
         at, open_ = (keys & np.uint64(size - 1)).astype(np.int64), np.arange(n)
-        self.slots = np.empty(n, np.int64)
+        self.slots, self.owner = np.empty(n, np.int64), np.full(size, -1, np.int64)
         while len(open_):
             here = at[open_]
-            free = owner[here] < 0
-            owner[here[free]] = open_[free]  # of several, one stays
-            other = owner[here]
-            same = (keys[other] == keys[open_]) & (length[other] == length[open_])
-            same[same] = self._equal(eight, starts[open_[same]], starts[other[same]], length[open_[same]])
+            free = self.owner[here] < 0
+            self.owner[here[free]] = open_[free]  # of several, one stays
+            other = self.owner[here]
+            same = keys[other] == keys[open_]
+            same[same] = equal(open_[same], other[same])
             self.slots[open_[same]] = here[same]
             open_ = open_[~same]
             at[open_] = (at[open_] + 1) & (size - 1)
-        used = np.flatnonzero(owner >= 0)
-        crc = zlib.crc32
-        first = owner[used]
-        self.bucket = np.zeros(size, np.int64)
-        self.bucket[used] = np.fromiter(
-            (crc(data[i:j]) % buckets for i, j in zip(starts[first].tolist(), ends[first].tolist())), np.int64, len(used))
-        self.count = np.bincount(self.slots, minlength=size)
-
-    @staticmethod
-    def _equal(eight: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Whether the bytes from ``a`` on and those from ``b`` on are the same."""
-        equal, open_, done = np.ones(len(a), bool), np.flatnonzero(a != b), 0
-        while len(open_):
-            mask = _FIRST[np.minimum(length[open_] - done, 8)]
-            ok = ((eight[a[open_] + done] ^ eight[b[open_] + done]) & mask) == 0
-            equal[open_[~ok]] = False
-            done += 8
-            open_ = open_[ok & (length[open_] > done)]
-        return equal
+        self.used = np.flatnonzero(self.owner >= 0)
+
+
+class GramTable:
+    """The distinct n-grams of a chunk: ``slots`` of the occurrences, ``bucket`` and ``count`` of the slots.
+
+    ``data`` has words at ``starts`` to ``ends``; ``piece`` tells which belong
+    together, ``counted`` at which n-grams begin that count. Words are keyed
+    by the hash of their bytes and compared byte by byte. A longer n-gram is
+    the row of its words' places, keyed by the hash of that row's bytes and
+    compared number by number, which is to compare its words' bytes. ``words``
+    tells at which word each occurrence begins.
+    """
+
+    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray, counted: np.ndarray, buckets: int):
+        # the eight bytes from each place on, as one number
+        padded = np.frombuffer(data + bytes(8), np.uint8)
+        eight = padded[: len(data)].astype(np.uint64)
+        for i in range(1, 8):
+            eight |= padded[i : len(data) + i].astype(np.uint64) << np.uint64(8 * i)
+        length = ends - starts
+
+        def equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            same = length[a] == length[b]
+            same[same] = _equal(eight, starts[a[same]], starts[b[same]], length[a[same]])
+            return same
+
+        spans, hashed = list(zip(starts.tolist(), ends.tolist())), xxhash.xxh64_intdigest
+        word = OpenTable(np.fromiter((hashed(data[i:j]) for i, j in spans), np.uint64, len(spans)), equal)
+        first, size = word.owner[word.used], len(word.owner)
+        alone, wide = np.zeros(size, np.uint32), np.zeros(size, np.int64)
+        alone[word.used] = np.fromiter((zlib.crc32(data[i:j]) for i, j in (spans[k] for k in first.tolist())), np.uint32, len(first))
+        wide[word.used] = length[first]
+        after = joined_crc(np.full(size, _SPACE, np.uint32), alone, wide)  # of a space and the word
+        wide += 1
+        slots, crcs, begins = [word.slots[counted]], [alone], [np.flatnonzero(counted)]
+        for n in range(2, RUN + 1):
+            k = len(starts) - n + 1
+            if k <= 0:
+                break
+            begin = np.flatnonzero(counted[:k] & (piece[:k] == piece[n - 1 :]))
+            columns = [word.slots[begin + j] for j in range(n)]
+            table = OpenTable(hash_rows(columns), lambda a, b, c=columns: np.logical_and.reduce([x[a] == x[b] for x in c]))
+            first = table.owner[table.used]
+            crc = alone[columns[0][first]]
+            for c in columns[1:]:
+                crc = joined_crc(crc, after[c[first]], wide[c[first]])
+            all_ = np.zeros(len(table.owner), np.uint32)
+            all_[table.used] = crc
+            slots.append(table.slots + sum(map(len, crcs)))
+            crcs.append(all_)
+            begins.append(begin)
+        self.slots, self.words = np.concatenate(slots), np.concatenate(begins)
+        self.bucket = (np.concatenate(crcs) % buckets).astype(np.int64)
+        self.count = np.bincount(self.slots, minlength=len(self.bucket))
 
     def bucket_counts(self, buckets: int) -> np.ndarray:
         """Occurrences of each bucket."""
         return np.bincount(self.bucket, weights=self.count, minlength=buckets).astype(np.int64)
 
 
+def _equal(eight: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` on and those from ``b`` on are the same."""
+    equal, open_, done = np.ones(len(a), bool), np.flatnonzero(a != b), 0
+    while len(open_):
+        mask = _FIRST[np.minimum(length[open_] - done, 8)]
+        ok = ((eight[a[open_] + done] ^ eight[b[open_] + done]) & mask) == 0
+        equal[open_[~ok]] = False
+        done += 8
+        open_ = open_[ok & (length[open_] > done)]
+    return equal
+
+
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, bytes, int]]:
     """(row, words, own): parts of each text's words, of which the n-grams that begin in the first ``own`` bytes count."""
     for row, text in enumerate(texts):
@@ -144,16 +233,8 @@ def tables(texts: list[str | None], buckets: int) -> Iterator[tuple[GramTable, n
         piece = np.searchsorted(begin, starts, "right") - 1
         counted = starts < own[piece]
         rows = np.array([p[0] for p in chunk], np.int64)[piece]
-        froms, tos, of = [], [], []
-        for n in range(RUN):
-            k = len(starts) - n
-            if k <= 0:
-                break
-            good = counted[:k] & (piece[:k] == piece[n:])
-            froms.append(starts[:k][good])
-            tos.append(ends[n:][good])
-            of.append(rows[:k][good])
-        yield GramTable(data, np.concatenate(froms), np.concatenate(tos), buckets), np.concatenate(of), rows[counted]
+        table = GramTable(data, starts, ends, piece, counted, buckets)
+        yield table, rows[table.words], rows[counted]
 
 
 def bucket_counts(docs: DataFrame, buckets: int = 10_000, text: str = "text") -> DataFrame:
@@ -194,9 +275,10 @@ def weights(docs: DataFrame, gains: np.ndarray, text: str = "text") -> DataFrame
         for batch in batches:
             words, features, weight = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for table, row, word_row in tables(batch.column(1).to_pylist(), buckets):
-                np.add.at(words, word_row, 1)
-                np.add.at(features, row, 1)
-                np.add.at(weight, row, gains[table.bucket][table.slots])
+                words += np.bincount(word_row, minlength=batch.num_rows)
+                features += np.bincount(row, minlength=batch.num_rows)
+                # sums of whole numbers below 2**53 are exact
+                weight += np.bincount(row, weights=gains[table.bucket][table.slots], minlength=batch.num_rows).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *map(pa.array, (words, features, weight))], names=["doc_id", "n_words", "n_features", "weight"])
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 from herald.llm import lexical, resample, url_filter
 
@@ -164,19 +165,31 @@ def test_resample_edges(spark):
 
 
 def test_table_verifies_bytes(monkeypatch):
-    """Keys that all clash still give one place for each distinct run."""
+    """Keys that all clash still give one place for each distinct n-gram."""
     random.seed(1)
-    runs = [random.choice(["aa", "ab", "b" * 8, "b" * 9, "c" * 17 + random.choice("xy"), "d"]).encode() for _ in range(500)]
-    data = b" ".join(runs)
+    runs = [random.choice(["aa", "ab", "b" * 8, "b" * 9, "c" * 17 + random.choice("xy"), "d", "e" * 300]).encode() for _ in range(300)]
     ends = np.cumsum([len(r) + 1 for r in runs]) - 1
     starts = ends - [len(r) for r in runs]
-    for hashed in (lambda b: 7, lambda b: len(b), __import__("xxhash").xxh64_intdigest):
+    grams = [b" ".join(runs[i : i + n]) for n in (1, 2, 3) for i in range(len(runs) - n + 1)]
+    for hashed, rows in ((lambda b: 7, lambda c: np.zeros(len(c[0]), np.uint64)), (lambda b: len(b), lambda c: c[0].astype(np.uint64)), (xxhash.xxh64_intdigest, resample.hash_rows)):
         monkeypatch.setattr(resample.xxhash, "xxh64_intdigest", hashed)
-        table = resample.GramTable(data, starts, ends, 10_000)
-        places = {(r, s) for r, s in zip(runs, table.slots.tolist())}
-        assert len(places) == len(set(runs)) == len({s for _, s in places})
-        assert {r: int(table.count[s]) for r, s in places} == Counter(runs)
-        assert all(table.bucket[s] == zlib.crc32(r) % 10_000 for r, s in places)
+        monkeypatch.setattr(resample, "hash_rows", rows)
+        table = resample.GramTable(b" ".join(runs), starts, ends, np.zeros(len(runs), int), np.ones(len(runs), bool), 10_000)
+        places = {(g, s) for g, s in zip(grams, table.slots.tolist())}
+        assert len(places) == len(set(grams)) == len({s for _, s in places})
+        assert {g: int(table.count[s]) for g, s in places} == Counter(grams)
+        assert all(table.bucket[s] == zlib.crc32(g) % 10_000 for g, s in places)
+
+
+def test_hashes_and_crc():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3):
+        rows = rng.integers(0, 1 << 40, (50, n))
+        want = [xxhash.xxh64_intdigest(r.astype("<i8").tobytes()) for r in rows]
+        assert resample.hash_rows(list(rows.T)).tolist() == want
+    a, b = [rng.bytes(n) for n in rng.integers(0, 3000, 40)], [rng.bytes(n) for n in rng.integers(0, 3000, 40)]
+    crc = lambda xs: np.array([zlib.crc32(x) for x in xs], np.uint32)
+    assert resample.joined_crc(crc(a), crc(b), np.array([len(x) for x in b])).tolist() == [zlib.crc32(x + y) for x, y in zip(a, b)]
 
 
 def test_chunks_lose_nothing(monkeypatch):
