@@ -149,19 +149,16 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int | None, vector_i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.array(batch.column("embedding").to_pylist(), np.float64)
             own = batch.column(vector_id).to_numpy()
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
             for sent in blocks:
                 ids, q = sent.value
                 s = np.round(q @ x.T, 9)
-                n = len(own) if k is None else min(k, len(own))
-                # of equal scores the least id: a stable sort of columns that are ordered by id
-                by_id = np.argsort(own, kind="stable")
-                best = by_id[np.argsort(-s[:, by_id], axis=1, kind="stable")[:, :n]]
+                # all that equal the k-th of the batch, or are above: which of them stay is decided by id in the end
+                all_ = k is None or len(own) <= k
+                row, column = np.nonzero(s >= (-np.inf if all_ else -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(own[best.ravel()]), pa.array(np.take_along_axis(s, best, axis=1).ravel())],
-                    names=["query_id", vector_id, "score"]
-                )
+                    [pa.array(ids[row]), pa.array(own[column]), pa.array(s[row, column])], names=["query_id", vector_id, "score"])
 
     found = vectors.select(F.col(vector_id).cast("long").alias(vector_id), "embedding").filter("embedding is not null")
     return top_k(found.mapInArrow(near, f"query_id long, {vector_id} long, score double"), k, vector_id)
@@ -214,19 +211,6 @@ def vector_check(vectors: DataFrame, known: DataFrame, vector_id: str, size: int
     ).crossJoin(orphan)
 
 
-def current_evidence(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, notice_id, version_id, rank): the identities that a search of current versions lists, best first.
-
-    ``lexical`` and ``dense`` are full ranked lists of (query_id, chunk_id,
-    rank); they are fused over the chunks of latest versions by their ranks
-    among all chunks, the ``k`` best are kept, and the first of each identity
-    counts. ``chunks``: chunk_id, notice_id, version_id, is_latest.
-    """
-    fused = rrf_current([lexical, dense], chunks.filter("is_latest"), k, "chunk_id")
-    named = fused.join(chunks.select("chunk_id", "notice_id", "version_id"), "chunk_id")
-    return collapse_identity(named, ["notice_id", "version_id"]).select("query_id", "notice_id", "version_id", "rank")
-
-
 def _candidates(n: DataFrame, q: DataFrame) -> DataFrame:
     """(query_id, notice_id) of notices that share a word with the query or could hold one of its phrases, by joins on words.
 

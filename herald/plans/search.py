@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herald.functions.text import tokens
+from herald.operators import fusion, impact_index, metric_index
 from herald.operators import retrieval as R
 from herald.plans.tables import table
 
@@ -38,6 +39,13 @@ def bm25plus(spark, sf_dir):
     ).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_indexed(spark, sf_dir):
+    """The same by an index of impacts, which is written once and searched by block maxima."""
+    index = impact_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = impact_index.search(index, _queries(spark, sf_dir), _K)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _dense(spark, sf_dir, k):
     e = table(spark, sf_dir, "embeddings").select("vec_id", R.normalise("embedding").alias("embedding"))
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -69,12 +77,48 @@ def rank_fusion(spark, sf_dir):
     )
 
 
+def _same_label(e):
+    """The ranking of the vectors of a query's own label by id, the others left out; queries have ``own``."""
+    known = e.select(F.col("vec_id").alias("doc"), "label")
+
+    def best(queries, d):
+        rows = known.join(queries.select("query_id", "own"), F.col("label") == F.col("own"))
+        return R.top_k(rows.select("query_id", "doc", (-F.col("doc")).cast("double").alias("score")), d, "doc")
+
+    def places(queries, pairs):
+        own = pairs.join(queries.select("query_id", "own"), "query_id").join(known, "doc").filter("label = own").drop("label")
+        before = known.select(F.col("doc").alias("other"), "label")
+        rows = own.join(before, (F.col("label") == F.col("own")) & (F.col("other") < F.col("doc")), "left")
+        return rows.groupBy("query_id", "doc").agg((F.count("other") + 1).alias("rank"))
+
+    return fusion.Ranking(best, places)
+
+
 def rank_fusion_current(spark, sf_dir):
-    current = table(spark, sf_dir, "embeddings").filter("vec_id % 3 != 0").select("vec_id")
-    lists = [_dense(spark, sf_dir, None), _by_label(spark, sf_dir, None)]
-    return R.rrf_current(lists, current, _K, "vec_id").select(
-        "query_id", "vec_id", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank")
-    )
+    """Fusion over two thirds of the vectors by their ranks among all."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", R.normalise("embedding").alias("embedding"), "label")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("own"))
+    index = metric_index.build(e)
+    current = e.filter("vec_id % 3 != 0").select(F.col("vec_id").alias("doc"))
+    found = fusion.fuse_current([fusion.dense(index), _same_label(e)], q, current, _K, int(index.size.sum()))
+    return found.select(
+        "query_id", F.col("doc").alias("vec_id"), F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def dense_indexed(spark, sf_dir):
+    """The same nearest vectors by an index of groups."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", R.normalise("embedding").alias("embedding"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return metric_index.search(metric_index.build(e), q, _K).select(
+        "query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def dense_places(spark, sf_dir):
+    """Where each query's own label's least vectors stand in its list of all vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", R.normalise("embedding").alias("embedding"), "label")
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("own"))
+    first = _same_label(e).best(q, 3).select("query_id", F.col("doc").alias("vec_id"))
+    return metric_index.places(metric_index.build(e), q, first)
 
 
 def collapse_identity(spark, sf_dir):
@@ -110,7 +154,8 @@ def lexical_rank(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        chunk_documents, tokenize, bm25plus, dense_topk, rank_fusion, rank_fusion_current, collapse_identity, vector_check, lexical_rank
+        chunk_documents, tokenize, bm25plus, bm25_indexed, dense_topk, dense_indexed, dense_places, rank_fusion, rank_fusion_current,
+        collapse_identity, vector_check, lexical_rank,
     )
 }
 
@@ -175,3 +220,5 @@ s AS (
 SELECT query_id, notice_id, score, reasons, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, notice_id) AS rank FROM s WHERE score >= 40 QUALIFY rank <= 10""",
     "vector_check": "SELECT count(*) AS vectors, count(*) FILTER (WHERE vec_id % 19 = 0) AS wrong_size, count(*) FILTER (WHERE vec_id % 17 = 0 AND vec_id % 19 <> 0) AS not_finite, count(*) FILTER (WHERE vec_id % 10 = 3) AS orphans FROM embeddings",
 }
+SQL["bm25_indexed"], SQL["dense_indexed"] = SQL["bm25plus"], SQL["dense_topk"]
+SQL["dense_places"] = _DENSE + "SELECT query_id, vec_id, d.rank FROM d JOIN l USING (query_id, vec_id) WHERE l.rank <= 3"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from herald.operators import claims as C
+from herald.operators import fusion, impact_index, metric_index
 from herald.operators import retrieval as R
 from herald.operators import verify as V
 from herald.plans.tables import table
+from herald.sources.scratch import written
 
 _KINDS = ("register", "submit", "pay")
 _VERBS = ("Sinh viên đăng ký học phần", "Sinh viên nộp đơn xin xác nhận", "Sinh viên đóng học phí")
@@ -52,10 +54,10 @@ def _obligations(notices):
     )
 
 
-def _messages(notices):
-    """A message for every fiftieth notice, by (id / 50) modulo 8: as it is, another day, no reviewed obligation, two of them,
-    a second claim without fields, no evidence, an amended notice, another action."""
-    n = notices.filter("notice_id % 50 = 0 and version_id = 2")
+def _messages(notices, step):
+    """A message for each notice whose id ``step`` divides, by (id / 50) modulo 8: as it is, another day, no reviewed obligation,
+    two of them, a second claim without fields, no evidence, an amended notice, another action."""
+    n = notices.filter((F.col("notice_id") % step == 0) & (F.col("version_id") == 2))
     way, number = F.col("way"), F.col("notice_id").cast("string")
     day = F.date_format(F.date_add("due", F.when(way == 1, 4).when(way == 3, 50).otherwise(0)), "dd/MM/yyyy")
     kind = (F.col("notice_id") + F.when(way == 7, 1).otherwise(0)) % 3
@@ -64,25 +66,23 @@ def _messages(notices):
     return n.select(F.col("notice_id").alias("message_id"), text.alias("text"), F.when(way != 5, F.col("embedding")).alias("vector"))
 
 
-def _found(spark, sf_dir):
+def _found(spark, sf_dir, step=50):
     """Claims, notices and the first identity that the search finds for each claim with a field."""
-    n = _notices(spark, sf_dir)
-    m = _messages(n)
-    claims = C.extract_claims(m)
+    n = written(_notices(spark, sf_dir), "notices")
+    m = _messages(n, step)
+    claims = written(C.extract_claims(m), "claims")
     asked = claims.filter("coalesce(action.text, deadline.text, amount.text) is not null").select(
         (F.col("message_id") * 10 + F.col("claim_ix")).alias("query_id"), "message_id", "claim_ix", "text"
     )
-    lexical = R.bm25plus(n.select("chunk_id", "text"), asked.select("query_id", "text"), None, "chunk_id", every=True)
-    dense = R.dense_search(
-        n.select("chunk_id", "embedding"), asked.join(m.select("message_id", "vector"), "message_id").select("query_id", "vector"), None,
-        "chunk_id"
-    )
-    first = R.current_evidence(lexical, dense, n).filter("rank = 1")
+    index = impact_index.build(n.select("chunk_id", "text"), "chunk_id")
+    vectors = metric_index.build(n.select("chunk_id", "embedding"), "chunk_id")
+    queries = written(asked.join(m.select("message_id", "vector"), "message_id").select("query_id", "text", "vector"), "queries")
+    first = fusion.current_evidence([fusion.lexical(index), fusion.dense(vectors)], queries, n, index.docs, 1)
     return n, claims, asked.join(first, "query_id").select("message_id", "claim_ix", "notice_id", "version_id")
 
 
-def _judged(spark, sf_dir):
-    n, claims, evidence = _found(spark, sf_dir)
+def _judged(spark, sf_dir, step=50):
+    n, claims, evidence = _found(spark, sf_dir, step)
     relations = n.filter("way = 6 and version_id = 2").select(
         F.col("notice_id").alias("relation_id"), F.col("notice_id").alias("target_notice_id"),
         F.lit(None).cast("long").alias("target_version_id"), F.lit("amends").alias("relation_type"), F.lit("manual").alias("provenance")
@@ -108,7 +108,12 @@ def searched_messages(spark, sf_dir):
     return V.message_verdicts(_judged(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (searched_evidence, searched_verdicts, searched_messages)}
+def searched_every_notice(spark, sf_dir):
+    """The same with a message about every notice."""
+    return V.message_verdicts(_judged(spark, sf_dir, 1))
+
+
+QUERIES = {f.__name__: f for f in (searched_evidence, searched_verdicts, searched_messages, searched_every_notice)}
 
 _TOK = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{M}_]+'), lambda x: x <> '')"
 _VERB = "CASE {} % 3 WHEN 0 THEN 'Sinh viên đăng ký học phần' WHEN 1 THEN 'Sinh viên nộp đơn xin xác nhận' ELSE 'Sinh viên đóng học phí' END"
@@ -163,3 +168,4 @@ SQL = {
 SELECT message_id, count(*) AS n_claims, CASE WHEN bool_or(verdict = 'CONFLICT') THEN 'CONFLICT' WHEN bool_and(verdict = 'VERIFIED') THEN 'VERIFIED'
   WHEN bool_or(verdict IN ('VERIFIED', 'PARTIALLY_VERIFIED')) THEN 'PARTIALLY_VERIFIED' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict FROM s GROUP BY 1""",
 }
+SQL["searched_every_notice"] = SQL["searched_messages"].replace("WHERE v % 50 = 0", "")
