@@ -56,7 +56,7 @@ def postings(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ends, terms, tfs = np.zeros(batch.num_rows, np.int64), [0], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(x.as_py() for x in batch.column(1)):
                 counts = Counter(m[0] for m in _TERM.finditer((text or "").encode("utf-8", "surrogatepass").translate(LOWER)))
                 n[i] = counts.total()
                 for word, tf in counts.items():

@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -189,7 +189,7 @@ def _equal(eight: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray)
     return equal
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[int, bytes, int]]:
+def _pieces(texts: Iterable[str | None]) -> Iterator[tuple[int, bytes, int]]:
     """(row, words, own): parts of each text's words, of which the n-grams that begin in the first ``own`` bytes count."""
     for row, text in enumerate(texts):
         data = plain_words(text) if text else b""
@@ -209,7 +209,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, bytes, int]]:
             at = cut + 1
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[tuple[int, bytes, int]]]:
+def _chunks(texts: Iterable[str | None]) -> Iterator[list[tuple[int, bytes, int]]]:
     chunk, size = [], 0
     for piece in _pieces(texts):
         if chunk and size + len(piece[1]) > CHUNK:
@@ -221,7 +221,7 @@ def _chunks(texts: list[str | None]) -> Iterator[list[tuple[int, bytes, int]]]:
         yield chunk
 
 
-def tables(texts: list[str | None], buckets: int) -> Iterator[tuple[GramTable, np.ndarray, np.ndarray]]:
+def tables(texts: Iterable[str | None], buckets: int) -> Iterator[tuple[GramTable, np.ndarray, np.ndarray]]:
     """For each chunk of the texts its table, the row of each occurrence, and the rows of its words."""
     for chunk in _chunks(texts):
         data = b" ".join(p[1] for p in chunk)
@@ -247,7 +247,7 @@ def bucket_counts(docs: DataFrame, buckets: int = 10_000, text: str = "text") ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for table, _, _ in tables(batch.column(0).to_pylist(), buckets):
+            for table, _, _ in tables((x.as_py() for x in batch.column(0)), buckets):
                 total += table.bucket_counts(buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
@@ -274,7 +274,7 @@ def weights(docs: DataFrame, gains: np.ndarray, text: str = "text") -> DataFrame
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, features, weight = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            for table, row, word_row in tables(batch.column(1).to_pylist(), buckets):
+            for table, row, word_row in tables((x.as_py() for x in batch.column(1)), buckets):
                 words += np.bincount(word_row, minlength=batch.num_rows)
                 features += np.bincount(row, minlength=batch.num_rows)
                 # sums of whole numbers below 2**53 are exact
