@@ -1,18 +1,27 @@
 """Line dedup: lines spread over many sites are boilerplate, by HyperLogLog sketches of the sites of each line.
 
 A line is a ``\\n``-separated piece of a text, trimmed of spaces. Its spread is
-the number of distinct sites that have it. A table of line hashes and sites is
-written once; a plain count, with a row for each line a task has seen, however
-common, leaves the lines that occur often enough. Their sketches of sites merge
-in an aggregation, and where the estimate lies near the threshold, an exact
-distinct count decides. Lines of few words are found on many sites by chance,
-so they need more of them.
+the number of distinct sites that have it. Occurrences are counted by line and
+site before anything else, so however common a line is, later steps have a row
+of it for each site. A plain count leaves the lines that occur often enough and
+on several sites; their sketches of sites merge in an aggregation, and where the
+estimate lies near the threshold, an exact distinct count decides. Lines of few
+words are found on many sites by chance, so they need more of them.
 
 A copy on many sites consists of spread lines without being boilerplate, and
-document dedup has to treat it. A document keeps its lines if they hold more
-than half of its words and it is shown to be a copy: another row has the same
-text, or at least half of its pairs of successive spread lines are found,
-adjacent in that order, in another such text.
+document dedup has to treat it. So a document keeps its lines if they hold more
+than half of its words and it is shown to be a copy as a whole: its text stands
+on as many sites as make a line spread, or
+
+* its spread lines stand together elsewhere: another row has the same text, or
+  at least half of its pairs of successive spread lines are found, adjacent in
+  that order, in another such text;
+* and so does the rest: the words of its other lines are a ninth at most (two
+  texts that share the others reach a similarity of 0.8), or at least half of
+  the runs of three words in these lines are found in another such text.
+
+Pages of one template share their menu, but not what is their own, and lose the
+menu.
 """
 
 from __future__ import annotations
@@ -20,10 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from herald.llm._common import materialize, n_words, text_key, text_of
+from herald.llm._common import materialize, n_words, text_key, text_of, words
 
 #: Relative distance from the threshold within which an estimate is not trusted: above five standard errors of a sketch of 2**12 registers.
 NEAR = 0.1
+#: Words of which texts may differ, to those they share, if they reach a similarity of 0.8: one in this many of all.
+NINTH = 9
+#: Words of a run that two edited lines share.
+RUN = 3
 
 
 def _lines(text: Column) -> Column:
@@ -31,7 +44,7 @@ def _lines(text: Column) -> Column:
 
 
 def _trimmed(text: Column) -> Column:
-    return F.transform(_lines(text), F.trim)
+    return F.transform(_lines(text), lambda x: F.trim(x))  # a bare F.trim would take the index as what to trim
 
 
 def spread_lines(
@@ -44,22 +57,23 @@ def spread_lines(
     """
     line = docs.select(F.col(site).cast("string").alias("site"), F.explode(_trimmed(text_of("text"))).alias("line"))
     line = line.filter("site is not null and line != ''")
-    rows = materialize(line.select(*text_key(F.col("line")), F.xxhash64("site").alias("site"), n_words(F.col("line")).alias("words")))
+    rows = line.select(*text_key(F.col("line")), F.xxhash64("site").alias("site"), n_words(F.col("line")).alias("words"))
+    pairs = materialize(rows.groupBy("k1", "k2", "site").agg(F.count("*").alias("n"), F.max("words").alias("words")))
     need = F.when(F.col("words") >= min_words, F.lit(sites)).otherwise(F.lit(short_sites))
-    seen = rows.groupBy("k1", "k2").agg(
-        F.count("*").alias("n"), F.max("words").alias("words"), (F.min("site") != F.max("site")).alias("several")).withColumn("need", need)
+    seen = pairs.groupBy("k1", "k2").agg(
+        F.sum("n").alias("n"), F.max("words").alias("words"), (F.min("site") != F.max("site")).alias("several")).withColumn("need", need)
     # a line of too few occurrences, or of one site, needs no sketch
     able = materialize(seen.filter((F.col("n") >= F.col("need")) & (F.col("several") | (F.col("need") < 2))).select("k1", "k2", "words", "need"))
-    of = rows.select("k1", "k2", "site").join(able, ["k1", "k2"])
+    of = pairs.select("k1", "k2", "site").join(able, ["k1", "k2"])
     sketched = of.groupBy("k1", "k2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"), *[F.max(c).alias(c) for c in ("words", "need")])
     return _decide(of, materialize(sketched))
 
 
-def _decide(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+def _decide(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     sure = sketched.filter(F.col("estimate") > F.col("need") * (1 + NEAR)).select("k1", "k2", "words")
     near = F.col("estimate").between(F.col("need") * (1 - NEAR) - 1, F.col("need") * (1 + NEAR))
-    exact = rows.join(sketched.filter(near).select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
+    exact = pairs.join(sketched.filter(near).select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(
         F.count_distinct("site").alias("s"), *[F.max(c).alias(c) for c in ("words", "need")])
     return sure.unionByName(exact.filter("s >= need").select("k1", "k2", "words"))
 
@@ -70,10 +84,10 @@ def mark_lines(
     """For each distinct text with boilerplate lines: its key (t1, t2), the positions ``drop`` of these from 0, and ``words`` in them.
 
     Texts that are shown to be copies are left out: of their words spread
-    lines hold more than ``most``, and they have a twin or share that order.
+    lines hold more than ``most``, and both these and the rest are shared.
     """
     spread = materialize(spread_lines(docs, site, sites, min_words, short_sites))
-    texts = docs.select(text_of("text").alias("text"))
+    texts = docs.select(text_of("text").alias("text"), F.xxhash64(F.col(site).cast("string")).alias("site"), F.isnull(site).alias("nowhere"))
     rows = texts.select(
         *[c.alias(a) for c, a in zip(text_key(F.col("text")), ("t1", "t2"))], n_words(F.col("text")).alias("all_words"),
         F.posexplode(_trimmed(F.col("text"))).alias("at", "line")
@@ -87,19 +101,52 @@ def mark_lines(
     )
     of = materialize(of)
     return of.join(
-        _copies(of.filter(F.col("words") > most * F.col("all_words"))), ["t1", "t2"], "left_anti"
+        _copies(texts, materialize(of.filter(F.col("words") > most * F.col("all_words"))), sites), ["t1", "t2"], "left_anti"
     ).select("t1", "t2", F.col("found.at").alias("drop"), "words")
 
 
-def _copies(mostly: DataFrame) -> DataFrame:
-    """Keys of those texts that have a twin, or of whose pairs of successive spread lines half stand in others of these texts too."""
+def _copies(texts: DataFrame, mostly: DataFrame, sites: int) -> DataFrame:
+    """Keys of those texts, of spread lines mostly, that others repeat as a whole."""
     after = F.zip_with(
         "found", F.slice("found", F.lit(2), F.size("found")), lambda a, b: F.struct(a["k1"].alias("first"), b["k1"].alias("then"))
     )
-    pair = mostly.select("t1", "t2", F.explode(F.array_distinct(F.filter(after, lambda p: p["then"].isNotNull()))).alias("pair"))
-    shared = pair.groupBy("pair").agg((F.count("*") > 1).cast("long").alias("shared"))
-    known = pair.join(shared, "pair").groupBy("t1", "t2").agg(F.avg("shared").alias("share")).filter("share >= 0.5")
-    return mostly.filter("twins > 1").select("t1", "t2").unionByName(known.select("t1", "t2"))
+    pair = mostly.select("t1", "t2", F.explode(F.array_distinct(F.filter(after, lambda p: p["then"].isNotNull()))).alias("x"))
+    together = mostly.filter("twins > 1").select("t1", "t2").unionByName(_shared(pair))
+    t1, t2 = text_key(F.col("text"))
+    edited = mostly.filter(NINTH * F.col("words") < (NINTH - 1) * F.col("all_words")).select("t1", "t2", F.lit(True).alias("edited"))
+    known = mostly.select("t1", "t2", F.col("found.at").alias("at")).join(edited, ["t1", "t2"], "left")
+    known = known.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "at", F.coalesce("edited", F.lit(False)).alias("edited"))
+    there = texts.withColumns({"t1": t1, "t2": t2}).join(known, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
+    line = F.transform(_lines(F.col("text")), lambda x, i: F.struct(
+        _runs(x).alias("runs"), (F.col("edited") & ~F.array_contains(F.col("at"), i)).alias("own")))
+    own, spread = (F.flatten(F.transform(F.filter("line", f), lambda x: x["runs"])) for f in (lambda x: x["own"], lambda x: ~x["own"]))
+    run = there.select("t1", "t2", line.alias("line")).select("t1", "t2", F.explode(F.concat(
+        F.transform(F.array_distinct(own), lambda x: F.struct(x.alias("x"), F.lit(True).alias("own"))),
+        F.transform(F.array_distinct(spread), lambda x: F.struct(x.alias("x"), F.lit(False).alias("own"))))).alias("r"))
+    run = run.groupBy("t1", "t2", F.col("r.x").alias("x")).agg(F.max("r.own").alias("own"))
+    rest = mostly.filter(NINTH * F.col("words") >= (NINTH - 1) * F.col("all_words")).select("t1", "t2").unionByName(_shared(run, F.col("own")))
+    on = texts.filter("not nowhere").select(t1.alias("t1"), t2.alias("t2"), "site").distinct()
+    everywhere = on.groupBy("t1", "t2").agg(F.count("*").alias("s")).filter(F.col("s") >= sites).select("t1", "t2")
+    return together.join(rest, ["t1", "t2"], "left_semi").unionByName(everywhere).distinct()
+
+
+def _runs(line: Column) -> Column:
+    """Hashes of the runs of words of a line."""
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) >= RUN, F.sequence(F.lit(1), F.size(w) - RUN + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, RUN)))
+
+    return F.get(F.transform(F.array(words(line)), of), F.lit(0))
+
+
+def _shared(rows: DataFrame, counted: Column | None = None) -> DataFrame:
+    """Keys of those texts of whose parts ``x``, or those that are counted, at least half are found in another text too.
+
+    A text has a row for each part.
+    """
+    shared = rows.groupBy("x").agg((F.count("*") > 1).cast("long").alias("shared"))
+    asked = rows if counted is None else rows.filter(counted)
+    return asked.join(shared, "x").groupBy("t1", "t2").agg(F.avg("shared").alias("share")).filter("share >= 0.5").select("t1", "t2")
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
@@ -158,7 +205,16 @@ h AS (SELECT line, following, count(*) > 1 AS shared FROM g GROUP BY 1, 2),
 c AS (
   SELECT text FROM g JOIN h USING (line, following) GROUP BY text HAVING avg(CASE WHEN shared THEN 1 ELSE 0 END) >= 0.5
   UNION SELECT text FROM o WHERE text IN (SELECT text FROM twin)),
-e AS (SELECT d.*, NOT (w > 0.5 * all_words AND text IN (SELECT text FROM c)) AS cut FROM d),
+ow AS (SELECT m.text, m.hit, regexp_extract_all(m.line, '[^\x20\x09-\x0D]+') AS w FROM m JOIN o USING (doc_id)),
+ru AS (SELECT text, hit, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS run FROM ow),
+r AS (SELECT text, run, bool_or(NOT hit) AS own FROM ru GROUP BY 1, 2),
+rs AS (SELECT run, count(*) > 1 AS shared FROM r GROUP BY 1),
+own AS (
+  SELECT text FROM r JOIN rs USING (run) WHERE own GROUP BY text HAVING avg(CASE WHEN shared THEN 1 ELSE 0 END) >= 0.5
+  UNION SELECT d.text FROM d JOIN o USING (doc_id) WHERE 9 * d.w >= 8 * d.all_words),
+every AS (SELECT text FROM x WHERE source IS NOT NULL GROUP BY text HAVING count(DISTINCT source) >= 5),
+e AS (
+  SELECT d.*, NOT (w > 0.5 * all_words AND (text IN (SELECT text FROM c) AND text IN (SELECT text FROM own) OR text IN (SELECT text FROM every))) AS cut FROM d),
 k AS (
   SELECT m.doc_id, string_agg(m.raw, chr(10) ORDER BY m.at) FILTER (WHERE NOT (m.hit AND e.cut)) AS text,
          count(*) FILTER (WHERE m.line != '' AND m.hit AND e.cut) AS n_dropped

@@ -34,7 +34,7 @@ def without_lines(rows):
         for x in (t or "").split("\n"):
             sites[x.strip(" ")].add(s)
     spread = {x for x, s in sites.items() if x and len(s) >= (5 if len(x.split()) >= 3 else 25)}
-    texts = [t for _, t, _ in rows]
+    texts = [(t, s) for _, t, s in rows]
     return [(i, without_spread_lines(t, spread, texts), s) for i, t, s in rows]
 
 

@@ -24,24 +24,46 @@ def classes_of(rows):
     return {i: find(i) for i, _ in rows}
 
 
-def without_spread_lines(text, spread, texts, most=0.5):
-    """The text that line dedup leaves: copies among ``texts`` keep their lines."""
+def without_spread_lines(text, spread, rows, sites=5):
+    """The text that line dedup leaves of one of ``rows`` (text, site): of those that are spread lines mostly, copies keep them."""
+    texts = [t for t, _ in rows]
 
-    def found(t):
-        return [x.strip(" ") for x in (t or "").split("\n") if x.strip(" ") in spread]
+    def split(t):
+        lines = [x.strip(" ") for x in (t or "").split("\n") if x.strip(" ")]
+        return [x for x in lines if x in spread], [x for x in lines if x not in spread]
+
+    def size(lines):
+        return sum(len(x.split()) for x in lines)
 
     def mostly(t):
-        return sum(len(x.split()) for x in found(t)) > most * len((t or "").split())
+        menu, own = split(t)
+        return size(menu) > size(own)
+
+    def order(t):
+        menu = split(t)[0]
+        return set(zip(menu, menu[1:]))
+
+    def runs(lines):
+        return {tuple(w[i : i + 3]) for w in (x.split() for x in lines) for i in range(len(w) - 2)}
+
+    def own_runs(t):
+        return runs(split(t)[1])
 
-    def pairs(t):
-        return set(zip(found(t), found(t)[1:]))
+    def all_runs(t):
+        return runs(sum(split(t), []))
 
-    if text is None or not found(text):
+    def half(of, t, of_others=None):
+        mine = of(t)
+        there = set().union(*[(of_others or of)(o) for o in set(texts) if o and o != t and mostly(o)])
+        return bool(mine) and 2 * len(mine & there) >= len(mine)
+
+    if text is None or not split(text)[0]:
+        return text
+    menu, own = split(text)
+    if mostly(text) and len({s for t, s in rows if t == text and s is not None}) >= sites:
+        return text
+    if mostly(text) and (texts.count(text) > 1 or half(order, text)) and (size(menu) >= 8 * size(own) or half(own_runs, text, all_runs)):
         return text
-    if mostly(text):
-        others = set().union(*[pairs(t) for t in {t for t in texts if t} if t != text and mostly(t)])
-        if texts.count(text) > 1 or (pairs(text) and len(pairs(text) & others) >= 0.5 * len(pairs(text))):
-            return text
     return "\n".join(x for x in text.split("\n") if x.strip(" ") not in spread)
 
 
