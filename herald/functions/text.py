@@ -148,10 +148,14 @@ def dates_in(c: str | Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(dmy, iso)))
 
 
+#: Ends of lines (fixed values).
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+
+
 def segments(c: str | Column) -> Column:
-    """Distinct trimmed lines and sentences of a text, in order."""
+    """Distinct trimmed lines and sentences of a text, in order: the lines first, then the sentences, which may go over lines."""
     text = F.coalesce(col(c), F.lit(""))
-    parts = F.concat(F.split(text, "\n"), F.split(text, r"(?<=[.!?;])\s+|\n"))
+    parts = F.concat(F.split(text, LINE_END), F.split(text, r"(?U)(?<=[.;!?])\s+"))
     return F.filter(F.array_distinct(F.transform(parts, trim_space)), lambda x: x != F.lit(""))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herald.functions.text import fold_key, norm_text
+from herald.sources.scratch import written
 
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -148,51 +149,165 @@ def atom_prf(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return c.select("*", prf(F.col("tp"), F.col("fp"), F.col("fn")).alias("s")).select("field", "tp", "fp", "fn", "s.*")
 
 
-def value_metrics(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row: expected values found among the predicted of their notice, and predicted values that were expected."""
-    key = ["notice_id", "value"]
-    found = expected.join(predicted.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("found"))
-    right = predicted.join(expected.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("right"))
-    n = expected.agg(F.count("*").alias("expected")).crossJoin(
-        predicted.agg(F.count("*").alias("predicted"))
-    ).crossJoin(found).crossJoin(right)  # one row each
-    return n.withColumns(
-        {"recall": ratio(F.col("found"), F.col("expected"), 0.0), "precision": ratio(F.col("right"), F.col("predicted"), 0.0)}
-    )
+def value_metrics(expected: DataFrame, predicted: DataFrame, key: str = "record_id") -> DataFrame:
+    """(field, status, support_n, matched_n, predicted_value_n, precision, recall, f1) of values by field.
+
+    ``expected``: key, field, value, one row a record and field, of null value
+    where nothing is expected. ``predicted``: key, field, value, any number of
+    rows, repeated ones too. An expected value is matched if it is among the
+    record's predicted ones; precision is to all predicted values of the field.
+    A field without expected values is not measured, and its figures are null.
+    """
+    given = predicted.filter("value is not null").groupBy(key, "field").agg(
+        F.count("*").alias("n"), F.collect_set("value").alias("values"))
+    j = expected.join(given, [key, "field"], "left")
+    counts = j.groupBy("field").agg(
+        F.count("value").alias("support_n"), F.count_if(F.array_contains("values", F.col("value"))).alias("matched_n"),
+        F.sum(F.coalesce("n", F.lit(0))).alias("predicted_value_n"))
+    measured = F.col("support_n") > 0
+    precision, recall = ratio(F.col("matched_n"), F.col("predicted_value_n")), ratio(F.col("matched_n"), F.col("support_n"))
+    f1 = F.when((precision > 0) & (recall > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    only = lambda c: F.when(measured, c)
+    return counts.select(
+        "field", F.when(measured, "MEASURED").otherwise("NOT_YET_MEASURED").alias("status"), "support_n", only(F.col("matched_n")).alias("matched_n"),
+        only(F.col("predicted_value_n")).alias("predicted_value_n"), only(precision).alias("precision"), only(recall).alias("recall"), only(f1).alias("f1"))
+
+
+def running(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows before, in a total order.
+
+    Rows are dealt to ranges, each summed by itself, and the ranges' totals are
+    summed in turn: no task gets more than a range.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("__p").agg(F.sum(value).alias("__t"))
+    base = totals.select("__p", F.coalesce(F.sum("__t").over(
+        Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # a row for each range
+    own = F.sum(value).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.withColumn("__o", F.coalesce(own, F.lit(0))).join(base, "__p").withColumn(name, F.col("__b") + F.col("__o")).drop("__p", "__o", "__b")
 
 
 def align_claims(gold: DataFrame, predicted: DataFrame, per_case: bool = True) -> DataFrame:
-    """Gold and predicted claims (case_id, ix, text) side by side by their number: within the case, or over all cases in order."""
-    w = Window.partitionBy("case_id").orderBy("ix") if per_case else Window.orderBy("case_id", "ix")
-    key = ["case_id", "n"] if per_case else ["n"]
-    g = gold.withColumn("n", F.row_number().over(w)).select(*key, F.col("text").alias("gold"))
-    p = predicted.withColumn("n", F.row_number().over(w)).select(*key, F.col("text").alias("predicted"))
-    return g.join(p, key, "full_outer")
-
-
-def alignment_metrics(aligned: DataFrame) -> DataFrame:
-    """One row: pairs, equal boundaries, missed and invented claims."""
-    return aligned.agg(
-        F.count_if(F.col("gold").isNotNull() & F.col("predicted").isNotNull()).alias("pairs"),
-        F.count_if(F.col("gold") == F.col("predicted")).alias("exact"), F.count_if(F.col("predicted").isNull()).alias("missed"),
-        F.count_if(F.col("gold").isNull()).alias("invented")
-    )
+    """Gold and predicted claims (case_id, ix, text, others) side by side by their number: within the case, or over all cases in order.
+
+    ``gold`` and ``predicted`` are structs of a claim's columns. Over all cases
+    a claim's number is its place in its case and the claims of the cases
+    before, which are summed by case.
+    """
+    def numbered(claims: DataFrame, name: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("case_id").orderBy("ix"))
+        rows = claims.withColumn("n", n.cast("long"))
+        if not per_case:
+            before = running(claims.groupBy("case_id").agg(F.count("*").alias("c")), ["case_id"], "c", "before").drop("c")
+            rows = rows.join(before, "case_id").withColumn("n", F.col("n") + F.col("before"))
+        return rows.select(*(["case_id"] if per_case else []), "n", F.struct(*claims.columns).alias(name))
+
+    return numbered(gold, "gold").join(numbered(predicted, "predicted"), ["case_id", "n"] if per_case else ["n"], "full_outer")
+
+
+def claim_metrics(gold: DataFrame, predicted: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row: claim count and boundary accuracy over ``cases`` (case_id), and claims missed and invented in all.
+
+    ``gold`` and ``predicted``: case_id, ix, text. A case's boundaries are
+    right if it has as many claims as it should and each has the text it should.
+    """
+    aligned = align_claims(gold.select("case_id", "ix", "text"), predicted.select("case_id", "ix", "text"))
+    by_case = aligned.groupBy("case_id").agg(
+        F.count("gold").alias("g"), F.count("predicted").alias("p"),
+        F.count_if(F.coalesce(F.col("gold.text") == F.col("predicted.text"), F.lit(False))).alias("same"))
+    j = cases.select("case_id").join(by_case, "case_id", "left").fillna(0, ["g", "p", "same"])
+    out = j.agg(
+        F.count("*").alias("n"), F.count_if(F.col("g") == F.col("p")).alias("counted"),
+        F.count_if((F.col("g") == F.col("p")) & (F.col("same") == F.col("g"))).alias("bounded"), F.coalesce(F.sum("g"), F.lit(0)).alias("expected"),
+        F.coalesce(F.sum("p"), F.lit(0)).alias("observed"))
+    most = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(0))
+    return out.select(
+        "n", ratio(F.col("counted"), F.col("n")).alias("claim_count_accuracy"), ratio(F.col("bounded"), F.col("n")).alias("claim_boundary_accuracy"),
+        most("expected", "observed").alias("missed_claims"), most("observed", "expected").alias("hallucinated_claims"))
+
+
+def field_scores(gold: DataFrame, predicted: DataFrame, fields: list[str], per_case: bool = False) -> DataFrame:
+    """(field, support_n, precision, recall, f1, value_accuracy, span_accuracy) of aligned claims' fields.
+
+    ``gold``: case_id, ix, text and a column for each field; ``predicted``:
+    case_id, ix and for each field its value and ``<field>_text``. By the
+    number over all cases, as the reference counts, or within each case. Equal
+    values are right; another or missing one counts against recall, an
+    unexpected one against precision. A right value's span is exact if the gold
+    claim's text holds its words. Without support the figures are null, f1 0.
+    """
+    aligned = align_claims(gold, predicted, per_case).filter("gold is not null")
+    rows = aligned.select(F.explode(F.array(*[
+        F.struct(
+            F.lit(f).alias("field"), F.col(f"gold.{f}").cast("string").alias("want"), F.col(f"predicted.{f}").cast("string").alias("got"),
+            F.contains("gold.text", F.col(f"predicted.{f}_text")).alias("held")) for f in fields])).alias("x")).select("x.*")
+    tp, support = F.col("want") == F.col("got"), F.col("want").isNotNull()
+    c = rows.groupBy("field").agg(
+        F.count("want").alias("support_n"), F.count_if(tp).alias("tp"), F.count_if(support & ~F.coalesce(tp, F.lit(False))).alias("fn"),
+        F.count_if(~support & F.col("got").isNotNull()).alias("fp"), F.count_if(tp & F.coalesce("held", F.lit(False))).alias("spans"))
+    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    f1 = F.when((precision > 0) & (recall > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return c.select(
+        "field", "support_n", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+        ratio(F.col("tp"), F.col("support_n")).alias("value_accuracy"), ratio(F.col("spans"), F.col("support_n")).alias("span_accuracy"))
 
 
 def field_outcomes(rows: DataFrame) -> DataFrame:
-    """(field, outcome, n) of rows (field, gold, predicted): correct, incorrect, missing, hallucinated or absent."""
-    o = F.when(F.col("gold").isNull() & F.col("predicted").isNull(), "absent").when(F.col("gold").isNull(), "hallucinated").when(F.col("predicted").isNull(), "missing").when(norm_text("gold") == norm_text("predicted"), "correct").otherwise("incorrect")
+    """(field, outcome, n) of rows (field, gold, predicted): correct if equal, incorrect, missing, hallucinated or absent."""
+    o = F.when(F.col("gold").isNull() & F.col("predicted").isNull(), "absent").when(F.col("gold").isNull(), "hallucinated").when(
+        F.col("predicted").isNull(), "missing").when(F.col("gold") == F.col("predicted"), "correct").otherwise("incorrect")
     return rows.groupBy("field", o.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def qualification(outcomes: DataFrame, least: float = 0.9) -> DataFrame:
-    """One row: the share of correct fields and BLOCKED (anything hallucinated), QUALIFIED or REVIEW."""
-    n = lambda o: F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col("n"))), F.lit(0))
-    share = ratio(n("correct"), n("correct") + n("incorrect") + n("missing") + n("hallucinated"), 0.0)
-    return outcomes.agg(
-        share.alias("correct_share"),
-        F.when(n("hallucinated") > 0, "BLOCKED").when(share >= least, "QUALIFIED").otherwise("REVIEW").alias("status")
-    )
+#: Fields that a model's claims are qualified by; the last is a list.
+QUALIFIED = ("action", "deadline", "amount", "audience", "required_documents")
+
+
+def claim_outcomes(gold: DataFrame, returned: DataFrame) -> DataFrame:
+    """(field, outcome, n) of a model's claims against gold claims of the same number: case_id, ix and the columns of ``QUALIFIED``.
+
+    Values are compared as they are; papers as a multiset, folded. An empty
+    list is no value. Claims beyond the gold ones are not looked at here.
+    """
+    papers = lambda c: F.array_join(F.array_sort(F.transform(c, fold_key)), "\x00")
+    listed = lambda c: F.when(F.size(c) > 0, papers(c))
+    rows = align_claims(gold, returned).filter("gold is not null")
+    each = [
+        F.struct(F.lit(f).alias("field"), *[
+            (listed(F.col(f"{side}.{f}")) if f == QUALIFIED[-1] else F.col(f"{side}.{f}").cast("string")).alias(side) for side in ("gold", "predicted")])
+        for f in QUALIFIED]
+    return field_outcomes(rows.select(F.explode(F.array(*each)).alias("x")).select("x.*")).filter("outcome != 'absent'")
+
+
+def qualification(cases: DataFrame, gold: DataFrame, returned: DataFrame) -> DataFrame:
+    """One row of counts and ``status`` of a model's outputs.
+
+    ``cases``: case_id and ``error``, null where the output was accepted (see
+    :func:`herald.operators.obligations.payload_errors`). ``gold`` and
+    ``returned`` as in :func:`claim_outcomes`; claims of a failed output are
+    not counted as missing, but expected. Any failure or violation blocks; any
+    missing or unexpected claim, and any field that is not as it should, is for
+    review; else the model is qualified for these fields.
+    """
+    good = cases.filter("error is null").select("case_id")
+    count = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
+    by_case = cases.join(count(gold, "g"), "case_id", "left").join(count(returned.join(good, "case_id", "left_semi"), "r"), "case_id", "left")
+    ok, error = F.isnull("error"), F.coalesce("error", F.lit(""))
+    g, r = F.coalesce("g", F.lit(0)), F.coalesce("r", F.lit(0))
+    over = lambda a, b: F.coalesce(F.sum(F.when(ok, F.greatest(a - b, F.lit(0)))), F.lit(0))
+    invented, loose = error == "INVENTED_YEAR", error.contains("UNGROUNDED")
+    n = by_case.agg(
+        F.count("*").alias("sample_count"), F.coalesce(F.sum(g), F.lit(0)).alias("expected_claim_count"),
+        F.coalesce(F.sum(F.when(ok, r)), F.lit(0)).alias("returned_claim_count"), over(g, r).alias("missing_claims"), over(r, g).alias("unexpected_claims"),
+        F.count_if(ok).alias("adapter_success_count"), F.count_if(~ok).alias("adapter_failure_count"),
+        F.count_if(~ok & ~invented & ~loose).alias("invalid_output_count"), F.count_if(loose).alias("grounding_violation_count"),
+        F.count_if(invented).alias("invented_year_violation_count"), F.count_if(error == "INVALID_ACTION").alias("invalid_action_violation_count"))
+    wrong = claim_outcomes(gold.join(good, "case_id", "left_semi"), returned.join(good, "case_id", "left_semi")).agg(
+        F.coalesce(F.sum(F.when(F.col("outcome") != "correct", F.col("n"))), F.lit(0)).alias("field_mismatches"))
+    status = F.when(F.col("adapter_failure_count") > 0, "QUALIFICATION_BLOCKED").when(
+        F.col("missing_claims") + F.col("unexpected_claims") + F.col("field_mismatches") > 0, "MEASURED_REQUIRES_HUMAN_REVIEW"
+    ).otherwise("QUALIFIED_FOR_EVALUATED_FIELDS_ONLY")
+    return n.join(wrong, F.lit(True)).withColumn("status", status)  # one row each
 
 
 def leakage(cases: DataFrame, frozen: DataFrame) -> DataFrame:
@@ -274,10 +389,8 @@ def order_statistics(rows: DataFrame, column: str, share: float, linear: bool, a
     marked = v.join(F.broadcast(frame), F.lit(True))
     below = marked.filter("v < a").agg(F.count("*").alias("below"))
     inner = marked.filter("v between a and b").groupBy("v", "n").agg(F.count("*").alias("c"))
-    upto = Window.orderBy("v")
-    inner = inner.withColumn("upto", F.sum("c").over(upto)).join(F.broadcast(below), F.lit(True)).withColumn(
-        "upto", F.col("upto") + F.col("below")
-    )
+    inner = running(inner, ["v"], "c", "upto").withColumn("upto", F.col("upto") + F.col("c")).join(
+        F.broadcast(below), F.lit(True)).withColumn("upto", F.col("upto") + F.col("below"))  # one row
     at = (F.col("n") - 1) * F.lit(share) if linear else F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
     pick = inner.withColumn("at", at)
     found = pick.agg(
@@ -301,9 +414,9 @@ def percentile_at(rows: DataFrame, column: str, share: float) -> DataFrame:
 
 
 def expand_gold(records: DataFrame) -> DataFrame:
-    """One row for each gold claim of accepted records (record_id, state, gold_claims, gold_claim): the list, else the one."""
+    """One row for each gold claim of accepted records (record_id, state, gold_claims, gold_claim): the list, the one if that is null or empty."""
     r = records.filter("state = 'accepted'")
-    return r.select("record_id", F.posexplode(F.coalesce("gold_claims", F.array("gold_claim"))).alias("ix", "claim"))
+    return r.select("record_id", F.posexplode(F.when(F.size("gold_claims") > 0, F.col("gold_claims")).otherwise(F.array("gold_claim"))).alias("ix", "claim"))
 
 
 def candidate_claims(obligations: DataFrame) -> DataFrame:

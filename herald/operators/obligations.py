@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from herald.functions.text import FLAGS, date_iso, dates_in, let, parse_deadline, parse_vnd, pieces, segments, span_of, trim_space
 
@@ -157,34 +159,54 @@ def fold_quote(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")))
 
 
-def ground(quotes: DataFrame) -> DataFrame:
-    """``quotes`` (quote_id, quote, raw_text) with ``grounded``: the words of the source that the quote stands for, null if none.
+def ground(quotes: DataFrame, key: tuple[str, ...] = ("quote_id",)) -> DataFrame:
+    """``key`` and ``grounded`` of ``quotes`` (key, quote, raw_text): the words of the source that the quote stands for, null if none.
 
-    An exact part is itself; else the line or sentence that is equal after
-    folding; else the best by containment or matching blocks from 0.88 on, the
-    first of equals. Only quotes that no expression settles reach Python.
+    An exact part is itself; else the first line or sentence that is equal
+    after folding and composing accents; else the best by containment or
+    matching blocks from 0.88 on, the first of equals. Only quotes that no
+    expression settles reach Python, and with them only segments whose length
+    allows that ratio: twice the shorter one to both together.
     """
     parts = F.transform(segments("raw_text"), lambda s: F.struct(s.alias("text"), fold_quote(s).alias("folded")))
-    q = quotes.withColumns({"__f": fold_quote(F.col("quote")), "__s": parts})
+    # letters with accents of their own are composed in Python, where lengths and equality are known
+    loose = F.regexp_like("quote", F.lit(r"\p{M}")) | F.regexp_like("raw_text", F.lit(r"\p{M}"))
+    q = quotes.filter("quote is not null and raw_text is not null").withColumns({"__f": fold_quote(F.col("quote")), "__s": parts, "__l": loose})
     equal = F.get(F.filter("__s", lambda s: s["folded"] == F.col("__f")), F.lit(0))["text"]
-    settled = F.when(F.contains("raw_text", F.col("quote")), F.col("quote")).when(F.col("__f") == "", None).otherwise(equal)
-    q = q.withColumn("grounded", settled)
-    done = q.filter("grounded is not null or __f = '' or quote is null or raw_text is null").select("quote_id", "grounded")
+    settled = F.when(F.contains("raw_text", F.col("quote")), F.col("quote")).when((F.col("__f") != "") & ~F.col("__l"), equal)
+    n = F.length("__f")
+    possible = F.filter("__s", lambda s: F.col("__l") | (2 * F.least(n, F.length(s["folded"])) >= GROUNDED * (n + F.length(s["folded"]))))
+    q = q.withColumns({"grounded": settled, "__s": F.when(settled.isNull() & (F.col("__f") != ""), possible)})
+    open_ = F.col("grounded").isNull() & (F.size("__s") > 0)
+    names = [*key, "grounded"]
+    nothing = quotes.filter("quote is null or raw_text is null").select(*key, F.lit(None).cast("string").alias("grounded"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"quote_id": pdf.quote_id, "grounded": [_nearest(f, s) for f, s in zip(pdf["__f"], pdf["__s"])]})
+            yield pdf[list(key)].assign(grounded=[nearest(x, s) for x, s in zip(pdf["quote"], pdf["__s"])])
 
-    open_ = q.filter("grounded is null and __f != '' and quote is not null and raw_text is not null").select("quote_id", "__f", "__s")
-    return done.unionByName(open_.mapInPandas(match, "quote_id long, grounded string"))
+    schema = T.StructType([*quotes.select(*key).schema.fields, T.StructField("grounded", T.StringType())])
+    left = q.filter(open_).select(*key, "quote", "__s").mapInPandas(match, schema)
+    return q.filter(~open_).select(*names).unionByName(left).unionByName(nothing)
 
 
-def _nearest(wanted: str, parts: list) -> str | None:
-    best, score = None, 0.0
+def _fold(text: str) -> str:
+    """As :func:`fold_quote`, with accents composed."""
+    text = unicodedata.normalize("NFC", text).replace("\u2013", "-").replace("\u2014", "-").replace("\u2192", "->")
+    return " ".join(text.split()).casefold()
+
+
+def nearest(quote: str, parts: list) -> str | None:
+    """The segment (text, folded) that a quote stands for, by equality after folding or a likeness from 0.88 on."""
+    wanted, best, score = _fold(quote), None, 0.0
+    if not wanted:
+        return None
     match = SequenceMatcher(None, "", "")
     match.set_seq1(wanted)
     for p in parts:
-        folded = p["folded"]
+        folded = _fold(p["text"])
+        if folded == wanted:
+            return p["text"]
         longest = max(len(wanted), len(folded), 1)
         inside = min(len(wanted), len(folded)) / longest if wanted in folded or folded in wanted else 0.0
         match.set_seq2(folded)
@@ -197,20 +219,32 @@ def _nearest(wanted: str, parts: list) -> str | None:
     return best
 
 
-def ground_action(text: Column, action_type: Column, quote: Column) -> Column:
-    """The quote if the text holds it, else the line with the first anchor of its type that occurs."""
-    lines = F.transform(F.split(text, "\n"), trim_space)
+def anchored_line(text: Column, action_type: Column) -> Column:
+    """The line, or lines, with the first anchor of an action type that occurs; null without."""
+    def around(pattern: str) -> Column:
+        def cut(m: Column) -> Column:
+            before = F.substring_index(F.substring(text, F.lit(1), m["start"]), "\n", -1)
+            after = F.substring_index(F.substring(text, m["start"] + F.length(m["text"]) + 1, F.length(text)), "\n", 1)
+            line = trim_space(F.concat(before, m["text"], after))
+            return F.when(m.isNotNull(), F.when(line != "", line).otherwise(m["text"]))
 
-    def first(pattern: str) -> Column:
-        return F.get(F.filter(lines, lambda x: F.regexp_like(x, F.lit(_I + pattern))), F.lit(0))
+        return let(span_of(text, pattern), cut)
 
-    out = F.when(F.contains(text, quote), quote)
+    out = None
     for kind, patterns in ANCHORS.items():
-        for p in patterns:
-            out = out.when((action_type == kind) & first(p).isNotNull(), first(p))
+        found = F.coalesce(*[around(p) for p in patterns])
+        out = F.when(action_type == kind, found) if out is None else out.when(action_type == kind, found)
     return out
 
 
+def ground_actions(actions: DataFrame, key: tuple[str, ...] = ("action_id",)) -> DataFrame:
+    """``key`` and ``grounded`` of ``actions`` (key, quote, action_type, raw_text): the quote grounded, else the line of an anchor of its type."""
+    found = ground(actions.select(*key, "quote", "raw_text"), key).withColumnRenamed("grounded", "__g")
+    rows = actions.join(found, list(key), "left")
+    anchor = F.when(F.col("__g").isNull(), anchored_line(F.col("raw_text"), F.col("action_type")))
+    return rows.select(*key, F.coalesce(F.when(F.col("__g") != "", F.col("__g")), anchor).alias("grounded"))
+
+
 def sanitize_spans(spans_: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans that are exact parts of their text and used, and the uses whose span is left.
 
@@ -227,34 +261,38 @@ def sanitize_spans(spans_: DataFrame, uses: DataFrame) -> tuple[DataFrame, DataF
 
 
 def payload_errors(outputs: DataFrame) -> DataFrame:
-    """(output_id, error) of rows (output_id, message, payload): the first rule that a model's JSON breaks, null if none."""
-    claim = "claim_text:string,action:string,action_normalized:string,deadline_raw:string,deadline_normalized:string,amount_raw:string,amount_value:string,verdict:string,required_documents:array<string>,audience:string"
-    p = outputs.withColumns({"__p": F.from_json("payload", f"struct<claims:array<struct<{claim}>>>"), "__k": F.json_object_keys("payload")})
-    claims = F.col("__p.claims")
-    any_ = lambda test: F.coalesce(F.exists(claims, test), F.lit(False))
-    loose = lambda v: v.isNotNull() & ~F.contains(F.col("message"), v)
+    """(output_id, error) of rows (output_id, message, payload): the first rule that a model's JSON breaks, null if none.
+
+    Claims are tried one after the other, each by all rules in their order.
+    Values keep their JSON types: a number in quotes is no amount, and a
+    forbidden key is one even if it is null. Texts may not be null where they
+    are named, and must stand in the message.
+    """
+    # an object's keys and an array's items come as variants, which know their types
+    p = outputs.withColumns({"__v": F.try_parse_json("payload"), "__k": F.json_object_keys("payload")})
+    claims = F.expr("try_variant_get(__v, '$.claims', 'array<variant>')")
+    one = F.col("c")
+    kind = lambda key: F.schema_of_variant(F.try_variant_get(one, f"$.{key}", "variant"))
+    text = lambda key: F.try_variant_get(one, f"$.{key}", "string")
+    held = lambda v: F.contains("message", v)
+    loose = lambda v: v.isNotNull() & ~held(v)
+    papers = F.try_variant_get(one, "$.required_documents", "array<string>")
     error = (
-        F.when(
-            F.col("__k").isNull() | (F.size(F.array_except("__k", F.array(F.lit("claims")))) > 0) | claims.isNull(),
-            "INVALID_TOP_LEVEL_SCHEMA"
-        )
-        .when(any_(lambda c: c.isNull() | c["verdict"].isNotNull()), "TRUST_VERDICT_OR_INVALID_CLAIM")
+        F.when(one.isNull() | ~F.startswith(F.schema_of_variant(one), F.lit("OBJECT")) | kind("verdict").isNotNull(), "TRUST_VERDICT_OR_INVALID_CLAIM")
+        .when(F.coalesce(text("claim_text"), F.lit("")).isin("") | ~held(text("claim_text")), "UNGROUNDED_CLAIM")
+        .when(text("action_normalized").isNotNull() & ~text("action_normalized").isin(*ANCHORS), "INVALID_ACTION")
         .when(
-            any_(lambda c: c["claim_text"].isNull() | (c["claim_text"] == "") | ~F.contains(F.col("message"), c["claim_text"])),
-            "UNGROUNDED_CLAIM"
-        )
-        .when(any_(lambda c: c["action_normalized"].isNotNull() & ~c["action_normalized"].isin(*ANCHORS)), "INVALID_ACTION")
+            (F.coalesce(text("deadline_normalized"), F.lit("")) != "") & (F.size(F.split(F.coalesce(text("deadline_raw"), F.lit("")), "/")) < 3),
+            "INVENTED_YEAR")
+        .when(F.coalesce(kind("amount_value"), F.lit("VOID")).rlike(r"^(?!VOID|BIGINT|BOOLEAN|DECIMAL\(\d+,0\))"), "INVALID_AMOUNT")
         .when(
-            any_(
-                lambda c: c["deadline_normalized"].isNotNull() & (
-                    c["deadline_raw"].isNull() | (F.size(F.split(c["deadline_raw"], "/")) < 3)
-                )
-            ),
-            "INVENTED_YEAR"
-        )
-        .when(any_(lambda c: c["amount_value"].isNotNull() & ~F.regexp_like(c["amount_value"], F.lit(r"^-?\d+$"))), "INVALID_AMOUNT")
-        .when(any_(lambda c: loose(c["action"]) | loose(c["deadline_raw"]) | loose(c["amount_raw"]) | loose(c["audience"]) | F.coalesce(F.exists(c["required_documents"], lambda d: loose(d)), F.lit(False))), "UNGROUNDED_FIELD"))
-    return p.select("output_id", error.alias("error"))
+            F.coalesce(F.exists(papers, loose), F.lit(False)) | loose(text("audience")) | loose(text("action")) | loose(text("deadline_raw"))
+            | loose(text("amount_raw")), "UNGROUNDED_FIELD"))
+    top = F.when(F.col("__k").isNull() | (F.size(F.array_except("__k", F.array(F.lit("claims")))) > 0) | claims.isNull(), "INVALID_TOP_LEVEL_SCHEMA")
+    rows = p.select("output_id", "message", top.alias("top"), F.posexplode_outer(claims).alias("ix", "c"))
+    rows = rows.select("output_id", F.when(F.col("top").isNotNull(), F.struct(F.lit(-1).alias("ix"), F.col("top").alias("error"))).when(
+        F.col("ix").isNotNull() & error.isNotNull(), F.struct(F.col("ix"), error.alias("error"))).alias("e"))
+    return rows.groupBy("output_id").agg(F.min("e")["error"].alias("error"))
 
 
 def supported_deadlines(rows: DataFrame) -> DataFrame:
@@ -280,37 +318,75 @@ def number_spans(quotes: DataFrame) -> DataFrame:
     return q.withColumn("evidence_id", F.concat(F.lit("e"), F.row_number().over(w).cast("string")))
 
 
-def draft_obligations(drafts: DataFrame) -> DataFrame:
-    """Drafts (draft_id, notice_id, version_id, raw_text, action_type, action_quote, deadline_quote, amount_quote, location_quote) as obligations.
+#: Fields of a drafted obligation in the order that their evidence is numbered in; the last two are lists.
+DRAFT_FIELDS = ("action", "audience", "deadline", "amount", "location", "document", "exception")
 
-    Each quote is grounded in the text and read again from there; an
-    obligation without a grounded action is dropped, and a field that is not
-    grounded is null. ``obligation_id`` counts the obligations of a version.
+
+def draft_obligations(drafts: DataFrame) -> DataFrame:
+    """Drafts (draft_id, notice_id, version_id, raw_text, action_type, action_quote and, where there are any, audience_quote,
+    deadline_quote, amount_quote, location_quote, document_quotes, exception_quotes) as obligations.
+
+    Each quote is grounded in the text and read again from there. An obligation
+    without a grounded action is dropped; a field that is not grounded is null,
+    and so is an amount that holds no money; papers and exceptions keep the
+    grounded ones in their order. ``obligation_id`` counts the obligations of a
+    version in the order of their drafts. Empty quotes are none.
     """
-    quotes = ["deadline_quote", "amount_quote", "location_quote"]
-    long = drafts.select(
-        "draft_id", "raw_text",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("quote")) for i, c in enumerate(quotes)])).alias("q")
-    )
-    long = long.filter("q.quote is not null").select(
-        (F.col("draft_id") * 4 + F.col("q.field")).alias("quote_id"), F.col("q.quote").alias("quote"), "raw_text"
-    )
-    found = ground(long).select(
-        F.floor(F.col("quote_id") / 4).alias("draft_id"), F.concat(F.lit("f"), (F.col("quote_id") % 4).cast("string")).alias("f"),
-        "grounded"
-    )
-    wide = found.groupBy("draft_id").pivot("f", ["f0", "f1", "f2"]).agg(F.first("grounded"))
-    j = drafts.withColumn(
-        "action_text", ground_action(F.col("raw_text"), F.col("action_type"), F.col("action_quote"))
-    ).filter("action_text is not null").join(wide, "draft_id", "left")
-    at = F.position("action_text", "raw_text")
-    w = Window.partitionBy("notice_id", "version_id").orderBy("at", "draft_id")
-    read = parse_deadline(F.coalesce("f0", F.lit("")))
-    return j.withColumn("at", at).select(
-        "notice_id", "version_id", F.concat(
-            F.lit("o"), F.row_number().over(w).cast("string")
-        ).alias("obligation_id"), "draft_id", "action_type", "action_text", (F.col("at") - 1).alias("start_char"),
-        F.col("f0").alias("deadline_text"), read["normalized"].alias("deadline"), read["precision"].alias("precision"), parse_vnd(F.coalesce("f1", F.lit(""))).alias("amount"), F.col("f2").alias("location"))
+    has = lambda c, kind: F.col(c) if c in drafts.columns else F.lit(None).cast(kind)
+    ones = [F.array(F.struct(F.lit(f).alias("field"), F.lit(0).alias("ix"), has(f"{f}_quote", "string").alias("quote"))) for f in DRAFT_FIELDS[1:5]]
+    many = [_listed(f, has(f"{f}_quotes", "array<string>")) for f in DRAFT_FIELDS[5:]]
+    key = ("draft_id", "field", "ix")
+    long = drafts.select("draft_id", "raw_text", F.explode(F.flatten(F.array(*ones, *many))).alias("q")).select(
+        "draft_id", "raw_text", "q.*").filter("quote != ''")
+    found = ground(long, key).filter("grounded is not null")
+    one = lambda f: F.max(F.when(F.col("field") == f, F.col("grounded"))).alias(f"g_{f}")
+    list_ = lambda f: F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == f, F.struct("ix", "grounded")))), lambda x: x["grounded"]).alias(f"{f}s")
+    wide = found.groupBy("draft_id").agg(*[one(f) for f in DRAFT_FIELDS[1:5]], *[list_(f) for f in DRAFT_FIELDS[5:]])
+    acts = ground_actions(drafts.select("draft_id", F.col("action_quote").alias("quote"), "action_type", "raw_text"), ("draft_id",))
+    j = drafts.join(acts.filter("grounded is not null").withColumnRenamed("grounded", "action_text"), "draft_id").join(wide, "draft_id", "left")
+    w = Window.partitionBy("notice_id", "version_id").orderBy("draft_id")
+    read = parse_deadline(F.coalesce("g_deadline", F.lit("")))
+    money = parse_vnd(F.coalesce("g_amount", F.lit("")))
+    none = F.expr("cast(array() as array<string>)")
+    return j.select(
+        "notice_id", "version_id", F.concat(F.lit("o"), F.row_number().over(w).cast("string")).alias("obligation_id"), "draft_id", "raw_text",
+        "action_type", "action_text", (F.position("action_text", "raw_text") - 1).alias("start_char"), F.col("g_audience").alias("audience"),
+        F.col("g_deadline").alias("deadline_text"), F.when(F.col("g_deadline").isNotNull(), read["normalized"]).alias("deadline"),
+        F.when(F.col("g_deadline").isNotNull(), read["precision"]).alias("precision"), F.when(money.isNotNull(), F.col("g_amount")).alias("amount_text"),
+        money.alias("amount"), F.col("g_location").alias("location"), F.coalesce("documents", none).alias("documents"),
+        F.coalesce("exceptions", none).alias("exceptions"))
+
+
+def _listed(field: str, quotes: Column) -> Column:
+    """A list of quotes as (field, ix, quote); a null one is empty."""
+    rows = F.transform(quotes, lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("ix"), x.alias("quote")))
+    return F.coalesce(rows, F.expr("cast(array() as array<struct<field:string,ix:int,quote:string>>)"))
+
+
+def draft_evidence(obligations: DataFrame) -> DataFrame:
+    """(notice_id, version_id, evidence_id, field, text, start_char, end_char) of the obligations of :func:`draft_obligations`.
+
+    A text is evidence once for each field; ids count a version's in the order
+    of obligations and fields. ``start_char`` is the first place in the text.
+    """
+    values = {
+        "action": F.array("action_text"), "audience": F.array("audience"), "deadline": F.array("deadline_text"), "amount": F.array("amount_text"),
+        "location": F.array("location"), "document": F.col("documents"), "exception": F.col("exceptions")}
+    rows = [_placed(n, f, values[f]) for n, f in enumerate(DRAFT_FIELDS)]
+    number = F.substring("obligation_id", F.lit(2), F.length("obligation_id")).cast("int")
+    long = obligations.select("notice_id", "version_id", "raw_text", number.alias("o"), F.explode(F.flatten(F.array(*rows))).alias("r")).filter("r.text is not null")
+    key = ["notice_id", "version_id"]
+    first = long.groupBy(*key, "r.field", "r.text").agg(
+        F.min(F.struct("o", "r.n", "r.ix")).alias("at"), F.min(F.position("r.text", "raw_text")).alias("place"))
+    w = Window.partitionBy(*key).orderBy("at")
+    start = F.col("place") - 1
+    return first.select(
+        *key, F.concat(F.lit("e"), F.row_number().over(w).cast("string")).alias("evidence_id"), "field", "text", start.alias("start_char"),
+        (start + F.length("text")).alias("end_char"))
+
+
+def _placed(n: int, field: str, values: Column) -> Column:
+    return F.transform(values, lambda x, i: F.struct(F.lit(n).alias("n"), F.lit(field).alias("field"), i.alias("ix"), x.alias("text")))
 
 
 def inexact_evidence(spans_: DataFrame) -> DataFrame:

@@ -50,6 +50,17 @@ def resolve_identity(
     ).select(*obs.columns, "normalized_url", "notice_key")
 
 
+def without_badges(obs: DataFrame) -> tuple[Column, Column]:
+    """Whether an observation's title has badges, and the hash of its content without them."""
+    if "title" not in obs.columns:
+        return F.lit(False), F.col("content_hash")
+    badged = ~clean_title("title").eqNullSafe(clean_text("title"))
+    if "raw_text" not in obs.columns:
+        return badged, F.col("content_hash")
+    have = lambda c, kind: F.col(c) if c in obs.columns else F.lit(None).cast(kind)
+    return badged, content_hash(clean_title("title"), have("publication_date", "string"), F.col("raw_text"), have("attachments", "array<string>"))
+
+
 def classify_changes(
     obs: DataFrame, key: str = "notice_key", url: str = "normalized_url", order: tuple[str, ...] = ("observed_at",)
 ) -> DataFrame:
@@ -67,14 +78,7 @@ def classify_changes(
     by = Window.partitionBy(key).orderBy(*order)
     own = F.first(url).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = obs.withColumn("__dup", ~F.col(url).eqNullSafe(own))
-    badged, plain = F.lit(False), F.col("content_hash")
-    if "title" in obs.columns:
-        badged = ~clean_title("title").eqNullSafe(clean_text("title"))
-        have = lambda c, kind: F.col(c) if c in obs.columns else F.lit(None).cast(kind)
-        rest = content_hash(
-            clean_title("title"), have("publication_date", "string"), have("raw_text", "string"), have("attachments", "array<string>")
-        )
-        plain = rest if "raw_text" in obs.columns else plain
+    badged, plain = without_badges(obs)
     marked = marked.withColumns({"__badged": badged, "__plain": plain})
     line = Window.partitionBy(key, "__dup").orderBy(*order)
     marked = marked.withColumns(

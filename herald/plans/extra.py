@@ -271,21 +271,37 @@ def macro_scores(spark, sf_dir):
 
 
 def model_qualification(spark, sf_dir):
-    """Qualification of three models by their outcomes: one that invents, one that is right, one to review."""
-    outcomes = _states(spark, sf_dir).select("field", F.col("expected").alias("gold"), F.col("state").alias("predicted"))
-    a = J.field_outcomes(outcomes)
-    return J.qualification(a).unionByName(J.qualification(a.filter("outcome = 'correct'"))).unionByName(J.qualification(a.filter("outcome != 'hallucinated'"))).select("status", F.round("correct_share", 9).alias("correct_share"))
+    """Counts and status of three models: one with failures, one that returns the gold claims, one with other values and fewer claims."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    k = F.col("o_orderkey") % 50
+    cases = o.select(F.col("o_orderkey").alias("case_id"), F.when(k == 7, "INVENTED_YEAR").when(k == 9, "UNGROUNDED_FIELD").when(k == 11, "INVALID_ACTION").alias("error"))
+    key = [F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")).alias("ix")]
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    gold = li.select(
+        *key, F.col("l_returnflag").alias("action"), F.when(F.col("l_quantity") > 10, day).alias("deadline"),
+        F.when(F.col("l_tax") > 0.02, F.col("l_partkey")).alias("amount"), F.col("l_linestatus").alias("audience"),
+        F.array(F.col("l_returnflag"), F.lit("Đơn  xin")).alias("required_documents"))
+    none = F.expr("cast(array() as array<string>)")
+    other = li.filter("l_linenumber < 6").select(
+        *key, F.when(F.col("l_discount") > 0.08, "Z").otherwise(F.col("l_returnflag")).alias("action"), day.alias("deadline"),
+        F.when(F.col("l_tax") > 0.04, F.col("l_partkey")).alias("amount"), F.col("l_linestatus").alias("audience"),
+        F.when(F.col("l_quantity") < 40, F.array(F.lit("đơn XIN"), F.col("l_returnflag"))).otherwise(none).alias("required_documents"))
+    good = cases.filter("error is null")
+    of_good = gold.join(good.select("case_id"), "case_id", "left_semi")
+    models = {"failing": (cases, gold, other), "right": (good, of_good, gold), "other": (good, of_good, other)}
+    rows = [J.qualification(*m).withColumn("model", F.lit(name)) for name, m in models.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def gold_claims(spark, sf_dir):
-    """Gold claims of accepted records: the list where there is one, else the single claim."""
+    """Gold claims of accepted records: the list where there is one that is not empty, else the single claim."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     many = li.filter("l_orderkey % 2 = 0").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.col("l_linenumber").cast("string"))).alias("gold_claims")
     )
     r = o.join(many, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
         F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("candidate").alias("state"),
-        "gold_claims", F.col("o_orderpriority").alias("gold_claim")
+        F.when(F.col("o_orderkey") % 6 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.col("gold_claims")).alias("gold_claims"), F.col("o_orderpriority").alias("gold_claim")
     )
     return J.expand_gold(r).select("record_id", F.col("ix").cast("long").alias("ix"), "claim")
 
@@ -328,10 +344,6 @@ WITH f AS (SELECT l_orderkey AS notice_id, CASE WHEN o_orderstatus = 'F' THEN 'G
   strftime(l_shipdate, '%d/%m/%Y') AS off_deadline, strftime(l_shipdate, '%Y-%m-%d') AS off_deadline_norm, CASE WHEN l_returnflag = 'R' THEN floor(l_extendedprice)::BIGINT END AS off_amount, CASE WHEN l_linestatus = 'O' THEN 'Phòng A' END AS location, l_linenumber % 2 = 0 AS for_all
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 """
-_OUTCOMES = """
-WITH o AS (SELECT CASE WHEN l_quantity > 10 THEN l_linestatus END AS g, CASE WHEN l_tax > 0.02 THEN l_linestatus END AS p FROM lineitem),
-c AS (SELECT count(*) FILTER (WHERE g IS NOT NULL AND p IS NOT NULL) AS right_, count(*) FILTER (WHERE g IS NOT NULL AND p IS NULL) AS missing, count(*) FILTER (WHERE g IS NULL AND p IS NOT NULL) AS invented FROM o)
-"""
 SQL = {
     "configured_sources": "SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 6 = 0 THEN 'configured' ELSE s_name END AS notes, CASE WHEN s_suppkey % 3 = 0 THEN false ELSE s_acctbal > 0 END AS enabled FROM supplier",
     "official_ids": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'dut:' || page_id END AS official_id FROM pages",
@@ -384,12 +396,36 @@ UNION ALL SELECT n_nationkey::VARCHAR, 'verified without official source' FROM n
 WITH d(label) AS (VALUES (0), (1), (2)), c AS (SELECT label, count(*) FILTER (WHERE quality = label AND toxic = label) AS tp, count(*) FILTER (WHERE quality <> label AND toxic = label) AS fp, count(*) FILTER (WHERE quality = label AND toxic <> label) AS fn FROM d, labels GROUP BY 1),
 s AS (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, tp / (tp + fn) AS r FROM c WHERE tp + fn > 0)
 SELECT count(*) AS labels, round(avg(p), 9) AS precision, round(avg(r), 9) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 9) AS f1 FROM s""",
-    "model_qualification": _OUTCOMES + """
-SELECT 'BLOCKED' AS status, round(right_ / (right_ + missing + invented), 9) AS correct_share FROM c UNION ALL SELECT 'QUALIFIED', 1.0 FROM c
-UNION ALL SELECT CASE WHEN right_ / (right_ + missing) >= 0.9 THEN 'QUALIFIED' ELSE 'REVIEW' END, round(right_ / (right_ + missing), 9) FROM c""",
+    "model_qualification": """
+WITH c AS (SELECT o_orderkey AS id, CASE o_orderkey % 50 WHEN 7 THEN 'INVENTED_YEAR' WHEN 9 THEN 'UNGROUNDED_FIELD' WHEN 11 THEN 'INVALID_ACTION' END AS error FROM orders),
+l AS (SELECT *, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS ix, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem SEMI JOIN c ON id = l_orderkey),
+g AS (
+  SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY ix) AS n, l_returnflag AS action, CASE WHEN l_quantity > 10 THEN day END AS deadline, CASE WHEN l_tax > 0.02 THEN l_partkey END AS amount, l_linestatus AS audience,
+    list_sort([lower(l_returnflag), 'đơn xin']) AS docs FROM l),
+r AS (
+  SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY ix) AS n, CASE WHEN l_discount > 0.08 THEN 'Z' ELSE l_returnflag END AS action, day AS deadline, CASE WHEN l_tax > 0.04 THEN l_partkey END AS amount, l_linestatus AS audience,
+    CASE WHEN l_quantity < 40 THEN list_sort(['đơn xin', lower(l_returnflag)]) END AS docs FROM l WHERE l_linenumber < 6),
+m(model) AS (VALUES ('failing'), ('right'), ('other')),
+cm AS (SELECT model, id, error FROM m, c WHERE model = 'failing' OR error IS NULL),
+rm AS (SELECT 'failing' AS model, * FROM r UNION ALL SELECT 'other', * FROM r UNION ALL SELECT 'right', * FROM g),
+k AS (
+  SELECT model, id, error, coalesce(gn, 0) AS g, coalesce(rn, 0) AS r FROM cm LEFT JOIN (SELECT id, count(*) AS gn FROM g GROUP BY 1) USING (id) LEFT JOIN (SELECT model, id, count(*) AS rn FROM rm GROUP BY 1, 2) USING (model, id)),
+j AS (
+  SELECT model, (g.action = r.action) IS NOT TRUE OR (g.deadline IS DISTINCT FROM r.deadline) OR (g.amount IS DISTINCT FROM r.amount) OR (g.audience IS DISTINCT FROM r.audience) OR (g.docs IS DISTINCT FROM r.docs) AS x,
+    (g.action IS DISTINCT FROM r.action)::INT + (g.deadline IS DISTINCT FROM r.deadline)::INT + (g.amount IS DISTINCT FROM r.amount)::INT + (g.audience IS DISTINCT FROM r.audience)::INT + (g.docs IS DISTINCT FROM r.docs)::INT AS wrong
+  FROM cm JOIN g USING (id) LEFT JOIN rm r USING (model, id, n) WHERE error IS NULL),
+w AS (SELECT model, sum(wrong) AS wrong FROM j GROUP BY 1),
+s AS (
+  SELECT model, count(*) AS sample_count, sum(g)::BIGINT AS expected_claim_count, coalesce(sum(r) FILTER (WHERE error IS NULL), 0)::BIGINT AS returned_claim_count,
+    coalesce(sum(greatest(g - r, 0)) FILTER (WHERE error IS NULL), 0)::BIGINT AS missing_claims, coalesce(sum(greatest(r - g, 0)) FILTER (WHERE error IS NULL), 0)::BIGINT AS unexpected_claims,
+    count(*) FILTER (WHERE error IS NULL) AS adapter_success_count, count(*) FILTER (WHERE error IS NOT NULL) AS adapter_failure_count, count(*) FILTER (WHERE error = 'INVALID_ACTION') AS invalid_output_count,
+    count(*) FILTER (WHERE error = 'UNGROUNDED_FIELD') AS grounding_violation_count, count(*) FILTER (WHERE error = 'INVENTED_YEAR') AS invented_year_violation_count, count(*) FILTER (WHERE error = 'INVALID_ACTION') AS invalid_action_violation_count
+  FROM k GROUP BY 1)
+SELECT s.*, wrong::BIGINT AS field_mismatches, CASE WHEN adapter_failure_count > 0 THEN 'QUALIFICATION_BLOCKED' WHEN missing_claims + unexpected_claims + wrong > 0 THEN 'MEASURED_REQUIRES_HUMAN_REVIEW' ELSE 'QUALIFIED_FOR_EVALUATED_FIELDS_ONLY' END AS status
+FROM s JOIN w USING (model)""",
     "gold_claims": """
-SELECT o_orderkey AS record_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber::VARCHAR) - 1 AS ix, l_linenumber::VARCHAR AS claim FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0
-UNION ALL SELECT o_orderkey, 0, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND (o_orderkey % 2 = 1 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))""",
+SELECT o_orderkey AS record_id, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber::VARCHAR) - 1 AS ix, l_linenumber::VARCHAR AS claim FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_orderkey % 6 <> 0
+UNION ALL SELECT o_orderkey, 0, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND (o_orderkey % 2 = 1 OR o_orderkey % 6 = 0 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))""",
     "exact_values": """
 WITH g AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'money' ELSE 'deadline' END AS field, count(*) FILTER (WHERE l_linenumber < 4) AS n FROM lineitem WHERE l_orderkey % 10 <> 0 GROUP BY 1, 2),
 s AS (SELECT *, id % 7 <> 0 AND (n = 0 OR id % 4 <> 0) AS same FROM g)

@@ -171,14 +171,17 @@ def catalog_rows(spark, sf_dir):
 
 
 def expected_values(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    m = J.value_metrics(
-        li.select(F.col("l_orderkey").alias("notice_id"), F.col("l_linenumber").cast("long").alias("value")),
-        li.select(F.col("l_orderkey").alias("notice_id"), (F.col("l_suppkey") % 9).alias("value"))
-    )
-    return m.select(
-        "expected", "predicted", "found", "right", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision")
-    )
+    """Scores by field of values of each order: one that its lines may name, one that nobody expects, one that is named twice."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    k = F.col("o_orderkey")
+    want = F.array(
+        F.struct(F.lit("a").alias("field"), F.when(k % 3 != 0, F.concat(F.lit("v"), (k % 5).cast("string"))).alias("value")),
+        F.struct(F.lit("b").alias("field"), F.lit(None).cast("string").alias("value")), F.struct(F.lit("c").alias("field"), F.col("o_orderpriority").alias("value")))
+    expected = o.select(k.alias("record_id"), F.explode(want).alias("x")).select("record_id", "x.*")
+    said = li.select(F.col("l_orderkey").alias("record_id"), F.lit("a").alias("field"), F.concat(F.lit("v"), (F.col("l_suppkey") % 5).cast("string")).alias("value"))
+    twice = o.filter("o_orderkey % 2 = 0").select(k.alias("record_id"), F.lit("c").alias("field"), F.col("o_orderpriority").alias("value"))
+    m = J.value_metrics(expected, said.unionByName(twice).unionByName(twice))
+    return m.select("field", "status", "support_n", "matched_n", "predicted_value_n", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def error_layers(spark, sf_dir):
@@ -209,14 +212,17 @@ def grounded_spans(spark, sf_dir):
 
 
 def grounded_actions(spark, sf_dir):
-    """Actions of each type: the quote if it stands in the text, else the line with an anchor of the type."""
+    """Actions of each type: a quote as it stands, one that does not, one spaced otherwise, one of another ending; without it the line of an anchor."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     kind = F.element_at(F.array(*[F.lit(t) for t, _ in _ANCHORED]), (k % len(_ANCHORED) + 1).cast("int"))
     phrase = F.element_at(F.array(*[F.lit(p) for _, p in _ANCHORED]), (k % len(_ANCHORED) + 1).cast("int"))
-    text = F.concat(F.lit("Dòng đầu\n  Sinh viên "), phrase, F.lit(" số "), k.cast("string"), F.lit(". \nhết"))
-    quote = F.when(k % 2 == 0, F.concat(F.lit("số "), k.cast("string"))).otherwise("không có")
-    return o.select("o_orderkey", O.ground_action(text, kind, quote).alias("grounded"))
+    line = F.concat(F.lit("Sinh viên "), phrase, F.lit(" số "), k.cast("string"))
+    text = F.concat(F.lit("Dòng đầu\n  "), line, F.lit(". \nhết"))
+    quote = F.when(k % 4 == 0, F.concat(F.lit("số "), k.cast("string"))).when(k % 4 == 1, "không có").when(
+        k % 4 == 2, F.concat(F.upper(F.replace(line, F.lit(" "), F.lit("   "))), F.lit("."))).otherwise(F.concat(line, F.lit("!")))
+    rows = o.select("o_orderkey", quote.alias("quote"), kind.alias("action_type"), text.alias("raw_text"))
+    return O.ground_actions(rows, ("o_orderkey",))
 
 
 def corpus_chunks(spark, sf_dir):
@@ -233,17 +239,31 @@ def corpus_chunks(spark, sf_dir):
     )
 
 
-def drafted_obligations(spark, sf_dir):
+def _drafts(spark, sf_dir):
+    """A draft for each order about the notice of its customer, with quotes that stand there, nearly stand there, and do not."""
     o = table(spark, sf_dir, "orders")
-    day = F.date_format("o_orderdate", "dd/MM/yyyy")
-    raw = F.concat(F.lit("Sinh viên đăng ký  học phần.\nHạn "), day, F.lit(".\nNộp tại Phòng A"))
-    d = o.select(
-        F.col("o_orderkey").alias("draft_id"), F.col("o_custkey").alias("notice_id"), F.lit(1).alias("version_id"), raw.alias("raw_text"),
-        F.lit("register").alias("action_type"), F.when(F.col("o_orderkey") % 2 == 0, "đăng ký").otherwise("khác hẳn").alias("action_quote"),
-        F.when(F.col("o_orderkey") % 3 == 0, day).alias("deadline_quote"), F.lit(None).cast("string").alias("amount_quote"),
-        F.when(F.col("o_orderkey") % 5 == 0, "mặt trăng").otherwise("nộp  tại phòng a").alias("location_quote")
-    )
-    return O.draft_obligations(d).select("draft_id", "action_text", "deadline", "location")
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    raw = F.concat(
+        F.lit("Sinh viên đăng ký  học phần.\nHạn "), day, F.lit(".\nLệ phí 50.000 đồng.\nNộp tại Phòng A\nKèm bảng điểm và ảnh thẻ\nTrừ sinh viên K21"))
+    return o.select(
+        k.alias("draft_id"), F.col("o_custkey").alias("notice_id"), F.lit(1).alias("version_id"), raw.alias("raw_text"),
+        F.lit("register").alias("action_type"), F.when(k % 2 == 0, "đăng ký").otherwise("khác hẳn").alias("action_quote"),
+        F.when(k % 4 == 0, "sinh viên K21").alias("audience_quote"), F.when(k % 3 == 0, day).alias("deadline_quote"),
+        F.when(k % 7 == 0, "lệ phí 50.000  đồng").when(k % 7 == 1, "học phần").alias("amount_quote"),
+        F.when(k % 5 == 0, "mặt trăng").otherwise("nộp  tại phòng a").alias("location_quote"),
+        F.array(F.lit("bảng điểm"), F.lit("hộ chiếu"), F.lit("BẢNG  ĐIỂM và ảnh thẻ")).alias("document_quotes"),
+        F.when(k % 6 == 0, F.array(F.lit("Trừ sinh viên K21"), F.lit(None).cast("string"), F.lit(""))).alias("exception_quotes"))
+
+
+def drafted_obligations(spark, sf_dir):
+    found = O.draft_obligations(_drafts(spark, sf_dir))
+    lists = [F.array_join(c, "|").alias(c) for c in ("documents", "exceptions")]
+    return found.select("draft_id", "obligation_id", "action_text", "audience", "deadline", "precision", "amount_text", "amount", "location", *lists)
+
+
+def drafted_evidence(spark, sf_dir):
+    found = O.draft_evidence(O.draft_obligations(_drafts(spark, sf_dir)))
+    return found.select("notice_id", "evidence_id", "field", "text", F.col("start_char").cast("long"), F.col("end_char").cast("long"))
 
 
 def folded_texts(spark, sf_dir):
@@ -254,7 +274,7 @@ def folded_texts(spark, sf_dir):
 _ALL = (
     search_index, notice_catalog, version_coverage, backfill_events, derived_queries, candidate_claims, forced_pairs, repaired_metadata,
     decided_spans, annotation_upsert, incomplete_annotations, case_checks, catalog_rows, expected_values, error_layers, grounded_spans,
-    grounded_actions, corpus_chunks, drafted_obligations, folded_texts
+    grounded_actions, corpus_chunks, drafted_obligations, drafted_evidence, folded_texts
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL = {
@@ -275,7 +295,7 @@ FROM orders, (VALUES ('exact'), ('deadline'), ('amount'), ('location')) t(m) WHE
 SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 4 = 0 THEN 'CONFLICT' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict, CASE WHEN o_orderkey % 4 <> 0 THEN 0 WHEN o_orderkey % 3 = 2 THEN 3 ELSE 2 END::BIGINT AS compared,
   CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 3 = 2 THEN 'CONFLICT' ELSE 'INSUFFICIENT_EVIDENCE' END END AS amount_state FROM orders""",
     "grounded_actions": """
-SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'số ' || o_orderkey ELSE 'Sinh viên ' || ['đăng kí', 'nộp  đơn', 'gửi hồ sơ', 'đóng học phí', 'tham gia', 'nhận', 'tự đánh giá', 'xem', 'hoàn tất'][o_orderkey % 9 + 1] || ' số ' || o_orderkey || '.' END AS grounded FROM orders""",
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'số ' || o_orderkey ELSE 'Sinh viên ' || ['đăng kí', 'nộp  đơn', 'gửi hồ sơ', 'đóng học phí', 'tham gia', 'nhận', 'tự đánh giá', 'xem', 'hoàn tất'][o_orderkey % 9 + 1] || ' số ' || o_orderkey || '.' END AS grounded FROM orders""",
     "corpus_chunks": r"""
 WITH RECURSIVE v AS (SELECT doc_id % 500 AS k, md5(text) AS h, min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY 1, 2),
 hd AS (SELECT doc_id % 500 AS k, arg_max(md5(text), doc_id) AS h FROM documents GROUP BY 1),
@@ -309,9 +329,14 @@ WITH c AS (SELECT doc_id - CASE WHEN doc_id % 100 = 1 THEN 1 ELSE 0 END AS id, d
 SELECT rule, count(*) AS n FROM v GROUP BY 1""",
     "catalog_rows": "SELECT (n_nationkey % 20)::VARCHAR AS item, 'code is not unique' AS rule FROM nation GROUP BY 1 HAVING count(DISTINCT n_name) > 1 UNION ALL SELECT DISTINCT c_mktsegment, 'unknown source' FROM customer WHERE c_mktsegment = 'BUILDING'",
     "expected_values": """
-WITH e AS (SELECT l_orderkey AS id, l_linenumber::BIGINT AS v FROM lineitem), p AS (SELECT l_orderkey AS id, l_suppkey % 9 AS v FROM lineitem),
-c AS (SELECT (SELECT count(*) FROM e) AS expected, (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM e SEMI JOIN p USING (id, v)) AS found, (SELECT count(*) FROM p SEMI JOIN e USING (id, v)) AS right_)
-SELECT expected, predicted, found, right_ AS right, round(found / expected, 9) AS recall, round(right_ / predicted, 9) AS precision FROM c""",
+WITH e AS (
+  SELECT o_orderkey AS id, 'a' AS field, CASE WHEN o_orderkey % 3 <> 0 THEN 'v' || (o_orderkey % 5) END AS v FROM orders UNION ALL SELECT o_orderkey, 'b', NULL FROM orders UNION ALL SELECT o_orderkey, 'c', o_orderpriority FROM orders),
+p AS (SELECT l_orderkey AS id, 'a' AS field, 'v' || (l_suppkey % 5) AS v FROM lineitem SEMI JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT o_orderkey, 'c', o_orderpriority FROM orders, (VALUES (1), (2)) WHERE o_orderkey % 2 = 0),
+c AS (
+  SELECT field, count(v) AS s, (SELECT count(*) FROM e x SEMI JOIN p USING (id, field, v) WHERE x.field = e.field) AS m, (SELECT count(*) FROM p WHERE p.field = e.field) AS n FROM e GROUP BY 1),
+r AS (SELECT *, CASE WHEN n > 0 THEN m / n END AS pr, m / s AS re FROM c WHERE s > 0)
+SELECT field, 'MEASURED' AS status, s AS support_n, m AS matched_n, n::BIGINT AS predicted_value_n, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr > 0 AND re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1 FROM r
+UNION ALL SELECT field, 'NOT_YET_MEASURED', s, NULL, NULL, NULL, NULL, NULL FROM c WHERE s = 0""",
     "error_layers": "SELECT CASE WHEN event_id % 2 = 0 THEN 'right' WHEN event_type = 'click' THEN 'segmentation' WHEN value <= 50 THEN 'extraction' WHEN user_id % 3 = 0 THEN 'retrieval' WHEN event_type = 'view' THEN 'comparison' ELSE 'verdict' END AS layer, count(*) AS n FROM events GROUP BY 1",
     "grounded_spans": """
 WITH s AS (SELECT l_orderkey AS d, l_linenumber AS e, max(l_returnflag) AS t FROM lineitem GROUP BY 1, 2 HAVING max(l_returnflag) IN ('A', 'N')),
@@ -319,5 +344,22 @@ u AS (SELECT l_orderkey AS d, l_partkey % 2 AS o, l_linestatus AS f, l_linenumbe
 k AS (SELECT * FROM u WHERE (d, o) IN (SELECT (d, o) FROM u WHERE f = 'O'))
 SELECT d AS doc_id, e::VARCHAR AS evidence_id, NULL::BIGINT AS obligation_id, t AS what FROM s SEMI JOIN k USING (d, e)
 UNION ALL SELECT DISTINCT d, e::VARCHAR, o, CASE WHEN f = 'O' THEN 'action' ELSE 'deadline' END FROM k""",
-    "drafted_obligations": "SELECT o_orderkey AS draft_id, CASE WHEN o_orderkey % 2 = 0 THEN 'đăng ký' ELSE 'Sinh viên đăng ký  học phần.' END AS action_text, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deadline, CASE WHEN o_orderkey % 5 <> 0 THEN 'Nộp tại Phòng A' END AS location FROM orders",
+    "drafted_obligations": """
+SELECT o_orderkey AS draft_id, 'o' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS obligation_id,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'đăng ký' ELSE 'Sinh viên đăng ký  học phần.' END AS action_text, CASE WHEN o_orderkey % 4 = 0 THEN 'sinh viên K21' END AS audience,
+  CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deadline, CASE WHEN o_orderkey % 3 = 0 THEN 'date' END AS precision,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'Lệ phí 50.000 đồng.' END AS amount_text, CASE WHEN o_orderkey % 7 = 0 THEN 50000 END::BIGINT AS amount,
+  CASE WHEN o_orderkey % 5 <> 0 THEN 'Nộp tại Phòng A' END AS location, 'bảng điểm|Kèm bảng điểm và ảnh thẻ' AS documents,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'Trừ sinh viên K21' ELSE '' END AS exceptions FROM orders""",
+    "drafted_evidence": """
+WITH n AS (
+  SELECT *, 'Sinh viên đăng ký  học phần.' || chr(10) || 'Hạn ' || strftime(o_orderdate, '%d/%m/%Y') || '.' || chr(10) || 'Lệ phí 50.000 đồng.' || chr(10) || 'Nộp tại Phòng A' || chr(10) || 'Kèm bảng điểm và ảnh thẻ' || chr(10) || 'Trừ sinh viên K21' AS raw FROM orders),
+v(ord, field) AS (VALUES (0, 'action'), (1, 'audience'), (2, 'deadline'), (3, 'amount'), (4, 'location'), (5, 'document'), (6, 'document'), (7, 'exception')),
+f AS (
+  SELECT o_custkey, o_orderkey, raw, ord, field, CASE ord WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'đăng ký' ELSE 'Sinh viên đăng ký  học phần.' END
+    WHEN 1 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'sinh viên K21' END WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') END
+    WHEN 3 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'Lệ phí 50.000 đồng.' END WHEN 4 THEN CASE WHEN o_orderkey % 5 <> 0 THEN 'Nộp tại Phòng A' END
+    WHEN 5 THEN 'bảng điểm' WHEN 6 THEN 'Kèm bảng điểm và ảnh thẻ' ELSE CASE WHEN o_orderkey % 6 = 0 THEN 'Trừ sinh viên K21' END END AS text FROM n, v),
+g AS (SELECT o_custkey, field, text, min(o_orderkey * 8 + ord) AS first, min(strpos(raw, text) - 1) AS a FROM f WHERE text IS NOT NULL GROUP BY 1, 2, 3)
+SELECT o_custkey AS notice_id, 'e' || row_number() OVER (PARTITION BY o_custkey ORDER BY first) AS evidence_id, field, text, a::BIGINT AS start_char, (a + length(text))::BIGINT AS end_char FROM g""",
 }

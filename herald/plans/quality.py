@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from herald.operators import annotations as G
@@ -239,10 +241,21 @@ def ground_quotes(spark, sf_dir):
     ).select("quote_id", F.md5("grounded").alias("grounded_md5"))
 
 
+def ground_kinds(spark, sf_dir):
+    """Quotes of a notice about each order: an inner part, one over two lines, one with accents apart, a near one, none, one in capitals."""
+    o = table(spark, sf_dir, "orders")
+    n, day, k = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.col("o_orderkey") % 6
+    text = F.concat(F.lit("Thông báo số "), n, F.lit(".\nSinh viên nộp học phí\ntrước ngày "), day, F.lit(". Hết."))
+    apart = F.concat(F.lit(unicodedata.normalize("NFD", "Thông báo số ")), n, F.lit("."))
+    quote = F.when(k == 0, "nộp học phí").when(k == 1, F.concat(F.lit("Sinh viên nộp học phí trước ngày "), day, F.lit("."))).when(k == 2, apart).when(
+        k == 3, F.concat(F.lit("Sinh viên nộp học phi trước ngày "), day, F.lit("!"))).when(k == 4, "không có ở đó").otherwise("SINH VIÊN  NỘP HỌC PHÍ")
+    return O.ground(o.select(F.col("o_orderkey").alias("quote_id"), quote.alias("quote"), text.alias("raw_text")))
+
+
 def payload_errors(spark, sf_dir):
-    """Model outputs about each order, right ones and each kind of wrong one."""
+    """Model outputs about each order: right ones, each kind of wrong one, and wrong ones in several claims."""
     o = table(spark, sf_dir, "orders")
-    k, n = F.col("o_orderkey") % 9, F.col("o_orderkey").cast("string")
+    k, n = F.col("o_orderkey") % 14, F.col("o_orderkey").cast("string")
     day = F.date_format("o_orderdate", "dd/MM/yyyy")
     message = F.concat(F.lit("Sinh viên "), n, F.lit(" nộp đơn "), F.col("o_orderpriority"), F.lit(" trước "), day)
     base = {
@@ -252,14 +265,19 @@ def payload_errors(spark, sf_dir):
     }
     wrong = {
         1: {"claim_text": F.concat(n, F.lit(" khác"))}, 2: {"action_normalized": F.lit("fly")}, 3: {"deadline_raw": F.lit("30/9")},
-        4: {"amount_value": F.lit("1.5")}, 5: {"audience": F.lit("ai đó")}, 6: {"verdict": F.lit("VERIFIED")}
+        4: {"amount_value": F.lit(1.5)}, 5: {"audience": F.lit("ai đó")}, 6: {"verdict": F.lit("VERIFIED")}, 9: {"amount_value": F.lit("5")},
+        10: {"deadline_normalized": F.lit(""), "deadline_raw": F.lit(None).cast("string"), "amount_value": F.lit(5)},
+        13: {"required_documents": F.array(F.lit("đơn"), F.lit("giấy khai sinh"))}
     }
-    claim = lambda more: F.to_json(F.struct(F.array(F.struct(*[v.alias(c) for c, v in {**base, **more}.items()])).alias("claims")))
+    one = lambda more: F.to_json(F.struct(*[v.alias(c) for c, v in {**base, **more}.items()]))
+    several = lambda *claims: F.concat(F.lit('{"claims":['), F.concat_ws(",", *claims), F.lit("]}"))
     payload = F.when(k == 7, '{"other":1}').when(k == 8, "[")
     for i, more in wrong.items():
-        payload = payload.when(k == i, claim(more))
+        payload = payload.when(k == i, several(one(more)))
+    payload = payload.when(k == 11, several(one({}), one(wrong[2]), one(wrong[6]))).when(
+        k == 12, several(one({}), F.concat(F.lit('{"verdict":null,"claim_text":"'), n, F.lit('"}')), one(wrong[1])))
     return O.payload_errors(
-        o.select(F.col("o_orderkey").alias("output_id"), message.alias("message"), payload.otherwise(claim({})).alias("payload"))
+        o.select(F.col("o_orderkey").alias("output_id"), message.alias("message"), payload.otherwise(several(one({}), one({}))).alias("payload"))
     )
 
 
@@ -349,18 +367,33 @@ def field_outcomes(spark, sf_dir):
     return J.field_outcomes(li)
 
 
+def _claims(spark, sf_dir):
+    """Turns as gold claims, and as found: without the second of each conversation, with another text in the fourth, another role in the third."""
+    c = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    gold = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ix"), "text", "role", F.when(F.col("turn") < 3, F.col("turn")).alias("place"))
+    found = gold.filter("ix != 1").select(
+        "case_id", "ix", F.when(F.col("ix") == 3, "?").otherwise(F.col("text")).alias("text"), F.when(F.col("ix") == 2, "x").otherwise(F.col("role")).alias("role"),
+        F.left("text", F.lit(9)).alias("role_text"), (F.col("ix") % 4).alias("place"), F.lit("?").alias("place_text"))
+    return gold, found
+
+
 def aligned_claims(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    gold = c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("ix"), "text")
-    pred = c.filter("turn != 1").select(
-        F.col("conv_id").alias("case_id"), F.col("turn").alias("ix"), F.when(F.col("turn") == 3, "?").otherwise(F.col("text")).alias("text")
-    )
-    return J.alignment_metrics(J.align_claims(gold, pred))
+    gold, found = _claims(spark, sf_dir)
+    m = J.claim_metrics(gold, found, gold.select("case_id").distinct())
+    return m.select(*[F.round(c, 9).alias(c) if c.endswith("accuracy") else c for c in m.columns])
+
+
+def claim_field_scores(spark, sf_dir):
+    """Scores of fields with claims numbered over all conversations, and within each."""
+    gold, found = _claims(spark, sf_dir)
+    both = [J.field_scores(gold, found, ["role", "place"], own).withColumn("per_case", F.lit(own)) for own in (False, True)]
+    m = both[0].unionByName(both[1])
+    return m.select("per_case", "field", "support_n", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "value_accuracy", "span_accuracy")])
 
 
 _ALL = (
     page_notices, page_links, discovered_links, page_text, listing_gate, source_upsert, source_missing, source_health, health_log, dataset_fingerprint, annotation_violations, review_batch, promote_drafts, gold_pack, field_support, rule_obligations, ground_quotes,
-    payload_errors, confusion, accuracy, atom_prf, retrieval_metrics, mutations, leakage, contained_passages, price_percentiles, change_classes, field_outcomes, aligned_claims,
+    payload_errors, ground_kinds, confusion, accuracy, atom_prf, retrieval_metrics, mutations, leakage, contained_passages, price_percentiles, change_classes, field_outcomes, aligned_claims, claim_field_scores,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _FOLD = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
@@ -428,9 +461,13 @@ FROM orders, (VALUES (1, 'submit', 'nộp'), (2, 'check', 'Kiểm tra')) t(n, ki
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), f AS (SELECT doc_id, ls[1] AS first FROM d)
 SELECT doc_id AS quote_id, CASE WHEN doc_id % 4 = 0 THEN md5(first) WHEN doc_id % 4 = 1 THEN md5(trim(first)) END AS grounded_md5 FROM f WHERE doc_id % 4 <> 2
 UNION ALL SELECT doc_id, md5(CASE WHEN length(first) BETWEEN 20 AND 150 THEN trim(first) ELSE first END) FROM f WHERE doc_id % 4 = 2""",
+    "ground_kinds": """
+SELECT o_orderkey AS quote_id, CASE o_orderkey % 6 WHEN 0 THEN 'nộp học phí' WHEN 2 THEN 'Thông báo số ' || o_orderkey || '.' WHEN 4 THEN NULL WHEN 5 THEN 'Sinh viên nộp học phí'
+  ELSE 'Sinh viên nộp học phí' || chr(10) || 'trước ngày ' || strftime(o_orderdate, '%d/%m/%Y') || '.' END AS grounded FROM orders""",
     "payload_errors": """
-SELECT o_orderkey AS output_id, CASE o_orderkey % 9 WHEN 1 THEN 'UNGROUNDED_CLAIM' WHEN 2 THEN 'INVALID_ACTION' WHEN 3 THEN 'INVENTED_YEAR' WHEN 4 THEN 'INVALID_AMOUNT' WHEN 5 THEN 'UNGROUNDED_FIELD'
-  WHEN 6 THEN 'TRUST_VERDICT_OR_INVALID_CLAIM' WHEN 7 THEN 'INVALID_TOP_LEVEL_SCHEMA' WHEN 8 THEN 'INVALID_TOP_LEVEL_SCHEMA' END AS error FROM orders""",
+SELECT o_orderkey AS output_id, CASE o_orderkey % 14 WHEN 1 THEN 'UNGROUNDED_CLAIM' WHEN 2 THEN 'INVALID_ACTION' WHEN 3 THEN 'INVENTED_YEAR' WHEN 4 THEN 'INVALID_AMOUNT' WHEN 5 THEN 'UNGROUNDED_FIELD'
+  WHEN 6 THEN 'TRUST_VERDICT_OR_INVALID_CLAIM' WHEN 7 THEN 'INVALID_TOP_LEVEL_SCHEMA' WHEN 8 THEN 'INVALID_TOP_LEVEL_SCHEMA' WHEN 9 THEN 'INVALID_AMOUNT' WHEN 11 THEN 'INVALID_ACTION'
+  WHEN 12 THEN 'TRUST_VERDICT_OR_INVALID_CLAIM' WHEN 13 THEN 'UNGROUNDED_FIELD' END AS error FROM orders""",
     "confusion": """
 WITH d(label) AS (VALUES (0), (1), (2)), c AS (SELECT label, count(*) FILTER (WHERE quality = label AND toxic = label) AS tp, count(*) FILTER (WHERE quality <> label AND toxic = label) AS fp, count(*) FILTER (WHERE quality = label AND toxic <> label) AS fn FROM d, labels GROUP BY 1),
 s AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c)
@@ -457,9 +494,26 @@ FROM orders, (VALUES ('exact'), ('deadline'), ('location'), ('unsupported')) t(m
     "price_percentiles": "WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT count(*) AS n, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.95), 4) AS p95, max(v) FILTER (WHERE i = floor(n * 0.95)) AS p95_at FROM s",
     "change_classes": "SELECT doc_id AS case_id, CASE WHEN quality = 1 AND toxic <> 0 THEN 'regression' WHEN quality <> 1 AND toxic = 0 THEN 'fixed' WHEN toxic = 0 THEN 'unchanged' ELSE 'limitation' END AS change FROM labels",
     "field_outcomes": """
-WITH r AS (SELECT l_linestatus AS field, CASE WHEN l_quantity > 5 THEN lower(l_returnflag) END AS g, CASE WHEN l_tax > 0.01 THEN CASE WHEN l_discount > 0.05 THEN 'r' ELSE lower(l_returnflag) END END AS p FROM lineitem)
+WITH r AS (SELECT l_linestatus AS field, CASE WHEN l_quantity > 5 THEN l_returnflag END AS g, CASE WHEN l_tax > 0.01 THEN CASE WHEN l_discount > 0.05 THEN 'r.' ELSE l_returnflag END END AS p FROM lineitem)
 SELECT field, CASE WHEN g IS NULL AND p IS NULL THEN 'absent' WHEN g IS NULL THEN 'hallucinated' WHEN p IS NULL THEN 'missing' WHEN g = p THEN 'correct' ELSE 'incorrect' END AS outcome, count(*) AS n FROM r GROUP BY 1, 2""",
     "aligned_claims": """
-WITH g AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), p AS (SELECT conv_id, CASE WHEN turn = 3 THEN '?' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn <> 1)
-SELECT count(*) FILTER (WHERE g.text IS NOT NULL AND p.text IS NOT NULL) AS pairs, count(*) FILTER (WHERE g.text = p.text) AS exact, count(*) FILTER (WHERE p.text IS NULL) AS missed, count(*) FILTER (WHERE g.text IS NULL) AS invented FROM g FULL JOIN p ON g.conv_id = p.conv_id AND g.n = p.n""",
+WITH g AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS (SELECT conv_id, CASE WHEN turn = 3 THEN '?' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn <> 1),
+c AS (
+  SELECT conv_id, count(g.n) AS g, (SELECT count(*) FROM p WHERE p.conv_id = g.conv_id) AS p, (SELECT count(*) FROM g a JOIN p b ON a.conv_id = b.conv_id AND a.n = b.n AND a.text = b.text WHERE a.conv_id = g.conv_id) AS same FROM g GROUP BY 1)
+SELECT count(*) AS n, round(count(*) FILTER (WHERE g = p) / count(*), 9) AS claim_count_accuracy, round(count(*) FILTER (WHERE g = p AND same = g) / count(*), 9) AS claim_boundary_accuracy,
+  greatest(sum(g) - sum(p), 0)::BIGINT AS missed_claims, greatest(sum(p) - sum(g), 0)::BIGINT AS hallucinated_claims FROM c""",
+    "claim_field_scores": """
+WITH t AS (SELECT conv_id AS c, turn AS ix, text, role FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+g AS (SELECT *, row_number() OVER (ORDER BY c, ix) AS i, row_number() OVER (PARTITION BY c ORDER BY ix) AS n FROM t),
+p AS (SELECT *, row_number() OVER (ORDER BY c, ix) AS i, row_number() OVER (PARTITION BY c ORDER BY ix) AS n FROM t WHERE ix <> 1),
+j AS (
+  SELECT false AS own, g.text AS whole, g.role AS gr, CASE WHEN g.ix < 3 THEN g.ix END AS gp, CASE WHEN p.ix = 2 THEN 'x' ELSE p.role END AS pr, p.ix % 4 AS pp, p.text[1:9] AS held FROM g LEFT JOIN p ON g.i = p.i
+  UNION ALL SELECT true, g.text, g.role, CASE WHEN g.ix < 3 THEN g.ix END, CASE WHEN p.ix = 2 THEN 'x' ELSE p.role END, p.ix % 4, p.text[1:9] FROM g LEFT JOIN p ON g.c = p.c AND g.n = p.n),
+f AS (SELECT own, 'role' AS field, gr AS w, pr AS o, contains(whole, held) AS h FROM j UNION ALL SELECT own, 'place', gp::VARCHAR, pp::VARCHAR, contains(whole, CASE WHEN pp IS NOT NULL THEN '?' END) FROM j),
+c AS (
+  SELECT own, field, count(w) AS s, count(*) FILTER (WHERE w = o) AS tp, count(*) FILTER (WHERE w IS NOT NULL AND (w = o) IS NOT TRUE) AS fn, count(*) FILTER (WHERE w IS NULL AND o IS NOT NULL) AS fp, count(*) FILTER (WHERE w = o AND h) AS sp FROM f GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS re FROM c)
+SELECT own AS per_case, field, s AS support_n, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr > 0 AND re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1,
+  round(CASE WHEN s > 0 THEN tp / s END, 9) AS value_accuracy, round(CASE WHEN s > 0 THEN sp / s END, 9) AS span_accuracy FROM r""",
 }
