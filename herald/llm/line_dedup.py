@@ -35,6 +35,8 @@ from herald.llm._common import materialize, n_words, text_key, text_of, words
 NEAR = 0.1
 #: Words of which texts may differ, to those they share, if they reach a similarity of 0.8: one in this many of all.
 NINTH = 9
+#: Bits of a table of text keys (1 MB whatever the input), and of one of its rows.
+BITS, ROW = 1 << 23, 1 << 15
 #: Words of a run that two edited lines share.
 RUN = 3
 
@@ -47,6 +49,26 @@ def _trimmed(text: Column) -> Column:
     return F.transform(_lines(text), lambda x: F.trim(x))  # a bare F.trim would take the index as what to trim
 
 
+def _sifted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (__t1) with ``__maybe``: false only if no row of ``keys`` (t1) has that key.
+
+    The keys' bits are a table of fixed size, which is broadcast; what it rules
+    out need not be shuffled to be joined. With more keys than bits it rules
+    out nothing, and all rows are joined.
+    """
+    def place(c: str) -> tuple[Column, Column]:
+        at = F.pmod(F.col(c), F.lit(BITS))
+        return F.floor(at / ROW).cast("int"), (at % ROW).cast("int")
+
+    row, at = place("t1")
+    table = keys.select(row.alias("__row"), at.cast("long").alias("at")).groupBy("__row").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    row, at = place("__t1")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, at % 8).bitwiseAND(1) == 1
+    joined = rows.join(F.broadcast(table), row == F.col("__row"), "left")
+    return joined.withColumn("__maybe", F.coalesce(is_set, F.lit(False))).drop("__row", "__bits")
+
+
 def spread_lines(
     docs: DataFrame, site: str = "source", sites: int = 5, min_words: int = 3, short_sites: int = 25, lg_k: int = 12
 ) -> DataFrame:
@@ -116,16 +138,19 @@ def _copies(texts: DataFrame, mostly: DataFrame, sites: int) -> DataFrame:
     edited = mostly.filter(NINTH * F.col("words") < (NINTH - 1) * F.col("all_words")).select("t1", "t2", F.lit(True).alias("edited"))
     known = mostly.select("t1", "t2", F.col("found.at").alias("at")).join(edited, ["t1", "t2"], "left")
     known = known.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "at", F.coalesce("edited", F.lit(False)).alias("edited"))
-    there = texts.withColumns({"t1": t1, "t2": t2}).join(known, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
+    able = _sifted(texts.withColumns({"__t1": t1, "__t2": t2}), mostly).filter("__maybe").withColumnsRenamed({"__t1": "t1", "__t2": "t2"})
+    there = able.join(known, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
     line = F.transform(_lines(F.col("text")), lambda x, i: F.struct(
         _runs(x).alias("runs"), (F.col("edited") & ~F.array_contains(F.col("at"), i)).alias("own")))
     own, spread = (F.flatten(F.transform(F.filter("line", f), lambda x: x["runs"])) for f in (lambda x: x["own"], lambda x: ~x["own"]))
-    run = there.select("t1", "t2", line.alias("line")).select("t1", "t2", F.explode(F.concat(
-        F.transform(F.array_distinct(own), lambda x: F.struct(x.alias("x"), F.lit(True).alias("own"))),
-        F.transform(F.array_distinct(spread), lambda x: F.struct(x.alias("x"), F.lit(False).alias("own"))))).alias("r"))
+    there = there.select("t1", "t2", "site", "nowhere", line.alias("line"))
+    there = materialize(there.select("t1", "t2", "site", "nowhere", F.array_distinct(own).alias("own"), F.array_distinct(spread).alias("spread")))
+    run = there.select("t1", "t2", F.explode(F.concat(
+        F.transform("own", lambda x: F.struct(x.alias("x"), F.lit(True).alias("own"))),
+        F.transform("spread", lambda x: F.struct(x.alias("x"), F.lit(False).alias("own"))))).alias("r"))
     run = run.groupBy("t1", "t2", F.col("r.x").alias("x")).agg(F.max("r.own").alias("own"))
     rest = mostly.filter(NINTH * F.col("words") >= (NINTH - 1) * F.col("all_words")).select("t1", "t2").unionByName(_shared(run, F.col("own")))
-    on = texts.filter("not nowhere").select(t1.alias("t1"), t2.alias("t2"), "site").distinct()
+    on = there.filter("not nowhere").select("t1", "t2", "site").distinct()
     everywhere = on.groupBy("t1", "t2").agg(F.count("*").alias("s")).filter(F.col("s") >= sites).select("t1", "t2")
     return together.join(rest, ["t1", "t2"], "left_semi").unionByName(everywhere).distinct()
 
@@ -158,15 +183,18 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     repeated rows stay repeated. Columns of any other name are kept as they
     are. An empty table gives an empty result.
     """
-    marked = mark_lines(docs, **options).select(F.col("t1").alias("__k1"), F.col("t2").alias("__k2"), F.col("drop").alias("__drop"))
+    marked = materialize(mark_lines(docs, **options).select("t1", "t2", "drop"))
     t1, t2 = text_key(text_of(docs["text"]))
-    joined = docs.withColumns({"__t1": t1, "__t2": t2}).join(
-        marked, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left"
-    )
-    left = F.array_join(F.filter(_lines(docs["text"]), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    text = F.when(F.col("__drop").isNull(), docs["text"]).otherwise(left)
+    sifted = _sifted(docs.withColumns({"__t1": t1, "__t2": t2}), marked)
+    marks = marked.select(F.col("t1").alias("__k1"), F.col("t2").alias("__k2"), F.col("drop").alias("__drop"))
+    joined = sifted.filter("__maybe").join(marks, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left")
+    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)
     out = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
+    # texts that cannot be marked go past the join; the length of each text is its own either way
+    same = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
+    cut, whole = ([own[c].alias(c) if c in own else F.col(c) for c in docs.columns] for own in (out, same))
+    return joined.select(*cut).unionByName(sifted.filter("not __maybe").select(*whole))
 
 
 def report(docs: DataFrame, site: str = "source", **options) -> DataFrame:
