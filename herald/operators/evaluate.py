@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herald.functions.text import fold_key, norm_text
+from herald.operators.sift import bits_for, sift
 from herald.sources.scratch import written
 
 
@@ -321,10 +322,11 @@ def contained(passages: DataFrame, documents: DataFrame, k: int = 5) -> DataFram
     """(item_id, doc_id) of passages that a document holds word for word, folded.
 
     Candidates hold all windows of ``k`` words of the passage; passages of
-    fewer words are one window of their own length. Documents are cut into
-    windows in one pass, of which only those of passages are kept, and only
-    candidates' texts are looked through. A passage without words is in no
-    document; null texts have no words.
+    fewer words are one window of their own length. Documents are read once and
+    cut into windows where they are read; a table of bits of the passages'
+    windows, of bounded size, rules out nearly all others before any shuffle,
+    and only candidates' texts are looked through. A passage without words is
+    in no document; null texts have no words.
     """
     words = lambda c: F.filter(F.split(fold_key(c), " "), lambda x: x != F.lit(""))
     grams = lambda w, n: F.transform(
@@ -332,10 +334,11 @@ def contained(passages: DataFrame, documents: DataFrame, k: int = 5) -> DataFram
     )
     p = passages.select("item_id", fold_key("text").alias("p"), words("text").alias("w")).filter(F.size("w") > 0)
     p = p.withColumn("n", F.least(F.size("w"), F.lit(k)))
-    g = p.select("item_id", F.explode(F.array_distinct(grams(F.col("w"), F.col("n")))).alias("h"))
+    g = written(p.select("item_id", F.explode(F.array_distinct(grams(F.col("w"), F.col("n")))).alias("h")), "windows")
     sizes = p.select("n").distinct()  # at most k rows
     d = documents.select("doc_id", words("text").alias("w")).join(F.broadcast(sizes), F.size("w") >= F.col("n"))
     near = d.select("doc_id", F.explode(F.array_distinct(grams(F.col("w"), F.col("n")))).alias("h"))
+    near = sift(near, "h", g.select("h"), bits_for(g.count()))
     all_ = g.groupBy("item_id").agg(F.count("*").alias("all"))
     pairs = near.join(g, "h").groupBy("item_id", "doc_id").agg(
         F.count_distinct("h").alias("m")

@@ -211,23 +211,32 @@ def vector_check(vectors: DataFrame, known: DataFrame, vector_id: str, size: int
     ).crossJoin(orphan)
 
 
+def _runs(word: str, m: int) -> Column:
+    """Runs of ``m`` letters of a word that has as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(word) - (m - 1)), lambda i: F.substring(F.col(word), i, F.lit(m)))
+
+
 def _candidates(n: DataFrame, q: DataFrame) -> DataFrame:
     """(query_id, notice_id) of notices that share a word with the query or could hold one of its phrases, by joins on words.
 
     A phrase may begin within a word: its first word is then the end of that
-    word, or, if it has no other, any part of it. So it is looked up among the
-    parts of the distinct words.
+    word, or, if it has no other, any part of it. The distinct words are listed
+    by their runs of one to three letters; a phrase's first run of three, or
+    all of a shorter first word, finds the words that may hold it, and those
+    are looked at. A word gives as many rows as it has letters, three times.
     """
     word = n.select(
         "notice_id", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "category", "body"), " "))).alias("word")
     ).filter("word != ''")
     known = word.select("word").distinct()
-    ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.length("word")))
-    parts = F.array_distinct(F.flatten(F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.left(e, i)))))
+    runs = F.flatten(F.array(*[
+        F.when(F.length("word") >= m, F.array_distinct(_runs("word", m))).otherwise(F.expr("cast(array() as array<string>)")) for m in (1, 2, 3)]))
     phrase = q.select("query_id", F.explode(F.array_union(F.array("q"), "syn")).alias("p")).filter("p != ''")
     phrase = phrase.select("query_id", F.substring_index("p", " ", 1).alias("part"), F.contains("p", F.lit(" ")).alias("more"))
-    inside = known.select("word", F.explode(parts).alias("part")).withColumn("last", F.endswith("word", F.col("part")))
-    by_part = inside.join(phrase, "part").filter("last or not more").select("query_id", "word")
+    asked = phrase.select("part", "more").distinct().withColumn("run", F.left("part", F.lit(3)))
+    inside = known.select("word", F.explode(runs).alias("run")).join(asked, "run").filter(
+        F.when(F.col("more"), F.endswith("word", F.col("part"))).otherwise(F.contains("word", F.col("part")))).select("word", "part", "more")
+    by_part = inside.join(phrase, ["part", "more"]).select("query_id", "word")
     by_word = q.select("query_id", F.explode("qt").alias("word"))
     return word.join(by_word.unionByName(by_part).distinct(), "word").select("query_id", "notice_id").distinct()
 

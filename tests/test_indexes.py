@@ -132,3 +132,24 @@ def test_fusion_is_that_of_full_lists(spark, corpus, asked, index):
         a = sorted((r["query_id"], r["rank"], r["doc"], round(r["score"], 12)) for r in got.collect())
         assert a == sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 12)) for r in want.collect())
         assert rounds[0][1] == 6 and all(x[1] >= y[1] for x, y in zip(rounds, rounds[1:]))
+
+
+def test_long_words_are_ranked(spark):
+    """A word of 100,000 letters, and phrases that begin within words."""
+    blob = "".join(random.Random(1).choices("abcdefgh0123", k=100_000))
+    rows = [(1, "Red widget", "c", "x"), (2, blob, "c", "y"), (3, "infrared widget", "c", "z"), (4, "widgets", "c", "red gear"), (5, None, None, None)]
+    n = spark.createDataFrame(rows, "notice_id long, title string, category string, text string")
+    q = spark.createDataFrame([(1, "red widget"), (2, blob[500:560]), (3, "dget"), (4, "d"), (5, "")], "query_id long, text string")
+    got = {(r.query_id, r.notice_id): r.score for r in retrieval.lexical_rank(n, q).collect()}
+    assert got[1, 1] == 100 + 50 + 40 and got[1, 3] == 100 + 20 and got[2, 2] == 100
+    assert {k for k in got if k[0] == 3} == {(3, 1), (3, 3), (3, 4)} and {k[1] for k in got if k[0] == 4} == {1, 2, 3, 4}
+
+
+def test_sift_loses_nothing(spark):
+    from herald.operators import sift
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    keys = rows.filter("id % 97 = 0").select("h")
+    left = sift.sift(rows, "h", keys, sift.bits_for(keys.count()))
+    assert left.filter("id % 97 = 0").count() == keys.count() and left.count() < 1.1 * keys.count()
+    assert sift.sift(rows, "h", keys.limit(0), sift.LEAST).count() == 0 and sift.bits_for(1 << 40) == sift.MOST
