@@ -102,14 +102,12 @@ def keyword_score(text: Column, words: tuple[str, ...] = KEYWORDS) -> Column:
 def select_batch(scored: DataFrame, quotas: dict[str, int], total: int) -> DataFrame:
     """Rows (notice_id, source_id, score) to review: each source's quota of its best, then the best others up to ``total``; ties by id descending."""
     best = [F.col("score").desc(), F.col("notice_id").desc()]
-    quota = F.lit(0)
-    for source, n in quotas.items():
-        quota = F.when(F.col("source_id") == source, n).otherwise(quota)
-    first = scored.withColumn(
-        "place", F.row_number().over(Window.partitionBy("source_id").orderBy(*best))
-    ).withColumn("by_quota", F.col("place") <= quota)
-    # a top-k report: at most ``total`` rows leave the sort
-    return first.orderBy(F.col("by_quota").desc(), *best).limit(total).drop("place")
+    # a top-k report: each part keeps its best rows where they are read, so no source is ranked as a whole
+    own = [scored.filter(F.col("source_id") == s).orderBy(*best).limit(n).withColumn("by_quota", F.lit(True)) for s, n in quotas.items()]
+    first = reduce(DataFrame.unionByName, own, scored.limit(0).withColumn("by_quota", F.lit(True)))
+    others = scored.orderBy(*best).limit(total + sum(quotas.values())).join(first.select("notice_id"), "notice_id", "left_anti")
+    rows = first.unionByName(others.withColumn("by_quota", F.lit(False)).select(*first.columns))
+    return rows.orderBy(F.col("by_quota").desc(), *best).limit(total)
 
 
 def gold_pack(notices: DataFrame, obligations: DataFrame) -> DataFrame:

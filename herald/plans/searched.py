@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from herald.operators import claims as C
-from herald.operators import fusion, impact_index, metric_index
 from herald.operators import retrieval as R
+from herald.operators import searched
 from herald.operators import verify as V
 from herald.plans.tables import table
 from herald.sources.scratch import written
@@ -66,34 +65,26 @@ def _messages(notices, step):
     return n.select(F.col("notice_id").alias("message_id"), text.alias("text"), F.when(way != 5, F.col("embedding")).alias("vector"))
 
 
-def _found(spark, sf_dir, step=50):
-    """Claims, notices and the first identity that the search finds for each claim with a field."""
+def _indexed(spark, sf_dir):
+    """The notices, and their chunks indexed with obligations and validity."""
     n = written(_notices(spark, sf_dir), "notices")
-    m = _messages(n, step)
-    claims = written(C.extract_claims(m), "claims")
-    asked = claims.filter("coalesce(action.text, deadline.text, amount.text) is not null").select(
-        (F.col("message_id") * 10 + F.col("claim_ix")).alias("query_id"), "message_id", "claim_ix", "text"
-    )
-    index = impact_index.build(n.select("chunk_id", "text"), "chunk_id")
-    vectors = metric_index.build(n.select("chunk_id", "embedding"), "chunk_id")
-    queries = written(asked.join(m.select("message_id", "vector"), "message_id").select("query_id", "text", "vector"), "queries")
-    first = fusion.current_evidence([fusion.lexical(index), fusion.dense(vectors)], queries, n, index.docs, 1)
-    return n, claims, asked.join(first, "query_id").select("message_id", "claim_ix", "notice_id", "version_id")
-
-
-def _judged(spark, sf_dir, step=50):
-    n, claims, evidence = _found(spark, sf_dir, step)
     relations = n.filter("way = 6 and version_id = 2").select(
         F.col("notice_id").alias("relation_id"), F.col("notice_id").alias("target_notice_id"),
         F.lit(None).cast("long").alias("target_version_id"), F.lit("amends").alias("relation_type"), F.lit("manual").alias("provenance")
     )
     validity = V.temporal_validity(n.select("notice_id", "version_id", "is_latest"), relations)
-    return V.verify_claims(claims, _obligations(n), validity, evidence)
+    return n, searched.index_chunks(n, _obligations(n), validity)
+
+
+def _judged(spark, sf_dir, step=50):
+    n, evidence = _indexed(spark, sf_dir)
+    return searched.verdicts(_messages(n, step), evidence)
 
 
 def searched_evidence(spark, sf_dir):
     """The version that each claim is held against."""
-    return _found(spark, sf_dir)[2].withColumn("claim_ix", F.col("claim_ix").cast("long"))
+    n, evidence = _indexed(spark, sf_dir)
+    return searched.find(_messages(n, 50), evidence)[1].withColumn("claim_ix", F.col("claim_ix").cast("long"))
 
 
 def searched_verdicts(spark, sf_dir):

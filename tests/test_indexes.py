@@ -153,3 +153,25 @@ def test_sift_loses_nothing(spark):
     left = sift.sift(rows, "h", keys, sift.bits_for(keys.count()))
     assert left.filter("id % 97 = 0").count() == keys.count() and left.count() < 1.1 * keys.count()
     assert sift.sift(rows, "h", keys.limit(0), sift.LEAST).count() == 0 and sift.bits_for(1 << 40) == sift.MOST
+
+
+def test_search_in_the_stream(spark, tmp_path):
+    """Each batch of messages is searched, compared and judged against indexes that were made once."""
+    from herald.operators import searched
+    from herald.streaming import jobs
+
+    chunks = spark.createDataFrame(
+        [(10 * i + v, i, v, v == 2, f"Thông báo {i}: Sinh viên đăng ký học phần trước ngày {v}{i}/10/2026", [float(i == j) for j in range(4)]) for i in range(4) for v in (1, 2)],
+        "chunk_id long, notice_id long, version_id long, is_latest boolean, text string, embedding array<double>")
+    obligations = spark.createDataFrame(
+        [(i, 2, 0, "register", f"2{i}/10/2026", f"2026-10-2{i}", None) for i in range(4)],
+        "notice_id long, version_id long, ordinal int, off_action string, off_deadline string, off_deadline_norm string, off_amount long")
+    validity = chunks.select("notice_id", "version_id").withColumn("validity", F.lit("CURRENT"))
+    messages = [(i, f"Sinh viên đăng ký học phần trước ngày 2{i if i < 3 else 9}/10/2026 thông báo {i}", [float(i == j) for j in range(4)]) for i in range(4)]
+    schema, src, out = "message_id long, text string, vector array<double>", str(tmp_path / "m"), str(tmp_path / "v")
+    verify = searched.verifier(searched.index_chunks(chunks, obligations, validity))
+    for k in (0, 2):
+        spark.createDataFrame(messages[k : k + 2], schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.verify_stream(jobs.read_stream(spark, src, schema), verify, out, str(tmp_path / "ck")).awaitTermination(300)
+    got = {r.message_id: r.verdict for r in spark.read.parquet(out).collect()}
+    assert got == {0: "VERIFIED", 1: "VERIFIED", 2: "VERIFIED", 3: "CONFLICT"}
