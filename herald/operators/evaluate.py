@@ -253,10 +253,15 @@ def field_scores(gold: DataFrame, predicted: DataFrame, fields: list[str], per_c
         ratio(F.col("tp"), F.col("support_n")).alias("value_accuracy"), ratio(F.col("spans"), F.col("support_n")).alias("span_accuracy"))
 
 
-def field_outcomes(rows: DataFrame) -> DataFrame:
-    """(field, outcome, n) of rows (field, gold, predicted): correct if equal, incorrect, missing, hallucinated or absent."""
+def field_outcomes(rows: DataFrame, exact: bool = False) -> DataFrame:
+    """(field, outcome, n) of rows (field, gold, predicted): correct, incorrect, missing, hallucinated or absent.
+
+    Values are correct if they are equal by :func:`norm_text`; with ``exact``,
+    for values that are normalised already, only if they are equal as they are.
+    """
+    value = F.col if exact else norm_text
     o = F.when(F.col("gold").isNull() & F.col("predicted").isNull(), "absent").when(F.col("gold").isNull(), "hallucinated").when(
-        F.col("predicted").isNull(), "missing").when(F.col("gold") == F.col("predicted"), "correct").otherwise("incorrect")
+        F.col("predicted").isNull(), "missing").when(value("gold") == value("predicted"), "correct").otherwise("incorrect")
     return rows.groupBy("field", o.alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -277,7 +282,7 @@ def claim_outcomes(gold: DataFrame, returned: DataFrame) -> DataFrame:
         F.struct(F.lit(f).alias("field"), *[
             (listed(F.col(f"{side}.{f}")) if f == QUALIFIED[-1] else F.col(f"{side}.{f}").cast("string")).alias(side) for side in ("gold", "predicted")])
         for f in QUALIFIED]
-    return field_outcomes(rows.select(F.explode(F.array(*each)).alias("x")).select("x.*")).filter("outcome != 'absent'")
+    return field_outcomes(rows.select(F.explode(F.array(*each)).alias("x")).select("x.*"), exact=True).filter("outcome != 'absent'")
 
 
 def qualification(cases: DataFrame, gold: DataFrame, returned: DataFrame) -> DataFrame:

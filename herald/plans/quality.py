@@ -397,6 +397,8 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 _FOLD = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
+#: ``norm_text`` of a value that is not null; the class is that of Unicode white space.
+_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[.,;:()]', '', 'g'), '[\x{{9}}-\x{{D}}\x{{85}}\p{{Z}}]+', ' ', 'g'))".format
 SQL = {
     "page_notices": r"""
 WITH p AS (SELECT page_id, html, make_timestamp(2026, page_id % 12 + 1, page_id % 28 + 1, page_id % 24, page_id % 60, 0) - INTERVAL 7 HOUR AS utc, len(regexp_extract_all(html, '<a [^>]*href=')) AS own,
@@ -493,9 +495,9 @@ FROM orders, (VALUES ('exact'), ('deadline'), ('location'), ('unsupported')) t(m
     "contained_passages": f"WITH d AS (SELECT doc_id, {_FOLD} AS t FROM documents), p AS (SELECT item_id, {_FOLD} AS p FROM benchmark) SELECT item_id, doc_id FROM p JOIN d ON contains(' ' || t || ' ', ' ' || p || ' ')",
     "price_percentiles": "WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT count(*) AS n, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.95), 4) AS p95, max(v) FILTER (WHERE i = floor(n * 0.95)) AS p95_at FROM s",
     "change_classes": "SELECT doc_id AS case_id, CASE WHEN quality = 1 AND toxic <> 0 THEN 'regression' WHEN quality <> 1 AND toxic = 0 THEN 'fixed' WHEN toxic = 0 THEN 'unchanged' ELSE 'limitation' END AS change FROM labels",
-    "field_outcomes": """
+    "field_outcomes": f"""
 WITH r AS (SELECT l_linestatus AS field, CASE WHEN l_quantity > 5 THEN l_returnflag END AS g, CASE WHEN l_tax > 0.01 THEN CASE WHEN l_discount > 0.05 THEN 'r.' ELSE l_returnflag END END AS p FROM lineitem)
-SELECT field, CASE WHEN g IS NULL AND p IS NULL THEN 'absent' WHEN g IS NULL THEN 'hallucinated' WHEN p IS NULL THEN 'missing' WHEN g = p THEN 'correct' ELSE 'incorrect' END AS outcome, count(*) AS n FROM r GROUP BY 1, 2""",
+SELECT field, CASE WHEN g IS NULL AND p IS NULL THEN 'absent' WHEN g IS NULL THEN 'hallucinated' WHEN p IS NULL THEN 'missing' WHEN {_NORM('g')} = {_NORM('p')} THEN 'correct' ELSE 'incorrect' END AS outcome, count(*) AS n FROM r GROUP BY 1, 2""",
     "aligned_claims": """
 WITH g AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 p AS (SELECT conv_id, CASE WHEN turn = 3 THEN '?' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn <> 1),

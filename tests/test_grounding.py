@@ -6,10 +6,12 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import duckdb
 from pyspark.sql import functions as F
 
 from herald.operators import evaluate as J
 from herald.operators import obligations as O
+from herald.plans import quality as Q
 
 TEXT = "Thông báo\nSinh viên Làm   thủ tục ở phòng một cửa.\nSinh viên nộp học phí\ntrước ngày 10. Liên hệ – phòng A → B"
 
@@ -125,3 +127,25 @@ def test_running_sums_over_ranges(spark):
     rows = [(i, i % 7) for i in range(500)]
     got = J.running(spark.createDataFrame(rows, "a long, b long").repartition(5), ["a"], "b", "before").collect()
     assert {r.a: r.before for r in got} == {a: sum(b for _, b in rows[:a]) for a, _ in rows}
+
+
+def test_outcomes_of_values_written_otherwise(spark):
+    pairs = [("Đơn  xin.", "đơn xin"), ("(R)", "r"), ("x\u00a0y", "X\ty"), ("x", "y"), ("xy", "x y"), (None, "x"), ("x", None), (None, None), ("", ".")]
+    rows = spark.createDataFrame([("f", *p) for p in pairs], "field string, gold string, predicted string")
+    got = {r.outcome: r.n for r in J.field_outcomes(rows).collect()}
+    assert got == {"correct": 4, "incorrect": 2, "hallucinated": 1, "missing": 1, "absent": 1}
+    exact = {r.outcome: r.n for r in J.field_outcomes(rows, exact=True).collect()}
+    assert exact == {"incorrect": 6, "hallucinated": 1, "missing": 1, "absent": 1}
+
+
+def test_outcome_query_takes_other_spellings(spark, tmp_path):
+    flags = ["R", "r.", " R ", "(R)", "R\u00a0", "R\u200b", "N", "", "Σ.", None]
+    rows = [(status, flag, q, 0.06, tax) for status in ("O", None) for flag in flags for q in (1.0, 9.0) for tax in (0.0, 0.05)]
+    schema = "l_linestatus string, l_returnflag string, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(((r.field or "", r.outcome, r.n) for r in Q.QUERIES["field_outcomes"](spark, str(tmp_path)).collect()))
+    each = [("absent", 11), ("correct", 5), ("hallucinated", 11), ("incorrect", 4), ("missing", 9)]
+    assert got == [(field, o, n) for field in ("", "O") for o, n in each]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted((f or "", o, n) for f, o, n in db.execute(Q.SQL["field_outcomes"]).fetchall()) == got
