@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache, wraps
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herald.functions.text import FLAGS, date_iso, dates_in, let, parse_deadline, parse_vnd, pieces, segments, span_of, trim_space
+from herald.functions.text import FLAGS, date_iso, dates_in, let, parse_deadline, parse_vnd, pieces, span_of, trim_space
 
 # --- Fixed values: the wording that obligations are recognised by --------------
 ACTIONS = [
@@ -164,58 +166,125 @@ def ground(quotes: DataFrame, key: tuple[str, ...] = ("quote_id",)) -> DataFrame
 
     An exact part is itself; else the first line or sentence that is equal
     after folding and composing accents; else the best by containment or
-    matching blocks from 0.88 on, the first of equals. Only quotes that no
-    expression settles reach Python, and with them only segments whose length
-    allows that ratio: twice the shorter one to both together.
+    matching blocks from 0.88 on, the first of equals. Rows stay where they
+    are and are read once; only texts without an exact part reach Python.
     """
-    parts = F.transform(segments("raw_text"), lambda s: F.struct(s.alias("text"), fold_quote(s).alias("folded")))
-    # letters with accents of their own are composed in Python, where lengths and equality are known
-    loose = F.regexp_like("quote", F.lit(r"\p{M}")) | F.regexp_like("raw_text", F.lit(r"\p{M}"))
-    q = quotes.filter("quote is not null and raw_text is not null").withColumns({"__f": fold_quote(F.col("quote")), "__s": parts, "__l": loose})
-    equal = F.get(F.filter("__s", lambda s: s["folded"] == F.col("__f")), F.lit(0))["text"]
-    settled = F.when(F.contains("raw_text", F.col("quote")), F.col("quote")).when((F.col("__f") != "") & ~F.col("__l"), equal)
-    n = F.length("__f")
-    possible = F.filter("__s", lambda s: F.col("__l") | (2 * F.least(n, F.length(s["folded"])) >= GROUNDED * (n + F.length(s["folded"]))))
-    q = q.withColumns({"grounded": settled, "__s": F.when(settled.isNull() & (F.col("__f") != ""), possible)})
-    open_ = F.col("grounded").isNull() & (F.size("__s") > 0)
-    names = [*key, "grounded"]
-    nothing = quotes.filter("quote is null or raw_text is null").select(*key, F.lit(None).cast("string").alias("grounded"))
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[list(key)].assign(grounded=[nearest(x, s) for x, s in zip(pdf["quote"], pdf["__s"])])
+    exact = F.contains("raw_text", F.col("quote"))
+    rows = quotes.select(*key, F.when(exact, F.col("quote")).alias("__g"), *[F.when(~exact, F.col(c)).alias(c) for c in ("quote", "raw_text")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, quote, text = (batch.column(c) for c in ("__g", "quote", "raw_text"))
+            found = [x.as_py() if x.is_valid else grounded(q.as_py(), t.as_py()) for x, q, t in zip(g, quote, text)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], pa.array(found, pa.string())], names=[*key, "grounded"])
 
     schema = T.StructType([*quotes.select(*key).schema.fields, T.StructField("grounded", T.StringType())])
-    left = q.filter(open_).select(*key, "quote", "__s").mapInPandas(match, schema)
-    return q.filter(~open_).select(*names).unionByName(left).unionByName(nothing)
+    return rows.mapInArrow(run, schema)
+
+
+def ground_lists(rows: DataFrame, quotes: str = "quotes") -> DataFrame:
+    """``rows`` (with raw_text and the list ``quotes``) with each quote of the list replaced by what :func:`ground` makes of it."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = ((q.as_py(), t.as_py()) for q, t in zip(batch.column(quotes), batch.column("raw_text")))
+            found = [q and [grounded(x, t) for x in q] for q, t in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.string())) if n == quotes else batch.column(n) for n in names], names=names)
+
+    kinds = [T.StructField(f.name, T.ArrayType(T.StringType())) if f.name == quotes else f for f in rows.schema.fields]
+    return rows.mapInArrow(run, T.StructType(kinds))
+
+
+#: White space as ``(?U)\s`` has it; ``str.split`` and ``str.strip`` also take these four.
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_RUNS, _SENTENCE = re.compile(f"[{_SPACES}]+"), re.compile(f"[.;!?][{_SPACES}]+")
+
+
+def _remembered(f: Callable) -> Callable:
+    """``f`` that is worked out once for short texts that come again, as lines of templates do."""
+    known = lru_cache(8192)(f)
+    return wraps(f)(lambda text, *more: known(text, *more) if len(text) < 256 else f(text, *more))
+
+
+@_remembered
+def _plain_fold(text: str) -> str:
+    """As :func:`fold_quote`."""
+    text = text.replace("\u2013", "-").replace("\u2014", "-").replace("\u2192", "->")
+    return (_RUNS.sub(" ", text).strip(" ") if _SEPARATORS.search(text) else " ".join(text.split())).lower()
+
+
+@lru_cache(1)  # the quotes of a text follow one another
+def _parts(text: str) -> tuple[list[tuple[str, str]], bool]:
+    """(text, folded) of the segments of a text, as :func:`herald.functions.text.segments`, and whether it has accents apart."""
+    ends = [m.start() + 1 for m in _SENTENCE.finditer(text)]
+    sentences = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+    once = dict.fromkeys(x.strip(_SPACES) for x in (*text.splitlines(), *sentences))
+    return [(x, _plain_fold(x)) for x in once if x], _marked(text)
 
 
+_is_mark = lambda c: unicodedata.category(c)[0] == "M"
+#: Marks of the basic plane, for which ``re`` has a table, and all characters beyond it.
+_MARKS, _BEYOND = re.compile("[" + "".join(filter(_is_mark, map(chr, range(0x300, 0x10000)))) + "]"), re.compile("[\U00010000-\U0010ffff]")
+
+
+def _marked(text: str) -> bool:
+    """Whether letters may have accents of their own, which are composed before texts are compared."""
+    return not text.isascii() and (_MARKS.search(text) is not None or any(map(_is_mark, _BEYOND.findall(text))))
+
+
+def grounded(quote: str | None, text: str | None) -> str | None:
+    """What :func:`ground` makes of one quote."""
+    if quote is None or text is None or quote in text:
+        return None if text is None else quote
+    wanted = _plain_fold(quote)
+    if not wanted:
+        return None
+    parts, marked = _parts(text)
+    if marked or _marked(quote):
+        return nearest(quote, parts)
+    n, likely = len(wanted), []
+    for p in parts:
+        if p[1] == wanted:
+            return p[0]
+        if 2 * min(n, len(p[1])) >= GROUNDED * (n + len(p[1])):  # of others only those whose length allows the ratio
+            likely.append(p)
+    return nearest(quote, likely) if likely else None
+
+
+@_remembered
 def _fold(text: str) -> str:
     """As :func:`fold_quote`, with accents composed."""
     text = unicodedata.normalize("NFC", text).replace("\u2013", "-").replace("\u2014", "-").replace("\u2192", "->")
     return " ".join(text.split()).casefold()
 
 
+@_remembered
+def _likeness(wanted: str, folded: str, least: float) -> float:
+    """The ratio of matching blocks, 0 if its upper bounds are below ``least``."""
+    if 2.0 * min(len(wanted), len(folded)) / (len(wanted) + len(folded)) < least:
+        return 0.0
+    match = SequenceMatcher(None, wanted, folded)
+    return match.ratio() if match.quick_ratio() >= least else 0.0
+
+
 def nearest(quote: str, parts: list) -> str | None:
-    """The segment (text, folded) that a quote stands for, by equality after folding or a likeness from 0.88 on."""
+    """The segment of ``parts`` (text, folded) that a quote stands for, by equality after folding or a likeness from 0.88 on."""
     wanted, best, score = _fold(quote), None, 0.0
     if not wanted:
         return None
-    match = SequenceMatcher(None, "", "")
-    match.set_seq1(wanted)
-    for p in parts:
-        folded = _fold(p["text"])
+    for text, _ in parts:
+        folded = _fold(text)
         if folded == wanted:
-            return p["text"]
+            return text
         longest = max(len(wanted), len(folded), 1)
         inside = min(len(wanted), len(folded)) / longest if wanted in folded or folded in wanted else 0.0
-        match.set_seq2(folded)
-        # upper bounds of the ratio first: what cannot be accepted, or not beat the best, is not matched
-        least = max(score, GROUNDED)
-        s = match.ratio() if match.real_quick_ratio() >= least and match.quick_ratio() >= least else 0.0
-        s = max(inside, s)
+        # what cannot be accepted, or not beat the best, is not matched
+        s = max(inside, _likeness(wanted, folded, max(score, GROUNDED)))
         if s > score and s >= GROUNDED:
-            best, score = p["text"], s
+            best, score = text, s
     return best
 
 

@@ -149,3 +149,15 @@ def test_outcome_query_takes_other_spellings(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted((f or "", o, n) for f, o, n in db.execute(Q.SQL["field_outcomes"]).fetchall()) == got
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quotes_are_read_once(spark):
+    rows = [(1, "A  B", "x\na b"), (2, "à b", "x\nà b"), (3, "a \x1f b", "a \x1f b."), (4, "a \U0001e900\U0001e946", "a \U0001e922\U0001e946. b"), (5, None, "a"), (6, "a", None)]
+    q = spark.createDataFrame(rows, "quote_id long, quote string, raw_text string")
+    found = O.ground(q)
+    assert _plan(found).count("LogicalRDD") == 1 and "Union" not in _plan(found)
+    assert {r.quote_id: r.grounded for r in found.collect()} == {1: "a b", 2: "à b", 3: "a \x1f b", 4: "a \U0001e922\U0001e946.", 5: None, 6: None}
