@@ -402,34 +402,29 @@ def draft_obligations(drafts: DataFrame) -> DataFrame:
     version in the order of their drafts. Empty quotes are none.
     """
     has = lambda c, kind: F.col(c) if c in drafts.columns else F.lit(None).cast(kind)
-    ones = [F.array(F.struct(F.lit(f).alias("field"), F.lit(0).alias("ix"), has(f"{f}_quote", "string").alias("quote"))) for f in DRAFT_FIELDS[1:5]]
-    many = [_listed(f, has(f"{f}_quotes", "array<string>")) for f in DRAFT_FIELDS[5:]]
-    key = ("draft_id", "field", "ix")
-    long = drafts.select("draft_id", "raw_text", F.explode(F.flatten(F.array(*ones, *many))).alias("q")).select(
-        "draft_id", "raw_text", "q.*").filter("quote != ''")
-    found = ground(long, key).filter("grounded is not null")
-    one = lambda f: F.max(F.when(F.col("field") == f, F.col("grounded"))).alias(f"g_{f}")
-    list_ = lambda f: F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == f, F.struct("ix", "grounded")))), lambda x: x["grounded"]).alias(f"{f}s")
-    wide = found.groupBy("draft_id").agg(*[one(f) for f in DRAFT_FIELDS[1:5]], *[list_(f) for f in DRAFT_FIELDS[5:]])
-    acts = ground_actions(drafts.select("draft_id", F.col("action_quote").alias("quote"), "action_type", "raw_text"), ("draft_id",))
-    j = drafts.join(acts.filter("grounded is not null").withColumnRenamed("grounded", "action_text"), "draft_id").join(wide, "draft_id", "left")
+    ones = [F.nullif(has(f"{f}_quote", "string"), F.lit("")) for f in DRAFT_FIELDS[1:5]]
+    none = F.expr("cast(array() as array<string>)")
+    papers, others = (
+        F.transform(F.coalesce(has(f"{f}_quotes", "array<string>"), none), lambda x: F.nullif(x, F.lit(""))) for f in DRAFT_FIELDS[5:])
+    # all quotes of a draft stay in its row, one after the other: the single fields, the papers, the exceptions
+    rows = drafts.select(
+        "draft_id", "notice_id", "version_id", "raw_text", "action_type", F.size(papers).alias("n"),
+        F.concat(F.array("action_quote", *ones), papers, others).alias("quotes"))
+    g = lambda i: F.get("quotes", F.lit(i))
+    action = F.when(g(0).isNull(), anchored_line(F.col("raw_text"), F.col("action_type"))).when(g(0) != "", g(0))
+    j = ground_lists(rows).select(
+        "draft_id", "notice_id", "version_id", "raw_text", "action_type", action.alias("action_text"),
+        *[g(i).alias(f"g_{f}") for i, f in enumerate(DRAFT_FIELDS[1:5], 1)], F.array_compact(F.slice("quotes", 6, F.col("n"))).alias("documents"),
+        F.array_compact(F.slice("quotes", F.col("n") + 6, F.size("quotes"))).alias("exceptions")).filter("action_text is not null")
     w = Window.partitionBy("notice_id", "version_id").orderBy("draft_id")
-    read = parse_deadline(F.coalesce("g_deadline", F.lit("")))
+    read = parse_deadline(F.col("g_deadline"))
     money = parse_vnd(F.coalesce("g_amount", F.lit("")))
-    none = F.expr("cast(array() as array<string>)")
     return j.select(
         "notice_id", "version_id", F.concat(F.lit("o"), F.row_number().over(w).cast("string")).alias("obligation_id"), "draft_id", "raw_text",
         "action_type", "action_text", (F.position("action_text", "raw_text") - 1).alias("start_char"), F.col("g_audience").alias("audience"),
         F.col("g_deadline").alias("deadline_text"), F.when(F.col("g_deadline").isNotNull(), read["normalized"]).alias("deadline"),
         F.when(F.col("g_deadline").isNotNull(), read["precision"]).alias("precision"), F.when(money.isNotNull(), F.col("g_amount")).alias("amount_text"),
-        money.alias("amount"), F.col("g_location").alias("location"), F.coalesce("documents", none).alias("documents"),
-        F.coalesce("exceptions", none).alias("exceptions"))
-
-
-def _listed(field: str, quotes: Column) -> Column:
-    """A list of quotes as (field, ix, quote); a null one is empty."""
-    rows = F.transform(quotes, lambda x, i: F.struct(F.lit(field).alias("field"), i.alias("ix"), x.alias("quote")))
-    return F.coalesce(rows, F.expr("cast(array() as array<struct<field:string,ix:int,quote:string>>)"))
+        money.alias("amount"), F.col("g_location").alias("location"), "documents", "exceptions")
 
 
 def draft_evidence(obligations: DataFrame) -> DataFrame:

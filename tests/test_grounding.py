@@ -161,3 +161,17 @@ def test_quotes_are_read_once(spark):
     found = O.ground(q)
     assert _plan(found).count("LogicalRDD") == 1 and "Union" not in _plan(found)
     assert {r.quote_id: r.grounded for r in found.collect()} == {1: "a b", 2: "à b", 3: "a \x1f b", 4: "a \U0001e922\U0001e946.", 5: None, 6: None}
+
+
+def test_drafts_stay_in_their_rows(spark):
+    rows = [(1, 7, 1, TEXT, "pay", "nộp  học phí", ["phòng MỘT cửa", None, "", "Thông báo", "THÔNG  BÁO"], ["", "phòng A"]), (2, 7, 1, TEXT, "pay", "", [], None)]
+    d = spark.createDataFrame(
+        rows, "draft_id long, notice_id long, version_id long, raw_text string, action_type string, action_quote string, "
+        "document_quotes array<string>, exception_quotes array<string>")
+    found = O.draft_obligations(d)
+    assert "Join" not in _plan(found) and _plan(found).count("LogicalRDD") == 1
+    assert [(r.draft_id, r.action_text, r.documents, r.exceptions) for r in found.collect()] == [
+        (1, "Sinh viên nộp học phí", ["Thông báo", "Thông báo"], ["phòng A"])]
+    e = O.draft_evidence(found)
+    assert [(r.evidence_id, r.field, r.text) for r in e.orderBy("evidence_id").collect()] == [
+        ("e1", "action", "Sinh viên nộp học phí"), ("e2", "document", "Thông báo"), ("e3", "exception", "phòng A")]
