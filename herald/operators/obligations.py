@@ -437,11 +437,12 @@ def draft_evidence(obligations: DataFrame) -> DataFrame:
         "action": F.array("action_text"), "audience": F.array("audience"), "deadline": F.array("deadline_text"), "amount": F.array("amount_text"),
         "location": F.array("location"), "document": F.col("documents"), "exception": F.col("exceptions")}
     rows = [_placed(n, f, values[f]) for n, f in enumerate(DRAFT_FIELDS)]
-    number = F.substring("obligation_id", F.lit(2), F.length("obligation_id")).cast("int")
-    long = obligations.select("notice_id", "version_id", "raw_text", number.alias("o"), F.explode(F.flatten(F.array(*rows))).alias("r")).filter("r.text is not null")
+    number = F.substring("obligation_id", F.lit(2), F.length("obligation_id")).cast("long")
     key = ["notice_id", "version_id"]
-    first = long.groupBy(*key, "r.field", "r.text").agg(
-        F.min(F.struct("o", "r.n", "r.ix")).alias("at"), F.min(F.position("r.text", "raw_text")).alias("place"))
+    # outer: before an inner one Spark would work the list out twice
+    long = obligations.select(*key, number.alias("o"), F.explode_outer(F.flatten(F.array(*rows))).alias("r")).filter("r.text is not null")
+    at = F.shiftleft("o", 31) + F.shiftleft(F.col("r.n").cast("long"), 28) + F.col("r.ix")  # one number: a struct would be sorted, not hashed
+    first = long.groupBy(*key, "r.field", "r.text").agg(F.min(at).alias("at"), F.min("r.place").alias("place"))
     w = Window.partitionBy(*key).orderBy("at")
     start = F.col("place") - 1
     return first.select(
@@ -450,7 +451,8 @@ def draft_evidence(obligations: DataFrame) -> DataFrame:
 
 
 def _placed(n: int, field: str, values: Column) -> Column:
-    return F.transform(values, lambda x, i: F.struct(F.lit(n).alias("n"), F.lit(field).alias("field"), i.alias("ix"), x.alias("text")))
+    place = lambda x: F.position(x, F.col("raw_text")).alias("place")
+    return F.transform(values, lambda x, i: F.struct(F.lit(n).alias("n"), F.lit(field).alias("field"), i.alias("ix"), x.alias("text"), place(x)))
 
 
 def inexact_evidence(spans_: DataFrame) -> DataFrame:
