@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from herald.operators.impact_index import top
-from herald.sources.scratch import new_path
+from herald.sources.scratch import new_path, written
 
 #: Vectors that centres are fitted on at most, centres at most, and rounds of fitting.
 SAMPLE, CENTRES, ROUNDS = 10_000, 1024, 4
-#: Queries that are searched together, and parts that a large group is written in.
-QUERIES, PARTS = 1024, 8
+#: Queries that are searched together, vectors of a part of a large group about, and parts of it at most.
+QUERIES, PART, PARTS = 4096, 16_384, 8
+#: Scores that a task works out at once, and found ones that it keeps before it drops those below a k-th.
+SCORES, FOUND = 4_000_000, 2_000_000
 #: Digits of a score, and what bounds allow for its rounding.
 DIGITS, SLACK = 9, 1e-8
 
@@ -67,7 +69,9 @@ def build(vectors: DataFrame, vector_id: str = "vec_id", centres: int | None = N
     known = vectors.filter("embedding is not null").select(F.col(vector_id).cast("long").alias("vec"), "embedding")
     sample = known.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE)
     x = np.array([r["embedding"] for r in sample.collect()], np.float64)
-    n = centres or min(CENTRES, max(1, int(np.sqrt(known.count()))))
+    every = known.count()
+    n = centres or min(CENTRES, max(1, int(np.sqrt(every))))
+    parts = min(PARTS, max(1, every // (n * PART)))  # small groups have one file each: searches open them all
     c = x[:n]
     for _ in range(ROUNDS if len(x) else 0):
         group = _nearest(x, c)
@@ -94,7 +98,7 @@ def build(vectors: DataFrame, vector_id: str = "vec_id", centres: int | None = N
     schema = "vec long, vector array<double>, group int, along double, across double"
     path = new_path(spark, "vectors")
     rows = known.mapInArrow(assign, schema) if len(x) else spark.createDataFrame([], schema)
-    rows.repartition("group", F.pmod(F.xxhash64("vec"), F.lit(PARTS))).write.partitionBy("group").parquet(path)
+    rows.repartition("group", F.pmod(F.xxhash64("vec"), F.lit(parts))).write.partitionBy("group").parquet(path)
     rows = spark.read.schema(schema).parquet(path)
     low, high, across, size = (np.zeros(len(c)) for _ in range(4))
     sums = rows.groupBy("group").agg(F.min("along").alias("low"), F.max("along").alias("high"), F.max("across").alias("across"), F.count("*").alias("n"))
@@ -110,19 +114,25 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array([r["query_id"] for r in some], np.int64), np.array([r["vector"] for r in some], np.float64)
 
 
-def _read(index: Index, wanted: np.ndarray, run: Callable, schema: str) -> DataFrame:
-    """``run(vecs, vectors, queries, group)`` of the batches of the groups that a query wants: ``wanted`` has a row for each query."""
+def _read(index: Index, wanted: np.ndarray, q: np.ndarray, run: Callable, done: Callable, schema: str) -> DataFrame:
+    """``run(kept, vecs, scores, queries, group)`` of the groups that a query wants, ``wanted`` having a row for each query: the plain scores
+    of some of those queries (rows) and a part of the group. What it returns the task keeps for the next; ``done`` of the last are its rows."""
     groups = np.flatnonzero(wanted.any(axis=0))
     of = {int(g): np.flatnonzero(wanted[:, g]) for g in groups}
     names = [x.split()[0] for x in schema.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list = []
         for batch in batches:
             group = batch.column("group").to_numpy(zero_copy_only=False)
             for g in np.unique(group):
                 part = batch.filter(pa.array(group == g))
-                out = run(part.column("vec").to_numpy(), _matrix(part.column("vector")), of[int(g)], int(g))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+                vecs, x, own = part.column("vec").to_numpy(), _matrix(part.column("vector")).T, of[int(g)]
+                step = max(1, SCORES // len(vecs))
+                for at in range(0, len(own), step):
+                    some = own[at : at + step]
+                    kept = run(kept, vecs, q[some] @ x, some, int(g))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in done(kept)], names=names)
 
     return index.rows.filter(F.col("group").isin([int(g) for g in groups])).mapInArrow(each, schema)
 
@@ -144,13 +154,6 @@ def search(index: Index, queries: DataFrame, k: int, vector_id: str = "vec_id",
     out = None
     for ids, q in _blocks(queries) if len(index.along) else ():
         floor = np.full(len(ids), -np.inf)
-
-        def best(vecs: np.ndarray, x: np.ndarray, own: np.ndarray, group: int) -> tuple:
-            s = np.round(q[own] @ x.T, DIGITS)
-            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else -np.inf
-            row, column = np.nonzero(s >= np.maximum(kth, floor[own])[:, None])  # all that equal the k-th, or are above
-            return ids[own][row], vecs[column], s[row, column]
-
         _, upper = bounds(index, q)
         upper = np.where(index.size > 0, upper, -np.inf)
         order = np.argsort(-upper, axis=1, kind="stable")
@@ -158,20 +161,62 @@ def search(index: Index, queries: DataFrame, k: int, vector_id: str = "vec_id",
         first = np.zeros_like(enough)
         np.put_along_axis(first, order, enough, axis=1)
         first &= index.size > 0
-        found = top(_read(index, first, best, schema), k, vector_id)
-        place = {int(i): n for n, i in enumerate(ids)}
-        for r in found.filter(F.col("rank") == k).select("query_id", "score").collect():
-            floor[place[r["query_id"]]] = r["score"]
-        rest = ~first & (upper >= floor[:, None]) & (index.size > 0)
+        found = top(_best(index, first, ids, q, floor, k, schema), k, vector_id)
+        rest = ~first & (index.size > 0)
+        if rest.any():
+            found = written(found, "first")
+            place = {int(i): n for n, i in enumerate(ids)}
+            for r in found.filter(F.col("rank") == k).select("query_id", "score").collect():
+                floor[place[r["query_id"]]] = r["score"]
+            rest &= upper >= floor[:, None]
         if read is not None:
             read.append((int(((first | rest) * index.size).sum()), len(ids) * int(index.size.sum())))
         part = found.drop("rank")
         if rest.any():
-            part = part.unionByName(_read(index, rest, best, schema))
+            part = part.unionByName(_best(index, rest, ids, q, floor, k, schema))
         out = part if out is None else out.unionByName(part)
     return top(queries.sparkSession.createDataFrame([], schema) if out is None else out, k, vector_id)
 
 
+def _best(index: Index, wanted: np.ndarray, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, schema: str) -> DataFrame:
+    """The ``k`` best of the wanted groups that each task reads, from ``floor`` on; a query's k-th so far raises its floor in the task."""
+
+    def first(parts: list) -> tuple:
+        """(queries, vectors, scores): the ``k`` best of each query, by query."""
+        row, vec, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((vec, -score, row))
+        row = row[order]
+        start = np.flatnonzero(np.diff(row, prepend=-1))
+        within = np.arange(len(row)) - np.repeat(start, np.diff(start, append=len(row)))
+        return row[within < k], vec[order][within < k], score[order][within < k]
+
+    def run(kept: list, vecs: np.ndarray, s: np.ndarray, own: np.ndarray, group: int) -> list:
+        # kept: the least score of each query that may still matter, how many are pending, and the parts found
+        least, pending, parts = kept or (floor.copy(), 0, [])
+        at = least[own]
+        if s.shape[1] > k and np.isneginf(at).any():
+            at = np.maximum(at, np.round(-np.partition(-s, k - 1, axis=1)[:, k - 1], DIGITS))
+        row, column = np.nonzero(s >= (at - SLACK)[:, None])
+        score = np.round(s[row, column], DIGITS)
+        good = score >= at[row]
+        parts.append((own[row[good]], vecs[column[good]], score[good]))
+        pending += int(good.sum())
+        if pending > FOUND:
+            parts = [first(parts)]
+            row, _, score = parts[0]
+            last = np.flatnonzero(np.diff(row, append=-1))
+            full = np.bincount(row, minlength=len(least))[row[last]] == k
+            least[row[last][full]] = np.maximum(least[row[last][full]], score[last][full])
+            pending = 0
+        return [least, pending, parts]
+
+    def done(kept: list) -> tuple:
+        row, vec, score = first(kept[2]) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return ids[row], vec, score
+
+    return _read(index, wanted, q, run, done, schema)
+
+
 def places(index: Index, queries: DataFrame, pairs: DataFrame, vector_id: str = "vec_id") -> DataFrame:
     """``pairs`` (query_id, vector_id) with ``rank``: the vector's place in the query's list of all vectors.
 
@@ -179,6 +224,7 @@ def places(index: Index, queries: DataFrame, pairs: DataFrame, vector_id: str =
     query; their scores are read first, then counted below.
     """
     out, spark = None, queries.sparkSession
+    schema = f"query_id long, {vector_id} long, before long"
     for ids, q in _blocks(queries) if len(index.along) else ():
         place = {int(i): n for n, i in enumerate(ids)}
         own = pairs.join(spark.createDataFrame([(int(i),) for i in ids], "query_id long"), "query_id").select(
@@ -189,21 +235,39 @@ def places(index: Index, queries: DataFrame, pairs: DataFrame, vector_id: str =
         if not scored:
             continue
         lower, upper = bounds(index, q)
-        wanted, asked, above = np.zeros(lower.shape, bool), {}, []
-        for i, v, mine in scored:
-            above.append((int(ids[i]), v, int(index.size[lower[i] > mine].sum())))
-            wanted[i] |= (lower[i] <= mine) & (upper[i] >= mine) & (index.size > 0)
-            asked.setdefault(i, []).append((v, mine))
-
-        def count(vecs: np.ndarray, x: np.ndarray, own: np.ndarray, group: int) -> tuple:
-            s = np.round(q[own] @ x.T, DIGITS)
-            out = [
-                (ids[i], v, int(((vecs != v) & ((s[row] > mine) | ((s[row] == mine) & (vecs < v)))).sum()))
-                for row, i in enumerate(own.tolist()) for v, mine in asked[i] if lower[i, group] <= mine]
-            return tuple(np.array([o[c] for o in out], np.int64) for c in range(3))
-
-        schema = f"query_id long, {vector_id} long, before long"
-        part = spark.createDataFrame(above, schema).unionByName(_read(index, wanted, count, schema))
+        of, vec, mine = (np.array(c) for c in zip(*sorted(scored)))
+        wanted, above = np.zeros(lower.shape, bool), []
+        for i, v, x in zip(of.tolist(), vec.tolist(), mine.tolist()):
+            over = lower[i] > x
+            above.append((int(ids[i]), v, int(index.size[over].sum())))
+            wanted[i] |= ~over & (upper[i] >= x) & (index.size > 0)
+        part = _before(index, wanted, lower, ids, q, (of, vec, mine), schema)
+        part = spark.createDataFrame(above, schema).unionByName(part)
         part = part.groupBy("query_id", vector_id).agg((F.sum("before") + 1).alias("rank"))
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], f"query_id long, {vector_id} long, rank long") if out is None else out
+
+
+def _before(index: Index, wanted: np.ndarray, lower: np.ndarray, ids: np.ndarray, q: np.ndarray, pairs: tuple, schema: str) -> DataFrame:
+    """How many vectors of the wanted groups stand before the vectors of ``pairs`` (queries in order, vectors, scores), task by task."""
+    of, vec, mine = pairs
+
+    def run(kept: list, vecs: np.ndarray, s: np.ndarray, own: np.ndarray, group: int) -> list:
+        before = kept or [np.zeros(len(of), np.int64)]
+        at = np.flatnonzero(np.isin(of, own) & (lower[of, group] <= mine))
+        step = max(1, SCORES // len(vecs))
+        for some in (at[i : i + step] for i in range(0, len(at), step)):
+            x = s[np.searchsorted(own, of[some])] - mine[some][:, None]
+            before[0][some] += (x > SLACK).sum(axis=1)
+            row, column = np.nonzero(np.abs(x) <= SLACK)  # so near that the rounding of both counts
+            pair, other = some[row], vecs[column]
+            score = np.round(s[np.searchsorted(own, of[pair]), column], DIGITS)
+            ahead = (other != vec[pair]) & ((score > mine[pair]) | ((score == mine[pair]) & (other < vec[pair])))
+            np.add.at(before[0], pair[ahead], 1)
+        return before
+
+    def done(kept: list) -> tuple:
+        met = np.flatnonzero(kept[0]) if kept else np.zeros(0, np.int64)
+        return ids[of[met]], vec[met], kept[0][met] if kept else met
+
+    return _read(index, wanted, q, run, done, schema)

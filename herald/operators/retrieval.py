@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from herald.functions.text import fold_vietnamese, tokens
+from herald.functions.text import fold_vietnamese, let, tokens
 from herald.operators.versions import current_versions
 
 #: BM25Plus as published (fixed values).
@@ -125,9 +125,9 @@ def top_k(scored: DataFrame, k: int | None, doc: str = "doc_id") -> DataFrame:
 
 def normalise(vector: str | Column) -> Column:
     """A vector of length 1; null where it has none."""
-    v = F.transform(F.col(vector) if isinstance(vector, str) else vector, lambda x: x.cast("double"))
+    v = (F.col(vector) if isinstance(vector, str) else vector).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    return let(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))  # else the length would be worked out for each element
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int | None, vector_id: str = "vec_id", block: int = 1024) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from herald.functions.text import tokens
@@ -82,8 +83,10 @@ def _same_label(e):
     known = e.select(F.col("vec_id").alias("doc"), "label")
 
     def best(queries, d):
-        rows = known.join(queries.select("query_id", "own"), F.col("label") == F.col("own"))
-        return R.top_k(rows.select("query_id", "doc", (-F.col("doc")).cast("double").alias("score")), d, "doc")
+        least = Window.partitionBy("label").orderBy("doc")  # the same for all queries of a label
+        first = known.withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= d)
+        rows = first.join(queries.select("query_id", "own"), F.col("label") == F.col("own"))
+        return rows.select("query_id", "doc", (-F.col("doc")).cast("double").alias("score"), "rank")
 
     def places(queries, pairs):
         own = pairs.join(queries.select("query_id", "own"), "query_id").join(known, "doc").filter("label = own").drop("label")

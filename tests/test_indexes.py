@@ -175,3 +175,28 @@ def test_search_in_the_stream(spark, tmp_path):
         jobs.verify_stream(jobs.read_stream(spark, src, schema), verify, out, str(tmp_path / "ck")).awaitTermination(300)
     got = {r.message_id: r.verdict for r in spark.read.parquet(out).collect()}
     assert got == {0: "VERIFIED", 1: "VERIFIED", 2: "VERIFIED", 3: "CONFLICT"}
+
+
+def test_small_groups_have_one_file_each(spark):
+    rows = clustered(400)
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = metric_index.build(v)
+    files = index.rows.select("group", F.input_file_name().alias("file")).distinct().groupBy("group").count()
+    assert files.filter("count > 1").isEmpty() and files.count() == int((index.size > 0).sum()) and index.size.sum() == 400
+    unit = v.select(retrieval.normalise("embedding").alias("e"))
+    assert unit._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1  # the length, once for all elements
+
+
+def test_a_task_keeps_the_best_only(spark, monkeypatch):
+    """What a task gives for a query is no more than it asks for, over all groups that it reads, also when it often drops the others."""
+    v = spark.createDataFrame(clustered(400), "vec_id long, embedding array<double>")
+    index = metric_index.build(v, centres=40)
+    q = np.array([r["embedding"] for r in v.orderBy("vec_id").limit(6).collect()])
+    monkeypatch.setattr(metric_index, "FOUND", 50)
+    monkeypatch.setattr(metric_index, "SCORES", 30)
+    one = metric_index.Index(index.rows.coalesce(1), index.along, index.low, index.high, index.across, index.size)
+    wanted = np.ones((6, len(index.size)), bool)
+    got = metric_index._best(one, wanted, np.arange(6), q, np.full(6, -np.inf), 7, "query_id long, vec_id long, score double").collect()
+    x = np.array([r["embedding"] for r in v.orderBy("vec_id").collect()])
+    want = {(i, int(j)) for i in range(6) for j in np.lexsort((np.arange(400), -np.round(x @ q[i], 9)))[:7]}
+    assert len(got) == 42 and {(r["query_id"], r["vec_id"]) for r in got} == want
