@@ -23,8 +23,8 @@ from herald.sources.scratch import written
 
 #: Rank constant of reciprocal rank fusion (a fixed value).
 RRF_K = 60
-#: First depth of the lists, and how much deeper each further round goes.
-DEPTH, DEEPER = 128, 4
+#: First depth of the lists, that for each document asked for if these are few, and how much deeper each further round goes.
+DEPTH, EACH, DEEPER = 128, 16, 4
 #: What may stand between sums of the same ranks.
 _EPS = 1e-11
 
@@ -119,5 +119,6 @@ def current_evidence(
     """
     named = chunks.select(F.col("chunk_id").alias("doc"), "notice_id", "version_id")
     now = chunks.filter("is_latest").select(F.col("chunk_id").alias("doc"))
-    fused = fuse_current(rankings, queries, now, k, size, rounds=rounds)
+    # any depth leads to the same result; short lists settle the queries whose best stands first in all of them
+    fused = fuse_current(rankings, queries, now, k, size, min(DEPTH, EACH * k), rounds)
     return collapse_identity(fused.join(named, "doc"), ["notice_id", "version_id"]).select("query_id", "notice_id", "version_id", "rank")

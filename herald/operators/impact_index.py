@@ -9,7 +9,8 @@ hash of the term, so a search reads the buckets of its terms only.
 BM25Plus has a part that depends on document and term, the impact, and a part
 of the query alone. A search takes the rows of its terms by segment, bounds
 each range of ``RANGE`` documents by the greatest impacts there, and scores
-ranges by descending bound until no other can enter the best ``k``.
+the documents of the terms that add most until no other can enter the best
+``k``, leaving out those of ranges whose bound is too low.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from herald.sources.scratch import new_path, written
 #: BM25Plus as published (fixed values).
 K1, B, DELTA = 1.5, 0.75, 1.0
 #: Documents of a segment, about; documents of a range; buckets of terms; queries that are searched together.
-SEGMENT, RANGE, BUCKETS, QUERIES = 65_536, 128, 64, 1024
+SEGMENT, RANGE, BUCKETS, QUERIES = 65_536, 128, 64, 4096
+#: Documents that are scored at once, the share of a segment's documents from which on a term's impacts are laid out by document, and
+#: terms of which this is kept.
+FEW, DENSE, MOST_DENSE = 4096, 64, 64
 #: Digits of a score.
 DIGITS = 6
 
@@ -96,28 +100,27 @@ def searches(index: Index, queries: DataFrame) -> Iterator[Search]:
     spark = queries.sparkSession
     terms = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     terms = written(terms, "terms")
-    ids = (r["query_id"] for r in terms.select("query_id").distinct().orderBy("query_id").toLocalIterator())
+    df = index.rows.filter("term != ''").select("term", "n").join(terms.select("term").distinct(), "term", "left_semi")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    known = terms.join(df.groupBy("term").agg(F.sum("n").alias("df")), "term").withColumn("bucket", bucket)
+    known = written(known.select("query_id", "term", "qf", "df", "bucket"), "known")
+    ids = (r["query_id"] for r in known.select("query_id").distinct().orderBy("query_id").toLocalIterator())
+    own_bucket = spark.range(1).select(F.lit("").alias("term")).select(bucket).first()[0]  # that of the segments' ids
     while some := list(islice(ids, QUERIES)):
-        own = terms.filter(F.col("query_id").between(some[0], some[-1]))
-        names = own.select("term").distinct()
-        bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-        wanted = names.unionByName(spark.createDataFrame([("",)], "term string")).withColumn("bucket", bucket)
-        buckets = sorted(r["bucket"] for r in wanted.select("bucket").distinct().collect())
-        rows = index.rows.filter(F.col("bucket").isin(buckets)).join(wanted, ["bucket", "term"], "left_semi")
-        df = {r["term"]: r["df"] for r in rows.filter("term != ''").groupBy("term").agg(F.sum("n").alias("df")).collect()}
-        number = {t: i for i, t in enumerate(df)}
-        of: dict = {i: [] for i in some}
-        for r in own.collect():
-            if r["term"] in df:
-                of[r["query_id"]].append((number[r["term"]], r["qf"] * np.log((index.docs + 1) / df[r["term"]])))
-        of = {i: sorted(x) for i, x in of.items() if x}
-        if not of:
-            continue
-        weights = [np.array([w for _, w in x]) for x in of.values()]
+        own = known.filter(F.col("query_id").between(some[0], some[-1])).toArrow()
+        words, query = own["term"].to_pylist(), own["query_id"].to_numpy()
+        number = {t: i for i, t in enumerate(sorted(set(words)))}  # by name, so that sums are added up in one order in all searches
+        t = np.array([number[x] for x in words])
+        weight = own["qf"].to_numpy() * np.log((index.docs + 1) / own["df"].to_numpy())
+        order = np.lexsort((t, query))
+        cut = np.flatnonzero(np.diff(query[order])) + 1
+        weights = np.split(weight[order], cut)
+        buckets = sorted({own_bucket, *own["bucket"].to_pylist()})
         named = spark.createDataFrame([("", -1), *number.items()], "term string, t int")
+        rows = index.rows.filter(F.col("bucket").isin(buckets)).join(F.broadcast(named), "term")  # the terms of one block of queries
         yield Search(
-            list(of), [np.array([t for t, _ in x]) for x in of.values()], weights, np.array([DELTA * w.sum() for w in weights]),
-            rows.join(named, "term").select("segment", "t", "numbers", "impacts", "docs"))
+            some, np.split(t[order], cut), weights, np.array([DELTA * w.sum() for w in weights]),
+            rows.select("segment", "t", "numbers", "impacts", "docs"))
 
 
 class _Segment:
@@ -134,7 +137,7 @@ class _Segment:
                 else:
                     self.postings[term] = numbers[i].values.to_numpy(), impacts[i].values.to_numpy()
         self.ranges = -(-len(self.docs) // RANGE)
-        self.maxima = {}
+        self.maxima, self.dense = {}, {}
         for term, (numbers, impacts) in self.postings.items():
             of = numbers // RANGE
             at = np.flatnonzero(np.diff(of, prepend=-1))
@@ -156,24 +159,60 @@ class _Segment:
         found = np.flatnonzero(met)
         return found, total[found]
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """The sums of some documents, added up in the order of :meth:`sums`."""
+        total = np.zeros(len(some))
+        for t, w in zip(terms.tolist(), weights.tolist()):
+            if t not in self.postings:
+                continue
+            numbers, impacts = self.postings[t]
+            if DENSE * len(numbers) > len(self.docs):
+                if t not in self.dense:
+                    if len(self.dense) >= MOST_DENSE:
+                        del self.dense[next(iter(self.dense))]
+                    self.dense[t] = np.zeros(len(self.docs))
+                    self.dense[t][numbers] = impacts
+                total += w * self.dense[t][some]
+            else:
+                at = np.minimum(np.searchsorted(numbers, some), len(numbers) - 1)
+                total += w * np.where(numbers[at] == some, impacts[at], 0.0)
+        return total
+
     def best(self, terms: np.ndarray, weights: np.ndarray, shared: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores) of the ``k`` best, and how many ranges were scored."""
-        bound = np.zeros(self.ranges)
+        """(ids, scores) of the ``k`` best, and in how many ranges documents were scored.
+
+        The documents of the term that can add most come first. When all terms
+        left could not lift a document into the ``k`` best, no other document
+        can; nor can those of a range whose bound is too low.
+        """
+        bound, most = np.zeros(self.ranges), []
         for t, w in zip(terms.tolist(), weights.tolist()):
             if t in self.maxima:
-                of, most, _ = self.maxima[t]
-                bound[of] += w * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, max(4, -(-k // RANGE))
-        while at < len(order) and (len(ids) < k or shared + bound[order[at]] > scores[-1] - 10.0**-DIGITS):
-            only = np.zeros(self.ranges, bool)
-            only[order[at : at + step]] = True
-            found, sums = self.sums(terms, weights, only)
-            ids, scores = np.append(ids, self.docs[found]), np.append(scores, np.round(shared + sums, DIGITS))
-            top = np.lexsort((ids, -scores))[:k]
-            ids, scores, at, step = ids[top], scores[top], at + step, 2 * step
-        return ids, scores, min(at, len(order))
+                of, greatest, _ = self.maxima[t]
+                bound[of] += w * greatest
+                most.append((w * greatest.max(), t))
+        most.sort(reverse=True)
+        rest = np.cumsum([m for m, _ in most][::-1])[::-1]
+        ids, scores, met, ranges = np.zeros(0, np.int64), np.zeros(0), np.zeros(len(self.docs), bool), np.zeros(self.ranges, bool)
+        for (_, t), left in zip(most, rest.tolist()):
+            least = scores[-1] - 10.0**-DIGITS if len(ids) == k else -np.inf
+            if shared + left <= least:
+                break
+            some = self.postings[t][0]
+            some = some[~met[some]]
+            met[some] = True
+            order = np.argsort(-bound[some // RANGE], kind="stable") if len(some) > FEW else slice(None)
+            for part in np.array_split(some[order], -(-len(some) // FEW)) if len(some) else ():
+                part = part[shared + bound[part // RANGE] > least]
+                if not len(part):
+                    break
+                ranges[part // RANGE] = True
+                ids = np.append(ids, self.docs[part])
+                scores = np.append(scores, np.round(shared + self._scores(terms, weights, part), DIGITS))
+                top = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[top], scores[top]
+                least = scores[-1] - 10.0**-DIGITS if len(ids) == k else -np.inf
+        return ids, scores, int(ranges.sum())
 
 
 def _by_segment(search: Search, run: Callable[[_Segment, Search], pa.Table], schema: str) -> DataFrame:

@@ -200,3 +200,25 @@ def test_a_task_keeps_the_best_only(spark, monkeypatch):
     x = np.array([r["embedding"] for r in v.orderBy("vec_id").collect()])
     want = {(i, int(j)) for i in range(6) for j in np.lexsort((np.arange(400), -np.round(x @ q[i], 9)))[:7]}
     assert len(got) == 42 and {(r["query_id"], r["vec_id"]) for r in got} == want
+
+
+def test_common_terms_are_not_added_up(monkeypatch):
+    """Documents without the rare term, all of which share ranges with it, are not scored once the common terms cannot lift them."""
+    import pyarrow as pa
+
+    n, rare = 8 * impact_index.RANGE, np.arange(0, 8 * impact_index.RANGE, 100)
+    table = pa.table({
+        "t": [-1, 0, 1], "numbers": pa.array([[], list(range(n)), rare.tolist()], pa.list_(pa.int32())),
+        "impacts": pa.array([[], [0.1] * n, [2.0] * len(rare)], pa.list_(pa.float64())), "docs": pa.array([list(range(n)), None, None], pa.list_(pa.int64()))})
+    segment, scored = impact_index._Segment(table), []
+    plain = segment._scores
+    monkeypatch.setattr(segment, "_scores", lambda t, w, some: scored.append(len(some)) or plain(t, w, some))
+    ids, scores, _ = segment.best(np.array([0, 1]), np.array([1.0, 1.0]), 2.0, 5)
+    assert ids.tolist() == [0, 100, 200, 300, 400] and np.allclose(scores, 4.1) and sum(scored) == len(rare)
+
+
+def test_blocks_of_queries_share_counts(spark, corpus, asked, index, monkeypatch):
+    """Searches in blocks give what one block gives."""
+    whole = listed(impact_index.search(index, asked, 9), "doc_id")
+    monkeypatch.setattr(impact_index, "QUERIES", 2)
+    assert len(list(impact_index.searches(index, asked))) == 2 and listed(impact_index.search(index, asked, 9), "doc_id") == whole
